@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, quality, toxicity, urls, warc
+from . import bpe, media, mixing, quality, toxicity, urls, warc, wrappers
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("mined")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,6 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op4_toxicity, op5_bpe, op6_mixing, op7_quality_rules, op8_media, op10_warc_fixity)
+    f.__name__: f for f in (op1_url_filters, op3_html_extraction, op4_toxicity, op5_bpe, op6_mixing, op7_quality_rules, op8_media, op10_warc_fixity)
 }
 ORACLES: dict[str, str] = {"op1_url_filters": urls.oracle_sql(), "op10_warc_fixity": warc.oracle_sql()}
