@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, quality, toxicity, urls, warc, wrappers
+from . import bpe, katz, media, mixing, quality, toxicity, urls, warc, wrappers
 from .common import table
 
 
@@ -45,11 +45,15 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fixity(spark, table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_html_extraction, op4_toxicity, op5_bpe, op6_mixing, op7_quality_rules, op8_media, op10_warc_fixity)
+    f.__name__: f for f in (op1_url_filters, op3_html_extraction, op4_toxicity, op5_bpe, op6_mixing, op7_quality_rules, op8_media, op9_lm_scoring, op10_warc_fixity)
 }
 ORACLES: dict[str, str] = {"op1_url_filters": urls.oracle_sql(), "op10_warc_fixity": warc.oracle_sql()}
