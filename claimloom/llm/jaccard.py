@@ -4,8 +4,8 @@ Two documents link when 100 * intersection >= THRESHOLD * union of their sets of
 shingles. Equal sets are one class from the start. Of the other sets each puts into an index the
 shingles of its prefix: in one order of all shingles, the frequent ones last, so many that linked
 sets must share one. A tile holds the sets with a prefix shingle in common, laid out by size, in
-bands within which sizes are compatible. Bitmap signatures (a bit per hashed shingle, as many bits
-as the set is large) bound a pair's overlap from above by (|A| + |B| - popcount(a xor b)) / 2; what
+bands within which sizes are compatible. Bitmap signatures (a bit per hashed shingle, in some
+bits per element) bound a pair's overlap from above by (|A| + |B| - popcount(a xor b)) / 2; what
 passes is settled by intersecting the sorted shingle arrays of the whole texts.
 
 A tile is done in two steps. First each set is held against the first set of its band in the tile
@@ -41,6 +41,8 @@ WORDS, THRESHOLD = 4, 85
 FREQUENT = 200_000
 BLOCK = 256
 BUCKETS = 1 << 20
+#: Of sets that differ in d elements, bitmaps of this many bits an element show some 0.85 d.
+BITS = 4
 SET_SCHEMA = "doc_id long, n long, set_hash binary, bits binary, prefix array<long>"
 
 
@@ -62,8 +64,8 @@ def need(n: int, m: int, threshold: int) -> int:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """A power of two of bits, one per element at least and 64 at least, each set by its elements."""
-    width = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    """A power of two of bits, BITS per element at least and 64 at least, each set by its elements."""
+    width = max(64, 1 << max(0, BITS * len(hashes) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()

@@ -132,3 +132,21 @@ def plan_mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int
 
 def mix_digest(documents: DataFrame, **options) -> DataFrame:
     return plan_mix(documents, **options).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def apply_mix(documents: DataFrame, **options) -> DataFrame:
+    """The documents of the mix, whole, with all their columns: each as often as it is taken.
+
+    A document in which the run of blocks begins or ends is taken once more if half of its words or
+    more lie in the run.
+    """
+    plan = plan_mix(documents, **options)
+    times = F.col("epochs") + F.when((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size")), 1).otherwise(0)
+    # Rows of one id, source and size are taken equally often: as often as the least of them.
+    key = {"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string")}
+    chosen = plan.groupBy(*(v.alias(k) for k, v in key.items()), F.col("size").alias("__size")).agg(F.min(times).cast("int").alias("__n"))
+    chosen = Scratch(documents.sparkSession, "chosen").keep(chosen.filter("__n > 0"), "times")
+    keyed = documents.withColumns({**key, "__size": word_count(F.col("text"))})
+    on = [keyed[c].eqNullSafe(chosen[c]) for c in ("__id", "__source", "__size")]
+    taken = keyed.join(chosen, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    return taken.select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, katz, media, mixing, quality, toxicity, urls, warc, wrappers
+from . import bpe, jaccard, katz, media, mixing, quality, toxicity, urls, warc, wrappers
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("mined")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,6 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op3_html_extraction, op4_toxicity, op5_bpe, op6_mixing, op7_quality_rules, op8_media, op9_lm_scoring, op10_warc_fixity)
+    f.__name__: f for f in (op1_url_filters, op2_jaccard_join, op3_html_extraction, op4_toxicity, op5_bpe, op6_mixing, op7_quality_rules, op8_media, op9_lm_scoring, op10_warc_fixity)
 }
 ORACLES: dict[str, str] = {"op1_url_filters": urls.oracle_sql(), "op10_warc_fixity": warc.oracle_sql()}
