@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from .common import bytes_of
 
@@ -220,7 +221,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(ids, pa.list_(pa.int32()))], [*keep, "ids"])
 
     keep = [c for c in documents.columns if c != "ids"]
-    schema = documents.select(*(F.col(f"`{c}`") for c in keep)).schema.add("ids", "array<int>")
+    schema = documents.select(*(F.col(f"`{c}`") for c in keep)).schema.add("ids", ArrayType(IntegerType()))
     return documents.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
 
 
@@ -234,7 +235,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(texts, pa.string())], [*keep, "decoded"])
 
     keep = [c for c in encoded.columns if c != "decoded"]
-    schema = encoded.select(*(F.col(f"`{c}`") for c in keep)).schema.add("decoded", "string")
+    schema = encoded.select(*(F.col(f"`{c}`") for c in keep)).schema.add("decoded", StringType())
     return encoded.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
 
 
