@@ -1,4 +1,477 @@
-"""The library's registered queries and their SQL."""
+"""The library's registered queries and, beside each, the SQL that it must agree with."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimloom import oracles
+from claimloom.functions import text as fx
+from claimloom.operators import dq, graph, lint_text, mirror, rules, segment, validate, vectors
+from claimloom.plans import star
+from claimloom.plans.conversations import conversation_documents
+from claimloom.plans.registry import SCHEMA_VERSION, Registry
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+#: What traversals start from, and how far they go.
+SEED, HOPS = "customer.7", 3
+STATUSES = ["active"]
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query with its SQL over the registry's views."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = oracles.sql(sql)
+        return f
+
+    return add
+
+
+def on_registry(name: str, sql: str | None = None) -> Callable:
+    def add(f: Callable[[Registry], DataFrame]) -> Callable:
+        query(name, sql)(lambda spark, sf_dir: f(star.registry(spark, sf_dir)))
+        return f
+
+    return add
+
+
+def on_table(name: str, table: str, sql: str | None = None) -> Callable:
+    def add(f: Callable[[DataFrame], DataFrame]) -> Callable:
+        query(name, sql)(lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{table}.parquet")))
+        return f
+
+    return add
+
+
+def _derived(r: Registry) -> DataFrame:
+    return rules.derive(r.claims, r.rules)
+
+
+def _shipped(r: Registry) -> Registry:
+    """The derived edges beside older ones, some of them wrong, for the checks."""
+    made = _derived(r).select("edge_id", "source_claim_id", "rule_key", "subject_id", "predicate", "object_id", "status", F.lit("2000-01-01T00:00:00Z").alias("derived_at"))
+    old = r.claims.filter("ord % 10 = 1 or ord % 60 = 0").select(
+        F.concat(F.lit("edge.old."), "claim_id").alias("edge_id"), F.when(F.col("ord") % 4 == 0, "claim.gone").otherwise(F.col("claim_id")).alias("source_claim_id"),
+        F.when(F.col("ord") % 3 == 0, "old_rule").otherwise("reverse_dependency").alias("rule_key"), "subject_id",
+        F.when(F.col("ord") % 5 == 0, "old_relation").otherwise("dependency_of").alias("predicate"), F.when(F.col("ord") % 7 == 0, "").otherwise(F.col("object_id")).alias("object_id"),
+        F.lit("derived").alias("status"), F.lit(None).cast("string").alias("derived_at"),
+    )
+    return r.with_derived(made.unionByName(old))
+
+
+# --- sources, filters, expressions ---
+
+
+@on_registry("src_registry_scan", " UNION ALL ".join(f"SELECT '{n}' AS registry, count(*)::BIGINT AS n FROM {t}" for n, t in (("entities", "entities"), ("documents", "docs"), ("claims", "claims"), ("evidence", "evidence"), ("segments", "segments"))))
+def _(r: Registry) -> DataFrame:
+    parts = [getattr(r, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("registry"), "n") for n in ("entities", "documents", "claims", "evidence", "segments")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@on_registry("src_documents_text", "SELECT document_id, length(text)::BIGINT AS n_chars, sha256(text) AS text_hash FROM docs")
+def _(r: Registry) -> DataFrame:
+    return r.documents.select("document_id", F.length("text").cast("long").alias("n_chars"), fx.text_hash(F.col("text")).alias("text_hash"))
+
+
+@on_registry("flt_text_suffix", "SELECT document_id, path FROM docs WHERE lower(regexp_extract(path, '\\.[^./]+$')) IN ('.md', '.markdown', '.txt', '.rst')")
+def _(r: Registry) -> DataFrame:
+    return segment.text_documents(r.documents).select("document_id", "path")
+
+
+@on_registry("flt_accepted_claims", "SELECT claim_id, predicate FROM claims WHERE status = 'accepted'")
+def _(r: Registry) -> DataFrame:
+    return r.claims.filter("status = 'accepted'").select("claim_id", "predicate")
+
+
+@on_registry("flt_segment_status", "SELECT segment_id, text FROM segments WHERE status IN ('active')")
+def _(r: Registry) -> DataFrame:
+    return vectors.index_rows(r.segments, STATUSES).select("segment_id", "text")
+
+
+@on_table("exp_text_hash", "documents", "SELECT doc_id, sha256(text) AS h FROM documents")
+def _(d: DataFrame) -> DataFrame:
+    return d.select("doc_id", fx.text_hash(F.col("text")).alias("h"))
+
+
+@on_table("exp_slugify", "part", "SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name || ' / ' || p_type || '!'), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'untitled') AS slug FROM part")
+def _(d: DataFrame) -> DataFrame:
+    return d.select("p_partkey", fx.slug(F.concat("p_name", F.lit(" / "), "p_type", F.lit("!"))).alias("slug"))
+
+
+@on_table("exp_normalize_key", "part", "SELECT p_partkey, translate(lower(trim('  ' || p_type || '-X ')), ' -', '__') AS k FROM part")
+def _(d: DataFrame) -> DataFrame:
+    return d.select("p_partkey", fx.key_form(F.concat(F.lit("  "), "p_type", F.lit("-X "))).alias("k"))
+
+
+@on_registry("exp_meta_roundtrip", "SELECT entity_id, len(aliases)::BIGINT AS n, aliases[1] AS first FROM entities")
+def _(r: Registry) -> DataFrame:
+    back = fx.decode_list(fx.encode_value(F.col("aliases")))
+    return r.entities.select("entity_id", F.size(back).cast("long").alias("n"), F.get(back, 0).alias("first"))
+
+
+@on_registry("exp_parse_ts", "SELECT claim_id, epoch(try_cast(valid_from AS TIMESTAMP))::BIGINT AS f, epoch(try_cast(valid_to AS TIMESTAMP))::BIGINT AS t FROM claims")
+def _(r: Registry) -> DataFrame:
+    return r.claims.select("claim_id", *(F.unix_timestamp(fx.moment(F.col(c))).alias(k) for c, k in (("valid_from", "f"), ("valid_to", "t"))))
+
+
+@on_table("exp_tokens", "documents", "SELECT doc_id, len(t)::BIGINT AS n, array_to_string(t[1:5], ' ') AS head FROM (SELECT doc_id, CASE WHEN len(x) > 0 THEN x ELSE ['__empty__'] END AS t FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS x FROM documents))")
+def _(d: DataFrame) -> DataFrame:
+    t = d.select("doc_id", fx.tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 5), " ").alias("head"))
+
+
+# --- keys, grouping ---
+
+
+@on_registry("agg_evidence_by_claim", "SELECT claim_id, count(*)::BIGINT AS n, count(*) FILTER (lower(trim(support)) = 'support')::BIGINT AS supporting FROM evidence GROUP BY claim_id")
+def _(r: Registry) -> DataFrame:
+    return r.evidence.groupBy("claim_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(fx.match_form(F.col("support")) == "support").alias("supporting"))
+
+
+@on_registry("dq_keyed_first", "SELECT evidence_id, ord FROM kevidence")
+def _(r: Registry) -> DataFrame:
+    return dq.first_by_key(r.evidence, "evidence_id", ["ord"]).select("evidence_id", "ord")
+
+
+@on_registry("dq_keyed_last", "SELECT evidence_id, max(ord) AS ord FROM evidence GROUP BY evidence_id")
+def _(r: Registry) -> DataFrame:
+    return dq.last_by_key(r.evidence, "evidence_id", ["ord"]).select("evidence_id", "ord")
+
+
+@on_registry("dq_duplicate_keys", "SELECT evidence_id, (count(*) - 1)::BIGINT AS extra FROM evidence WHERE evidence_id <> '' GROUP BY evidence_id HAVING count(*) > 1")
+def _(r: Registry) -> DataFrame:
+    return dq.duplicate_keys(r.evidence, "evidence_id")
+
+
+@on_registry("dq_missing_keys", "SELECT claim_id, ord FROM evidence WHERE coalesce(evidence_id, '') = ''")
+def _(r: Registry) -> DataFrame:
+    return dq.missing_keys(r.evidence, "evidence_id").select("claim_id", "ord")
+
+
+# --- rules ---
+
+
+@on_registry("der_edges", "SELECT edge_id, source_claim_id, rule_key, subject_id, predicate, object_id, status, confidence, valid_from, valid_to FROM derived")
+def _(r: Registry) -> DataFrame:
+    return _derived(r)
+
+
+@on_registry("der_summary", "SELECT rule_key, count(*)::BIGINT AS n FROM derived GROUP BY rule_key")
+def _(r: Registry) -> DataFrame:
+    return _derived(r).groupBy("rule_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@on_registry("der_unknown_predicate", "SELECT key, derive_predicate FROM rules WHERE derive_predicate NOT IN (SELECT key FROM relations)")
+def _(r: Registry) -> DataFrame:
+    return rules.unknown_predicates(r.rules.withColumn("materialize", F.lit(True)), r.relations).select("key", "derive_predicate")
+
+
+# --- projection ---
+
+_NODES = " UNION ALL ".join(f"SELECT '{f}' AS family, '{k}:' || {key} AS node_id, '{t}' AS node_type, {key} AS source_id FROM {'docs' if source == 'documents' else source} WHERE trim(coalesce({key}, '')) <> ''" for f, (source, key, k, t) in graph.NODE_FAMILIES.items())
+_MENTIONS = "(SELECT segment_id, unnest(entity_ids) AS entity_id FROM segments)"
+_PREDICATES = "SELECT 'claim_predicates' AS family, 'edge.claim_predicate.' || claim_id AS edge_id, predicate AS edge_type, 'entity:' || subject_id AS from_id, 'entity:' || object_id AS to_id FROM claims WHERE status = 'accepted' AND predicate <> '' AND subject_id <> '' AND object_id <> ''"
+_EDGES = (
+    _PREDICATES
+    + " UNION ALL SELECT 'segment_documents', 'edge.segment_document.' || segment_id || '.' || document_id, 'SEGMENT_DOCUMENT', 'segment:' || segment_id, 'document:' || document_id FROM segments WHERE document_id <> ''"
+    + " UNION ALL SELECT 'claim_segments', 'edge.claim_segment.' || claim_id || '.' || source_segment_id, 'CLAIM_SEGMENT', 'claim:' || claim_id, 'segment:' || source_segment_id FROM claims WHERE source_segment_id <> ''"
+    + " UNION ALL SELECT 'claim_evidence', 'edge.claim_evidence.' || claim_id || '.' || evidence_id, 'HAS_EVIDENCE', 'claim:' || claim_id, 'evidence:' || evidence_id FROM evidence WHERE evidence_id <> '' AND claim_id <> ''"
+    + " UNION ALL SELECT 'evidence_segments', 'edge.evidence_segment.' || evidence_id || '.' || source_segment_id, 'EVIDENCE_SEGMENT', 'evidence:' || evidence_id, 'segment:' || source_segment_id FROM evidence WHERE evidence_id <> '' AND source_segment_id <> ''"
+    + f" UNION ALL SELECT 'segment_mentions', 'edge.segment_mentions.' || segment_id || '.' || entity_id, 'MENTIONS', 'segment:' || segment_id, 'entity:' || entity_id FROM {_MENTIONS}"
+    + " UNION ALL SELECT 'derived_relations', 'edge.derived.' || edge_id, predicate, 'entity:' || subject_id, 'entity:' || object_id FROM derived WHERE predicate <> '' AND subject_id <> '' AND object_id <> ''"
+)
+
+
+@on_registry("prj_nodes", _NODES)
+def _(r: Registry) -> DataFrame:
+    return graph.nodes(r).drop("payload")
+
+
+@on_registry("prj_edges", _EDGES)
+def _(r: Registry) -> DataFrame:
+    return graph.edges(r.with_derived(_derived(r))).drop("payload")
+
+
+@on_registry("prj_claim_predicates", _PREDICATES.replace("status = 'accepted' AND ", ""))
+def _(r: Registry) -> DataFrame:
+    return graph.claim_predicates(r, include_nonaccepted=True).drop("payload")
+
+
+_FAMILIES = ", ".join(f"('{f}')" for f in [*graph.NODE_FAMILIES, *graph.EDGE_FAMILIES])
+
+
+@on_registry("prj_summary", f"SELECT f.family, count(x.family)::BIGINT AS n FROM (VALUES {_FAMILIES}) f(family) LEFT JOIN (SELECT family FROM ({_NODES}) UNION ALL SELECT family FROM ({_EDGES})) x ON x.family = f.family GROUP BY f.family")
+def _(r: Registry) -> DataFrame:
+    return graph.summary(r.with_derived(_derived(r)))
+
+
+# --- mirror ---
+
+for _name, _columns in mirror.COLUMNS.items():
+    _source = "docs" if _name == "documents" else _name
+
+    @on_registry(f"mir_{_name}", f"SELECT {', '.join(_columns)} FROM {_source}")
+    def _(r: Registry, name: str = _name) -> DataFrame:
+        return mirror.mirror_table(r.with_derived(_derived(r)), name).drop("payload_json")
+
+
+@on_registry("mir_meta_counts", " UNION ALL ".join(f"SELECT '{n}' AS source_path, count(*)::BIGINT AS row_count, '{SCHEMA_VERSION}' AS schema_version FROM {'docs' if n == 'documents' else n}" for n in mirror.COLUMNS))
+def _(r: Registry) -> DataFrame:
+    return mirror.counts(r.with_derived(_derived(r)))
+
+
+@on_registry("val_mirror_freshness", "SELECT 'warning' AS level, 'mirror.stale' AS code, record, '' AS detail FROM (VALUES ('claims'), ('entities')) t(record)")
+def _(r: Registry) -> DataFrame:
+    # A ledger in which one table's count is out of date and another's row is missing.
+    sources = mirror.counts(r.with_derived(_derived(r))).withColumn("source_hash", F.lit(None).cast("string"))
+    ledger = sources.filter("source_path <> 'entities'").withColumn("row_count", F.when(F.col("source_path") == "claims", F.col("row_count") + 1).otherwise(F.col("row_count")))
+    return validate.mirror_issues(ledger, sources)
+
+
+# --- segments ---
+
+
+def _markdown(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(conversation_documents(spark, sf_dir))
+
+
+def _sections(d: DataFrame) -> DataFrame:
+    return segment.sections(d).select("document_id", "start_char", "end_char", F.array_join("heading_path", " / ").alias("path"))
+
+
+_CONV = oracles._CONVERSATION_DOCS
+query("seg_line_offsets", _CONV + "SELECT document_id, line, start_char, line_text FROM lines")(_markdown(segment.lines))
+query("seg_headings", _CONV + "SELECT document_id, start_char, level, title FROM heads")(_markdown(segment.headings))
+query("seg_sections", _CONV + "SELECT document_id, start_char, end_char, path FROM secs")(_markdown(_sections))
+query(
+    "seg_paragraphs",
+    _CONV + r""", pp AS (SELECT document_id, text, string_split_regex(text, '\n\s*\n') AS ps, regexp_extract_all(text, '\n\s*\n') AS gs FROM cdocs)
+    SELECT document_id, s AS start_char, s + length(p) AS end_char FROM (SELECT document_id, ps[i] AS p,
+      (coalesce(list_sum(list_transform(ps[1:i-1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(gs[1:i-1], lambda x: length(x))), 0))::BIGINT AS s
+      FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM pp)) WHERE regexp_matches(p, '\S')""",
+)(_markdown(segment.paragraphs))
+
+
+def _underlined(d: DataFrame) -> DataFrame:
+    """Conversations with underlined titles in place of marked ones."""
+    under = F.regexp_replace(F.regexp_replace("text", "(?m)^# (.*)$", "$1\n=========="), "(?m)^##+ (.*)$", "$1\n----------")
+    return segment.underlined_headings(d.withColumn("text", under))
+
+
+query(
+    "seg_rst_headings",
+    _CONV + """, ud AS (SELECT document_id, regexp_replace(regexp_replace(text, '(?m)^# (.*)$', '\\1' || chr(10) || '==========', 'g'), '(?m)^##+ (.*)$', '\\1' || chr(10) || '----------', 'g') AS text FROM cdocs),
+    ul AS (SELECT document_id, string_split(text, chr(10)) AS ls FROM ud),
+    ux AS (SELECT document_id, i, ls[i] AS l, ls[i + 1] AS nx, coalesce(list_sum(list_transform(ls[1:i-1], lambda x: length(x) + 1)), 0)::BIGINT AS start_char FROM (SELECT *, unnest(range(1, len(ls))) AS i FROM ul))
+    SELECT document_id, start_char, CASE nx[1] WHEN '=' THEN 1 ELSE 2 END::BIGINT AS level, trim(l) AS title FROM ux WHERE trim(l) <> '' AND regexp_matches(nx, '^(=+|-+)$') AND length(nx) >= length(trim(l))""",
+)(_markdown(_underlined))
+
+
+@on_registry("seg_sliding", "SELECT segment_id, ordinal, start_char, length(text)::BIGINT AS n_chars FROM segments")
+def _(r: Registry) -> DataFrame:
+    return r.segments.select("segment_id", "ordinal", "start_char", F.length("text").cast("long").alias("n_chars"))
+
+
+query(
+    "seg_build",
+    _CONV + r""", sx AS (SELECT document_id, start_char AS sec, substr(c.text, start_char + 1, end_char - start_char) AS body, text FROM secs JOIN cdocs c USING (document_id)),
+    px AS (SELECT document_id, sec, string_split_regex(body, '\n\s*\n') AS ps, regexp_extract_all(body, '\n\s*\n') AS gs FROM sx),
+    sp AS (SELECT document_id, sec, row_number() OVER (PARTITION BY document_id, sec ORDER BY i) AS k, sec + s AS a, sec + s + length(p) AS b FROM (SELECT document_id, sec, i, ps[i] AS p,
+      (coalesce(list_sum(list_transform(ps[1:i-1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(gs[1:i-1], lambda x: length(x))), 0))::BIGINT AS s
+      FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM px)) WHERE regexp_matches(p, '\S')),
+    fold AS (WITH RECURSIVE f AS (SELECT document_id, sec, k, a AS cs, b AS ce, a AS pa, 1 AS g FROM sp WHERE k = 1
+      UNION ALL SELECT n.document_id, n.sec, n.k, CASE WHEN n.b - f.cs <= 1200 AND f.ce - f.cs <= 1200 THEN f.cs ELSE n.a END, n.b, n.a, CASE WHEN n.b - f.cs <= 1200 AND f.ce - f.cs <= 1200 THEN f.g ELSE f.g + 1 END
+      FROM f JOIN sp n ON n.document_id = f.document_id AND n.sec = f.sec AND n.k = f.k + 1) SELECT * FROM f),
+    packs AS (SELECT document_id, sec, g, min(cs) AS a, max(ce) AS b FROM fold GROUP BY ALL),
+    slid AS (SELECT document_id, sec, g, a + o * 1050 AS a, least(a + o * 1050 + 1200, b) AS b FROM (SELECT *, unnest(range(0, 1 + CASE WHEN b - a > 1200 THEN ceil((b - a - 1200)::DOUBLE / 1050)::BIGINT ELSE 0 END)) AS o FROM packs)),
+    good AS (SELECT s.*, substr(c.text, (s.a + 1)::BIGINT, (s.b - s.a)::BIGINT) AS body FROM slid s JOIN cdocs c USING (document_id))
+    SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY a) AS ordinal, a::BIGINT AS start_char, b::BIGINT AS end_char, sha256(body) AS text_hash FROM good WHERE regexp_matches(body, '\S')""",
+)(_markdown(lambda d: segment.build(d).select("document_id", "ordinal", "start_char", "end_char", "text_hash")))
+
+
+@on_registry(
+    "seg_links",
+    """, both_ AS (SELECT source_segment_id AS segment_id, claim_id, subject_id, object_id FROM claims UNION ALL SELECT e.source_segment_id, e.claim_id, c.subject_id, c.object_id FROM evidence e LEFT JOIN claims c USING (claim_id)),
+    ends AS (SELECT segment_id, subject_id AS e FROM both_ UNION ALL SELECT segment_id, object_id FROM both_)
+    SELECT b.segment_id, b.claims, coalesce(e.ents, '') AS entities FROM (SELECT segment_id, string_agg(DISTINCT claim_id, ',' ORDER BY claim_id) AS claims FROM both_ WHERE segment_id <> '' AND claim_id IS NOT NULL GROUP BY 1) b
+    LEFT JOIN (SELECT segment_id, string_agg(DISTINCT e, ',' ORDER BY e) AS ents FROM ends WHERE e <> '' GROUP BY 1) e ON e.segment_id = b.segment_id""",
+)
+def _(r: Registry) -> DataFrame:
+    return segment.links(r.claims, r.evidence).select("segment_id", F.array_join("claim_ids", ",").alias("claims"), F.array_join("entity_ids", ",").alias("entities"))
+
+
+# --- traversal ---
+
+_ADJACENCY = f""", conn AS (
+  SELECT 'entity:' || subject_id AS a, 'claim:' || claim_id AS b FROM claims WHERE status = 'accepted' UNION ALL SELECT 'claim:' || claim_id, 'entity:' || object_id FROM claims WHERE status = 'accepted'
+  UNION ALL SELECT 'claim:' || claim_id, 'segment:' || source_segment_id FROM claims WHERE status = 'accepted' AND source_segment_id <> ''
+  UNION ALL SELECT 'claim:' || claim_id, 'evidence:' || evidence_id FROM evidence WHERE evidence_id <> '' UNION ALL SELECT 'evidence:' || evidence_id, 'segment:' || source_segment_id FROM evidence WHERE evidence_id <> '' AND source_segment_id <> ''
+  UNION ALL SELECT 'segment:' || segment_id, 'document:' || document_id FROM segments UNION ALL SELECT 'segment:' || segment_id, 'entity:' || entity_id FROM {_MENTIONS}
+  UNION ALL SELECT 'entity:' || subject_id, 'entity:' || object_id FROM derived),
+adj AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM conn UNION ALL SELECT b, a FROM conn))"""
+_SEEDS = f""", seeds AS (SELECT DISTINCT entity_id FROM entities WHERE lower(entity_id) = '{SEED}' OR lower(label) = '{SEED}' OR list_contains(list_transform(aliases, lambda x: lower(x)), '{SEED}')
+  OR contains(lower(entity_id), '{SEED}') OR contains(lower(label), '{SEED}') OR len(list_filter(aliases, lambda x: contains(lower(x), '{SEED}'))) > 0)"""
+
+
+def _hops(n: int) -> str:
+    out = ", h0 AS (SELECT 'entity:' || entity_id AS node_id, 0 AS depth, 'entity:' || entity_id AS route FROM seeds), v0 AS (SELECT * FROM h0)"
+    for d in range(1, n + 1):
+        out += f", h{d} AS (SELECT a.b AS node_id, {d} AS depth, arg_min(h.route, h.node_id) || ' -> ' || a.b AS route FROM h{d - 1} h JOIN adj a ON a.a = h.node_id WHERE a.b NOT IN (SELECT node_id FROM v{d - 1}) GROUP BY a.b), v{d} AS (SELECT * FROM v{d - 1} UNION ALL SELECT * FROM h{d})"
+    return out + f", walked AS (SELECT * FROM v{n})"
+
+
+_WALK = _ADJACENCY + _SEEDS + _hops(HOPS)
+_KINDS = f"SELECT DISTINCT node_id, node_type AS kind FROM ({_NODES})"
+_DIRECT = """, mine AS (SELECT * FROM claims WHERE status = 'accepted' AND (subject_id IN (SELECT entity_id FROM seeds) OR object_id IN (SELECT entity_id FROM seeds))),
+shown AS (SELECT * FROM evidence WHERE claim_id IN (SELECT claim_id FROM mine)),
+direct AS (SELECT DISTINCT kind, id FROM (SELECT 'entities' AS kind, entity_id AS id FROM seeds UNION ALL SELECT 'entities', subject_id FROM mine UNION ALL SELECT 'entities', object_id FROM mine UNION ALL SELECT 'claims', claim_id FROM mine
+  UNION ALL SELECT 'segments', source_segment_id FROM mine UNION ALL SELECT 'segments', source_segment_id FROM shown UNION ALL SELECT 'documents', source_document_id FROM mine UNION ALL SELECT 'documents', source_document_id FROM shown) WHERE id <> ''
+  UNION ALL SELECT 'evidence', coalesce(evidence_id, '') FROM shown)"""
+
+
+@on_registry("gr_seed_match", _SEEDS + " SELECT entity_id FROM seeds")
+def _(r: Registry) -> DataFrame:
+    return graph.seeds(r, SEED)
+
+
+@on_registry("gr_baseline", _SEEDS + _DIRECT.replace("SELECT DISTINCT kind, id FROM (", "SELECT DISTINCT * FROM (SELECT kind, id FROM (", 1).replace("WHERE id <> ''\n  UNION ALL", "WHERE id <> '') UNION ALL") + " SELECT kind, id FROM direct")
+def _(r: Registry) -> DataFrame:
+    return graph.baseline(r, graph.seeds(r, SEED))
+
+
+@on_registry("gr_adjacency", _ADJACENCY + " SELECT a, b FROM adj")
+def _(r: Registry) -> DataFrame:
+    return graph.adjacency(r.with_derived(_derived(r)))
+
+
+def _walk(r: Registry) -> DataFrame:
+    r = r.with_derived(_derived(r))
+    return graph.bfs(graph.adjacency(r), graph.seeds(r, SEED), HOPS)
+
+
+@on_registry("gr_bfs", _WALK + " SELECT node_id, depth, route FROM walked")
+def _(r: Registry) -> DataFrame:
+    return _walk(r).select("node_id", "depth", F.array_join("path", " -> ").alias("route"))
+
+
+@on_registry("gr_bfs_counts", _WALK + f" SELECT coalesce(k.kind, 'Unknown') AS kind, count(*)::BIGINT AS n FROM walked w LEFT JOIN ({_KINDS}) k USING (node_id) GROUP BY 1")
+def _(r: Registry) -> DataFrame:
+    return graph.reached(r, _walk(r))
+
+
+@on_registry("gr_sample_paths", _WALK + " SELECT node_id, route FROM walked WHERE depth > 0 ORDER BY node_id LIMIT 6")
+def _(r: Registry) -> DataFrame:
+    return graph.sample_paths(_walk(r))
+
+
+@on_registry(
+    "gr_uplift",
+    _WALK + _DIRECT + f""" SELECT f.measure, coalesce(d.n, 0)::BIGINT AS direct, coalesce(g.n, 0)::BIGINT AS graph, (coalesce(g.n, 0) - coalesce(d.n, 0))::BIGINT AS more
+    FROM (VALUES ('entities', 'Entity'), ('documents', 'Document'), ('segments', 'Segment'), ('claims', 'Claim'), ('evidence', 'Evidence')) f(measure, kind)
+    LEFT JOIN (SELECT kind AS measure, count(*) AS n FROM direct GROUP BY 1) d ON d.measure = f.measure
+    LEFT JOIN (SELECT k.kind, count(*) AS n FROM walked JOIN ({_KINDS}) k USING (node_id) GROUP BY 1) g ON g.kind = f.kind""",
+)
+def _(r: Registry) -> DataFrame:
+    return graph.uplift(r.with_derived(_derived(r)), SEED, HOPS)
+
+
+# --- vectors ---
+
+_SPARSE = """SELECT doc_id, place, sum(n * sign)::BIGINT AS weight FROM (SELECT doc_id, n, ('0x' || substr(h, (4 * i + 1)::INT, 2))::BIGINT % 256 AS place, CASE WHEN ('0x' || substr(h, (4 * i + 3)::INT, 2))::BIGINT % 2 = 0 THEN 1 ELSE -1 END AS sign
+  FROM (SELECT doc_id, n, sha256(token) AS h, unnest(range(0, 16)) AS i FROM (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(CASE WHEN len(x) > 0 THEN x ELSE ['__empty__'] END) AS token
+  FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS x FROM documents)) GROUP BY ALL))) GROUP BY ALL HAVING sum(n * sign) <> 0"""
+
+
+@on_table("emb_hash_sparse", "documents", _SPARSE)
+def _(d: DataFrame) -> DataFrame:
+    return vectors.sparse(d, "doc_id")
+
+
+@on_table("emb_hash", "documents", f", sp_ AS ({_SPARSE}) SELECT doc_id, 256::BIGINT AS dims, round(sqrt(sum(weight * weight) / sum(weight * weight)), 6) AS norm FROM sp_ GROUP BY doc_id")
+def _(d: DataFrame) -> DataFrame:
+    e = vectors.embed(d, "doc_id")
+    return e.select("doc_id", F.size("embedding").cast("long").alias("dims"), F.round(F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
+
+
+def _probe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    index = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return index, list(index.filter("vec_id = 0").first().embedding)
+
+
+_NEAR = "SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM embeddings"
+
+
+@query("ret_topk", _NEAR + " ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), vec_id LIMIT 8")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, probe = _probe(spark, sf_dir)
+    return vectors.top_k(index, probe, "vec_id").select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
+@query("ret_topk_filtered", _NEAR + " WHERE label = 3 ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), vec_id LIMIT 8")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, probe = _probe(spark, sf_dir)
+    return vectors.top_k(index, probe, "vec_id", where={"label": 3}).select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
+def _old_index(r: Registry) -> DataFrame:
+    """An index made when there were other segments."""
+    gone = r.documents.select(F.concat(F.lit("seg:"), "document_id", F.lit(":gone")).alias("segment_id"))
+    return r.segments.filter("ordinal % 2 = 1").select("segment_id").unionByName(gone)
+
+
+_OLD = ", old_ AS (SELECT segment_id FROM segments WHERE ordinal % 2 = 1 UNION ALL SELECT 'seg:' || document_id || ':gone' FROM docs), cur_ AS (SELECT DISTINCT segment_id FROM segments WHERE status IN ('active'))"
+
+
+@on_registry("ret_index_sync", _OLD + " SELECT segment_id, 'upsert' AS action FROM cur_ UNION ALL SELECT DISTINCT segment_id, 'delete' FROM old_ WHERE segment_id NOT IN (SELECT segment_id FROM cur_)")
+def _(r: Registry) -> DataFrame:
+    return vectors.sync_plan(r.segments, _old_index(r), STATUSES)
+
+
+@on_registry("ret_stale_ids", _OLD + " SELECT DISTINCT segment_id FROM old_ WHERE segment_id NOT IN (SELECT segment_id FROM cur_)")
+def _(r: Registry) -> DataFrame:
+    return vectors.stale(_old_index(r), vectors.index_rows(r.segments, STATUSES))
+
+
+# --- validation ---
+
+for _code in validate.CHECKS:
+    QUERIES["val_" + _code.replace(".", "_")] = lambda spark, sf_dir, code=_code: validate.CHECKS[code](_shipped(star.registry(spark, sf_dir)))
+    ORACLES["val_" + _code.replace(".", "_")] = oracles.issue_sql(_code)
+
+
+@on_registry("val_issues", oracles.SHIPPED + "SELECT level, code, count(*)::BIGINT AS n FROM (" + " UNION ALL ".join(map(oracles.one_issue, oracles.ISSUES)) + ") GROUP BY ALL")
+def _(r: Registry) -> DataFrame:
+    return validate.issues(_shipped(r)).groupBy("level", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@on_registry("val_summary", oracles.SHIPPED + "SELECT (count(*) FILTER (level = 'error'))::BIGINT AS errors, (count(*) FILTER (level = 'warning'))::BIGINT AS warnings, 'failed' AS status FROM (" + " UNION ALL ".join(map(oracles.one_issue, oracles.ISSUES)) + ")")
+def _(r: Registry) -> DataFrame:
+    return validate.summary(validate.issues(_shipped(r)))
+
+
+# --- text scans ---
+
+
+@on_table("lint_md_refs", "pages", """SELECT page_id, unnest(list_sort(list_distinct(regexp_extract_all(coalesce(html, ''), 'href="?([^" >]+)', 1)))) AS reference FROM pages""")
+def _(d: DataFrame) -> DataFrame:
+    marked = d.select("page_id", F.regexp_replace("html", 'href="?([^" >]+)', "`$1`").alias("text"))
+    return marked.select("page_id", F.explode(lint_text.quoted(F.col("text"))).alias("reference"))
+
+
+@on_table("lint_doc_metadata", "conversations", r"""SELECT doc, name, arg_min(value, pos) AS value FROM (SELECT doc, pos, translate(lower(trim(regexp_extract(l, '^([A-Za-z][A-Za-z _-]*): (\S.*?)\s*$', 1))), ' -', '__') AS name, regexp_extract(l, '^([A-Za-z][A-Za-z _-]*): (\S.*?)\s*$', 2) AS value
+  FROM (SELECT conv_id::VARCHAR || '.' || turn::VARCHAR AS doc, 1 AS pos, 'Owner Role: ' || role AS l FROM conversations UNION ALL SELECT conv_id::VARCHAR || '.' || turn::VARCHAR, 2, 'turn: ' || turn::VARCHAR FROM conversations)) WHERE name <> '' GROUP BY ALL""")
+def _(d: DataFrame) -> DataFrame:
+    doc = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    made = d.select(doc.alias("doc"), F.concat(F.lit("Owner Role: "), "role", F.lit("\n- **turn**: "), F.col("turn").cast("string")).alias("text"))
+    return lint_text.metadata(made, "doc")
