@@ -473,5 +473,5 @@ def _(d: DataFrame) -> DataFrame:
   FROM (SELECT conv_id::VARCHAR || '.' || turn::VARCHAR AS doc, 1 AS pos, 'Owner Role: ' || role AS l FROM conversations UNION ALL SELECT conv_id::VARCHAR || '.' || turn::VARCHAR, 2, 'turn: ' || turn::VARCHAR FROM conversations)) WHERE name <> '' GROUP BY ALL""")
 def _(d: DataFrame) -> DataFrame:
     doc = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    made = d.select(doc.alias("doc"), F.concat(F.lit("Owner Role: "), "role", F.lit("\n- **turn**: "), F.col("turn").cast("string")).alias("text"))
+    made = d.select(doc.alias("doc"), F.concat(F.lit("- Owner Role: "), "role", F.lit("\n- turn: "), F.col("turn").cast("string")).alias("text"))
     return lint_text.metadata(made, "doc")
