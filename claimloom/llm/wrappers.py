@@ -5,7 +5,7 @@ For every host a union-free regular expression is inferred: starting from one pa
 with one more page after another. Equal tags match; runs of like siblings, and runs of like groups
 of siblings, become repeated groups; what only some pages have becomes optional; differing texts
 become slots. A slot in the wrapper is content or boilerplate by where it stands and by whether its
-text varies; where a host's wrapper has an article, only slots inside it are content. A page is
+text varies; where a page has an article, only slots inside it are content. A page is
 matched against its host's wrapper and takes each block's role from the slot it falls on; blocks
 that the wrapper never saw are judged by where they stand.
 
@@ -258,24 +258,20 @@ def infer(pages: list[str]) -> Node:
     for n, page in enumerate(pages):
         page_tree = fold(tree(*stream(page)))
         wrapper = _merge(wrapper, page_tree) if n else page_tree
-    slots: list[Node] = []
-
-    def walk(node: Node, path: list[str]) -> None:
+    def walk(node: Node, path: list[str], always: bool) -> None:
         for kid in node.kids:
+            here = always and not kid.optional and not kid.repeated
             if kid.key == "#":
+                # One text in a place that all pages have is the template's.
+                template = len(pages) >= 3 and here and len(kid.texts) == 1
                 kid.role = place(path)
-                slots.append(kid)
+                if kid.role == "other" and template:
+                    kid.role = "drop"
+                kid.texts = set()
             else:
-                walk(kid, path if kid.key == "()" else [*path, kid.key])
-
-    walk(wrapper, [])
-    main = any(s.role == "main" for s in slots)
-    for s in slots:
-        template = len(pages) >= 3 and len(s.texts) == 1 and not s.optional and not s.repeated
-        if s.role == "other" and (main or template):
-            s.role = "drop"
-        s.texts = set()
-    wrapper.role = "main" if main else "other"
+                walk(kid, path if kid.key == "()" else [*path, kid.key], here)
+
+    walk(wrapper, [], True)
     return wrapper
 
 
