@@ -150,3 +150,32 @@ def apply_mix(documents: DataFrame, **options) -> DataFrame:
     on = [keyed[c].eqNullSafe(chosen[c]) for c in ("__id", "__source", "__size")]
     taken = keyed.join(chosen, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     return taken.select(*(F.col(f"`{c}`") for c in documents.columns))
+
+
+def oracle_sql() -> str:
+    """The same in DuckDB: targets by running sums in order of saturation, seats by ranking all quotients."""
+    number = "('0x' || substr({}, 1, 8))::BIGINT"
+    weight = "CASE k % 3 " + " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(WEIGHTS)) + " END"
+    common = "greatest(0, least(s + size, {b}) - greatest(s, {a}))"
+    return f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5(concat_ws('|', '{SEED}', coalesce(source, ''), coalesce(doc_id::VARCHAR, ''))) AS place FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+s1 AS (SELECT *, {weight} AS w, (sum(n) OVER ())::BIGINT AS t FROM s0),
+s2 AS (SELECT *, coalesce(sum({EPOCHS} * n) OVER a, 0) AS before, (sum(w) OVER ()) - coalesce(sum(w) OVER a, 0) AS wleft FROM s1
+  WINDOW a AS (ORDER BY n::DOUBLE / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT *, w * (t - before) > {EPOCHS} * n * wleft AS full_ FROM s2),
+s4 AS (SELECT *, t - coalesce((sum({EPOCHS} * n) FILTER (full_) OVER ()), 0) AS remains, sum(w) FILTER (NOT full_) OVER () AS wsum FROM s3),
+s5 AS (SELECT source, k, n, t, CASE WHEN full_ THEN ({EPOCHS} * n)::DOUBLE ELSE (w * remains)::DOUBLE / wsum::DOUBLE END AS target FROM s4),
+q AS (SELECT k, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, k) AS nth, t FROM (SELECT *, unnest(range(0, {EPOCHS} * n // {BLOCK} + 3)) AS i FROM s5) WHERE target > 0),
+s6 AS (SELECT s5.*, coalesce(x.won, 0) AS won FROM s5 LEFT JOIN (SELECT k, count(*) AS won FROM q WHERE nth <= t // {BLOCK} GROUP BY k) x ON x.k = s5.k),
+s7 AS (SELECT *, CASE WHEN n > 0 THEN least({EPOCHS}, won * {BLOCK} // n) ELSE 0 END AS epochs, greatest(1, (n + {SHARD} - 1) // {SHARD}) AS shards FROM s6),
+s8 AS (SELECT *, CASE WHEN n > 0 AND epochs < {EPOCHS} THEN (won * {BLOCK} - epochs * n) // {BLOCK} ELSE 0 END AS blocks FROM s7),
+l AS (SELECT d.*, s8.n, s8.target, s8.epochs, s8.blocks, {number.format('place')} % s8.shards AS shard FROM d JOIN s8 ON d.source IS NOT DISTINCT FROM s8.source),
+h0 AS (SELECT source, shard, sum(size) AS n, any_value(blocks) AS blocks FROM l WHERE blocks > 0 GROUP BY ALL),
+h1 AS (SELECT source, shard, n, row_number() OVER (PARTITION BY source ORDER BY n::DOUBLE / (2 * i + 1) DESC, shard) <= blocks AS won FROM (SELECT *, unnest(range(0, blocks)) AS i FROM h0)),
+h2 AS (SELECT source, shard, (n + {BLOCK} - 1) // {BLOCK} AS full_, least(count(*) FILTER (won), (n + {BLOCK} - 1) // {BLOCK}) AS quota FROM h1 GROUP BY source, shard, n),
+p AS (SELECT l.*, coalesce(sum(size) OVER (PARTITION BY l.source, l.shard ORDER BY place, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, full_, quota,
+  {number.format(f"md5(concat_ws('|', '{SEED}', 'shard', coalesce(l.source, ''), l.shard::VARCHAR))")} % greatest(coalesce(full_, 1), 1) AS first
+  FROM l LEFT JOIN h2 ON l.source IS NOT DISTINCT FROM h2.source AND l.shard = h2.shard)
+SELECT doc_id, size, n AS source_size, target,
+  (epochs * size + coalesce({common.format(a=f'first * {BLOCK}', b=f'(first + quota) * {BLOCK}')} + {common.format(a='0', b=f'(first + quota - full_) * {BLOCK}')}, 0))::BIGINT AS taken FROM p"""
