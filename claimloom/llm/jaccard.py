@@ -3,18 +3,20 @@
 Two documents link when 100 * intersection >= THRESHOLD * union of their sets of WORDS-word
 shingles. Equal sets are one class from the start. Of the other sets each puts into an index the
 shingles of its prefix: in one order of all shingles, the frequent ones last, so many that linked
-sets must share one. A tile holds the sets with a prefix shingle in common, laid out by size, in
-bands within which sizes are compatible. Bitmap signatures (a bit per hashed shingle, in some
-bits per element) bound a pair's overlap from above by (|A| + |B| - popcount(a xor b)) / 2; what
-passes is settled by intersecting the sorted shingle arrays of the whole texts.
-
-A tile is done in two steps. First each set is held against the first set of its band in the tile
-only, which settles groups of near copies of any size in as many pairs as they have members. Then
-the tiles in which different groups remain are compared block by block across groups, whole. So no
-link between groups is lost, and pairs inside a group are not spelled out.
+sets must have SHARED of them in common (all, if they are fewer). Sets that do, or that stand in a
+large tile (the sets of one prefix shingle) in the same or neighbouring size bands, are drawn into
+one cluster; so all links lie inside clusters.
+
+A cluster's sets are laid out by size and cut into blocks; a tile is a pair of blocks whose sizes
+are compatible, so a cluster of any size is spread over as many tasks. Inside a tile, bitmap
+signatures (BITS bits per element, each set by hashed shingles) bound a pair's overlap from above by
+(|A| + |B| - popcount(a xor b)) / 2; what passes is settled by intersecting the sorted shingle
+arrays of the whole texts. Pairs that the tile's links have joined already are passed over, so a
+group of near copies costs about one intersection a member; every pair across groups is decided. A
+tile gives the links that join its groups, fewer than it has members.
 
 Which shingles are frequent only affects speed; the list is bounded by FREQUENT. Nothing else
-reaches the driver. Texts move only for pairs that pass the bitmaps.
+reaches the driver. Of the texts only those in clusters move, once for each block they meet.
 
 Defined cases: texts without words are empty sets, linked with nothing, their own component; a text
 of fewer than WORDS words is one shingle; rows of one doc_id are one node; a null doc_id gets its
@@ -40,10 +42,12 @@ from .components import components
 WORDS, THRESHOLD = 4, 85
 FREQUENT = 200_000
 BLOCK = 256
+#: Prefixes are so long that linked sets share so many shingles; tiles of up to SMALL sets are counted by pairs.
+SHARED, SMALL = 3, 16
 BUCKETS = 1 << 20
-#: Of sets that differ in d elements, bitmaps of this many bits an element show some 0.85 d.
-BITS = 4
-SET_SCHEMA = "doc_id long, n long, set_hash binary, bits binary, prefix array<long>"
+#: Of sets that differ in d elements, bitmaps of this many bits an element show some 0.94 d.
+BITS = 8
+SET_SCHEMA = "doc_id long, n long, set_hash binary, prefix array<long>"
 
 
 def shingles(text: bytes, words: int, hashes: WordHashes) -> np.ndarray:
@@ -63,26 +67,40 @@ def need(n: int, m: int, threshold: int) -> int:
     return -(-threshold * (n + m) // (100 + threshold))
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """A power of two of bits, BITS per element at least and 64 at least, each set by its elements."""
-    width = max(64, 1 << max(0, BITS * len(hashes) - 1).bit_length())
-    bits = np.zeros(width, bool)
-    bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """The bitmap of the same set with so many bytes only."""
-    while bits.shape[-1] > size:
-        half = bits.shape[-1] // 2
-        bits = bits[..., :half] | bits[..., half:]
-    return bits
-
-
-def overlap_bound(a: bytes, b: bytes, n: int, m: int) -> int:
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    size = min(len(x), len(y))
-    return (n + m - int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())) // 2
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of bytes per set: a power of two of bits, BITS per element of the largest set at least."""
+    width = max(64, 1 << max(0, BITS * max(map(len, sets)) - 1).bit_length())
+    out = np.zeros((len(sets), width // 8), np.uint8)
+    for row, s in zip(out, sets, strict=True):
+        bits = np.zeros(width, bool)
+        bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
+        row[:] = np.packbits(bits, bitorder="little")
+    return out.view(np.uint64)
+
+
+def links_in(ids: list[int], sets: list[np.ndarray], left: list[bool], threshold: int) -> list[tuple[int, int]]:
+    """Links that join the groups of one tile: between left and other sets, or among all if all are left."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    signatures = bitmaps(sets)
+    own = np.array(left)
+    one = own.all()
+    group = np.arange(len(sets))
+    out = []
+    for i in range(len(sets)) if one else np.flatnonzero(own).tolist():
+        others = np.arange(i + 1, len(sets)) if one else np.flatnonzero(~own)
+        n, m = sizes[i], sizes[others]
+        others = others[(100 * np.minimum(n, m) >= threshold * np.maximum(n, m)) & (group[others] != group[i])]
+        if not len(others):
+            continue
+        shown = np.bitwise_count(signatures[others] ^ signatures[i]).sum(1, dtype=np.int64)
+        m = sizes[others]
+        least = -(-threshold * (n + m) // (100 + threshold))
+        passed = (n + m - shown) // 2 >= least
+        for j, k in zip(others[passed].tolist(), least[passed].tolist(), strict=True):
+            if group[j] != group[i] and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= k:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                group[group == group[j]] = group[i]
+    return out
 
 
 def _count_repeated(words: int):
@@ -119,93 +137,44 @@ def _sets(words: int, threshold: int, shipped):
                 s = shingles(text or b"", words, hashes)
                 n = len(s)
                 if not n:
-                    rows.append((0, b"", b"", None))
+                    rows.append((0, b"", None))
                     continue
-                prefix = n - -(-threshold * n // 100) + 1
+                prefix = n - -(-threshold * n // 100) + SHARED
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     late = np.where(frequent[at] == s, rank[at], 0)
                     first = s[np.argsort(late, kind="stable")[:prefix]]
                 else:
                     first = s[:prefix]
-                rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), bitmap(s), first.view(np.int64)))
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n", "set_hash", "bits", "prefix"])
-
-    return run
-
-
-def _tiles(threshold: int):
-    """Pairs (a, b) across groups that pass the bitmaps; rows come sorted by tile."""
-
-    def pairs(ids, sizes, groups, bits, left) -> Iterator[tuple[int, int]]:
-        for i in np.flatnonzero(left).tolist():
-            ok = (groups != groups[i]) & (100 * np.minimum(sizes, sizes[i]) >= threshold * np.maximum(sizes, sizes[i]))
-            ok &= (ids > ids[i]) if left.all() else ~left
-            for j in np.flatnonzero(ok).tolist():
-                n, m = int(sizes[i]), int(sizes[j])
-                if overlap_bound(bits[i], bits[j], n, m) >= need(n, m, threshold):
-                    yield (int(min(ids[i], ids[j])), int(max(ids[i], ids[j])))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: pa.Table | None = None
-
-        def done(table: pa.Table) -> pa.RecordBatch:
-            key = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
-            cuts = np.flatnonzero((np.diff(key) != 0).any(0)) + 1
-            ids, sizes, groups, left = (table.column(c).to_numpy() for c in ("nid", "n", "component", "left"))
-            bits = table.column("bits").to_pylist()
-            out: set[tuple[int, int]] = set()
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                s = slice(lo, hi)
-                out.update(pairs(ids[s], sizes[s], groups[s], bits[s], left[s]))
-            rows = sorted(out)
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([kept, table]) if kept is not None else table
-            last = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
-            changes = np.flatnonzero((np.diff(last) != 0).any(0))
-            cut = int(changes[-1]) + 1 if len(changes) else 0
-            if cut:
-                yield done(table.slice(0, cut))
-            kept = table.slice(cut)  # the last tile may go on; a tile has 2 * BLOCK rows at most
-        if kept is not None and kept.num_rows:
-            yield done(kept)
+                rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), first.view(np.int64)))
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n", "set_hash", "prefix"])
 
     return run
 
 
-def _bounded(threshold: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist()
-            keep = [overlap_bound(x, y, i, j) >= need(i, j, threshold) for x, y, i, j in zip(bytes_of(batch.column("bits_a")), bytes_of(batch.column("bits_b")), n, m, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
+def _tiles(words: int, threshold: int):
+    """Links (a, b) of each tile; rows come sorted by tile."""
 
-def _exact(words: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        recent: dict[bytes, np.ndarray] = {}
+        now, ids, sets, left = None, [], [], []
 
-        def of(text: bytes) -> np.ndarray:
-            if text not in recent:
-                if len(recent) >= 64:
-                    recent.clear()
-                recent[text] = shingles(text, words, hashes)
-            return recent[text]
+        def done() -> pa.RecordBatch:
+            found = links_in(ids, sets, left, threshold) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            keep = []
-            for x, y in zip(bytes_of(batch.column("text_a")), bytes_of(batch.column("text_b")), strict=True):
-                s, t = of(x or b""), of(y or b"")
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(common > 0 and common >= need(len(s), len(t), threshold))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "nid", "left")), strict=True)
+            for (cluster, i, j, nid, side), text in zip(keys, bytes_of(batch.column("text")), strict=True):
+                if (cluster, i, j) != now:
+                    if len(ids) > 1:
+                        yield done()
+                    now, ids, sets, left = (cluster, i, j), [], [], []  # a tile has 2 * BLOCK rows at most
+                ids.append(nid)
+                sets.append(shingles(text or b"", words, hashes))
+                left.append(side)
+        yield done()
 
     return run
 
@@ -227,15 +196,41 @@ class Join:
         shipped = self.spark.sparkContext.broadcast((found[order], rank[order]))
         return self.scratch.keep(self.texts.mapInArrow(_sets(self.words, self.threshold, shipped), SET_SCHEMA), "sets")
 
-    def linked(self, pairs: DataFrame, tag: str) -> DataFrame:
-        """The pairs (a, b) of ids whose texts link."""
-        pairs = self.scratch.keep(pairs, f"pairs-{tag}")
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(bucket.alias("bucket")).distinct()
-        # At most BUCKETS numbers: leaves the texts of ids in the pairs, and few others.
-        texts = self.texts.join(F.broadcast(wanted), bucket == F.col("bucket"), "left_semi")
-        a, b = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-        return self.scratch.keep(pairs.join(a, "a").join(b, "b").mapInArrow(_exact(self.words, self.threshold), "a long, b long").distinct(), f"links-{tag}")
+    def texts_of(self, ids: DataFrame) -> DataFrame:
+        """nid, text of the ids (nid): texts are filtered by hash buckets of the ids before they move."""
+        bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+        wanted = ids.select(bucket("nid").alias("bucket")).distinct()
+        # BUCKETS numbers at most are broadcast; they leave the texts wanted, and few others.
+        near = self.texts.join(F.broadcast(wanted), bucket("doc_id") == F.col("bucket"), "left_semi")
+        return near.select(F.col("doc_id").alias("nid"), "text")
+
+    def clusters(self, firsts: DataFrame) -> DataFrame:
+        """nid, n, cluster of every set that may link: SHARED prefix shingles or a large tile in common.
+
+        Small tiles (up to SMALL sets) give their pairs, and a pair counts its shared shingles; sets that
+        share fewer by chance are not drawn together. In larger tiles each set is drawn to its band's
+        first, and a band's first to that of the band below.
+        """
+        t, scratch = self.threshold, self.scratch
+        index = firsts.select("nid", "n", F.explode("prefix").alias("key"))
+        tiles = index.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("members > 1")
+        tiles = scratch.keep(tiles, "tiles")
+        held = tiles.filter(F.col("members") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("nid", "n"))).alias("xs"))
+        pairs = F.expr(
+            f"flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, size(xs)), y -> 100 * least(x.n, y.n) >= {t} * greatest(x.n, y.n)),"
+            " y -> struct(x.nid as a, y.nid as b, least(x.n, y.n) as n))))"
+        )
+        shared = held.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared"), F.min("p.n").alias("n"))
+        edges = shared.filter(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * t / 100))).select("a", "b")
+        band = F.floor(F.log(F.col("n")) / math.log(100 / t)).cast("int")
+        first = F.first("nid").over(Window.partitionBy("key", "band").orderBy("nid"))
+        by_key = Window.partitionBy("key").orderBy("band", "nid")
+        large = tiles.filter(F.col("members") > SMALL).withColumn("band", band).withColumn("pivot", first)
+        large = large.withColumns({"before": F.lag("pivot").over(by_key), "below": F.lag("band").over(by_key)})
+        other = F.when(F.col("nid") != F.col("pivot"), F.col("pivot")).when(F.col("below") == F.col("band") - 1, F.col("before"))
+        drawn = large.select(F.col("nid").alias("a"), other.alias("b")).filter("b is not null and a <> b")
+        found = components(edges.unionByName(drawn), scratch)
+        return scratch.keep(found.select(F.col("node").alias("nid"), F.col("component").alias("cluster")).join(firsts.select("nid", "n"), "nid"), "clusters")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row."""
@@ -243,35 +238,17 @@ class Join:
         sets = self.sets()
         classes = scratch.keep(sets.filter("n > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("nid")), "classes")
         firsts = sets.filter("n > 0").join(classes.withColumn("doc_id", F.col("nid")), ["set_hash", "doc_id"]).dropDuplicates(["set_hash"])
-        index = firsts.select("nid", "n", F.explode("prefix").alias("key"))
-        band = F.floor(F.log(F.col("n")) / math.log(100 / t)).cast("int")
-        by_key = Window.partitionBy("key")
-        tiles = index.withColumn("members", F.count(F.lit(1)).over(by_key)).filter("members > 1").withColumn("band", band)
-        first = F.first("nid").over(Window.partitionBy("key", "band").orderBy("n", "nid"))
-        tiles = scratch.keep(tiles.withColumn("pivot", first).select("key", "nid", "n", "band", "pivot"), "tiles")
-        # First step: each set against its band's first, and firsts of neighbouring bands.
-        previous = Window.partitionBy("key").orderBy("band")
-        heads = tiles.filter("nid = pivot").select("key", "nid", "band", F.lag("nid").over(previous).alias("other"), F.lag("band").over(previous).alias("below"))
-        near = tiles.filter("nid != pivot").select(F.least("nid", "pivot").alias("a"), F.greatest("nid", "pivot").alias("b"))
-        steps = heads.filter("below = band - 1 and other != nid").select(F.least("nid", "other").alias("a"), F.greatest("nid", "other").alias("b"))
-        candidates = near.unionByName(steps).distinct()
-        bits = firsts.select(F.col("nid"), "n", "bits")
-        bits = scratch.keep(bits.join(tiles.select("nid").distinct(), "nid", "left_semi"), "bits")
-        of = lambda k: bits.select(F.col("nid").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-        tried = scratch.keep(candidates, "tried")
-        links = self.linked(tried.join(of("a"), "a").join(of("b"), "b").mapInArrow(_bounded(t), "a long, b long"), "first")
-        groups = scratch.keep(components(links, scratch), "groups")
-        # Second step: tiles with several groups, across groups.
-        marked = tiles.select("key", "nid", "n").join(groups.withColumnRenamed("node", "nid"), "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-        mixed = marked.withColumn("lo", F.min("component").over(by_key)).withColumn("hi", F.max("component").over(by_key)).filter("lo != hi")
-        place = F.row_number().over(Window.partitionBy("key").orderBy("n", "nid")) - 1
-        mixed = mixed.withColumn("block", F.floor(place / BLOCK).cast("int")).withColumn("blocks", F.max("block").over(by_key))
-        sides = mixed.select("key", "nid", "n", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks"))).alias("other"))
-        sides = sides.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "n", "component", (F.col("block") <= F.col("other")).alias("left"))
-        sides = sides.join(bits.select("nid", "bits"), "nid").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "nid")
-        across = sides.select("key", "i", "j", "nid", "n", "component", "left", "bits").mapInArrow(_tiles(t), "a long, b long").distinct()
-        more = self.linked(across.join(tried, ["a", "b"], "left_anti"), "second")
-        final = components(links.unionByName(more), scratch)
+        clusters = self.clusters(firsts)
+        # Blocks by size; tiles of blocks of one cluster whose sizes can link.
+        place = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "nid")) - 1
+        members = scratch.keep(clusters.withColumn("block", F.floor(place / BLOCK).cast("int")), "members")
+        ranges = members.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        upper = ranges.select("cluster", F.col("block").alias("j"), F.col("low").alias("low_j"))
+        tiles = ranges.select("cluster", F.col("block").alias("i"), "high").join(upper, "cluster").filter((F.col("i") <= F.col("j")) & (100 * F.col("high") >= t * F.col("low_j"))).select("cluster", "i", "j")
+        sides = tiles.select("cluster", "i", "j", F.col("i").alias("block"), F.lit(True).alias("left")).unionByName(tiles.filter("i <> j").select("cluster", "i", "j", F.col("j").alias("block"), F.lit(False).alias("left")))
+        held = members.join(sides, ["cluster", "block"]).join(self.texts_of(members), "nid").select("cluster", "i", "j", "n", "nid", "left", "text")
+        links = held.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "n", "nid").mapInArrow(_tiles(self.words, t), "a long, b long")
+        final = components(links, scratch)
         named = classes.join(final.withColumnRenamed("node", "nid"), "nid", "left").select("set_hash", F.coalesce("component", "nid").alias("component_id"))
         out = sets.select("doc_id", "n", "set_hash").join(named, "set_hash", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
