@@ -58,7 +58,7 @@ def views(d: Dialect) -> dict[str, str]:
             FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
         "claims": f"""SELECT 'claim.' || cast(o_orderkey AS string) AS claim_id, 'customer.' || cast(o_custkey AS string) AS subject_id,
             CASE o_orderkey % 5 WHEN 0 THEN 'depends_on' WHEN 1 THEN 'implemented_by' WHEN 2 THEN 'supports' WHEN 3 THEN 'contradicts' ELSE CASE WHEN o_orderkey % 150 = 4 THEN 'unheard_of' ELSE 'classifies_as' END END AS predicate,
-            CASE WHEN o_orderkey % 5 = 4 THEN 'priority.' || substr(o_orderpriority, 1, 1) ELSE 'customer.' || cast((o_custkey * 7 + o_orderkey) % (SELECT count(*) * 16 FROM customer) % cast((SELECT count(*) FROM customer) * 1.07 AS bigint) AS string) END AS object_id,
+            CASE WHEN o_orderkey % 5 = 4 THEN 'priority.' || substr(o_orderpriority, 1, 1) ELSE 'customer.' || cast((o_custkey * 7 + o_orderkey) % (SELECT count(*) + 100 FROM customer) AS string) END AS object_id,
             'Customer' AS subject_type, CASE WHEN o_orderkey % 5 = 4 THEN 'Priority' ELSE 'Customer' END AS object_type,
             CASE WHEN o_orderkey % 333 = 5 THEN 'weird' WHEN o_orderstatus = 'F' THEN 'accepted' WHEN o_orderstatus = 'O' THEN 'proposed' WHEN o_orderkey % 9 = 0 THEN 'superseded' ELSE 'disputed' END AS status,
             cast(o_orderkey % 100 AS double) / 100 AS confidence, CASE WHEN o_orderkey % 61 = 2 THEN '' ELSE 'agent:loader' END AS asserted_by,
