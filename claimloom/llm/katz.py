@@ -39,7 +39,8 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 CUTOFF, K = 2, 7
 #: Discount of counts above K: nearly none, but a history whose pairs are all frequent keeps some mass to back off with.
 FREQUENT = 0.999
-BLOCK_TOKENS = 4_000_000
+#: Tokens of a block: its arrays take some 100 bytes a token while it is scored.
+BLOCK_TOKENS = 1_500_000
 HOT, SAMPLE = 0.005, 20_000
 #: No word holds a line end: these stand for a text's end and for what is before its first word.
 END, START = b"\n", b"\n\n"
@@ -353,8 +354,9 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in bytes_of(batch.column("text")):
             found.update((text or b"").lower().split())
             found[END] += 1
-    words = [w for w, c in found.items() if c >= HOT / 4 * found.total()]
-    rest = found.total() - sum(found[w] for w in words)
+    total = found.total()
+    words = [w for w, c in found.items() if c >= HOT / 4 * total]
+    rest = total - sum(found[w] for w in words)
     yield pa.RecordBatch.from_arrays([pa.array([*words, None], pa.binary()), pa.array([*(found[w] for w in words), rest], pa.int64())], ["word", "n"])
 
 
