@@ -3,15 +3,18 @@
 A page is a stream of structural tags and text slots; inline markup belongs to the text around it.
 For every host a union-free regular expression is inferred: starting from one page it is aligned
 with one more page after another. Equal tags match; runs of like siblings, and runs of like groups
-of siblings, become repeated groups; what only some pages have becomes optional; differing texts
-become slots. A slot in the wrapper is content or boilerplate by where it stands and by whether its
-text varies; where a page has an article, only slots inside it are content. A page is
-matched against its host's wrapper and takes each block's role from the slot it falls on; blocks
-that the wrapper never saw are judged by where they stand.
-
-Wrappers are inferred from PAGES pages of a host, the ones of smallest hash in as many slots; every
-page is extracted whole. Wrappers are broadcast while they have under BROADCAST bytes altogether and
-joined by host beyond.
+of siblings, become repeated groups; what only some pages have becomes optional; texts
+become slots. A slot in the wrapper is content or boilerplate by where it stands; where a page has
+an article, only slots inside it are content. A page is matched against its host's wrapper and takes
+each block's role from the slot it falls on; blocks that the wrapper never saw are judged by where
+they stand. Elsewhere a block is dropped if its text is the template's: the one text that SHARE of
+the host's different pages, LEAST at the fewest, have in its slot, which no page repeats. Pages that
+have the same texts outside boilerplate are copies and count once; without any such text, not at all.
+
+All pages of a host are aligned and counted. Aligning takes each folded shape once, in SALTS groups
+by hash and then group by group, in an order that depends on the shapes only. Texts are counted by
+their hashes, so no host is in one place. Models are broadcast while they have under BROADCAST bytes
+altogether and joined by host beyond.
 
 Defined cases: null and empty pages have empty text; truncated markup is closed where it ends;
 pages without a host share one wrapper; repeated rows repeat; extra columns are ignored.
@@ -20,19 +23,22 @@ pages without a host share one wrapper; repeated rows repeat; extra columns are
 from __future__ import annotations
 
 import html as entities
+import json
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, bytes_of
 from .urls import host_and_path
 
-PAGES, BROADCAST = 12, 16_000_000
+SALTS, BROADCAST = 64, 16_000_000
+SHARE, LEAST = 0.9, 3
 #: Elements nested deeper are read as part of the one around them.
 DEPTH = 100
 SCHEMA = "page_id long, url string, text string, n_chars long"
@@ -150,34 +156,45 @@ def stream(page: str) -> tuple[list[str], list[str]]:
 class Node:
     """A tag or a group of siblings in a wrapper or page, with its children; "#" is a text slot."""
 
-    __slots__ = ("key", "kids", "repeated", "optional", "seen", "texts", "role")
+    __slots__ = ("key", "kids", "repeated", "optional", "slot", "role")
 
     def __init__(self, key: str, kids: list[Node] | None = None):
-        self.key, self.kids, self.repeated, self.optional, self.seen, self.texts, self.role = key, kids if kids is not None else [], False, False, 1, set(), ""
+        self.key, self.kids, self.repeated, self.optional, self.slot, self.role = key, kids if kids is not None else [], False, False, -1, ""
 
 
-def tree(keys: list[str], texts: list[str]) -> Node:
+def tree(keys: list[str]) -> Node:
     top = Node("")
-    stack, nth = [top], 0
+    stack = [top]
     for k in keys:
         if k == "/":
             stack.pop()
         else:
             node = Node(k)
             stack[-1].kids.append(node)
-            if k == "#":
-                node.texts.add(hash(texts[nth]))
-                nth += 1
-            else:
+            if k != "#":
                 stack.append(node)
     return top
 
 
+def written(node: Node) -> str:
+    """A wrapper without roles, as text."""
+    plain = lambda x: [x.key, 2 * x.repeated + x.optional, *map(plain, x.kids)]
+    return json.dumps(plain(node), separators=(",", ":"))
+
+
+def read(text: str) -> Node:
+    def node(plain: list) -> Node:
+        out = Node(plain[0], [node(x) for x in plain[2:]])
+        out.repeated, out.optional = bool(plain[1] & 2), bool(plain[1] & 1)
+        return out
+
+    return node(json.loads(text))
+
+
 def _merge(a: Node, b: Node) -> Node:
     """a after it has been aligned with b, which stands in the same place."""
     a.repeated |= b.repeated
     a.optional |= b.optional
-    a.texts = set(list(a.texts | b.texts)[:4])
     if a.key != "#":
         a.kids = align(a.kids, b.kids)
     return a
@@ -252,22 +269,26 @@ def place(path: list[str]) -> str:
     return "main" if main else "other"
 
 
-def infer(pages: list[str]) -> Node:
-    """The wrapper of these pages, with the role of each slot."""
-    wrapper = Node("")
-    for n, page in enumerate(pages):
-        page_tree = fold(tree(*stream(page)))
-        wrapper = _merge(wrapper, page_tree) if n else page_tree
-    def walk(node: Node, path: list[str], always: bool) -> None:
+def joined(wrappers: Iterable[Node]) -> Node:
+    """One wrapper for what all of these fit, aligned one after another."""
+    out = None
+    for w in wrappers:
+        out = _merge(out, w) if out else w
+    return out or Node("")
+
+
+def settle(wrapper: Node) -> Node:
+    """The wrapper with the role of each slot, and numbers for those that may hold the template's text."""
+    n = 0
+
+    def walk(node: Node, path: list[str], once: bool) -> None:
+        nonlocal n
         for kid in node.kids:
-            here = always and not kid.optional and not kid.repeated
+            here = once and not kid.repeated
             if kid.key == "#":
-                # One text in a place that all pages have is the template's.
-                template = len(pages) >= 3 and here and len(kid.texts) == 1
                 kid.role = place(path)
-                if kid.role == "other" and template:
-                    kid.role = "drop"
-                kid.texts = set()
+                if kid.role == "other" and here:
+                    kid.slot, n = n, n + 1
             else:
                 walk(kid, path if kid.key == "()" else [*path, kid.key], here)
 
@@ -275,9 +296,14 @@ def infer(pages: list[str]) -> Node:
     return wrapper
 
 
-def roles(wrapper: Node | None, keys: list[str]) -> list[bool]:
-    """For each block "#" of a page's keys, whether it is content."""
-    found: list[str] = []
+def infer(pages: list[str]) -> Node:
+    """The wrapper of these pages, with the role of each slot."""
+    return settle(joined(fold(tree(stream(page)[0])) for page in pages))
+
+
+def roles(wrapper: Node | None, keys: list[str]) -> list[tuple[str, int]]:
+    """For each block "#" of a page's keys, its role and the number of its slot, -1 for none."""
+    found: list[tuple[str, int]] = []
     at: list[tuple[list[Node], int] | None] = [(_flat(wrapper), 0) if wrapper else None]
     path: list[str] = []
     for k in keys:
@@ -293,12 +319,11 @@ def roles(wrapper: Node | None, keys: list[str]) -> list[bool]:
             if nth is not None:
                 match, at[-1] = kids[nth], (kids, nth if kids[nth].repeated else nth + 1)
         if k == "#":
-            found.append(match.role if match else place(path))
+            found.append((match.role, match.slot) if match else (place(path), -1))
         else:
             path.append(k)
             at.append((_flat(match), 0) if match else None)
-    best = "main" if "main" in found else "other"
-    return [r == best for r in found]
+    return found
 
 
 def _flat(node: Node | None) -> list[Node]:
@@ -306,23 +331,35 @@ def _flat(node: Node | None) -> list[Node]:
     return [x for k in (node.kids if node else ()) for x in (_flat(k) if k.key == "()" else [k])]
 
 
-class Extractor:
-    """Extracts pages; the roles of structures once seen are remembered, within a bound."""
+def text_hash(text: str) -> int:
+    """64 bits, signed."""
+    return (xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) ^ 1 << 63) - (1 << 63)
+
+
+class Reader:
+    """Texts of a page's blocks with their roles and slots; structures once seen are remembered, within a bound."""
 
     LIMIT = 50_000
 
     def __init__(self) -> None:
-        self.known: dict[tuple, list[bool]] = {}
+        self.known: dict[tuple, list[tuple[str, int]]] = {}
 
-    def __call__(self, name: object, wrapper: Node | None, page: str) -> str:
+    def __call__(self, name: object, wrapper: Node | None, page: str) -> list[tuple[str, tuple[str, int]]]:
         keys, texts = stream(page)
         memo = (name, *keys)
-        keep = self.known.get(memo)
-        if keep is None:
+        found = self.known.get(memo)
+        if found is None:
             if len(self.known) >= self.LIMIT:
                 self.known.clear()
-            keep = self.known[memo] = roles(wrapper, keys)
-        return "\n".join(t for t, k in zip(texts, keep, strict=True) if k)
+            found = self.known[memo] = roles(wrapper, keys)
+        return list(zip(texts, found, strict=True))
+
+
+def content(blocks: list[tuple[str, tuple[str, int]]], template: dict[int, int]) -> str:
+    """Text of the article, or else what is neither boilerplate by its place nor the template's: slot -> hash."""
+    if any(role == "main" for _, (role, _) in blocks):
+        return "\n".join(t for t, (role, _) in blocks if role == "main")
+    return "\n".join(t for t, (role, slot) in blocks if role == "other" and not (slot in template and template[slot] == text_hash(t)))
 
 
 def _slim(pages: DataFrame) -> DataFrame:
@@ -330,44 +367,115 @@ def _slim(pages: DataFrame) -> DataFrame:
     return slim.withColumn("host", host_and_path(F.col("url"))[0])
 
 
+def _decoded(page: bytes | None) -> str:
+    return (page or b"").decode("utf-8", "replace")
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, shape: the folded structures of the pages, most of them once."""
+    known: set[int] = set()
+    sent: set[int] = set()
+    for batch in batches:
+        rows = []
+        for host, page in zip(batch.column("host").to_pylist(), bytes_of(batch.column("html")), strict=True):
+            keys = stream(_decoded(page))[0]
+            memo = hash((host, *keys))
+            if memo in known:
+                continue
+            if len(known) >= Reader.LIMIT:
+                known.clear()
+                sent.clear()
+            known.add(memo)
+            row = (host, written(fold(tree(keys))))
+            if hash(row) not in sent:
+                sent.add(hash(row))
+                rows.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["host", "shape"])
+
+
 def fit(pages: DataFrame) -> DataFrame:
     """host, wrapper (pickled) for every host."""
-    slim = _slim(pages).withColumn("h", F.xxhash64("page_id", "url"))
-    picks = slim.groupBy("host", F.pmod("h", F.lit(PAGES)).alias("slot")).agg(F.min("h").alias("h")).drop("slot")
-    sample = slim.join(picks, ["host", "h"], "left_semi").groupBy("host", "h").agg(F.min("html").alias("html"))
+    shapes = _slim(pages).select("host", "html").mapInArrow(_shapes, "host string, shape string").distinct()
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("h")
-        wrapper = infer([(x or b"").decode("utf-8", "replace") for x in group["html"]])
+    def part(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "salt": [group["salt"].iloc[0]], "shape": [written(joined(map(read, sorted(group["shape"]))))]})
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        wrapper = settle(joined(map(read, group.sort_values("salt")["shape"])))
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [pickle.dumps(wrapper)]})
 
-    return sample.groupBy("host").applyInPandas(learn, "host string, wrapper binary")
+    salted = shapes.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy("host", "salt").applyInPandas(part, "host string, salt int, shape string")
+    return parts.groupBy("host").applyInPandas(whole, "host string, wrapper binary")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """What SCHEMA lists, for every page."""
-    spark = pages.sparkSession
-    wrappers = Scratch(spark, "wrappers").keep(fit(pages), "hosts")
-    slim = _slim(pages)
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 100)).first()[0] or 0
-    shipped = spark.sparkContext.broadcast({r.host: bytes(r.wrapper) for r in wrappers.collect()}) if size <= BROADCAST else None
+def _over(slim: DataFrame, models: DataFrame, run: Callable[[pa.RecordBatch, list], pa.RecordBatch], schema: str) -> DataFrame:
+    """run on every batch of pages, with each page's (blob, wrapper, template's texts: slot -> hash)."""
+    size = models.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 100)).first()[0] or 0
+    shipped = slim.sparkSession.sparkContext.broadcast({r.host: bytes(r.wrapper) for r in models.collect()}) if size <= BROADCAST else None
     if shipped is None:
-        slim = slim.join(wrappers, "host", "left")
+        slim = slim.join(models, "host", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extractor, loaded = Extractor(), {}
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loaded: dict[bytes | None, tuple] = {}
+        reader = Reader()
         for batch in batches:
-            hosts = batch.column("host").to_pylist()
-            blobs = [shipped.value.get(h) for h in hosts] if shipped else list(bytes_of(batch.column("wrapper")))
-            texts = []
-            for h, blob, page in zip(hosts, blobs, bytes_of(batch.column("html")), strict=True):
+            blobs = [shipped.value.get(h) for h in batch.column("host").to_pylist()] if shipped else list(bytes_of(batch.column("wrapper")))
+            pages = []
+            for blob, page in zip(blobs, bytes_of(batch.column("html")), strict=True):
                 if blob not in loaded:
                     if len(loaded) >= 5000:
                         loaded.clear()
-                    loaded[blob] = pickle.loads(blob) if blob else None
-                texts.append(extractor(hash(blob), loaded[blob], (page or b"").decode("utf-8", "replace")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"]
-            )
+                    found = pickle.loads(blob) if blob else Node("")
+                    loaded[blob] = found if isinstance(found, tuple) else (found, {})
+                wrapper, template = loaded[blob]
+                pages.append((reader(hash(blob), wrapper, _decoded(page)), template))
+            yield run(batch, pages)
+
+    return slim.mapInArrow(over, schema)
+
+
+def _evidence(batch: pa.RecordBatch, pages: list) -> pa.RecordBatch:
+    """host, body, slots and hashes: each page's texts in numbered slots, and -1 for the page itself."""
+    out = []
+    for host, (blocks, _) in zip(batch.column("host").to_pylist(), pages, strict=True):
+        texts = [(slot, text_hash(t)) for t, (role, slot) in blocks if role != "drop"]
+        if texts:
+            own = sorted({x for x in texts if x[0] >= 0})
+            out.append((host, text_hash(repr(texts)), [-1, *(x[0] for x in own)], [0, *(x[1] for x in own)]))
+    kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["host", "body", "slots", "hashes"])
+
+
+def templates(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host, template (slot, n, h): the texts that SHARE of a host's different pages have in a slot."""
+    bodies = _over(_slim(pages).select("host", "html"), wrappers, _evidence, "host string, body long, slots array<int>, hashes array<long>")
+    bodies = bodies.groupBy("host", "body").agg(F.first("slots").alias("slots"), F.first("hashes").alias("hashes"))
+    texts = bodies.select("host", F.explode(F.arrays_zip("slots", "hashes")).alias("x")).groupBy("host", F.col("x.slots").alias("slot"), F.col("x.hashes").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    most = texts.groupBy("host", "slot").agg(F.max(F.struct("n", "h")).alias("most")).select("host", F.struct("slot", "most.n", "most.h").alias("x"))
+    most = most.groupBy("host").agg(F.collect_list("x").alias("xs"), F.max(F.when(F.col("x.slot") < 0, F.col("x.n"))).alias("pages"))
+    return most.select("host", F.filter("xs", lambda x: (x.slot >= 0) & (x.n >= LEAST) & (x.n >= SHARE * F.col("pages"))).alias("template"))
+
+
+def models(pages: DataFrame) -> DataFrame:
+    """host, wrapper: a pickled wrapper with its template's texts."""
+    scratch = Scratch(pages.sparkSession, "wrappers")
+    wrappers = scratch.keep(fit(pages), "hosts")
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pickle.dumps((pickle.loads(w), {x["slot"]: x["h"] for x in t or ()})) for w, t in zip(bytes_of(batch.column("wrapper")), batch.column("template").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.binary())], ["host", "wrapper"])
+
+    return scratch.keep(wrappers.join(templates(pages, wrappers), "host", "left").mapInArrow(both, "host string, wrapper binary"), "models")
+
 
-    return slim.mapInArrow(run, SCHEMA)
+def _extracted(batch: pa.RecordBatch, pages: list) -> pa.RecordBatch:
+    texts = [content(*page) for page in pages]
+    columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """What SCHEMA lists, for every page."""
+    return _over(_slim(pages), models(pages), _extracted, SCHEMA)

@@ -196,6 +196,19 @@ def test_wrappers_beyond_the_broadcast_bound_are_joined(spark, monkeypatch):
     assert {r.page_id: r.text for r in got} == {i: WANT.format(i) for i in range(9)}
 
 
+def test_only_the_text_of_all_pages_is_the_templates(spark):
+    text = lambda rows: {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    bare = lambda said, n: f"<div class=top>{said}</div><div class=story>Story {n}</div>"
+    rows = [(i, f"http://t.a/{i}", bare("Site" if i % 20 else f"Only here {i}", i)) for i in range(400)]
+    rows += [(1000 + i, f"http://c.a/{i}", f"<nav>{i}</nav>" + bare("Site", 7)) for i in range(40)]
+    rows += [(2000 + i, f"http://v.a/{i}", bare("Sold" if i % 3 else f"Price {i}", i)) for i in range(300)]
+    got = text(rows)
+    assert all(got[i] == (f"Story {i}" if i % 20 else f"Only here {i}\nStory {i}") for i in range(400))
+    assert all(got[1000 + i] == "Site\nStory 7" for i in range(40))
+    assert all(got[2000 + i] == ("Sold" if i % 3 else f"Price {i}") + f"\nStory {i}" for i in range(300))
+    assert text(rows[::-1]) == got
+
+
 def test_folding_and_aligning():
     a = wrappers.infer([page(1), page(2, extra="<ul><li>x</ul>"), page(3)])
     found = {}
