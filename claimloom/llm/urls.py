@@ -8,9 +8,10 @@ from token to rules; a url's tokens look their rules up, and a rule matches when
 have named it.
 
 Mining is bounded: at most MAX_TOKENS tokens of a labelled url are items, antecedents have up to
-MAX_ANTECEDENT tokens, and the MAX_RULES best rules form the model, which therefore fits in an
-expression and matching needs no join or shuffle. All labelled urls are mined, all urls judged by
-all of their tokens.
+MAX_ANTECEDENT token. All rules that no shorter one makes redundant form the model: up to MAX_RULES
+fit in an expression and need no join or shuffle; more are an index table, each under the token that
+the fewest rules have, joined to the distinct token sets of the urls. All labelled urls are mined,
+all urls judged by all of their tokens.
 
 Defined cases: a null url or one without "://" has an empty host and path and no tokens, so it is
 allowed; null labels count as not bad; several labels of an id count as bad if one is; without
@@ -26,6 +27,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: (verdict, host, path)
 CURATED = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MAX_TOKENS, MAX_ANTECEDENT, MAX_RULES = 12, 3, 1000
@@ -65,19 +68,27 @@ def tokenised(pages: DataFrame) -> DataFrame:
     return slim.select("page_id", "host", "path", tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
 
 
-def mine(labelled: DataFrame) -> list[tuple[tuple[str, ...], float, int]]:
-    """(tokens, confidence, support count) of the rules kept, best first; labelled: tokens, bad."""
+def mine(labelled: DataFrame) -> DataFrame | None:
+    """tokens, confidence, count (support) of the rules kept; labelled: tokens, bad. None without bad urls."""
     items = labelled.select(F.concat(F.slice("tokens", 1, MAX_TOKENS), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
     items = items.filter(F.size("items") > 0)
     n, bad = items.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", _BAD))).first()
     if not bad:
-        return []
+        return None
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(MIN_SUPPORT, MIN_COUNT / n)), minConfidence=MIN_CONFIDENCE).fit(items)
     rules = model.associationRules.filter((F.size("antecedent") <= MAX_ANTECEDENT) & (F.col("consequent") == F.array(F.lit(_BAD))) & (F.col("lift") >= MIN_LIFT))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * n).cast("long").alias("count"))
-    found = {tuple(r.tokens): (r.confidence, r["count"]) for r in rules.orderBy(F.desc("confidence"), F.desc("count"), "tokens").limit(MAX_RULES).collect()}
-    kept = [t for t, (c, _) in found.items() if not any(set(o) < set(t) and d >= c for o, (d, _) in found.items())]
-    return [(t, *found[t]) for t in kept]
+    scratch = Scratch(labelled.sparkSession, "urls")
+    rules = scratch.keep(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * n).cast("long").alias("count")), "rules")
+    return scratch.keep(pruned(rules), "kept")
+
+
+def pruned(rules: DataFrame) -> DataFrame:
+    """The rules that no rule of some of their tokens equals in confidence."""
+    less_one = F.when(F.size("tokens") > 2, F.transform("tokens", lambda x: F.array_except("tokens", F.array(x)))).otherwise(F.array().cast("array<array<string>>"))
+    less_two = F.when(F.size("tokens") > 1, F.transform("tokens", lambda x: F.array(x))).otherwise(F.array().cast("array<array<string>>"))
+    shorter = rules.select(F.col("tokens").alias("rule"), F.col("confidence").alias("own"), F.explode(F.concat(less_two, less_one)).alias("tokens"))
+    beaten = shorter.join(rules, "tokens").filter(F.col("confidence") >= F.col("own")).select(F.col("rule").alias("tokens")).distinct()
+    return rules.join(beaten, "tokens", "left_anti")
 
 
 def matched_rules(tokens: Column, rules: Sequence[tuple[tuple[str, ...], float, int]]) -> Column:
@@ -95,6 +106,29 @@ def matched_rules(tokens: Column, rules: Sequence[tuple[tuple[str, ...], float,
     return F.filter(F.array_distinct(named), lambda k: F.size(F.filter(named, lambda j: j == k)) == F.get(sizes, k))
 
 
+def matched_table(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls with mined, the first rule whose tokens are all there, through a table of the index."""
+    uses = rules.select("tokens", "confidence", "count", F.explode("tokens").alias("token"))
+    uses = uses.join(uses.groupBy("token").agg(F.count(F.lit(1)).alias("uses")), "token")
+    best = F.struct(-F.col("confidence"), -F.col("count"), "tokens")
+    index = uses.groupBy(F.col("tokens").alias("rule")).agg(F.min(F.struct("uses", "token")).alias("x"), F.first(best).alias("best")).select(F.col("x.token").alias("token"), "rule", "best")
+    sets = urls.select("tokens").distinct()
+    found = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token").filter(F.size(F.array_except("rule", "tokens")) == 0)
+    found = found.groupBy("tokens").agg(F.array_join(F.min("best")["tokens"], " ").alias("mined"))
+    return urls.join(found, "tokens", "left")
+
+
+def matched(urls: DataFrame, rules: DataFrame | None) -> DataFrame:
+    """urls with mined: the best of the rules that match, as text."""
+    if rules is None:
+        return urls.withColumn("mined", F.lit(None).cast("string"))
+    if rules.count() > MAX_RULES:
+        return matched_table(urls, rules)
+    kept = [(tuple(r.tokens), r.confidence, r["count"]) for r in rules.orderBy(F.desc("confidence"), F.desc("count"), "tokens").collect()]
+    names = F.array(*(F.lit(" ".join(t)) for t, _, _ in kept)) if kept else F.array().cast("array<string>")
+    return urls.withColumn("mined", F.get(names, F.array_min(matched_rules(F.col("tokens"), kept))))
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = CURATED) -> DataFrame:
     """page_id, host, path, rule, verdict, mined: the first mined rule that matches, as text.
 
@@ -104,9 +138,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg(F.coalesce(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)), F.lit(False)).alias("bad"))
     mined = mine(urls.join(marks, "page_id").select("tokens", "bad"))
     rule, listed = curated_rule(F.col("host"), F.col("path"), rules)
-    names = F.array(*(F.lit(" ".join(t)) for t, _, _ in mined)) if mined else F.array().cast("array<string>")
-    first = F.array_min(matched_rules(F.col("tokens"), mined))
-    out = urls.select("page_id", "host", "path", rule.alias("rule"), listed.alias("listed"), F.get(names, first).alias("mined"))
+    out = matched(urls, mined).select("page_id", "host", "path", rule.alias("rule"), listed.alias("listed"), "mined")
     return out.select("page_id", "host", "path", "rule", F.coalesce("listed", F.when(F.col("mined").isNotNull(), "block").otherwise("allow")).alias("verdict"), "mined")
 
 

@@ -112,6 +112,18 @@ def test_mined_rules_block(spark):
     assert all(got[i] == (("block", "h:spam-shop") if i % 5 == 0 else ("allow", None)) for i in range(400))
 
 
+def test_rules_are_pruned_before_any_bound(spark, monkeypatch):
+    rows = [(i, f"http://{'bad' + str(i % 4) if i % 2 else 'good' + str(i % 6)}.shop/{i}") for i in range(400)]
+    pages = spark.createDataFrame(rows + rows[:9] + [(None, "http://bad1.shop/"), (None, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    want = sorted((i if i is not None else -1, "block" if "bad" in (u or "") else "allow", f"h:bad{i % 4}" if "bad" in (u or "") and i is not None else None) for i, u in [*rows, *rows[:9]])
+    for bound in (1000, 2, 1):
+        monkeypatch.setattr(urls, "MAX_RULES", bound)
+        got = urls.judge(pages, labels).collect()
+        assert sorted((r.page_id, r.verdict, r.mined) for r in got if r.page_id is not None) == want
+        assert sorted((r.verdict, r.mined or "") for r in got if r.page_id is None) == [("allow", ""), ("block", "h:bad1")]
+
+
 def test_records_round_trip():
     import zlib
 
