@@ -7,11 +7,16 @@ lift, and rules that a shorter one makes redundant, are pruned. The rules form a
 from token to rules; a url's tokens look their rules up, and a rule matches when all its tokens
 have named it.
 
-Mining is bounded: at most MAX_TOKENS tokens of a labelled url are items, antecedents have up to
-MAX_ANTECEDENT token. All rules that no shorter one makes redundant form the model: up to MAX_RULES
-fit in an expression and need no join or shuffle; more are an index table, each under the token that
-the fewest rules have, joined to the distinct token sets of the urls. All labelled urls are mined,
-all urls judged by all of their tokens.
+All tokens of a labelled url are items. Those short of support among the bad, of which no rule can
+hold, are left out first; those that are only on bad urls are rules by themselves and make every
+longer one redundant. What is left of a url is mined by FP-growth if no url keeps more than
+MAX_TOKENS, as its itemsets double with every token; else patterns grow token by token over projected
+urls, which counts the same sets. Antecedents have up to MAX_ANTECEDENT tokens, as in the query's SQL.
+
+All rules that no shorter one makes redundant form the model: up to MAX_RULES fit in an expression
+and need no join or shuffle; more are an index table, each under the token that the fewest rules
+have, joined to the distinct token sets of the urls. All labelled urls are mined, all urls judged by
+all of their tokens.
 
 Defined cases: a null url or one without "://" has an empty host and path and no tokens, so it is
 allowed; null labels count as not bad; several labels of an id count as bad if one is; without
@@ -20,6 +25,7 @@ labelled urls there are no mined rules; repeated rows repeat; extra columns are
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Sequence
 
@@ -68,18 +74,53 @@ def tokenised(pages: DataFrame) -> DataFrame:
     return slim.select("page_id", "host", "path", tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
 
 
+def grown(urls: DataFrame, least: int, scratch: Scratch) -> DataFrame:
+    """tokens, c, cb: sets of 2 to MAX_ANTECEDENT items on least bad urls, by pattern growth; urls: items (sorted), n, b."""
+    level = urls.select(F.array().cast("array<string>").alias("tokens"), F.col("items").alias("rest"), "n", "b")
+    found = []
+    for size in range(1, MAX_ANTECEDENT + 1):
+        longer = level.select("tokens", "rest", "n", "b", F.posexplode("rest").alias("at", "token"))
+        longer = longer.select(F.concat("tokens", F.array("token")).alias("tokens"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"), "n", "b")
+        sets = scratch.keep(longer.groupBy("tokens").agg(F.sum("n").alias("c"), F.sum("b").alias("cb")).filter(F.col("cb") >= least), "sets")
+        if size > 1:
+            found.append(sets)
+        # A set that is only on bad urls is a rule if any is, and makes those that contain it redundant.
+        level = longer.join(sets.filter(F.col("c") > F.col("cb")).select("tokens"), "tokens", "left_semi")
+    return found[0].unionByName(found[1])
+
+
+def fp_grown(urls: DataFrame, least: int) -> DataFrame:
+    """The same sets by FP-growth, in which the label is an item, as far as their confidence is enough."""
+    bad = F.array_repeat(F.concat("items", F.array(F.lit(_BAD))), F.col("b").cast("int"))
+    items = urls.select(F.explode(F.concat(bad, F.array_repeat("items", (F.col("n") - F.col("b")).cast("int")))).alias("items"))
+    n = urls.agg(F.sum("n")).first()[0]
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=MIN_CONFIDENCE).fit(items)
+    rules = model.associationRules.filter(F.size("antecedent").between(2, MAX_ANTECEDENT) & (F.col("consequent") == F.array(F.lit(_BAD))))
+    cb = F.round(F.col("support") * n).cast("long")
+    return rules.select(F.array_sort("antecedent").alias("tokens"), F.round(cb / F.col("confidence")).cast("long").alias("c"), cb.alias("cb"))
+
+
 def mine(labelled: DataFrame) -> DataFrame | None:
     """tokens, confidence, count (support) of the rules kept; labelled: tokens, bad. None without bad urls."""
-    items = labelled.select(F.concat(F.slice("tokens", 1, MAX_TOKENS), F.when(F.col("bad"), F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    items = items.filter(F.size("items") > 0)
-    n, bad = items.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", _BAD))).first()
+    scratch = Scratch(labelled.sparkSession, "urls")
+    urls = labelled.filter((F.size("tokens") > 0) | F.col("bad")).groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("b"))
+    urls = scratch.keep(urls, "labelled")
+    n, bad = urls.agg(F.sum("n"), F.sum("b")).first()
     if not bad:
         return None
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(MIN_SUPPORT, MIN_COUNT / n)), minConfidence=MIN_CONFIDENCE).fit(items)
-    rules = model.associationRules.filter((F.size("antecedent") <= MAX_ANTECEDENT) & (F.col("consequent") == F.array(F.lit(_BAD))) & (F.col("lift") >= MIN_LIFT))
-    scratch = Scratch(labelled.sparkSession, "urls")
-    rules = scratch.keep(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * n).cast("long").alias("count")), "rules")
-    return scratch.keep(pruned(rules), "kept")
+    least = math.ceil(min(1.0, max(MIN_SUPPORT, MIN_COUNT / n)) * n)
+    tokens = urls.select("tokens", "n", "b", F.explode("tokens").alias("token"))
+    single = scratch.keep(tokens.groupBy("token").agg(F.sum("n").alias("c"), F.sum("b").alias("cb")).filter(F.col("cb") >= least), "single")
+    open_ = single.filter(F.col("c") > F.col("cb")).select("token")
+    rest = tokens.join(open_, "token").groupBy("tokens").agg(F.first("n").alias("n"), F.first("b").alias("b"), F.array_sort(F.collect_set("token")).alias("items"))
+    rest = scratch.keep(rest.filter(F.size("items") > 1).groupBy("items").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "rest")
+    longest = rest.agg(F.max(F.size("items"))).first()[0]
+    sets = single.select(F.array("token").alias("tokens"), "c", "cb")
+    if longest:
+        sets = sets.unionByName(fp_grown(rest, least) if longest <= MAX_TOKENS else grown(rest, least, scratch))
+    rules = sets.select("tokens", (F.col("cb") / F.col("c")).alias("confidence"), F.col("cb").alias("count"))
+    rules = rules.filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("confidence") / F.lit(bad / n) >= MIN_LIFT))
+    return scratch.keep(pruned(scratch.keep(rules, "rules")), "kept")
 
 
 def pruned(rules: DataFrame) -> DataFrame:

@@ -124,6 +124,39 @@ def test_rules_are_pruned_before_any_bound(spark, monkeypatch):
         assert sorted((r.verdict, r.mined or "") for r in got if r.page_id is None) == [("allow", ""), ("block", "h:bad1")]
 
 
+def test_all_tokens_are_mined(spark):
+    import collections
+    import itertools
+
+    rng = random.Random(8)
+    deep = "/".join(f"d{chr(97 + k)}" for k in range(14))
+    rows = [(i, f"http://www.h.org/{deep}?{rng.choice('xyz')}{rng.choice('uvw')}={i}&{rng.choice('pq')}=1") for i in range(600)]
+    bad = {i: ("xu" in u and rng.random() < 0.9) or "yv" in u and "&p=" in u for i, u in rows}
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - bad[i], 0) for i in range(500)], "doc_id long, quality int, toxic int")
+    sets = {i: {"q:" + u.split("?")[1].split("=")[0], "q:" + u.split("&")[1][0]} for i, u in rows}
+    every = lambda i: [c for k in (1, 2) for c in itertools.combinations(sorted(sets[i]), k)]
+    c, cb = (collections.Counter(s for i in range(500) if bad[i] or not only for s in every(i)) for only in (False, True))
+    rules = {s for s in cb if cb[s] >= 20 and cb[s] / c[s] >= 0.6 and cb[s] / c[s] / (sum(bad[i] for i in range(500)) / 500) >= 1.5}
+    want = {i: "block" if rules & set(every(i)) else "allow" for i, _ in rows}
+    assert len(set(want.values())) == 2
+    assert {r.page_id: r.verdict for r in urls.judge(pages, labels).collect()} == want
+
+
+def test_rules_are_the_same_either_way(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for _ in range(400):
+        tokens = sorted(rng.sample("abcdefgh", rng.randint(0, 6)))
+        rows.append((tokens, {"a", "c", "e"} <= set(tokens) or {"b", "g"} <= set(tokens) and rng.random() < 0.8 or rng.random() < 0.05))
+    labelled = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    found = []
+    for bound in (0, 12):
+        monkeypatch.setattr(urls, "MAX_TOKENS", bound)
+        found.append(sorted((tuple(r.tokens), round(r.confidence, 9), r["count"]) for r in urls.mine(labelled).collect()))
+    assert found[0] == found[1] and {len(t) for t, _, _ in found[0]} >= {2, 3}
+
+
 def test_records_round_trip():
     import zlib
 
