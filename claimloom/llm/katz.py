@@ -1,6 +1,6 @@
 """Language-model scores: Katz backoff over bigrams, with Good-Turing discounts.
 
-P(w | h) = d(c) c(h, w) / c(h)   for pairs seen CUTOFF times or more in the training texts,
+P(w | h) = d(c) c(h, w) / c(h)   for pairs seen in the training texts, once or more (CUTOFF),
            alpha(h) P(w)         else,
 with d from the counts of counts up to K, alpha(h) the mass left by h's seen pairs over the mass of
 the words not seen after h, so that every history's probabilities sum to 1 exactly, and P(w) the
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordHashes, bytes_of, crc32_mod, mix64
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-CUTOFF, K = 2, 7
+CUTOFF, K = 1, 7
 #: Discount of counts above K: nearly none, but a history whose pairs are all frequent keeps some mass to back off with.
 FREQUENT = 0.999
 #: Tokens of a block: its arrays take some 100 bytes a token while it is scored.
@@ -66,6 +66,15 @@ def _from_planes(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _wide(x: np.ndarray) -> bytes:
+    """Non-negative integers of 63 bits, byte plane by byte plane."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _from_wide(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def _seven(x: np.ndarray) -> bytes:
     """The high 56 bits of hashes: a history's name."""
     return np.ascontiguousarray((x >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
@@ -209,6 +218,7 @@ def _add_pairs(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
         group[order] = np.cumsum(new) - 1
         total = np.bincount(group, count, int(new.sum())).astype(np.int64)
         heads = order[new]
+        del s, f, new, order
         of_word = np.bincount(second[heads], total, len(known)).astype(np.int64)
         is_hot = np.isin(known, hot)
         if is_hot.any():
@@ -219,18 +229,20 @@ def _add_pairs(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
             n, p = len(w), int(r.sum())
             out.append((COUNTS, bucket, m["block"], _planes(total[group[at_pair : at_pair + p]]), _planes(of_word[word[at_word : at_word + n]]), None, None, None))
             at_word, at_pair = at_word + n, at_pair + p
+        counts = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2]
+        del rows, words, runs, word, group, count
         seen = np.flatnonzero(total >= CUTOFF)
         name, class_ = first[heads[seen]], np.minimum(total[seen], K + 1)
         key, at = np.unique(name * np.uint64(K + 2) + class_.astype(np.uint64), return_inverse=True) if len(seen) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         # name * (K + 2) + class stays below 2 ** 60: names have 56 bits.
-        mass = np.bincount(at, 2.0 * of_word[second[heads[seen]]] + 1, len(key))
+        mass = np.bincount(at, 2.0 * of_word[second[heads[seen]]] + 1, len(key)).astype(np.int64)
         sums = np.bincount(at, total[seen], len(key)).astype(np.int64)
+        del first, second, heads, seen, at
         name, class_ = key // np.uint64(K + 2), (key % np.uint64(K + 2)).astype(np.uint8)
         to = (name % np.uint64(buckets)).astype(np.int64)
         for k in np.unique(to).tolist():
             p = np.flatnonzero(to == k)
-            out.append((SUMS, k, -1, _seven(name[p] << np.uint64(8)), pack(class_[p]), pack(sums[p]), pack(mass[p]), None))
-        counts = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2]
+            out.append((SUMS, k, -1, _seven(name[p] << np.uint64(8)), pack(class_[p]), _wide(sums[p]), _wide(mass[p]), None))
         out.append((TOTALS, -1, -1, None, None, None, np.append(counts, ((of_word > 0) & ~is_hot).sum()).astype(np.int64).tobytes(), None))
         return pa.Table.from_batches([_rows(out)])
 
@@ -274,8 +286,8 @@ def _add_histories(d: np.ndarray):
         sums = [m for m in rows if m["kind"] == SUMS]
         name = np.concatenate([np.zeros(0, np.uint64), *(_from_seven(m["a"]) for m in sums)])
         class_ = np.concatenate([np.zeros(0, np.uint8), *(unpack(m["b"], np.uint8) for m in sums)])
-        kept = np.concatenate([np.zeros(0, np.int64), *(unpack(m["c"], np.int64) for m in sums)]) * d[class_]
-        mass = np.concatenate([np.zeros(0), *(unpack(m["d"], np.float64) for m in sums)])
+        kept = np.concatenate([np.zeros(0, np.int64), *(_from_wide(m["c"]) for m in sums)]) * d[class_]
+        mass = np.concatenate([np.zeros(0), *(_from_wide(m["d"]) for m in sums)])
         known, at = np.unique(name, return_inverse=True)
         kept, mass = np.append(np.bincount(at, kept, len(known)), 0), np.append(np.bincount(at, mass, len(known)), 0)
         out = []

@@ -117,6 +117,13 @@ def test_katz_equals_brute_force(spark, tokens):
     assert flat(tuple(r)[1:] for r in got) == flat(want)
 
 
+def test_pairs_seen_once_are_discounted_and_not_backed_off(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1]
+    got = katz.score(documents(spark, [(i, f"a{i} b{i}") for i in ids])).collect()
+    # Of each pair one: d(1) is the 0.5 of too few pairs, over the counts of the texts' start, of a and of b.
+    assert [r.score for r in got] == pytest.approx([math.log10(0.5**3 / len(ids))] * len(ids))
+
+
 def test_katz_of_no_texts(spark):
     assert katz.score(documents(spark, [])).count() == 0
 
