@@ -258,7 +258,24 @@ def join(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -
     return Join(documents, words, threshold).run()
 
 
+def _keep_one_row(documents: DataFrame, words: int, threshold: int) -> DataFrame:
+    """keep_one for repeated and null ids: the join is over numbers given to the rows."""
+    scratch = Scratch(documents.sparkSession, "groups")
+    rows = scratch.keep(documents.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = join(rows.select(F.col("__row").alias("doc_id"), "text"), words, threshold).select(F.col("doc_id").alias("__row"), "component_id")
+    named = groups.join(rows.select("__row", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h")), "__row")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "__row")).alias("x")
+    kept = scratch.keep(named.groupBy("component_id").agg(first).select(F.col("x.__row").alias("__row")), "kept")
+    return rows.join(kept, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in documents.columns))
+
+
 def keep_one(documents: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
-    """One document of each group, the one of the smallest id; documents without words stay."""
+    """One row of each group, the one of the smallest id; documents without words stay.
+
+    Rows of one id are told apart by their texts, then by where they are; null ids come last.
+    """
+    counts = documents.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    if counts.filter("id is null or n > 1").limit(1).count():
+        return _keep_one_row(documents, words, threshold)
     found = Scratch(documents.sparkSession, "groups").keep(join(documents, words, threshold).filter("component_id != doc_id").select("doc_id").distinct(), "drop")
     return documents.join(found.withColumnRenamed("doc_id", "__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

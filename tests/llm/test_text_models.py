@@ -59,6 +59,15 @@ def test_join_of_awkward_rows(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 6, 7, 8, 9]
 
 
+def test_one_row_of_a_group_stays_whatever_its_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other, third = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    rows = [(7, text), (7, text), (3, text + " end"), (7, other), (None, third), (None, third), (None, third + " end"), (9, None), (9, None), (None, "")]
+    kept = jaccard.keep_one(documents(spark, rows, ["component_id"])).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept if r.doc_id is not None) == sorted([(3, text + " end"), (7, other), (9, ""), (9, "")])
+    assert len([r for r in kept if r.doc_id is None and r.text]) == 1 and len(kept) == 6
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(50):
