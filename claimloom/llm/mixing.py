@@ -142,13 +142,20 @@ def apply_mix(documents: DataFrame, **options) -> DataFrame:
     """
     plan = plan_mix(documents, **options)
     times = F.col("epochs") + F.when((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size")), 1).otherwise(0)
-    # Rows of one id, source and size are taken equally often: as often as the least of them.
+    # Rows of one id, source and size share what is planned for them; in order of their texts where it differs.
     key = {"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string")}
-    chosen = plan.groupBy(*(v.alias(k) for k, v in key.items()), F.col("size").alias("__size")).agg(F.min(times).cast("int").alias("__n"))
-    chosen = Scratch(documents.sparkSession, "chosen").keep(chosen.filter("__n > 0"), "times")
+    chosen = plan.groupBy(*(v.alias(k) for k, v in key.items()), F.col("size").alias("__size")).agg(F.min(times).cast("int").alias("__n"), F.max(times).cast("int").alias("__most"), F.sum(times).alias("__sum"), F.count(F.lit(1)).alias("__rows"))
+    chosen = Scratch(documents.sparkSession, "chosen").keep(chosen.filter("__most > 0"), "times")
     keyed = documents.withColumns({**key, "__size": word_count(F.col("text"))})
     on = [keyed[c].eqNullSafe(chosen[c]) for c in ("__id", "__source", "__size")]
-    taken = keyed.join(chosen, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    taken = keyed.join(chosen, on).drop(*(chosen[c] for c in ("__id", "__source", "__size")))
+    uneven = F.col("__n") < F.col("__most")
+    if chosen.filter(uneven).limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64("text")))
+        dealt = F.floor(F.col("__sum") / F.col("__rows")) + F.when(nth <= F.col("__sum") % F.col("__rows"), 1).otherwise(0)
+        dealt = taken.filter(uneven).withColumn("__n", dealt.cast("int")).filter("__n > 0")
+        taken = taken.filter(~uneven).unionByName(dealt)
+    taken = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     return taken.select(*(F.col(f"`{c}`") for c in documents.columns))
 
 

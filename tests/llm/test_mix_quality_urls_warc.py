@@ -55,6 +55,17 @@ def brute(text):
     return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(cover)
 
 
+def test_rows_of_one_id_and_size_are_taken_as_planned(spark):
+    rows = [(None, f"n{i} " * 40, "a") for i in range(80)] + [(5, f"r{i} " * 40, "a") for i in range(3)] + [(100 + i, f"w{i} " * 30, "b") for i in range(100)]
+    docs = documents(spark, rows, ["size"])
+    plan = mixing.plan_mix(docs).collect()
+    want = sorted((r.doc_id or -1, r.size) for r in plan for _ in range(r.epochs + (r.rest > 0 and 2 * r.rest >= r.size)))
+    times = {r.epochs + (r.rest > 0 and 2 * r.rest >= r.size) for r in plan if r.doc_id is None}
+    got = mixing.apply_mix(docs)
+    assert got.columns == docs.columns and len(times) == 2
+    assert sorted((r.doc_id or -1, len(r.text.split())) for r in got.collect()) == want
+
+
 def test_quality_counts(spark):
     texts = [" ".join("abcdefghij") * 3, "x y\nx y\n\n\nz\nx y", "# $ a|b <c> 100%", ("lorem ipsum dolor sit amet consectetur adipiscing elit " * 4).strip(), "Ünï\u00a0code\x0bw"]
     rows = [r for r in AWKWARD if r[1] != LONG] + [(100 + i, t) for i, t in enumerate(texts)]
