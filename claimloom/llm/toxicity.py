@@ -111,14 +111,14 @@ class Model:
     def p_value(self, sums: list[float], n: int) -> float:
         """Of the best r segments together, the smallest over r, for a text of n words."""
         best, total = 1.0, 0.0
-        for r, s in enumerate(sorted(sums, reverse=True)[:8], 1):
+        for r, s in enumerate(sorted(sums, reverse=True), 1):
             total += self.scale * s - self.log_k - math.log(max(n, 1))
             if r == 1:
                 p = -math.expm1(-math.exp(min(50.0, -total)))
             elif total <= r:
                 break
             else:
-                p = math.exp(-total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r)) * 2**r
+                p = math.exp(-total + (r - 1) * math.log(total) - math.lgamma(r + 1) - math.lgamma(r) + r * math.log(2))
             best = min(best, p)
         return max(best, 1e-300)
 

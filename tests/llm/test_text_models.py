@@ -156,6 +156,13 @@ def test_segments_equal_their_definition():
         assert [(a, b) for a, b, _ in toxicity.segments_of(x)] == brute_segments(x)
 
 
+def test_every_segment_counts():
+    model = toxicity.Model()
+    p = [model.p_value([5.0] * r, 1000) for r in (8, 9, 12, 20)]
+    assert p == sorted(p, reverse=True) and len(set(p)) == 4
+    assert model.p_value([5.0] * 3000, 10_000_000) <= 1 and model.p_value([50.0] * 3000, 1000) == 1e-300
+
+
 def test_toxicity_is_learned_and_held_out(spark):
     rng = random.Random(11)
     clean = [f"n{i}" for i in range(600)]
