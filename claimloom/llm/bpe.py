@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .common import bytes_of
+from .common import arrow_map, bytes_of
 
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -41,7 +41,7 @@ def byte_alphabet() -> list[str]:
 class BpeModel:
     """Encodes texts to ids and ids to text. Words once encoded are remembered, within a bound."""
 
-    REMEMBERED = 500_000
+    REMEMBERED = 150_000
 
     def __init__(self, definition: bytes):
         spec = json.loads(definition)
@@ -146,8 +146,8 @@ class BpeModel:
             self.known.clear()
             self.shown.clear()
             fresh = list(words)
-        for lo in range(0, len(fresh), 400_000):
-            part = fresh[lo : lo + 400_000]
+        for lo in range(0, len(fresh), 100_000):
+            part = fresh[lo : lo + 100_000]
             for w, ids in zip(part, self.merge([w.encode() for w in part]), strict=True):
                 self.known[w] = ids.astype("<u4").tobytes()
 
@@ -175,7 +175,7 @@ class BpeModel:
                 if isinstance(x, list):
                     new.update(x)
                     size += len(x)
-            if size > 2_000_000:  # words held at a time
+            if size > 500_000:  # words held at a time
                 out += self._encoded(part, new)
                 part, new, size = [], set(), 0
         return out + self._encoded(part, new)
@@ -222,7 +222,7 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
 
     keep = [c for c in documents.columns if c != "ids"]
     schema = documents.select(*(F.col(f"`{c}`") for c in keep)).schema.add("ids", ArrayType(IntegerType()))
-    return documents.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
+    return arrow_map(documents.select(*(F.col(f"`{c}`") for c in keep)), run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -236,7 +236,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     keep = [c for c in encoded.columns if c != "decoded"]
     schema = encoded.select(*(F.col(f"`{c}`") for c in keep)).schema.add("decoded", StringType())
-    return encoded.select(*(F.col(f"`{c}`") for c in keep)).mapInArrow(run, schema)
+    return arrow_map(encoded.select(*(F.col(f"`{c}`") for c in keep)), run, schema)
 
 
 def token_digest(documents: DataFrame, path: str) -> DataFrame:
@@ -258,4 +258,4 @@ def token_digest(documents: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, DIGEST_SCHEMA)
+    return arrow_map(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, DIGEST_SCHEMA)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode else one of our own."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="claimloom-")
         atexit.register(shutil.rmtree, found, True)
         sc.setCheckpointDir(found)
@@ -55,6 +58,34 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows and bytes of an Arrow batch: a worker holds a few batches, so its memory does not hang on the texts' lengths.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20) + "b", BATCH_BYTES)}
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, and idle ones count against their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow in small batches (unless the session has sizes of its own); a task leaves no memory behind."""
+    spark = df.sparkSession
+    for key, (default, ours) in _DEFAULTS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(over, schema)
+
+
 def bytes_of(column: pa.Array) -> Iterator[bytes | None]:
     """The UTF-8 bytes of a binary or string Arrow column, without decoding."""
     for x in column.cast(pa.large_binary()):
@@ -81,7 +112,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered for the words seen so far, up to a bound on memory."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

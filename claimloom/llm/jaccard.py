@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, WordHashes, bytes_of, mix64
+from .common import Scratch, WordHashes, arrow_map, bytes_of, mix64
 from .components import components
 
 WORDS, THRESHOLD = 4, 85
@@ -118,7 +118,7 @@ def _count_repeated(words: int):
             for text in bytes_of(batch.column("text")):
                 held.append(shingles(text or b"", words, hashes))
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 1_500_000:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -188,13 +188,13 @@ class Join:
         self.texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def sets(self) -> DataFrame:
-        counts = self.texts.select("text").mapInArrow(_count_repeated(self.words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+        counts = arrow_map(self.texts.select("text"), _count_repeated(self.words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
         rows = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()  # FREQUENT rows at most
         found = rows["shingle"].to_numpy(np.int64).view(np.uint64)
         rank = np.arange(len(found), 0, -1)  # the most frequent comes last
         order = np.argsort(found)
         shipped = self.spark.sparkContext.broadcast((found[order], rank[order]))
-        return self.scratch.keep(self.texts.mapInArrow(_sets(self.words, self.threshold, shipped), SET_SCHEMA), "sets")
+        return self.scratch.keep(arrow_map(self.texts, _sets(self.words, self.threshold, shipped), SET_SCHEMA), "sets")
 
     def texts_of(self, ids: DataFrame) -> DataFrame:
         """nid, text of the ids (nid): texts are filtered by hash buckets of the ids before they move."""
@@ -247,7 +247,7 @@ class Join:
         tiles = ranges.select("cluster", F.col("block").alias("i"), "high").join(upper, "cluster").filter((F.col("i") <= F.col("j")) & (100 * F.col("high") >= t * F.col("low_j"))).select("cluster", "i", "j")
         sides = tiles.select("cluster", "i", "j", F.col("i").alias("block"), F.lit(True).alias("left")).unionByName(tiles.filter("i <> j").select("cluster", "i", "j", F.col("j").alias("block"), F.lit(False).alias("left")))
         held = members.join(sides, ["cluster", "block"]).join(self.texts_of(members), "nid").select("cluster", "i", "j", "n", "nid", "left", "text")
-        links = held.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "n", "nid").mapInArrow(_tiles(self.words, t), "a long, b long")
+        links = arrow_map(held.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "n", "nid"), _tiles(self.words, t), "a long, b long")
         final = components(links, scratch)
         named = classes.join(final.withColumnRenamed("node", "nid"), "nid", "left").select("set_hash", F.coalesce("component", "nid").alias("component_id"))
         out = sets.select("doc_id", "n", "set_hash").join(named, "set_hash", "left")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, bytes_of, crc32_mod, mix64
+from .common import Scratch, WordHashes, arrow_map, bytes_of, crc32_mod, mix64
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 CUTOFF, K = 1, 7
@@ -376,7 +376,7 @@ def hot_words(texts: DataFrame, n_texts: int) -> np.ndarray:
     """Hashes of words over HOT of a sample's tokens: at most 1 / HOT, whatever the corpus."""
     share = min(1.0, SAMPLE / max(n_texts, 1))
     sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = sample.select("text").mapInArrow(_frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = arrow_map(sample.select("text"), _frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     total = sum(r.n for r in rows)
     return np.sort(WordHashes().of([bytes(r.word) for r in rows if r.word is not None and r.n >= HOT * total]))
 
@@ -386,21 +386,21 @@ def score(documents: DataFrame) -> DataFrame:
     scratch = Scratch(documents.sparkSession, "katz")
     held = (crc32_mod(F.col("doc_id"), 5) == 1).alias("held_out")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("binary").alias("text"))
-    blocks = scratch.keep(texts.mapInArrow(_blocks, MESSAGE), "blocks")
+    blocks = scratch.keep(arrow_map(texts, _blocks, MESSAGE), "blocks")
     n_blocks = blocks.count()
     buckets = max(4, n_blocks)
     hot = hot_words(texts, texts.count())
-    requests = blocks.mapInArrow(_ask_pairs(buckets, hot), MESSAGE)
+    requests = arrow_map(blocks, _ask_pairs(buckets, hot), MESSAGE)
     # Hot words' counts, tokens and texts: a few hundred sums, taken from the blocks before the pairs meet.
     totals = np.zeros(len(hot) + 2, np.int64)
-    for r in blocks.mapInArrow(_totals(hot), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for r in arrow_map(blocks, _totals(hot), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         totals[r.k] = r.n
     answers = scratch.keep(requests.groupBy("bucket").applyInArrow(_add_pairs(buckets, hot, totals[:-2]), MESSAGE), "answers")
     stats = [np.frombuffer(r.d, np.int64) for r in answers.filter(F.col("kind") == TOTALS).select("d").collect()]
     stat = np.sum(stats, 0) if stats else np.zeros(K + 3, np.int64)
     d = discounts(stat[:-1])
     levels = Levels(int(totals[-2]), int(stat[-1] + (totals[:-2] > 0).sum()), int(totals[-1]), d)
-    asked = blocks.select("block", "a").mapInArrow(_ask_histories(buckets, hot), MESSAGE)
+    asked = arrow_map(blocks.select("block", "a"), _ask_histories(buckets, hot), MESSAGE)
     histories = asked.unionByName(answers.filter(F.col("kind") == SUMS)).groupBy("bucket").applyInArrow(_add_histories(d), MESSAGE)
     replies = answers.filter(F.col("kind") == COUNTS).unionByName(histories)
     return blocks.unionByName(replies).groupBy("block").applyInArrow(_score(buckets, hot, levels), SCHEMA)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of
+from .common import arrow_map, bytes_of
 
 #: Fixed by the PNG specification.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -198,12 +198,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def to_media(documents: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as a PNG in a binary column."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_encode, MEDIA_SCHEMA)
+    return arrow_map(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), _encode, MEDIA_SCHEMA)
 
 
 def describe_media(media: DataFrame) -> DataFrame:
     """Read stored images back and compute what SCHEMA lists from the bytes read."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_describe, SCHEMA)
+    return arrow_map(media.select("doc_id", "n_bytes", "media"), _describe, SCHEMA)
 
 
 def media_digest(documents: DataFrame) -> DataFrame:

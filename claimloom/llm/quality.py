@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bytes_of, mix64
+from .common import WordHashes, arrow_map, bytes_of, mix64
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality double"
 WINDOW = 8
@@ -136,7 +136,7 @@ def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def fit(documents: DataFrame) -> dict[int, float]:
     """Posterior quality of every vote pattern that occurs."""
-    rows = _texts(documents).mapInArrow(_count_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    rows = arrow_map(_texts(documents), _count_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     patterns, counts = np.array([r.pattern for r in rows], np.int64), np.array([r.n for r in rows], np.float64)
     return dict(zip(patterns.tolist(), LabelModel(patterns, counts).posterior(votes_of(patterns)).tolist(), strict=True))
 
@@ -158,7 +158,7 @@ def judge(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
                 [batch.column("doc_id"), *columns, pa.array(failed), pa.array(kept), pa.array(score, pa.float64())], ["doc_id", *names, "base_failed", "kept", "quality"]
             )
 
-    return _texts(documents, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, SCHEMA)
+    return arrow_map(_texts(documents, F.col("doc_id").cast("long").alias("doc_id")), run, SCHEMA)
 
 
 def keep_good(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -171,4 +171,4 @@ def keep_good(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
             facts = (Facts(t or b"", hashes) for t in bytes_of(batch.column("text")))
             yield batch.filter(pa.array([not f.base_failed and quality[pattern_of(f)] >= threshold for f in facts], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return arrow_map(documents, run, documents.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bytes_of, crc32_mod, mix64
+from .common import WordHashes, arrow_map, bytes_of, crc32_mod, mix64
 
 SAMPLE, LEXICON = 60_000, 50_000
 PREFIXES = (4, 5, 6)
@@ -65,7 +65,7 @@ def features_of(word: bytes, ending: int = 1) -> list[bytes]:
 class Scores(dict):
     """word -> score, remembered within a bound."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, lexicon: dict[bytes, float]):
         super().__init__()
@@ -148,7 +148,7 @@ def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     fold = crc32_mod(F.col("doc_id"), 4)
     marks = marks.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold != 2)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(marks), "doc_id")
-    rows = texts.mapInArrow(_sketch, "doc_id long, toxic int, a long, b long").collect()  # SAMPLE rows at most
+    rows = arrow_map(texts, _sketch, "doc_id long, toxic int, a long, b long").collect()  # SAMPLE rows at most
     # A group of near copies is one piece of evidence: of texts that share a sketch the smallest id counts.
     first: dict = {}
     for r in sorted(rows, key=lambda r: r.doc_id):
@@ -209,11 +209,11 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     marks = _labelled(documents, labels)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     texts = texts.join(F.broadcast(marks), "doc_id")  # SAMPLE rows at most
-    counts = texts.filter(~F.col("back")).select("text", "toxic").mapInArrow(_count, "feature binary, clean long, toxic long")
+    counts = arrow_map(texts.filter(~F.col("back")).select("text", "toxic"), _count, "feature binary, clean long, toxic long")
     counts = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter((F.col("clean") + F.col("toxic") >= MIN_COUNT) | (F.col("feature") == F.lit(b" "))).persist()
     model = Model(_lexicon(counts))
     counts.unpersist()
-    rows = texts.filter("back").select("text", "toxic").mapInArrow(_statistics(spark.sparkContext.broadcast(model)), "toxic int, n long, sums array<double>, scored array<double>").collect()
+    rows = arrow_map(texts.filter("back").select("text", "toxic"), _statistics(spark.sparkContext.broadcast(model)), "toxic int, n long, sums array<double>, scored array<double>").collect()
     clean = [r for r in rows if not r.toxic]
     model.share = (len(rows) - len(clean) + 1) / (len(rows) + 10)
     # The scale: the positive root of sum p(s) exp(x s) = 1 over words of clean texts.
@@ -260,7 +260,7 @@ def score(documents: DataFrame, labels: DataFrame, model: Model | None = None) -
             )
 
     held = (crc32_mod(F.col("doc_id"), 4) == 2).alias("held_out")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
+    return arrow_map(documents.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("binary").alias("text")), run, SCHEMA)
 
 
 def passages(documents: DataFrame, model: Model) -> DataFrame:
@@ -281,7 +281,7 @@ def passages(documents: DataFrame, model: Model) -> DataFrame:
             names = ["doc_id", "start_word", "end_word", "score", "e_value", "passage"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SEGMENT_SCHEMA)
+    return arrow_map(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, SEGMENT_SCHEMA)
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -295,4 +295,4 @@ def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
             keep = [s < THRESHOLD for _, _, s in _scored(bytes_of(batch.column("text")), known, scores)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return arrow_map(documents, run, documents.schema)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bytes_of
+from .common import Scratch, arrow_map, bytes_of
 from .urls import host_and_path
 
 SALTS, BROADCAST = 64, 16_000_000
@@ -339,7 +339,7 @@ def text_hash(text: str) -> int:
 class Reader:
     """Texts of a page's blocks with their roles and slots; structures once seen are remembered, within a bound."""
 
-    LIMIT = 50_000
+    LIMIT = 20_000
 
     def __init__(self) -> None:
         self.known: dict[tuple, list[tuple[str, int]]] = {}
@@ -395,7 +395,7 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(pages: DataFrame) -> DataFrame:
     """host, wrapper (pickled) for every host."""
-    shapes = _slim(pages).select("host", "html").mapInArrow(_shapes, "host string, shape string").distinct()
+    shapes = arrow_map(_slim(pages).select("host", "html"), _shapes, "host string, shape string").distinct()
 
     def part(group: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"host": [group["host"].iloc[0]], "salt": [group["salt"].iloc[0]], "shape": [written(joined(map(read, sorted(group["shape"]))))]})
@@ -432,7 +432,7 @@ def _over(slim: DataFrame, models: DataFrame, run: Callable[[pa.RecordBatch, lis
                 pages.append((reader(hash(blob), wrapper, _decoded(page)), template))
             yield run(batch, pages)
 
-    return slim.mapInArrow(over, schema)
+    return arrow_map(slim, over, schema)
 
 
 def _evidence(batch: pa.RecordBatch, pages: list) -> pa.RecordBatch:
@@ -467,7 +467,7 @@ def models(pages: DataFrame) -> DataFrame:
             found = [pickle.dumps((pickle.loads(w), {x["slot"]: x["h"] for x in t or ()})) for w, t in zip(bytes_of(batch.column("wrapper")), batch.column("template").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.binary())], ["host", "wrapper"])
 
-    return scratch.keep(wrappers.join(templates(pages, wrappers), "host", "left").mapInArrow(both, "host string, wrapper binary"), "models")
+    return scratch.keep(arrow_map(wrappers.join(templates(pages, wrappers), "host", "left"), both, "host string, wrapper binary"), "models")
 
 
 def _extracted(batch: pa.RecordBatch, pages: list) -> pa.RecordBatch:
