@@ -1,21 +1,23 @@
 """Toxicity by maximum-scoring segments.
 
 A lexicon gives each word a score in nats: the lower confidence bound of its log-odds between toxic
-and clean training texts under a Dirichlet prior (PRIOR pseudo-counts at the background rate). Words also have prefix features, so that inflected forms never seen are known by
-their stems; all other words score DRIFT. A linear-time scan finds every maximal scoring segment of
+and clean training texts under a Dirichlet prior (PRIOR pseudo-counts at the background rate).
+Words also have prefix features, so that inflected forms never seen are known by their stems; all
+other words score DRIFT. A linear-time scan finds every maximal scoring segment of
 a text. The scores of chance segments in clean texts follow an extreme-value law whose scale solves
 sum p(s) exp(lambda s) = 1 and whose K is fitted on clean texts held back from the lexicon; a text's
 segments give one p-value by their ordered sum statistic, and the p-value's Bayes-factor bound with
 the share of toxic texts gives the score.
 
 The lexicon is learned from a bounded sample: the SAMPLE labelled rows of smallest hash, near copies
-once; all other passes see all rows. Only ids of the sample and the lexicon (at most LEXICON
-features) are sent around; no text is shuffled.
+once; all other passes see all rows. Only ids of the sample and the lexicon, which the sample
+bounds, are sent around; no text is shuffled, and calibration collects a histogram.
 
 Defined cases: null, empty and wordless texts have no segment and get the toxic share as score;
 null ids are in fold 0 and are not learned from; without labels of both classes no word scores and
-every score is the share; repeated rows score alike; extra columns are ignored (score) or kept
-(filter).
+every score is the share; equal texts, repeated rows too, score alike; very long texts are scanned
+whole, in time proportional to their length; empty tables give empty results; extra columns are
+ignored (score) or kept (filter).
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, arrow_map, bytes_of, crc32_mod, mix64
 
-SAMPLE, LEXICON = 60_000, 50_000
+SAMPLE = 60_000
 PREFIXES = (4, 5, 6)
 #: Log-odds enter the lexicon beyond ENTRY standard errors (the features tested are many) and score less BOUND of
 #: them, LEAST nats at least. PRIOR texts are spread over the classes by the background distribution.
@@ -80,8 +82,14 @@ class Scores(dict):
 
 
 def segments_of(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments as (start, end, score): Ruzzo and Tompa's stack scan."""
-    stack: list[tuple[int, int, float, float]] = []  # start, end, sum before the start, sum at the end
+    """All maximal scoring segments as (start, end, score), after Ruzzo and Tompa, in linear time.
+
+    An open segment keeps the place of the nearest one before it whose left sum is lower; the search
+    for such a one jumps from place to place and passes over nothing twice. A segment without any is
+    the start of all that can still grow, so what stands before it is final.
+    """
+    out: list[tuple[int, int, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []  # start, end, sum before the start, sum at the end, place of a lower one
     total, at = 0.0, 0
     for i in np.flatnonzero(scores > 0).tolist():
         total += float(scores[at:i].sum())
@@ -90,13 +98,17 @@ def segments_of(scores: np.ndarray) -> list[tuple[int, int, float]]:
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= low:
-                j -= 1
-            if j < 0 or stack[j][3] >= high:
-                stack.append((start, i + 1, low, high))
+                j = stack[j][4]
+            if j < 0:
+                out += [(a, b, r - l) for a, b, l, r, _ in stack]
+                stack = [(start, i + 1, low, high, -1)]
+                break
+            if stack[j][3] >= high:
+                stack.append((start, i + 1, low, high, j))
                 break
             start, low = stack[j][0], stack[j][2]
             del stack[j:]
-    return [(a, b, r - l) for a, b, l, r in stack]
+    return out + [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
 @dataclass
@@ -148,7 +160,8 @@ def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     fold = crc32_mod(F.col("doc_id"), 4)
     marks = marks.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold != 2)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(marks), "doc_id")
-    rows = arrow_map(texts, _sketch, "doc_id long, toxic int, a long, b long").collect()  # SAMPLE rows at most
+    sketches = arrow_map(texts, _sketch, "doc_id long, toxic int, a long, b long")
+    rows = sketches.groupBy("doc_id", "toxic").agg(F.min("a").alias("a"), F.min("b").alias("b")).collect()  # SAMPLE rows at most
     # A group of near copies is one piece of evidence: of texts that share a sketch the smallest id counts.
     first: dict = {}
     for r in sorted(rows, key=lambda r: r.doc_id):
@@ -172,19 +185,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+#: Sums over texts held back; tops and logarithms in millionths, so that any order of adding gives the same.
+TEXTS, TOXIC, WORDS_SEEN, TOPS, LOGS, TALLY = range(6)
+
+
 def _statistics(shipped):
-    """Per text held back: toxic, n words, segment scores, and the words that score by score."""
+    """Rows (kind, value, n) of a partition: what calibration needs of the texts held back.
+
+    TALLY rows count the words of clean texts by their score; the other kinds are sums.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(shipped.value.lexicon)
+        sums, tally = [0] * TALLY, Counter()
         for batch in batches:
-            rows = []
-            for text in bytes_of(batch.column("text")):
+            for text, toxic in zip(bytes_of(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
+                sums[TEXTS] += 1
+                if toxic:
+                    sums[TOXIC] += 1
+                    continue
                 words = words_of(text or b"")
                 x = np.fromiter(map(scores.__getitem__, words), np.float64, len(words))
-                rows.append((len(words), [s for _, _, s in segments_of(x)], x[x != DRIFT].round(1).tolist()))
-            kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["toxic", "n", "sums", "scored"])
+                tally.update(x.round(1).tolist())
+                sums[WORDS_SEEN] += len(words)
+                sums[TOPS] += round(1e6 * max((s for _, _, s in segments_of(x)), default=0.0))
+                sums[LOGS] += round(1e6 * math.log(max(len(words), 1)))
+        rows = [(k, 0.0, n) for k, n in enumerate(sums)] + [(TALLY, s, n) for s, n in tally.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.int64()))], ["kind", "value", "n"])
 
     return run
 
@@ -200,7 +227,7 @@ def _lexicon(counts: DataFrame) -> dict[bytes, float]:
     odds = F.log(y1 / (n1 + PRIOR - y1)) - F.log(y0 / (n0 + PRIOR - y0))
     sigma = F.sqrt(1 / y0 + 1 / y1)
     scored = counts.filter((F.col("feature") != F.lit(b" ")) & (F.col("clean") + F.col("toxic") >= MIN_COUNT)).select("feature", odds.alias("odds"), sigma.alias("sigma"))
-    positive = scored.filter((F.col("odds") > ENTRY * F.col("sigma")) & (F.col("odds") - BOUND * F.col("sigma") >= LEAST)).orderBy((F.col("odds") / F.col("sigma")).desc(), "feature").limit(LEXICON)
+    positive = scored.filter((F.col("odds") > ENTRY * F.col("sigma")) & (F.col("odds") - BOUND * F.col("sigma") >= LEAST))  # bounded by the sample
     return {bytes(r.feature): min(MOST, r.odds - BOUND * r.sigma) for r in positive.collect()}
 
 
@@ -213,23 +240,22 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     counts = counts.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter((F.col("clean") + F.col("toxic") >= MIN_COUNT) | (F.col("feature") == F.lit(b" "))).persist()
     model = Model(_lexicon(counts))
     counts.unpersist()
-    rows = arrow_map(texts.filter("back").select("text", "toxic"), _statistics(spark.sparkContext.broadcast(model)), "toxic int, n long, sums array<double>, scored array<double>").collect()
-    clean = [r for r in rows if not r.toxic]
-    model.share = (len(rows) - len(clean) + 1) / (len(rows) + 10)
+    found = arrow_map(texts.filter("back").select("text", "toxic"), _statistics(spark.sparkContext.broadcast(model)), "kind int, value double, n long")
+    found = {(r.kind, r.value): r.n for r in found.groupBy("kind", "value").agg(F.sum("n").alias("n")).collect()}  # scores are tenths up to MOST
+    of = lambda kind: found.get((kind, 0.0), 0)
+    clean, n = of(TEXTS) - of(TOXIC), of(WORDS_SEEN)
+    model.share = (of(TOXIC) + 1) / (of(TEXTS) + 10)
     # The scale: the positive root of sum p(s) exp(x s) = 1 over words of clean texts.
-    tally = Counter(s for r in clean for s in r.scored)
-    n = sum(r.n for r in clean)
     if clean and n:
-        tally[DRIFT] += n - sum(tally.values())
-        s, p = np.array(list(tally)), np.array(list(tally.values()), float) / n
+        tally = sorted((value, count) for (kind, value), count in found.items() if kind == TALLY)
+        s, p = np.array([x for x, _ in tally]), np.array([x for _, x in tally], float) / n
         if (s > 0).any() and s @ p < 0:
             lo, hi = 0.0, 4.0
             for _ in range(60):
                 x = (lo + hi) / 2
                 lo, hi = (x, hi) if p @ np.exp(x * s) < 1 else (lo, x)
             model.scale = float(np.clip(lo, 0.3, 2.0))
-        tops = [model.scale * max(r.sums, default=0.0) - math.log(max(r.n, 1)) for r in clean]
-        model.log_k = float(np.mean(tops)) - 0.5772
+        model.log_k = (model.scale * of(TOPS) - of(LOGS)) / 1e6 / clean - 0.5772
     return model
 
 

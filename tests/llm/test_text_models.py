@@ -156,6 +156,19 @@ def test_segments_equal_their_definition():
         assert [(a, b) for a, b, _ in toxicity.segments_of(x)] == brute_segments(x)
 
 
+def test_the_scan_is_linear():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        found = toxicity.segments_of(np.array([1.0, -2.0] * n))
+        assert len(found) == n
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(64_000) < 40 * took(4_000) + 0.05
+
+
 def test_every_segment_counts():
     model = toxicity.Model()
     p = [model.p_value([5.0] * r, 1000) for r in (8, 9, 12, 20)]
@@ -176,11 +189,14 @@ def test_toxicity_is_learned_and_held_out(spark):
                 ws.insert(rng.randrange(len(ws)), w)
         rows.append((i, " ".join(ws)))
         labels.append((i, 1, int(bad)))
-    df = documents(spark, rows + [(5000, None), (5001, ""), (None, "vilest vilely vileness scummy vilest")], ["score", "toxic"])
+    tale = " ".join(rng.choices(clean, k=30_000))
+    df = documents(spark, rows + rows[:3] + [(5000, None), (5001, ""), (None, "vilest vilely vileness scummy vilest"), (6000, tale), (6001, tale + " vilest vilely vileness scummy vilest vileous")], ["score", "toxic"])
     marks = spark.createDataFrame(labels + [(3, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(df, marks)
     got = toxicity.score(df, marks, model).collect()
-    assert len(got) == 903 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert len(got) == 908 and {r.doc_id: r.predicted for r in got}[6000] < {r.doc_id: r.predicted for r in got}[6001] == 1
+    assert all(len({r.score for r in got if r.doc_id == i}) == 1 for i in range(3))
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     held = [r for r in got if r.held_out and r.doc_id < 900]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
     assert sum(r.predicted == (r.doc_id % 6 == 0) for r in held) >= 0.97 * len(held)
