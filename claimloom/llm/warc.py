@@ -1,27 +1,34 @@
-"""WARC records and a Merkle fixity audit of replicas, in DataFrame operations.
+"""WARC volumes and a Merkle fixity audit of replicas, in DataFrame operations.
 
-Each record is hashed; the digests of an ordered range of FANOUT record ids are hashed into a node
-of level 1, FANOUT nodes into one of level 2, and so on to the root. Two replicas are compared from
-their roots: only the children of nodes that differ are looked at, so a sound replica is settled at
-the root and damage is located in as many steps as the tree has levels.
+Pages become records; records in order of their ids are laid into volumes, each at the byte offset
+where the one before it ends. An archive is a table (volume, offset, page_id, record).
 
-Both trees are tables of digests, spread by node id; equal copies of a record are counted before
-they meet, and a node joins at most FANOUT children, or, for an id with many different contents,
-one of 256 parts by digest. The records' bytes are read once per replica.
+Each record is hashed. The records that begin in one range of RANGE bytes of a volume are hashed, in
+order of their offsets, into a node; 16 ranges into a wider one; those into the volume's; volumes
+into nodes by prefixes of their names' hashes, up to the root. Two replicas are compared from their
+roots: only the children of nodes that differ are looked at, so a sound replica is settled at the
+root, and corruption is located by volume and offset in as many steps as the tree has levels.
 
-Defined cases: a null id is taken as -1 in the order; a null url or html is the empty text;
-repeated records are counted and must be repeated as often in the replica; empty archives have no
-root and are equal; extra columns are ignored.
+Trees are tables of digests, spread by node. A volume holds PER_VOLUME ids; ids with very many
+records have their range dealt over several volumes by digest, so that no volume is a hot group.
+Records are laid out once, and read once per replica.
+
+Defined cases: null ids have volumes of their own; a null url or html is the empty text; repeated
+records stand one after another at offsets of their own; very long records are one leaf; empty
+archives have no root and are equal; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch
 
-FANOUT = 64
+PER_VOLUME, CROWD = 1024, 4
+#: Bits of an offset within a range, and within a wider one.
+RANGE, WIDER = 16, 20
 #: Fixed by the WARC format.
 VERSION, END = "WARC/1.1", "\r\n"
 
@@ -84,89 +91,110 @@ def read_records(data: bytes) -> list[tuple[int, dict[str, str], bytes]]:
     return out
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """id, n_bytes, digest, copies of each different record."""
-    hashed = records.select(F.coalesce("page_id", F.lit(-1)).alias("id"), F.octet_length("record").cast("long").alias("n_bytes"), F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
-    return hashed.groupBy("id", "n_bytes", "digest").agg(F.count(F.lit(1)).alias("copies"))
-
-
-def _joined(items: Column) -> Column:
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(items)), "|").cast("binary"), 256).alias("digest")
-
-
-def depth(*trees: DataFrame) -> int:
-    """Levels above the records: so many that one node holds every id."""
-    most = max((t.agg(F.max(F.abs("id"))).first()[0] or 0) for t in trees)
-    levels = 1
-    while FANOUT**levels <= most:
-        levels += 1
-    return levels + 1  # negative ids have a top node of their own
+def lay_out(records: DataFrame) -> DataFrame:
+    """volume, offset, page_id, record: the records in order of id (and digest), one after another.
 
-
-def tree(hashed: DataFrame, levels: int, scratch: Scratch) -> list[DataFrame]:
-    """Tables (node, digest) of levels 0 (one node an id) up to the root's."""
-    part = hashed.groupBy("id", F.substring("digest", 1, 2).alias("part")).agg(_joined(F.concat_ws(":", "digest", "n_bytes", "copies")))
-    out = [scratch.keep(part.groupBy(F.col("id").alias("node")).agg(_joined(F.concat_ws(":", "part", "digest"))), "level0")]
-    for level in range(1, levels + 1):
-        up = F.floor(F.col("node") / FANOUT).cast("long") if level < levels else F.lit(0).cast("long")
-        nodes = out[-1].groupBy(up.alias("up")).agg(_joined(F.concat_ws(":", F.lpad(F.col("node").cast("string"), 20, "0"), "digest")))
-        out.append(scratch.keep(nodes.withColumnRenamed("up", "node"), f"level{level}"))
+    A range of ids with more than CROWD records an id is dealt over several volumes.
+    """
+    size = F.octet_length("record").cast("long")
+    span = F.floor(F.col("page_id") / PER_VOLUME)
+    parts = records.groupBy(span.alias("of")).agg(F.ceil(F.count(F.lit(1)) / (CROWD * PER_VOLUME)).alias("parts"))
+    hashed = records.select("page_id", "record", size.alias("size"), F.sha2(F.col("record").cast("binary"), 256).alias("digest"), span.alias("span"))
+    dealt = hashed.join(parts, hashed.span.eqNullSafe(parts.of))
+    part = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % F.col("parts")
+    dealt = dealt.withColumn("volume", F.concat_ws("-", F.coalesce(F.col("span").cast("string"), F.lit("none")), part.cast("string")))
+    before = F.sum("size").over(Window.partitionBy("volume").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1))
+    return dealt.select("volume", F.coalesce(before, F.lit(0)).cast("long").alias("offset"), "page_id", "record")
+
+
+def leaves(archive: DataFrame) -> DataFrame:
+    """volume, offset, page_id, n_bytes, digest and the number of equal ones there."""
+    hashed = archive.select("volume", "offset", "page_id", F.octet_length("record").cast("long").alias("n_bytes"), F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
+    return hashed.groupBy("volume", "offset", "page_id", "n_bytes", "digest").agg(F.count(F.lit(1)).alias("copies"))
+
+
+#: From a record's range up to the root.
+_LEVELS = ("narrow", "wide", "volume", "six", "four", "two", "root")
+
+
+def _path(volume: Column, offset: Column) -> dict[str, Column]:
+    name = F.md5(volume.cast("binary"))
+    at = lambda bits: F.concat_ws("|", volume, F.shiftright(offset, bits).cast("string"))
+    return {"narrow": at(RANGE), "wide": at(WIDER), "volume": volume, "six": F.substring(name, 1, 6), "four": F.substring(name, 1, 4), "two": F.substring(name, 1, 2), "root": F.lit("")}
+
+
+def tree(hashed: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """For each of _LEVELS a table of that level's key, its ancestors' and the node's digest."""
+    child = F.concat_ws(":", F.lpad(F.col("offset").cast("string"), 20, "0"), "n_bytes", "digest", "copies")
+    below, out = hashed.withColumns(_path(F.col("volume"), F.col("offset"))), []
+    for k, level in enumerate(_LEVELS):
+        joined = F.array_join(F.array_sort(F.collect_list(child)), "|")
+        below = below.groupBy(*_LEVELS[k:]).agg(F.sha2(joined.cast("binary"), 256).alias("digest"))
+        below = scratch.keep(below, level) if level in ("narrow", "volume") else below
+        out.append(below)
+        child = F.concat_ws(":", level, "digest")
     return out
 
 
 def differing(mine: list[DataFrame], theirs: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """Ids whose records differ: from the root, the children of differing nodes only."""
-    levels = len(mine) - 1
+    """The ranges (narrow) whose digests differ: from the root, the children of differing nodes only."""
     suspect = None
-    for level in range(levels, -1, -1):
-        a, b = mine[level], theirs[level]
+    for k in range(len(_LEVELS) - 1, -1, -1):
+        level, a, b = _LEVELS[k], mine[k], theirs[k]
         if suspect is not None:
-            up = F.floor(F.col("node") / FANOUT).cast("long") if level + 1 < levels else F.lit(0).cast("long")
-            a, b = (x.withColumn("up", up).join(suspect.withColumnRenamed("node", "up"), "up", "left_semi").drop("up") for x in (a, b))
-        both = a.withColumnRenamed("digest", "mine").join(b.withColumnRenamed("digest", "theirs"), "node", "full")
-        suspect = scratch.keep(both.filter(~F.col("mine").eqNullSafe(F.col("theirs"))).select("node"), f"differ{level}")
+            a, b = (x.join(suspect, _LEVELS[k + 1], "left_semi") for x in (a, b))
+        both = a.select(level, F.col("digest").alias("mine")).join(b.select(level, F.col("digest").alias("theirs")), level, "full")
+        suspect = scratch.keep(both.filter(~F.col("mine").eqNullSafe(F.col("theirs"))).select(level), level)
     return suspect
 
 
-def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
-    """page_id, n_bytes, sha256, copies, status of every different record of either archive.
+def audit(archive: DataFrame, replica: DataFrame) -> DataFrame:
+    """page_id, volume, offset, n_bytes, sha256, copies, status of every record of either archive.
 
-    status: intact; changed (the id is there with other contents); missing or extra (it is not);
-    copies (there, but not as often). The row is the first archive's, an extra's the replica's.
+    status: intact; changed (other contents at this offset); moved (its contents are in the volume,
+    elsewhere); missing; copies (there, but not as often); extra (only in the replica: the row is its).
     """
-    scratch = Scratch(records.sparkSession, "warc")
-    mine, theirs = scratch.keep(leaves(records), "mine"), scratch.keep(leaves(replica), "theirs")
-    levels = depth(mine, theirs)
-    ids = differing(tree(mine, levels, scratch), tree(theirs, levels, scratch), scratch).withColumnRenamed("node", "id")
-    a = mine.join(ids, "id", "left_semi").withColumnRenamed("copies", "ours")
-    b = theirs.join(ids, "id", "left_semi").withColumnRenamed("copies", "others")
-    here, there = (x.select("id").distinct() for x in (a, b))
-    pairs = a.join(b, ["id", "n_bytes", "digest"], "full")
-    pairs = pairs.join(here.withColumn("here", F.lit(True)), "id", "left").join(there.withColumn("there", F.lit(True)), "id", "left")
-    status = (
-        F.when(F.col("here").isNull(), "extra").when(F.col("there").isNull(), "missing")
-        .when(F.col("ours") == F.col("others"), "intact").when(F.col("ours").isNotNull() & F.col("others").isNotNull(), "copies").otherwise("changed")
-    )
-    found = pairs.filter(F.col("ours").isNotNull() | F.col("here").isNull()).select("id", "n_bytes", "digest", F.coalesce("ours", "others").alias("copies"), status.alias("status"))
-    sound = mine.join(ids, "id", "left_anti").withColumn("status", F.lit("intact"))
-    both = sound.unionByName(found)
-    return both.select(F.when(F.col("id") != -1, F.col("id")).alias("page_id"), "n_bytes", F.col("digest").alias("sha256"), "copies", "status")
-
-
-#: The replica that the query audits: by id modulo DAMAGE, changed bytes, cut ends, lost records.
+    scratch = Scratch(archive.sparkSession, "warc")
+    mine, theirs = scratch.keep(leaves(archive), "mine"), scratch.keep(leaves(replica), "theirs")
+    ranges = differing(tree(mine, scratch), tree(theirs, scratch), scratch)
+    narrow = _path(F.col("volume"), F.col("offset"))["narrow"]
+    a = mine.withColumn("narrow", narrow).join(ranges, "narrow", "left_semi")
+    b = theirs.withColumn("narrow", narrow).join(ranges, "narrow", "left_semi").select("volume", "offset", "digest", "n_bytes", F.col("page_id").alias("id"), F.col("copies").alias("times"))
+    pairs = a.drop("narrow").join(b, ["volume", "offset", "digest", "n_bytes"], "full")
+    lone = pairs.filter("times is null or copies is null")
+    # Where only one side has the record: what stands at its offset, and elsewhere in its volume, on the other.
+    left, right = lone.filter("copies is not null"), lone.filter("copies is null")
+    at = right.select("volume", "offset", F.lit(True).alias("taken")).distinct()
+    elsewhere = right.select("volume", "digest", F.lit(True).alias("found")).distinct()
+    left = left.join(at, ["volume", "offset"], "left").join(elsewhere, ["volume", "digest"], "left")
+    status = F.when(F.col("found"), "moved").when(F.col("taken"), "changed").otherwise("missing")
+    left = left.select("page_id", "volume", "offset", "n_bytes", "digest", "copies", status.alias("status"))
+    here = lone.filter("copies is not null").select("volume", "offset").distinct()
+    known = lone.filter("copies is not null").select("volume", "digest").distinct()
+    right = right.join(here, ["volume", "offset"], "left_anti").join(known, ["volume", "digest"], "left_anti")
+    right = right.select(F.col("id").alias("page_id"), "volume", "offset", "n_bytes", "digest", F.col("times").alias("copies"), F.lit("extra").alias("status"))
+    both = pairs.filter("times is not null and copies is not null")
+    both = both.select("page_id", "volume", "offset", "n_bytes", "digest", "copies", F.when(F.col("copies") == F.col("times"), "intact").otherwise("copies").alias("status"))
+    sound = mine.withColumn("narrow", narrow).join(ranges, "narrow", "left_anti").drop("narrow").withColumn("status", F.lit("intact"))
+    return sound.unionByName(left).unionByName(right).unionByName(both).withColumnRenamed("digest", "sha256").select("page_id", "volume", "offset", "n_bytes", "sha256", "copies", "status")
+
+
+#: The replica that the query audits: by id modulo DAMAGE, a changed character, a blanked end, a lost record, one off its place.
 DAMAGE = 97
 
 
-def damaged(pages: DataFrame) -> DataFrame:
-    """A replica of the archive with damage planted by rule."""
+def damaged(archive: DataFrame) -> DataFrame:
+    """A replica of the archive with damage planted by rule; what is not hurt keeps its offset."""
     at = F.pmod(F.col("page_id"), F.lit(DAMAGE))
     record = F.col("record")
-    hurt = F.when(at == 7, F.overlay(record, F.lit("#"), 200)).when(at == 11, F.substring(record, F.lit(1), F.length(record) - 20)).otherwise(record)
-    return to_records(pages).filter(F.coalesce(at != 13, F.lit(True))).select("page_id", hurt.alias("record"))
+    hurt = F.when(at == 7, F.overlay(record, F.lit("#"), 200)).when(at == 11, F.rpad(F.substring(record, F.lit(1), F.length(record) - 20), F.length(record), F.lit("0"))).otherwise(record)
+    place = F.when(at == 17, F.col("offset") + 1).otherwise(F.col("offset"))
+    return archive.filter(F.coalesce(at != 13, F.lit(True))).select("volume", place.alias("offset"), "page_id", hurt.alias("record"))
 
 
 def fixity(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    return audit(to_records(pages), damaged(pages))
+    archive = Scratch(spark, "archive").keep(lay_out(to_records(pages)), "volumes")
+    return audit(archive, damaged(archive)).drop("copies")
 
 
 def oracle_sql() -> str:
@@ -176,7 +204,10 @@ WITH r AS (SELECT page_id, coalesce(html, '') AS body, coalesce(url, '') AS url,
 rec AS (SELECT page_id, '{VERSION}' || {line} || 'WARC-Type: resource' || {line} || 'WARC-Record-ID: <urn:uuid:'
   || concat_ws('-', substr(i, 1, 8), substr(i, 9, 4), substr(i, 13, 4), substr(i, 17, 4), substr(i, 21, 12)) || '>' || {line}
   || 'WARC-Target-URI: ' || url || {line} || 'WARC-Date: 2000-01-01T00:00:00Z' || {line} || 'Content-Type: text/html' || {line}
-  || 'Content-Length: ' || strlen(body)::VARCHAR || {line} || {line} || body || {line} || {line} AS record FROM r)
-SELECT page_id, strlen(record)::BIGINT AS n_bytes, sha256(record) AS sha256, count(*)::BIGINT AS copies,
-  CASE WHEN page_id % {DAMAGE} IN (7, 11) THEN 'changed' WHEN page_id % {DAMAGE} = 13 THEN 'missing' ELSE 'intact' END AS status
-FROM rec GROUP BY ALL"""
+  || 'Content-Length: ' || strlen(body)::VARCHAR || {line} || {line} || body || {line} || {line} AS record FROM r),
+h AS (SELECT page_id, strlen(record)::BIGINT AS n_bytes, sha256(record) AS sha256, floor(page_id / {PER_VOLUME}.0)::BIGINT AS span FROM rec),
+d AS (SELECT *, ('0x' || substr(sha256, 1, 8))::BIGINT % ceil(count(*) OVER (PARTITION BY span) / {CROWD * PER_VOLUME}.0)::BIGINT AS part FROM h),
+v AS (SELECT *, coalesce(span::VARCHAR, 'none') || '-' || part::VARCHAR AS volume FROM d)
+SELECT page_id, volume, coalesce(sum(n_bytes) OVER (PARTITION BY volume ORDER BY page_id, sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset, n_bytes, sha256,
+  CASE WHEN page_id % {DAMAGE} IN (7, 11) THEN 'changed' WHEN page_id % {DAMAGE} = 13 THEN 'missing' WHEN page_id % {DAMAGE} = 17 THEN 'moved' ELSE 'intact' END AS status
+FROM v"""

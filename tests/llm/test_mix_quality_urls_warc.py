@@ -184,15 +184,40 @@ def test_records_round_trip():
 
 
 def test_fixity(spark):
-    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i} é</p>" * 50) for i in range(500)] + [(3, "http://h/3", "other"), (3, "http://h/3", "other"), (None, None, None), (10**12, "u", "")], "page_id long, url string, html string")
-    records = warc.to_records(pages)
-    assert {r.status for r in warc.audit(records, records.repartition(3)).collect()} == {"intact"}
-    first = records.filter("page_id = 77").first()
-    fields, body = warc.parse_record(bytes(first.record, "utf-8"))
-    assert fields["warc-target-uri"] == "http://h/77" and body.decode() == "<p>77 é</p>" * 50
-    other = records.filter("page_id is null or page_id not in (5, 6)").unionByName(spark.createDataFrame([(6, "changed"), (900, "new")], "page_id long, record string"))
-    other = other.filter("page_id is null or page_id <> 3").unionByName(records.filter("page_id = 3").distinct())
-    found = {(r.page_id, r.status) for r in warc.audit(records, other).collect() if r.status != "intact"}
-    assert found == {(5, "missing"), (6, "changed"), (900, "extra"), (3, "copies")}
-    none = spark.createDataFrame([], "page_id long, record string")
+    rows = [(i, f"http://h/{i}", f"<p>{i} é</p>" * 50) for i in range(-3, 500)] + [(3, "http://h/3", "other"), (3, "http://h/3", "other"), (None, None, None), (None, "x", LONG), (10**12, "u", "")]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, volume string")
+    archive = warc.lay_out(warc.to_records(pages))
+    assert {r.status for r in warc.audit(archive, archive.repartition(3)).collect()} == {"intact"}
+    stored = archive.collect()
+    assert len(stored) == len(rows)
+    # Every volume is a WARC file: its records follow one another and are read back where they were put.
+    for volume in {r.volume for r in stored}:
+        part = sorted((r for r in stored if r.volume == volume), key=lambda r: r.offset)
+        found = warc.read_records(b"".join(r.record.encode() for r in part))
+        assert [at for at, _, _ in found] == [r.offset for r in part]
+        assert all(f["warc-target-uri"] in (f"http://h/{r.page_id}", "u") for (_, f, _), r in zip(found, part, strict=True) if r.page_id is not None)
+    assert len({r.volume for r in stored if r.page_id is None} & {r.volume for r in stored if r.page_id is not None}) == 0
+    rng = random.Random(6)
+    for damage in (0, 1, 5, 60):
+        kept, want = [], {}
+        for r in stored:
+            said = rng.choice(["changed", "missing", "moved", "copies", "shortened"]) if rng.random() < damage / len(stored) else "intact"
+            if sum((x.volume, x.record) == (r.volume, r.record) for x in stored) > 1:
+                said = "intact"
+            want[r.volume, r.offset] = {"shortened": "changed"}.get(said, said)
+            row = (r.volume, r.offset + (said == "moved"), r.page_id, {"changed": r.record[:50] + "~" + r.record[51:], "shortened": r.record[:-9]}.get(said, r.record))
+            kept += [] if said == "missing" else [row, row] if said == "copies" else [row]
+        kept.append(("0-0", 10**7, 7, "new"))
+        rng.shuffle(kept)
+        got = warc.audit(archive, spark.createDataFrame(kept, archive.schema)).collect()
+        assert {(r.volume, r.offset): r.status for r in got} == {**want, ("0-0", 10**7): "extra"} and len(got) == len(rows) + 1
+    none = archive.limit(0)
     assert warc.audit(none, none).count() == 0
+    assert {r.status for r in warc.audit(archive, none).collect()} == {"missing"}
+
+
+def test_a_crowded_id_is_dealt_over_volumes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "PER_VOLUME", 4)
+    pages = spark.createDataFrame([(1, "u", f"<p>{i}") for i in range(300)] + [(100, "u", "x")], "page_id long, url string, html string")
+    volumes = warc.lay_out(warc.to_records(pages)).groupBy("volume").count().collect()
+    assert len(volumes) > 10 and max(r["count"] for r in volumes) < 60
