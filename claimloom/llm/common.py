@@ -58,6 +58,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like this one that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Rows and bytes of an Arrow batch: a worker holds a few batches, so its memory does not hang on the texts' lengths.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 _DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": (str(64 << 20) + "b", BATCH_BYTES)}

@@ -1,17 +1,23 @@
 """Quality rules under weak supervision.
 
-Each rule votes good, votes bad or abstains. Expectation-maximisation over the counts of vote
-patterns (at most 3 ** rules of them, whatever the corpus) estimates each rule's accuracy for
-either class and the share of good documents; a document is kept if its posterior probability of
-being good reaches one half and it passes the base rules. The patterns are counted over all
-documents in one pass; a second pass applies the verdicts. No shuffle moves text.
-
-Defined cases: a null text has no words and fails the base rules; repeated rows get equal verdicts;
-an empty table gives an empty result; extra input columns are ignored (op) or kept (filter).
+Each rule votes or abstains: some vote bad where they find a defect, others good where they find a
+sign of good text. Expectation-maximisation over the counts of vote patterns (at most 2 ** rules of
+them, whatever the corpus) estimates, for good and for bad documents, how often each rule votes and
+abstains, and the share of good documents. It is run from several starts, of which the likeliest end
+counts. A rule that turns out to vote against its kind no less than for it says nothing. A document is kept if its posterior
+probability of being good reaches one half and it passes the base rules.
+
+Texts are analysed once: facts and vote patterns are written to a table, the patterns counted, and
+the verdicts looked up by pattern. No shuffle moves text.
+
+Defined cases: a null text has no words and fails the base rules; equal texts, repeated rows too,
+get equal verdicts; very long texts are analysed whole; an empty table gives an empty result; extra
+input columns are ignored (op) or kept (filter).
 """
 
 from __future__ import annotations
 
+import operator
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, bytes_of, mix64
+from .common import Scratch, WordHashes, arrow_map, bytes_of, free_name, mix64
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality double"
 WINDOW = 8
@@ -50,7 +56,7 @@ def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
 class Facts:
     """Counts of one text, from its UTF-8 bytes."""
 
-    __slots__ = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "top_word", "upper", "lower", "bangs")
+    __slots__ = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "top_word", "stutters", "upper", "lower", "bangs")
 
     def __init__(self, text: bytes, hashes: WordHashes):
         words = text.split()
@@ -62,6 +68,7 @@ class Facts:
         self.n_lines, self.n_dup_lines = len(lines), len(lines) - len(set(lines))
         self.n_repeat_words = repeated_words(hashes.of(words))
         self.top_word = max(Counter(words).values(), default=0)
+        self.stutters = sum(map(operator.eq, words, words[1:]))
         self.upper = len(solid) - len(solid.translate(None, _UPPER))
         self.lower = len(solid) - len(solid.translate(None, _LOWER))
         self.bangs = solid.count(b"!")
@@ -71,28 +78,33 @@ class Facts:
         return self.n_words < 20 or 100 * self.n_repeat_words > 30 * self.n_words
 
 
-def _between(x: float, bad_above: float, good_below: float) -> int:
-    return BAD if x > bad_above else GOOD if x < good_below else ABSTAIN
-
-
-#: name -> vote. Each sees a text of one word at least.
-RULES = {
-    "length": lambda f: BAD if f.n_words < 20 else GOOD if f.n_words >= 50 else ABSTAIN,
-    "symbols": lambda f: _between(f.n_symbols / f.n_words, 0.3, 0.1),
-    "duplicate_lines": lambda f: _between(f.n_dup_lines / f.n_lines, 0.3, 0.1) if f.n_lines > 3 else ABSTAIN,
-    "repetition": lambda f: _between(f.n_repeat_words / f.n_words, 0.2, 0.05) if f.n_words >= 20 else ABSTAIN,
-    "word_length": lambda f: GOOD if 2.5 <= f.word_chars / f.n_words <= 12 else BAD if not 1.5 <= f.word_chars / f.n_words <= 20 else ABSTAIN,
-    "one_word": lambda f: _between(f.top_word / f.n_words, 0.35, 0.15) if f.n_words >= 20 else ABSTAIN,
-    "capitals": lambda f: _between(f.upper / (f.upper + f.lower), 0.6, 0.25) if f.upper + f.lower >= 20 else ABSTAIN,
-    "exclamation": lambda f: _between(f.bangs / f.n_words, 0.4, 0.1),
+#: Rules that look for one defect each, and abstain where they do not find it. Each sees a text of one word at least.
+DEFECTS = {
+    "short": lambda f: f.n_words < 20,
+    "symbols": lambda f: f.n_symbols > 0.3 * f.n_words,
+    "duplicate_lines": lambda f: f.n_lines > 3 and f.n_dup_lines > 0.3 * f.n_lines,
+    "repetition": lambda f: f.n_repeat_words > 0.3 * f.n_words,
+    "word_length": lambda f: not 1.5 <= f.word_chars / f.n_words <= 20,
+    "one_word": lambda f: f.n_words >= 20 and f.top_word > 0.35 * f.n_words,
+    "stutter": lambda f: f.n_words >= 20 and f.stutters > 0.3 * f.n_words,
+    "capitals": lambda f: f.upper + f.lower >= 20 and f.upper > 0.6 * (f.upper + f.lower),
+    "exclamation": lambda f: f.bangs > 0.4 * f.n_words,
 }
+#: Rules that look for a sign of good text, and abstain where they do not find it.
+SIGNS = {
+    "long_enough": lambda f: f.n_words >= 50,
+    "plain": lambda f: f.n_symbols < 0.05 * f.n_words and f.bangs < 0.1 * f.n_words,
+    "varied": lambda f: f.n_words >= 20 and f.top_word < 0.15 * f.n_words and f.n_repeat_words < 0.05 * f.n_words,
+    "words": lambda f: 2.5 <= f.word_chars / f.n_words <= 12,
+}
+RULES = [(rule, BAD) for rule in DEFECTS.values()] + [(rule, GOOD) for rule in SIGNS.values()]
 
 
 def pattern_of(facts: Facts) -> int:
     """All votes as one number in base 3."""
     out = 0
-    for rule in RULES.values():
-        out = 3 * out + (rule(facts) if facts.n_words else ABSTAIN)
+    for rule, vote in RULES:
+        out = 3 * out + (vote if facts.n_words and rule(facts) else ABSTAIN)
     return out
 
 
@@ -101,74 +113,98 @@ def votes_of(patterns: np.ndarray) -> np.ndarray:
     return patterns[:, None] // 3 ** np.arange(m - 1, -1, -1) % 3
 
 
+#: For bad and for good documents, the votes (abstain, bad, good) of each rule before any is seen, which count as PRIOR_VOTES.
+_OF_DEFECTS, _OF_SIGNS = [[0.7, 0.3, 0.0], [0.995, 0.005, 0.0]], [[0.6, 0.0, 0.4], [0.15, 0.0, 0.85]]
+PRIOR, PRIOR_VOTES = np.array([_OF_DEFECTS if vote == BAD else _OF_SIGNS for _, vote in RULES]).transpose(1, 0, 2), 10.0
+#: A rule finds its defect in so many good documents at most. Defects seldom come together, so that agreement alone would
+#: not tell a rare defect from a rare but good kind of text.
+FALSE = 0.005
+#: Shares of good documents from which the estimation starts.
+STARTS = (0.5, 0.8, 0.95)
+
+
+def _log(table: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(table, 1e-300))
+
+
 class LabelModel:
-    """Class share and, for each rule and class, the probability that a vote cast names the class."""
-
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 50, prior_votes: float = 20.0):
-        self.share, self.accuracy = 0.8, np.full((len(RULES), 2), 0.8)
-        votes, total = votes_of(patterns), counts.sum()
-        for _ in range(rounds if total else 0):
-            good = self.posterior(votes)
-            for c, weight in ((0, (1 - good) * counts), (1, good * counts)):
-                cast = weight @ (votes != ABSTAIN)
-                agree = weight @ (votes == (GOOD if c else BAD))
-                # A rule is taken to be better than chance: without votes its accuracy is 0.8.
-                self.accuracy[:, c] = np.clip((agree + 0.8 * prior_votes) / (cast + prior_votes), 0.5, 0.995)
-            self.share = float(np.clip((good @ counts + 8) / (total + 10), 0.05, 0.99))
+    """Share of good documents and, for each class and rule, the probabilities of its votes."""
+
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 500):
+        cast = (votes_of(patterns)[:, :, None] == np.arange(3)).astype(float)  # pattern, rule, vote
+        ends = [self._estimate(cast, counts, share, rounds) for share in STARTS] if counts.sum() else [(0.0, 0.8, PRIOR)]
+        best = max(end[0] for end in ends)
+        _, self.share, self.votes = next(end for end in ends if end[0] >= best - 1e-6 * abs(best))
+
+    @staticmethod
+    def _estimate(cast: np.ndarray, counts: np.ndarray, share: float, rounds: int) -> tuple[float, float, np.ndarray]:
+        """Log-posterior, share of good documents and probabilities (class, rule, vote) where it ends."""
+        total, before, table = counts.sum(), -np.inf, PRIOR
+        for _ in range(rounds):
+            joint = np.einsum("prv,crv->pc", cast, _log(table)) + np.log([1 - share, share])
+            top = joint.max(1)
+            whole = top + np.log(np.exp(joint - top[:, None]).sum(1))
+            now = whole @ counts + PRIOR_VOTES * (PRIOR * _log(table)).sum() + 2 * np.log(1 - share) + 8 * np.log(share)
+            if now - before < 1e-10 * abs(now):
+                break
+            before = now
+            weight = np.exp(joint - whole[:, None]) * counts[:, None]
+            seen = np.einsum("pc,prv->crv", weight, cast)
+            table = (seen + PRIOR_VOTES * PRIOR) / (seen.sum(2, keepdims=True) + PRIOR_VOTES)
+            over = table[1, :, BAD] > FALSE
+            table[1, over] = [1 - FALSE, FALSE, 0.0]
+            idle = (table[0, :, BAD] < table[1, :, BAD]) | (table[0, :, GOOD] > table[1, :, GOOD])
+            table[:, idle] = (seen.sum(0) + PRIOR_VOTES * PRIOR.mean(0))[idle] / (total + PRIOR_VOTES)
+            share = (weight[:, 1].sum() + 8) / (total + 10)
+        return now, share, table
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        bad, good = self.accuracy[:, 0], self.accuracy[:, 1]
-        for_bad = np.where(votes == BAD, np.log(bad), np.where(votes == GOOD, np.log1p(-bad), 0)).sum(1) + np.log1p(-self.share)
-        for_good = np.where(votes == GOOD, np.log(good), np.where(votes == BAD, np.log1p(-good), 0)).sum(1) + np.log(self.share)
-        return 1 / (1 + np.exp(np.clip(for_bad - for_good, -500, 500)))
+        """Of being good."""
+        by_rule = _log(self.votes)[:, np.arange(len(RULES)), votes].sum(2)
+        bad, good = by_rule + np.log([[1 - self.share], [self.share]])
+        return 1 / (1 + np.exp(np.clip(bad - good, -500, 500)))
 
 
-def _texts(documents: DataFrame, *keep: str) -> DataFrame:
-    return documents.select(*keep, F.col("text").cast("binary").alias("text"))
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, found = WordHashes(), Counter()
+def _analyse(batches: Iterator[pa.RecordBatch], keep: list[str], counts: tuple[str, ...], failed: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Columns keep, the counts named, whether the base rules fail, and the vote pattern."""
+    hashes = WordHashes()
     for batch in batches:
-        found.update(pattern_of(Facts(t or b"", hashes)) for t in bytes_of(batch.column("text")))
-    yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], ["pattern", "n"])
+        facts = [Facts(t or b"", hashes) for t in bytes_of(batch.column("text"))]
+        columns = [pa.array([getattr(f, n) for f in facts], pa.int64()) for n in counts]
+        columns += [pa.array([f.base_failed for f in facts], pa.bool_()), pa.array(map(pattern_of, facts), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], [*keep, *counts, failed, pattern])
 
 
-def fit(documents: DataFrame) -> dict[int, float]:
-    """Posterior quality of every vote pattern that occurs."""
-    rows = arrow_map(_texts(documents), _count_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
-    patterns, counts = np.array([r.pattern for r in rows], np.int64), np.array([r.n for r in rows], np.float64)
+def posteriors(profiles: DataFrame, pattern: str) -> dict[int, float]:
+    """Posterior quality of every vote pattern that occurs: 2 ** len(RULES) at most."""
+    rows = profiles.groupBy(pattern).agg(F.count(F.lit(1)).alias("n")).orderBy(pattern).collect()
+    patterns, counts = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
     return dict(zip(patterns.tolist(), LabelModel(patterns, counts).posterior(votes_of(patterns)).tolist(), strict=True))
 
 
-def judge(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """What SCHEMA lists, for every document."""
-    quality = fit(documents)
+def _with_quality(profiles: DataFrame, pattern: str, quality: str) -> DataFrame:
+    """profiles with the posterior of each row's pattern, from a broadcast table of 2 ** len(RULES) rows at most."""
+    table = profiles.sparkSession.createDataFrame(list(posteriors(profiles, pattern).items()), f"`{pattern}` long, `{quality}` double")
+    return profiles.join(F.broadcast(table), pattern)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            facts = [Facts(t or b"", hashes) for t in bytes_of(batch.column("text"))]
-            score = [quality[pattern_of(f)] for f in facts]
-            names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-            columns = [pa.array([getattr(f, n) for f in facts], pa.int64()) for n in names]
-            failed = [f.base_failed for f in facts]
-            kept = [not b and q >= threshold for b, q in zip(failed, score, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *columns, pa.array(failed), pa.array(kept), pa.array(score, pa.float64())], ["doc_id", *names, "base_failed", "kept", "quality"]
-            )
 
-    return arrow_map(_texts(documents, F.col("doc_id").cast("long").alias("doc_id")), run, SCHEMA)
+def judge(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """What SCHEMA lists, for every document."""
+    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    schema = "doc_id long, " + ", ".join(f"{n} long" for n in COUNTS) + ", base_failed boolean, pattern long"
+    profiles = Scratch(documents.sparkSession, "quality").keep(arrow_map(slim, lambda bs: _analyse(bs, ["doc_id"], COUNTS, "base_failed", "pattern"), schema), "profiles")
+    kept = (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept")
+    return _with_quality(profiles, "pattern", "quality").select("doc_id", *COUNTS, "base_failed", kept, "quality")
 
 
 def keep_good(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents kept, whole and with all their columns."""
-    quality = fit(documents)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            facts = (Facts(t or b"", hashes) for t in bytes_of(batch.column("text")))
-            yield batch.filter(pa.array([not f.base_failed and quality[pattern_of(f)] >= threshold for f in facts], pa.bool_()))
-
-    return arrow_map(documents, run, documents.schema)
+    failed, pattern, quality = (free_name(documents, n) for n in ("failed", "pattern", "quality"))
+    schema = documents.schema.add(failed, "boolean").add(pattern, "long")
+    names = documents.columns
+    profiles = Scratch(documents.sparkSession, "quality").keep(arrow_map(documents, lambda bs: _analyse(bs, names, (), failed, pattern), schema), "profiles")
+    kept = _with_quality(profiles, pattern, quality).filter(~F.col(failed) & (F.col(quality) >= threshold))
+    return kept.select(*(F.col(f"`{c}`") for c in names))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -68,12 +69,12 @@ def test_rows_of_one_id_and_size_are_taken_as_planned(spark):
 
 def test_quality_counts(spark):
     texts = [" ".join("abcdefghij") * 3, "x y\nx y\n\n\nz\nx y", "# $ a|b <c> 100%", ("lorem ipsum dolor sit amet consectetur adipiscing elit " * 4).strip(), "Ünï\u00a0code\x0bw"]
-    rows = [r for r in AWKWARD if r[1] != LONG] + [(100 + i, t) for i, t in enumerate(texts)]
-    got = quality.judge(documents(spark, rows, ["kept", "n_words"])).collect()
+    rows = AWKWARD + [(100 + i, t) for i, t in enumerate(texts)]
+    got = quality.judge(documents(spark, rows, ["kept", "n_words", "pattern"])).collect()
     assert len(got) == len(rows)
     for r in got:
         for t in {t for i, t in rows if i == r.doc_id}:
-            want = brute(t)
+            want = (60000, len(LONG.replace(" ", "")), 0, 0, 0) if t == LONG else brute(t)
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
             assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and (not r.kept or not r.base_failed)
     assert quality.judge(documents(spark, [])).count() == 0
@@ -90,6 +91,52 @@ def test_rules_are_weighed(spark):
     assert kept == {r.doc_id for r in quality.judge(df).collect() if r.kept}
 
 
+def brute_kept(votes):
+    """Expectation-maximisation document by document; votes: of each document, 0, 1 (bad) or 2 (good) of each rule."""
+    rules = len(votes[0])
+    ends = []
+    for share in (0.5, 0.8, 0.95):
+        bad_of, good_of = ([[quality.PRIOR[c][r][v] for v in range(3)] for r in range(rules)] for c in (0, 1))
+        for _ in range(400):
+            posterior, whole = [], 0.0
+            for row in votes:
+                good = share * math.prod(good_of[r][v] for r, v in enumerate(row))
+                bad = (1 - share) * math.prod(bad_of[r][v] for r, v in enumerate(row))
+                posterior.append(good / (good + bad))
+                whole += math.log(good + bad)
+            prior = sum(10 * quality.PRIOR[c][r][v] * math.log(max(t[r][v], 1e-300)) for c, t in ((0, bad_of), (1, good_of)) for r in range(rules) for v in range(3))
+            end = whole + prior + 2 * math.log(1 - share) + 8 * math.log(share), posterior
+            n = [len(votes) - sum(posterior), sum(posterior)]
+            for r in range(rules):
+                count = [[sum(1 - p for p, row in zip(posterior, votes) if row[r] == v) for v in range(3)], [sum(p for p, row in zip(posterior, votes) if row[r] == v) for v in range(3)]]
+                new = [[(count[c][v] + 10 * quality.PRIOR[c][r][v]) / (n[c] + 10) for v in range(3)] for c in (0, 1)]
+                if new[1][1] > 0.005:
+                    new[1] = [0.995, 0.005, 0.0]
+                if new[0][1] < new[1][1] or new[0][2] > new[1][2]:
+                    new = [[(count[0][v] + count[1][v] + 5 * (quality.PRIOR[0][r][v] + quality.PRIOR[1][r][v])) / (len(votes) + 10) for v in range(3)]] * 2
+                bad_of[r], good_of[r] = new
+            share = (n[1] + 8) / (len(votes) + 10)
+        ends.append(end)
+    return max(ends, key=lambda e: e[0])[1]
+
+
+def test_verdicts_equal_brute_force(spark):
+    rng = random.Random(12)
+    vocabulary = [f"word{i}" for i in range(300)]
+    kinds = [lambda ws: " ".join(ws), lambda ws: " ".join(w + "###" for w in ws), lambda ws: " ".join(w.upper() + "!!" for w in ws), lambda ws: " ".join(w for w in ws[:8] for _ in range(9)), lambda ws: " | ".join(ws), lambda ws: " ".join(ws[:30])]
+    texts = [rng.choice(kinds[:1] * 9 + kinds)(rng.choices(vocabulary, k=rng.randint(30, 90))) for _ in range(250)]
+    rows = list(enumerate([*texts, *texts[:5], None, "", "few words"]))
+    got = {r.doc_id: r for r in quality.judge(documents(spark, rows)).collect()}
+    facts = [quality.Facts((t or "").encode(), WordHashes()) for _, t in rows]
+    votes = [quality.votes_of(np.array([quality.pattern_of(f)]))[0].tolist() for f in facts]
+    want = brute_kept(votes)
+    assert [got[i].quality for i, _ in rows] == pytest.approx(want, abs=1e-4)
+    assert all(got[i].kept == (not got[i].base_failed and got[i].quality >= 0.5) for i, _ in rows)
+    assert sum(not r.kept and not r.base_failed for r in got.values()) > 20
+    clean = {i for i, t in enumerate(texts) if set(t) <= set("word0123456789 ") and t.split()[0] != t.split()[1]}
+    assert all(got[i].kept for i in clean)
+
+
 def test_repeated_words_of_any_sequence():
     rng = random.Random(2)
     hashes = WordHashes()
