@@ -6,12 +6,15 @@ by highest quotients target / (2 k + 1), and each source's blocks beyond whole e
 shards in the same way, by shard size. A shard lays its documents out in seeded order and gives
 the run of blocks that begins at a seeded offset.
 
-Only per-source and per-shard totals reach the driver; a shard holds about SHARD words, so a
-source of any size is spread over as many shards. Documents move once, as (id, source, size).
+Only totals of sources and shards reach the driver. A shard holds SHARD words, or more where the
+corpus would have over SHARDS of them. Documents move once, as (id, source, size). To apply a plan,
+no text moves: the run that a shard gives is an interval of the seeded order, whose ends are
+broadcast (two intervals a shard at most), and a row's place in that order is computed from the row.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order;
-repeated rows are documents of their own; no documents, or none with words, give targets of 0;
-extra input columns are ignored (plan) or kept (apply).
+repeated rows are documents of their own; very long texts count whole, and are taken whole or not
+(apply); no documents, or none with words, give targets of 0; extra input columns, whatever their
+names, are ignored (plan) or kept (apply).
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from .common import WORD, Scratch
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
 BLOCK = 16
-SHARD = 1_000_000
+SHARD, SHARDS = 1_000_000, 20_000
 SEED = "mix-1"
 
 
@@ -86,48 +89,106 @@ def _number(hexes: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(hexes, 1, digits), 16, 10).cast("long")
 
 
-def plan_mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK, shard: int = SHARD, seed: str = SEED) -> DataFrame:
+class Mix:
+    """The plan of a mix: totals and quotas on the driver, and every document's part in tables."""
+
+    def __init__(self, documents: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, block: int = BLOCK, shard: int = SHARD, seed: str = SEED):
+        spark, self.block, self.seed = documents.sparkSession, block, seed
+        self.scratch = Scratch(spark, "mix")
+        self.slim = self.scratch.keep(documents.select(*self._keys()), "sizes")
+        sources = self.slim.groupBy("source").agg(F.sum("size").alias("n")).collect()
+        sources.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
+        sizes = [r.n for r in sources]
+        wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], epochs)
+        won = sainte_lague(sum(sizes) // block, wanted)
+        shard = max(shard, -(-sum(sizes) // SHARDS))
+        table = []
+        for r, target, blocks in zip(sources, wanted, won, strict=True):
+            whole = min(epochs, blocks * block // r.n) if r.n else 0
+            rest = (blocks * block - whole * r.n) // block if r.n and whole < epochs else 0
+            table.append((r.source, r.n, float(target), int(whole), int(rest), max(1, -(-r.n // shard))))
+        #: One row a source.
+        self.sources = spark.createDataFrame(table, "of string, source_size long, target double, epochs long, blocks long, shards long")
+        # Shards of sources that have blocks to give beyond whole epochs.
+        held = self._dealt(self.slim).filter("blocks > 0").groupBy("source", "shard").agg(F.sum("size").alias("n"), F.first("blocks").alias("blocks")).collect()
+        by_source: dict = {}
+        for r in sorted(held, key=lambda r: r.shard):
+            by_source.setdefault(r.source, []).append(r)
+        quotas = []
+        for source, rows in by_source.items():
+            for r, q in zip(rows, sainte_lague(rows[0].blocks, [float(r.n) for r in rows]), strict=True):
+                full = -(-r.n // block)
+                quotas.append((source, r.shard, int(full), int(min(q, full))))
+        #: One row a shard, SHARDS and one a source at most.
+        self.quotas = spark.createDataFrame(quotas, "of string, nth long, full long, quota long")
+
+    @staticmethod
+    def _keys() -> list[Column]:
+        """What places a row: rows that agree in all of these have one text."""
+        return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash")]
+
+    def _dealt(self, keyed: DataFrame) -> DataFrame:
+        """With its source's figures, its place in the seeded order and its shard."""
+        out = keyed.join(F.broadcast(self.sources), keyed.source.eqNullSafe(self.sources.of)).drop("of")
+        out = out.withColumn("place", _place(F.col("doc_id"), F.col("source"), self.seed))
+        return out.withColumn("shard", _number(F.col("place")) % F.col("shards"))
+
+    def _with_quota(self, dealt: DataFrame) -> DataFrame:
+        on = dealt.source.eqNullSafe(self.quotas.of) & (dealt.shard == self.quotas.nth)
+        return dealt.join(F.broadcast(self.quotas), on, "left").drop("of", "nth")
+
+    def laid(self) -> DataFrame:
+        """Every document with rest, the words that its shard's run has of it, and seg, the part of the run it lies in."""
+        start = F.sum("size").over(Window.partitionBy("source", "shard").orderBy("place", "size", "hash").rowsBetween(Window.unboundedPreceding, -1))
+        laid = self._with_quota(self._dealt(self.slim).withColumn("s", F.coalesce(start, F.lit(0))))
+        # The run of blocks [first, first + quota), round the end of the shard.
+        named = F.concat_ws("|", F.lit(self.seed), F.lit("shard"), F.coalesce("source", F.lit("")), F.col("shard").cast("string"))
+        first = _number(F.md5(named.cast("binary"))) % F.greatest("full", F.lit(1))
+        laid = laid.withColumn("lo", first * self.block).withColumn("hi", (first + F.col("quota")) * self.block).withColumn("e", F.col("s") + F.col("size"))
+        around = F.col("hi") - F.col("full") * self.block
+        common = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col("e"), hi) - F.greatest(F.col("s"), lo))
+        main = F.coalesce(common(F.col("lo"), F.col("hi")), F.lit(0))
+        rest = main + F.coalesce(common(F.lit(0), around), F.lit(0))
+        return laid.withColumns({"seg": F.when(main > 0, 1).otherwise(2), "rest": rest.cast("long")})
+
+    def plan(self) -> DataFrame:
+        taken = (F.col("epochs") * F.col("size") + F.col("rest")).cast("long").alias("taken")
+        return self.laid().select("doc_id", "source", "size", "source_size", "target", "epochs", "rest", taken)
+
+    def applied(self, documents: DataFrame) -> DataFrame:
+        """The documents, each as often as it is taken."""
+        key = F.struct("place", "size", "hash")
+        more = (F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size"))
+        laid = self.laid().select("source", "shard", "seg", key.alias("key"), more.alias("more"))
+        runs = laid.filter("more").groupBy("source", "shard", "seg").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+        runs = self.scratch.keep(runs.groupBy(F.col("source").alias("of"), F.col("shard").alias("nth")).agg(F.collect_list(F.struct("low", "high")).alias("runs")), "runs")
+        on = lambda df: df.source.eqNullSafe(runs.of) & (df.shard == runs.nth)
+        # Equal rows at a run's end of which it takes some: rare, and told apart by number.
+        ends = laid.join(F.broadcast(runs), on(laid)).filter(F.exists("runs", lambda r: (r.low == F.col("key")) | (r.high == F.col("key"))))
+        ends = ends.groupBy("source", "key").agg(F.count_if("more").alias("some"), F.count(F.lit(1)).alias("all")).filter("some < all")
+        ends = self.scratch.keep(ends.withColumnsRenamed({"source": "from", "key": "edge"}), "ends")
+        rows = self._dealt(documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), *self._keys())).withColumn("key", key)
+        rows = rows.join(F.broadcast(runs), on(rows), "left")
+        inside = F.coalesce(F.exists("runs", lambda r: F.col("key").between(r.low, r.high)), F.lit(False)) & (F.col("size") > 0)
+        rows = rows.select("row", "source", "key", "epochs", inside.alias("inside"))
+        times = F.col("epochs") + F.col("inside").cast("int")
+        if ends.limit(1).count():
+            uneven = rows.join(F.broadcast(ends), rows.source.eqNullSafe(ends["from"]) & (rows.key == ends.edge))  # two a shard at most
+            nth = F.row_number().over(Window.partitionBy("source", "key").orderBy(F.lit(0)))
+            uneven = uneven.select("row", (F.col("epochs") + (nth <= F.col("some")).cast("int")).alias("times"))
+            even = rows.join(F.broadcast(ends), rows.source.eqNullSafe(ends["from"]) & (rows.key == ends.edge), "left_anti")
+            taken = even.select("row", times.alias("times")).unionByName(uneven)
+        else:
+            taken = rows.select("row", times.alias("times"))
+        return taken.filter("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+
+
+def plan_mix(documents: DataFrame, **options) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, rest, taken for every row.
 
     taken = epochs * size + rest; rest is what the run of blocks holds of the document.
     """
-    spark = documents.sparkSession
-    scratch = Scratch(spark, "mix")
-    slim = scratch.keep(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
-    sources = slim.groupBy("source").agg(F.sum("size").alias("n")).collect()
-    sources.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
-    sizes = [r.n for r in sources]
-    wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], epochs)
-    won = sainte_lague(sum(sizes) // block, wanted)
-    table = []
-    for r, target, blocks in zip(sources, wanted, won, strict=True):
-        whole = min(epochs, blocks * block // r.n) if r.n else 0
-        rest = (blocks * block - whole * r.n) // block if r.n and whole < epochs else 0
-        table.append((r.source, r.n, float(target), int(whole), int(rest), max(1, -(-r.n // shard))))
-    known = spark.createDataFrame(table, "source string, source_size long, target double, epochs long, blocks long, shards long")
-    laid = slim.join(known, slim.source.eqNullSafe(known.source)).drop(known.source).withColumn("place", _place(F.col("doc_id"), F.col("source"), seed))
-    laid = laid.withColumn("shard", _number(F.col("place")) % F.col("shards"))
-    # Shards of sources that have blocks to give beyond whole epochs.
-    held = laid.filter("blocks > 0").groupBy("source", "shard").agg(F.sum("size").alias("n"), F.first("blocks").alias("blocks")).collect()
-    by_source: dict = {}
-    for r in sorted(held, key=lambda r: r.shard):
-        by_source.setdefault(r.source, []).append(r)
-    quotas = []
-    for source, rows in by_source.items():
-        for r, q in zip(rows, sainte_lague(rows[0].blocks, [float(r.n) for r in rows]), strict=True):
-            full = -(-r.n // block)
-            quotas.append((source, r.shard, int(full), int(min(q, full))))
-    given = spark.createDataFrame(quotas, "source string, shard long, full long, quota long")
-    start = F.sum("size").over(Window.partitionBy("source", "shard").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1))
-    laid = laid.withColumn("s", F.coalesce(start, F.lit(0)))
-    laid = laid.join(given, laid.source.eqNullSafe(given.source) & (laid.shard == given.shard), "left").drop(given.source, given.shard)
-    # The run of blocks [first, first + quota), round the end of the shard.
-    first = _number(F.md5(F.concat_ws("|", F.lit(seed), F.lit("shard"), F.coalesce("source", F.lit("")), F.col("shard").cast("string")).cast("binary"))) % F.greatest("full", F.lit(1))
-    laid = laid.withColumn("lo", first * block).withColumn("hi", (first + F.col("quota")) * block).withColumn("e", F.col("s") + F.col("size"))
-    around = F.col("hi") - F.col("full") * block
-    common = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col("e"), hi) - F.greatest(F.col("s"), lo))
-    rest = F.coalesce(common(F.col("lo"), F.col("hi")) + common(F.lit(0), around), F.lit(0))
-    return laid.select("doc_id", "source", "size", "source_size", "target", "epochs", rest.cast("long").alias("rest"), (F.col("epochs") * F.col("size") + rest).cast("long").alias("taken"))
+    return Mix(documents, **options).plan()
 
 
 def mix_digest(documents: DataFrame, **options) -> DataFrame:
@@ -140,23 +201,7 @@ def apply_mix(documents: DataFrame, **options) -> DataFrame:
     A document in which the run of blocks begins or ends is taken once more if half of its words or
     more lie in the run.
     """
-    plan = plan_mix(documents, **options)
-    times = F.col("epochs") + F.when((F.col("rest") > 0) & (2 * F.col("rest") >= F.col("size")), 1).otherwise(0)
-    # Rows of one id, source and size share what is planned for them; in order of their texts where it differs.
-    key = {"__id": F.col("doc_id").cast("long"), "__source": F.col("source").cast("string")}
-    chosen = plan.groupBy(*(v.alias(k) for k, v in key.items()), F.col("size").alias("__size")).agg(F.min(times).cast("int").alias("__n"), F.max(times).cast("int").alias("__most"), F.sum(times).alias("__sum"), F.count(F.lit(1)).alias("__rows"))
-    chosen = Scratch(documents.sparkSession, "chosen").keep(chosen.filter("__most > 0"), "times")
-    keyed = documents.withColumns({**key, "__size": word_count(F.col("text"))})
-    on = [keyed[c].eqNullSafe(chosen[c]) for c in ("__id", "__source", "__size")]
-    taken = keyed.join(chosen, on).drop(*(chosen[c] for c in ("__id", "__source", "__size")))
-    uneven = F.col("__n") < F.col("__most")
-    if chosen.filter(uneven).limit(1).count():
-        nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64("text")))
-        dealt = F.floor(F.col("__sum") / F.col("__rows")) + F.when(nth <= F.col("__sum") % F.col("__rows"), 1).otherwise(0)
-        dealt = taken.filter(uneven).withColumn("__n", dealt.cast("int")).filter("__n > 0")
-        taken = taken.filter(~uneven).unionByName(dealt)
-    taken = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return taken.select(*(F.col(f"`{c}`") for c in documents.columns))
+    return Mix(documents, **options).applied(documents)
 
 
 def oracle_sql() -> str:
@@ -175,7 +220,7 @@ s4 AS (SELECT *, t - coalesce((sum({EPOCHS} * n) FILTER (full_) OVER ()), 0) AS
 s5 AS (SELECT source, k, n, t, CASE WHEN full_ THEN ({EPOCHS} * n)::DOUBLE ELSE (w * remains)::DOUBLE / wsum::DOUBLE END AS target FROM s4),
 q AS (SELECT k, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, k) AS nth, t FROM (SELECT *, unnest(range(0, {EPOCHS} * n // {BLOCK} + 3)) AS i FROM s5) WHERE target > 0),
 s6 AS (SELECT s5.*, coalesce(x.won, 0) AS won FROM s5 LEFT JOIN (SELECT k, count(*) AS won FROM q WHERE nth <= t // {BLOCK} GROUP BY k) x ON x.k = s5.k),
-s7 AS (SELECT *, CASE WHEN n > 0 THEN least({EPOCHS}, won * {BLOCK} // n) ELSE 0 END AS epochs, greatest(1, (n + {SHARD} - 1) // {SHARD}) AS shards FROM s6),
+s7 AS (SELECT *, CASE WHEN n > 0 THEN least({EPOCHS}, won * {BLOCK} // n) ELSE 0 END AS epochs, greatest(1, (n + size - 1) // size) AS shards FROM (SELECT *, greatest({SHARD}, (t + {SHARDS} - 1) // {SHARDS})::BIGINT AS size FROM s6)),
 s8 AS (SELECT *, CASE WHEN n > 0 AND epochs < {EPOCHS} THEN (won * {BLOCK} - epochs * n) // {BLOCK} ELSE 0 END AS blocks FROM s7),
 l AS (SELECT d.*, s8.n, s8.target, s8.epochs, s8.blocks, {number.format('place')} % s8.shards AS shard FROM d JOIN s8 ON d.source IS NOT DISTINCT FROM s8.source),
 h0 AS (SELECT source, shard, sum(size) AS n, any_value(blocks) AS blocks FROM l WHERE blocks > 0 GROUP BY ALL),

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .common import Scratch, WordHashes, arrow_map, bytes_of, free_name, mix64
 
@@ -203,7 +204,7 @@ def judge(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
 def keep_good(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents kept, whole and with all their columns."""
     failed, pattern, quality = (free_name(documents, n) for n in ("failed", "pattern", "quality"))
-    schema = documents.schema.add(failed, "boolean").add(pattern, "long")
+    schema = StructType([*documents.schema, StructField(failed, BooleanType()), StructField(pattern, LongType())])
     names = documents.columns
     profiles = Scratch(documents.sparkSession, "quality").keep(arrow_map(documents, lambda bs: _analyse(bs, names, (), failed, pattern), schema), "profiles")
     kept = _with_quality(profiles, pattern, quality).filter(~F.col(failed) & (F.col(quality) >= threshold))

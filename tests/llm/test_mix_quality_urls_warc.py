@@ -44,6 +44,24 @@ def test_mix(spark):
     assert {r.taken for r in mixing.mix_digest(documents(spark, [(1, None), (2, "")])).collect()} == {0}
 
 
+def test_the_mix_is_applied_as_planned(spark, monkeypatch):
+    import collections
+
+    rng = random.Random(15)
+    monkeypatch.setattr(mixing, "SHARDS", 6)
+    for shard in (300, 10**6):
+        rows = [(i, " ".join(rng.choices("abc", k=rng.randint(0, 40))), rng.choice(["a", "a", "b", None])) for i in range(120)] + [(7, "same text here", "a")] * 40 + [(None, "x " * 30, None)] * 20 + [(8, LONG, "b"), (9, None, "a")]
+        rng.shuffle(rows)
+        docs = documents(spark, rows, ["row", "times", "place", "__id"])
+        plan = mixing.plan_mix(docs, shard=shard).collect()
+        want = collections.Counter()
+        for r in plan:
+            want[r.doc_id, r.source, r.size] += r.epochs + (r.rest > 0 and 2 * r.rest >= r.size)
+        out = mixing.apply_mix(docs, shard=shard)
+        got = collections.Counter((r.doc_id, r.source, len(words(r.text))) for r in out.collect())
+        assert out.columns == docs.columns and got == +want and {r.row for r in out.select("row").collect()} == {"clash"}
+
+
 def brute(text):
     ws = words(text)
     lines = (text or "").split("\n")
