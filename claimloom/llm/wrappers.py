@@ -3,21 +3,26 @@
 A page is a stream of structural tags and text slots; inline markup belongs to the text around it.
 For every host a union-free regular expression is inferred: starting from one page it is aligned
 with one more page after another. Equal tags match; runs of like siblings, and runs of like groups
-of siblings, become repeated groups; what only some pages have becomes optional; texts
-become slots. A slot in the wrapper is content or boilerplate by where it stands; where a page has
-an article, only slots inside it are content. A page is matched against its host's wrapper and takes
-each block's role from the slot it falls on; blocks that the wrapper never saw are judged by where
-they stand. Elsewhere a block is dropped if its text is the template's: the one text that SHARE of
-the host's different pages, LEAST at the fewest, have in its slot, which no page repeats. Pages that
-have the same texts outside boilerplate are copies and count once; without any such text, not at all.
+of siblings, become repeated groups; what only some pages have becomes optional; texts become slots.
+
+What a slot is follows from the texts that all pages of the host have in it: their length, how much
+of it is link text, and whether it is the template's, the one text that SHARE of the host's
+different pages (LEAST at the fewest) have there. From the top, the content is looked for in the one
+child that holds DOMINANT of the running text, until it is spread over several; there is the host's
+article, and what stands beside it is not content. Lists of links are none, nor are elements that
+their tags or names call menus, adverts, comments and the like, unless they hold nearly all of the
+host's text or its article. A tag article or main is the content where the texts leave it open. A
+page is matched against its host's wrapper and takes each block's role from the slot it falls on.
+Pages that have the same texts outside named boilerplate are copies and count once.
 
 All pages of a host are aligned and counted. Aligning takes each folded shape once, in SALTS groups
 by hash and then group by group, in an order that depends on the shapes only. Texts are counted by
-their hashes, so no host is in one place. Models are broadcast while they have under BROADCAST bytes
-altogether and joined by host beyond.
+their hashes and lengths, so no host is in one place. Models are broadcast while they have under
+BROADCAST bytes altogether and joined by host beyond.
 
-Defined cases: null and empty pages have empty text; truncated markup is closed where it ends;
-pages without a host share one wrapper; repeated rows repeat; extra columns are ignored.
+Defined cases: null and empty pages have empty text; truncated markup is closed where it ends; very
+long pages are read whole, very long rows of siblings aligned greedily; pages without a host share
+one wrapper; repeated rows repeat; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import html as entities
 import json
 import pickle
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -39,20 +45,30 @@ from .urls import host_and_path
 
 SALTS, BROADCAST = 64, 16_000_000
 SHARE, LEAST = 0.9, 3
+#: Of an element's running text: what one child must hold to be where the content is, and what a named one must hold not to be boilerplate.
+DOMINANT, NEARLY_ALL = 0.75, 0.85
+#: Of an element's text: what links make up in a list of links.
+LINKED = 0.8
 #: Elements nested deeper are read as part of the one around them.
 DEPTH = 100
+#: Pairs of siblings that are aligned by a longest common subsequence.
+PAIRS = 250_000
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup or no text of the page.
-RAW = frozenset("script style textarea title noscript template iframe svg math canvas object select option".split())
+RAW = frozenset("script style textarea title noscript template iframe svg math canvas object select".split())
+#: Those of them that run to the end of the page if they are not closed.
+ENDLESS = frozenset("script style textarea title template".split())
 #: A start tag that closes an open element of these kinds, up to the list, table or section it is in.
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+CLOSES = {"option": ("option",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = frozenset("ul ol dl table article section div body main nav aside".split())
-BOILERPLATE_TAGS = frozenset("nav header footer aside form head menu dialog button label fieldset".split())
+BOILERPLATE_TAGS = frozenset("nav header footer aside form head menu dialog button label fieldset option optgroup".split())
+#: Elements that may hold an article; others are parts of it.
+CONTAINERS = frozenset("html body div article main section center".split())
 _NAMED = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|notices?|alert|cookies?|consent|gdpr|popup|modal|overlay|promo\w*|sponsor\w*|comments?|replies|reply|respond|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|form|widget|toolbar|pagination|pager|copyright|legal|skip)(?:$|[-_ ])"
 )
@@ -80,21 +96,31 @@ def _key(tag: str, attributes: str) -> str:
     return " ".join([tag, *(re.sub(r"\d+", "", v) for _, v in named)]) if named else tag
 
 
-def stream(page: str) -> tuple[list[str], list[str]]:
-    """Keys of a page's balanced structure ("<k", "/", "#") and the text of each block "#"."""
+def stream(page: str) -> tuple[list[str], list[str], list[int]]:
+    """Keys of a page's balanced structure ("<k", "/", "#"), the text of each block "#", and its characters in links."""
     keys: list[str] = []
     texts: list[str] = []
+    linked: list[int] = []
     open_: list[str] = []
     held: list[str] = []
     hidden: list[str] = []  # inline elements whose text is none of the page's
+    links = [0, 0]  # depth of links, characters in them since the block began
+
+    def hold(raw: str) -> None:
+        run = entities.unescape(raw)
+        held.append(run)
+        if links[0]:
+            links[1] += len(run)
 
     def end_block() -> None:
         if held:
-            text = _SPACES.sub(" ", entities.unescape("".join(held))).strip()
+            text = _SPACES.sub(" ", "".join(held)).strip()
             held.clear()
             if text:
                 keys.append("#")
                 texts.append(text)
+                linked.append(min(links[1], len(text)))
+        links[1] = 0
 
     def close(n: int) -> None:
         end_block()
@@ -104,11 +130,11 @@ def stream(page: str) -> tuple[list[str], list[str]]:
     at, size = 0, len(page)
     while at < size:
         m = _TAG.search(page, at)
+        end = m.start() if m else size
+        if not hidden and end > at:
+            hold(page[at:end])
         if not m:
-            held.append(page[at:])
             break
-        if not hidden and m.start() > at:
-            held.append(page[at : m.start()])
         if m[1] is not None:
             at = m.end()
             continue
@@ -120,23 +146,31 @@ def stream(page: str) -> tuple[list[str], list[str]]:
             if tag in BLOCKS:
                 if tag in open_:
                     hidden.clear()
+                    links[0] = 0
                     close(len(open_) - 1 - open_[::-1].index(tag))
             elif tag in hidden:
                 del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+            elif tag == "a":
+                links[0] = max(0, links[0] - 1)
             continue
         if tag in RAW:
-            ended = re.compile(f"</{re.escape(tag)}\\b", re.I).search(page, at)
-            at = _tag_end(page, ended.end()) if ended else size
+            if page[at - 2 : at] != "/>":
+                ended = re.compile(f"</{re.escape(tag)}\\b", re.I).search(page, at)
+                at = _tag_end(page, ended.end()) if ended else size if tag in ENDLESS else at
             continue
         if tag == "br":
             held.append(" ")
             continue
         key = _key(tag, page[m.end() : at])
         if tag not in BLOCKS:
-            if tag not in VOID and (hidden or tag in BOILERPLATE_TAGS or " " in key and _NAMED.search(key.partition(" ")[2])):
-                hidden.append(tag)
+            if tag not in VOID and page[at - 2 : at] != "/>":
+                if hidden or tag in BOILERPLATE_TAGS or " " in key and _NAMED.search(key.partition(" ")[2]):
+                    hidden.append(tag)
+                elif tag == "a":
+                    links[0] = 1  # links do not nest
             continue
         hidden.clear()
+        links[0] = 0
         if open_ and open_[-1] == "p":
             close(len(open_) - 1)
         for k in range(len(open_) - 1, -1, -1):
@@ -150,16 +184,33 @@ def stream(page: str) -> tuple[list[str], list[str]]:
             keys.append("<" + key)
             open_.append(tag)
     close(0)
-    return keys, texts
+    return keys, texts, linked
 
 
 class Node:
-    """A tag or a group of siblings in a wrapper or page, with its children; "#" is a text slot."""
+    """A tag or a group of siblings in a wrapper or page, with its children; "#" is a text slot.
+
+    A slot has a number; it is single if no page can have two texts in it.
+    """
 
-    __slots__ = ("key", "kids", "repeated", "optional", "slot", "role")
+    __slots__ = ("key", "kids", "repeated", "optional", "slot", "single", "role", "places")
 
     def __init__(self, key: str, kids: list[Node] | None = None):
-        self.key, self.kids, self.repeated, self.optional, self.slot, self.role = key, kids if kids is not None else [], False, False, -1, ""
+        self.key, self.kids, self.repeated, self.optional = key, kids if kids is not None else [], False, False
+        self.slot, self.single, self.role = -1, False, ""
+        self.places: tuple[list[Node], dict[str, list[int]]] | None = None
+
+    def flat(self) -> tuple[list[Node], dict[str, list[int]]]:
+        """Children, with those of groups in their place, and where each key stands among them."""
+        if self.places is None:
+            kids: list[Node] = []
+            for kid in self.kids:
+                kids += kid.flat()[0] if kid.key == "()" else [kid]
+            at: dict[str, list[int]] = {}
+            for i, kid in enumerate(kids):
+                at.setdefault(kid.key, []).append(i)
+            self.places = kids, at
+        return self.places
 
 
 def tree(keys: list[str]) -> Node:
@@ -228,39 +279,81 @@ def fold(node: Node) -> Node:
     return node
 
 
-def align(a: list[Node], b: list[Node]) -> list[Node]:
-    """One list of children for both; what only one side has is optional.
-
-    A longest common subsequence of keys matches; a repeated group matches its like on the other
-    side whether it is repeated there or not.
-    """
+def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal keys in both, in ascending order: a longest common subsequence, or a greedy one of very long lists."""
     n, m = len(a), len(b)
+    low = 0
+    while low < min(n, m) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(n, m) - low and a[n - 1 - high] == b[m - 1 - high]:
+        high += 1
+    head, tail = [(i, i) for i in range(low)], [(n - k, m - k) for k in range(high, 0, -1)]
+    a, b, n, m = a[low : n - high], b[low : m - high], n - low - high, m - low - high
+    found: list[tuple[int, int]] = []
+    if n * m > PAIRS:
+        at: dict[str, list[int]] = {}
+        for j, key in enumerate(b):
+            at.setdefault(key, []).append(j)
+        j = 0
+        for i, key in enumerate(a):
+            places = at.get(key, [])
+            k = bisect_left(places, j)
+            if k < len(places):
+                found.append((low + i, low + places[k]))
+                j = places[k] + 1
+        return head + found + tail
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].key == b[j].key else max(best[i + 1][j], best[i][j + 1])
-    out: list[Node] = []
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
     i = j = 0
-    while i < n or j < m:
-        if i < n and j < m and a[i].key == b[j].key:
-            out.append(_merge(a[i], b[j]))
+    while i < n and j < m:
+        if a[i] == b[j]:
+            found.append((low + i, low + j))
             i, j = i + 1, j + 1
-            continue
-        one = a[i] if i < n and (j == m or best[i + 1][j] >= best[i][j + 1]) else b[j]
-        i, j = (i + 1, j) if i < n and one is a[i] else (i, j + 1)
-        if out and out[-1].key == one.key:  # a mismatch that repeats what stands before it
-            _merge(out[-1], one).repeated = True
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
         else:
-            one.optional = True
-            out.append(one)
+            j += 1
+    return head + found + tail
+
+
+def align(a: list[Node], b: list[Node]) -> list[Node]:
+    """One list of children for both; what only one side has is optional.
+
+    A repeated group matches its like on the other side whether it is repeated there or not.
+    """
+    out: list[Node] = []
+
+    def alone(nodes: list[Node]) -> None:
+        for one in nodes:
+            if out and out[-1].key == one.key:  # a mismatch that repeats what stands before it
+                _merge(out[-1], one).repeated = True
+            else:
+                one.optional = True
+                out.append(one)
+
+    i = j = 0
+    for x, y in [*_matches([k.key for k in a], [k.key for k in b]), (len(a), len(b))]:
+        alone(a[i:x])
+        alone(b[j:y])
+        if x < len(a):
+            out.append(_merge(a[x], b[y]))
+        i, j = x + 1, y + 1
     return out
 
 
+def _named(key: str) -> tuple[str, str]:
+    tag, _, names = key.removeprefix("<").partition(" ")
+    return tag, names
+
+
 def place(path: list[str]) -> str:
-    """What stands under these tags: drop, main or other."""
+    """What the tags and names above a slot say of it: drop, main or other."""
     main = False
     for depth, key in enumerate(path):
-        tag, _, names = key.removeprefix("<").partition(" ")
+        tag, names = _named(key)
         if tag == "header" and main and any(re.match("<?h[1-6]", k) for k in path[depth + 1 :]):
             continue
         if tag in BOILERPLATE_TAGS or names and _NAMED.search(names):
@@ -277,18 +370,16 @@ def joined(wrappers: Iterable[Node]) -> Node:
     return out or Node("")
 
 
-def settle(wrapper: Node) -> Node:
-    """The wrapper with the role of each slot, and numbers for those that may hold the template's text."""
+def numbered(wrapper: Node) -> Node:
+    """The wrapper with a number for each slot, and what tags and names say of it."""
     n = 0
 
-    def walk(node: Node, path: list[str], once: bool) -> None:
+    def walk(node: Node, path: list[str], single: bool) -> None:
         nonlocal n
         for kid in node.kids:
-            here = once and not kid.repeated
+            here = single and not kid.repeated
             if kid.key == "#":
-                kid.role = place(path)
-                if kid.role == "other" and here:
-                    kid.slot, n = n, n + 1
+                kid.slot, kid.single, kid.role, n = n, here, place(path), n + 1
             else:
                 walk(kid, path if kid.key == "()" else [*path, kid.key], here)
 
@@ -296,70 +387,144 @@ def settle(wrapper: Node) -> Node:
     return wrapper
 
 
-def infer(pages: list[str]) -> Node:
-    """The wrapper of these pages, with the role of each slot."""
-    return settle(joined(fold(tree(stream(page)[0])) for page in pages))
+def settle(wrapper: Node, seen: dict[int, tuple[int, int]]) -> Node:
+    """The wrapper with the role of each slot; seen: of each slot, the characters in it on all pages, and those in links.
+
+    main: inside the host's article, or a heading of level 1 before it; drop: boilerplate; other: the rest.
+    """
+    plain: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    has_article: dict[int, bool] = {}
+
+    def weigh(node: Node) -> None:
+        for kid in node.kids:
+            weigh(kid)
+        own = seen.get(node.slot, (0, 0)) if node.key == "#" else (0, 0)
+        plain[id(node)] = own[0] - own[1] + sum(plain[id(k)] for k in node.kids)
+        linked[id(node)] = own[1] + sum(linked[id(k)] for k in node.kids)
+        has_article[id(node)] = bool(_MAIN.match(_named(node.key)[0])) or any(has_article[id(k)] for k in node.kids)
+
+    def tagged(node: Node) -> int:
+        """Running text in elements that are boilerplate by their tags."""
+        return plain[id(node)] if _named(node.key)[0] in BOILERPLATE_TAGS else sum(map(tagged, node.kids))
+
+    weigh(wrapper)
+    text = plain[id(wrapper)] - tagged(wrapper)
+
+    def boilerplate(node: Node, article: bool) -> bool:
+        tag, names = _named(node.key)
+        if node.key in ("#", "()", "") or tag in ("html", "body"):
+            return False
+        if tag in BOILERPLATE_TAGS:
+            return not (tag == "header" and article and _headed(node))
+        if names and _NAMED.search(names):
+            return not has_article[id(node)] and plain[id(node)] < NEARLY_ALL * text
+        links = linked[id(node)]
+        return not article and tag not in _PROSE and not has_article[id(node)] and links > 0 and links >= LINKED * (links + plain[id(node)])
+
+    # Down to the element over whose children the running text is spread.
+    root = wrapper
+    while True:
+        kids = [k for k in root.flat()[0] if not boilerplate(k, False)]
+        whole = sum(plain[id(k)] for k in kids)
+        inner = next((k for k in kids if plain[id(k)] >= DOMINANT * whole > 0), None)
+        if inner is None or inner.repeated or _named(inner.key)[0] not in CONTAINERS:
+            break
+        root = inner
+    spread = _named(root.key)[0] in ("", "html", "body")  # the texts do not tell an article from what is beside it
+
+    def walk(node: Node, article: bool, inside: bool, dropped: bool) -> None:
+        for kid in node.kids:
+            tag, names = _named(kid.key)
+            gone = dropped or boilerplate(kid, article)
+            here = inside or kid is root or spread and (bool(_MAIN.match(tag)) or "main" in names.split()) or tag == "h1" and not spread and bool(linked[id(kid)] <= plain[id(kid)])
+            if kid.key == "#":
+                kid.role = "drop" if dropped else "main" if here else "other"
+            else:
+                walk(kid, article or bool(_MAIN.match(tag)), here, gone)
 
+    walk(wrapper, False, root is wrapper and not spread, False)
+    return wrapper
 
-def roles(wrapper: Node | None, keys: list[str]) -> list[tuple[str, int]]:
-    """For each block "#" of a page's keys, its role and the number of its slot, -1 for none."""
-    found: list[tuple[str, int]] = []
-    at: list[tuple[list[Node], int] | None] = [(_flat(wrapper), 0) if wrapper else None]
+
+#: Elements of running text, in which a link is a part of it.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main".split())
+
+
+def _headed(node: Node) -> bool:
+    """Whether a heading is in it."""
+    return any(re.match("h[1-6]$", _named(k.key)[0]) or _headed(k) for k in node.kids)
+
+
+def infer(pages: list[str]) -> Node:
+    """The wrapper of these pages, with the role of each slot."""
+    wrapper = numbered(joined(fold(tree(stream(page)[0])) for page in pages))
+    seen: dict[int, tuple[int, int]] = {}
+    for keys, texts, linked in map(stream, pages):
+        for text, links, slot in zip(texts, linked, slots(wrapper, keys), strict=True):
+            had = seen.get(slot.slot, (0, 0))
+            seen[slot.slot] = had[0] + len(text), had[1] + links
+    return settle(wrapper, seen)
+
+
+def slots(wrapper: Node, keys: list[str]) -> list[Node]:
+    """For each block "#" of a page's keys, the slot it falls on; one of no number where the wrapper has none."""
+    found: list[Node] = []
+    at: list[tuple[Node | None, int]] = [(wrapper, 0)]
     path: list[str] = []
     for k in keys:
         if k == "/":
             path.pop()
             at.pop()
             continue
-        here = at[-1]
+        node, cursor = at[-1]
         match = None
-        if here:
-            kids, cursor = here
-            nth = next((i for i in [*range(cursor, len(kids)), *range(cursor)] if kids[i].key == k), None)
-            if nth is not None:
-                match, at[-1] = kids[nth], (kids, nth if kids[nth].repeated else nth + 1)
+        if node is not None:
+            kids, index = node.flat()
+            places = index.get(k)
+            if places:
+                nth = places[bisect_left(places, cursor) % len(places)]
+                match, at[-1] = kids[nth], (node, nth if kids[nth].repeated else nth + 1)
         if k == "#":
-            found.append((match.role, match.slot) if match else (place(path), -1))
+            if match is None:
+                match = Node("#")
+                match.role = place(path)
+            found.append(match)
         else:
             path.append(k)
-            at.append((_flat(match), 0) if match else None)
+            at.append((match, 0))
     return found
 
 
-def _flat(node: Node | None) -> list[Node]:
-    """Children, with those of groups in their place."""
-    return [x for k in (node.kids if node else ()) for x in (_flat(k) if k.key == "()" else [k])]
-
-
 def text_hash(text: str) -> int:
     """64 bits, signed."""
     return (xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) ^ 1 << 63) - (1 << 63)
 
 
 class Reader:
-    """Texts of a page's blocks with their roles and slots; structures once seen are remembered, within a bound."""
+    """Texts of a page's blocks with their links and slots; structures once seen are remembered, within a bound."""
 
     LIMIT = 20_000
 
     def __init__(self) -> None:
-        self.known: dict[tuple, list[tuple[str, int]]] = {}
+        self.known: dict[tuple, list[Node]] = {}
 
-    def __call__(self, name: object, wrapper: Node | None, page: str) -> list[tuple[str, tuple[str, int]]]:
-        keys, texts = stream(page)
+    def __call__(self, name: object, wrapper: Node, page: str) -> list[tuple[str, int, Node]]:
+        keys, texts, linked = stream(page)
         memo = (name, *keys)
         found = self.known.get(memo)
         if found is None:
             if len(self.known) >= self.LIMIT:
                 self.known.clear()
-            found = self.known[memo] = roles(wrapper, keys)
-        return list(zip(texts, found, strict=True))
+            found = self.known[memo] = slots(wrapper, keys)
+        return list(zip(texts, linked, found, strict=True))
 
 
-def content(blocks: list[tuple[str, tuple[str, int]]], template: dict[int, int]) -> str:
-    """Text of the article, or else what is neither boilerplate by its place nor the template's: slot -> hash."""
-    if any(role == "main" for _, (role, _) in blocks):
-        return "\n".join(t for t, (role, _) in blocks if role == "main")
-    return "\n".join(t for t, (role, slot) in blocks if role == "other" and not (slot in template and template[slot] == text_hash(t)))
+def content(blocks: list[tuple[str, int, Node]], template: dict[int, int]) -> str:
+    """Text of the article, or else what is no boilerplate; the template's own texts (slot -> hash) are not content."""
+    own = lambda text, slot: slot.slot in template and template[slot.slot] == text_hash(text)
+    role = "main" if any(slot.role == "main" for _, _, slot in blocks) else "other"
+    return "\n".join(text for text, _, slot in blocks if slot.role == role and not own(text, slot))
 
 
 def _slim(pages: DataFrame) -> DataFrame:
@@ -401,7 +566,7 @@ def fit(pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"host": [group["host"].iloc[0]], "salt": [group["salt"].iloc[0]], "shape": [written(joined(map(read, sorted(group["shape"]))))]})
 
     def whole(group: pd.DataFrame) -> pd.DataFrame:
-        wrapper = settle(joined(map(read, group.sort_values("salt")["shape"])))
+        wrapper = numbered(joined(map(read, group.sort_values("salt")["shape"])))
         return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [pickle.dumps(wrapper)]})
 
     salted = shapes.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS)).cast("int"))
@@ -436,38 +601,49 @@ def _over(slim: DataFrame, models: DataFrame, run: Callable[[pa.RecordBatch, lis
 
 
 def _evidence(batch: pa.RecordBatch, pages: list) -> pa.RecordBatch:
-    """host, body, slots and hashes: each page's texts in numbered slots, and -1 for the page itself."""
+    """host, body, and of each slot its number, characters, those in links, and its text's hash if it is single (else 0); slot -1 is the page itself."""
     out = []
     for host, (blocks, _) in zip(batch.column("host").to_pylist(), pages, strict=True):
-        texts = [(slot, text_hash(t)) for t, (role, slot) in blocks if role != "drop"]
-        if texts:
-            own = sorted({x for x in texts if x[0] >= 0})
-            out.append((host, text_hash(repr(texts)), [-1, *(x[0] for x in own)], [0, *(x[1] for x in own)]))
-    kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["host", "body", "slots", "hashes"])
-
-
-def templates(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """host, template (slot, n, h): the texts that SHARE of a host's different pages have in a slot."""
-    bodies = _over(_slim(pages).select("host", "html"), wrappers, _evidence, "host string, body long, slots array<int>, hashes array<long>")
-    bodies = bodies.groupBy("host", "body").agg(F.first("slots").alias("slots"), F.first("hashes").alias("hashes"))
-    texts = bodies.select("host", F.explode(F.arrays_zip("slots", "hashes")).alias("x")).groupBy("host", F.col("x.slots").alias("slot"), F.col("x.hashes").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    most = texts.groupBy("host", "slot").agg(F.max(F.struct("n", "h")).alias("most")).select("host", F.struct("slot", "most.n", "most.h").alias("x"))
-    most = most.groupBy("host").agg(F.collect_list("x").alias("xs"), F.max(F.when(F.col("x.slot") < 0, F.col("x.n"))).alias("pages"))
-    return most.select("host", F.filter("xs", lambda x: (x.slot >= 0) & (x.n >= LEAST) & (x.n >= SHARE * F.col("pages"))).alias("template"))
+        told = [(slot.slot, text_hash(text)) for text, _, slot in blocks if slot.role != "drop"]
+        if blocks:
+            sums: dict[int, list[int]] = {-1: [0, 0, 0]}
+            for text, links, slot in blocks:
+                if slot.slot >= 0:
+                    of = sums.setdefault(slot.slot, [0, 0, 0])
+                    of[0], of[1] = of[0] + len(text), of[1] + links
+                    of[2] = text_hash(text) if slot.single and slot.role != "drop" else 0
+            body = text_hash(repr(told) if told else repr([text for text, _, _ in blocks]))
+            out.append((host, body, list(sums), *([x[k] for x in sums.values()] for k in range(3))))
+    kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["host", "body", "slots", "chars", "links", "hashes"])
+
+
+def statistics(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host, seen (slot, chars, links), template (slot, h): sums over a host's different pages, and the texts that SHARE of them have in a slot."""
+    bodies = _over(_slim(pages).select("host", "html"), wrappers, _evidence, "host string, body long, slots array<int>, chars array<long>, links array<long>, hashes array<long>")
+    bodies = bodies.groupBy("host", "body").agg(F.first(F.arrays_zip("slots", "chars", "links", "hashes")).alias("xs"))
+    texts = bodies.select("host", F.explode("xs").alias("x")).groupBy("host", F.col("x.slots").alias("slot"), F.col("x.hashes").alias("h"))
+    texts = texts.agg(F.count(F.lit(1)).alias("n"), F.sum("x.chars").alias("chars"), F.sum("x.links").alias("links"))
+    most = texts.groupBy("host", "slot").agg(F.max(F.struct("n", "h")).alias("most"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    most = most.groupBy("host").agg(F.collect_list(F.struct("slot", "chars", "links", "most")).alias("xs"), F.max(F.when(F.col("slot") < 0, F.col("most.n"))).alias("pages"))
+    own = F.filter("xs", lambda x: (x.slot >= 0) & (x.most.h != 0) & (x.most.n >= LEAST) & (x.most.n >= SHARE * F.col("pages")))
+    return most.select("host", F.transform(F.filter("xs", lambda x: x.slot >= 0), lambda x: F.struct(x.slot, x.chars, x.links)).alias("seen"), F.transform(own, lambda x: F.struct(x.slot.alias("slot"), x.most.h.alias("h"))).alias("template"))
 
 
 def models(pages: DataFrame) -> DataFrame:
-    """host, wrapper: a pickled wrapper with its template's texts."""
+    """host, wrapper: a pickled wrapper with the roles of its slots and its template's texts."""
     scratch = Scratch(pages.sparkSession, "wrappers")
     wrappers = scratch.keep(fit(pages), "hosts")
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [pickle.dumps((pickle.loads(w), {x["slot"]: x["h"] for x in t or ()})) for w, t in zip(bytes_of(batch.column("wrapper")), batch.column("template").to_pylist(), strict=True)]
+            found = []
+            for blob, seen, template in zip(bytes_of(batch.column("wrapper")), batch.column("seen").to_pylist(), batch.column("template").to_pylist(), strict=True):
+                wrapper = settle(pickle.loads(blob), {x["slot"]: (x["chars"], x["links"]) for x in seen or ()})
+                found.append(pickle.dumps((wrapper, {x["slot"]: x["h"] for x in template or ()})))
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.binary())], ["host", "wrapper"])
 
-    return scratch.keep(arrow_map(wrappers.join(templates(pages, wrappers), "host", "left"), both, "host string, wrapper binary"), "models")
+    return scratch.keep(arrow_map(wrappers.join(statistics(pages, wrappers), "host", "left"), both, "host string, wrapper binary"), "models")
 
 
 def _extracted(batch: pa.RecordBatch, pages: list) -> pa.RecordBatch:

@@ -220,12 +220,12 @@ WANT = "Title & {0}\nFirst {0} text more boldword\nSecond{0} <x>©"
 
 def test_main_text(spark):
     rows = [(i, f"http://a.b/{i}", page(i)) for i in range(30)] + [(100 + i, f"http://c.d/{i}", page(i, False)) for i in range(9)]
-    rows += [(200, None, None), (201, "x", ""), (202, "http://a.b/x", "plain &amp text"), (203, "http://a.b/y", page(7)[:-40]), (204, "http://a.b/z", "<div>" * 3000 + "deep" + "<p a='"), (0, "http://a.b/0", page(0))]
+    rows += [(205, "http://a.b/l", page(8, extra="<p>" + "long " * 100_000)), (200, None, None), (201, "x", ""), (202, "http://a.b/x", "plain &amp text"), (203, "http://a.b/y", page(7)[:-40]), (204, "http://a.b/z", "<div>" * 3000 + "deep" + "<p a='"), (0, "http://a.b/0", page(0))]
     got = wrappers.extract(spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     by = {r.page_id: r.text for r in got}
     assert all(by[i] == WANT.format(i) for i in range(30)) and all(by[100 + i] == WANT.format(i) for i in range(9))
-    assert by[200] == by[201] == "" and by[202] == "plain & text" and by[203] == WANT.format(7) and by[204] == "deep"
+    assert by[205] == WANT.format(8) + "\n" + ("long " * 100_000).strip() and by[200] == by[201] == "" and by[202] == "plain & text" and by[203] == WANT.format(7) and by[204] == "deep"
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -248,6 +248,65 @@ def test_only_the_text_of_all_pages_is_the_templates(spark):
     assert text(rows[::-1]) == got
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(rng.randint(0, 99)) for _ in range(n)).capitalize() + "."
+
+
+def site(rng, names, article, wrap, pages):
+    """(html, main text) of pages of one template; names: classes of menu, advert, story, notice; all texts but the menu's vary."""
+    menu, advert, story, notice = names
+    out = []
+    for _ in range(pages):
+        parts = [prose(rng, rng.randint(20, 60)) for _ in range(rng.randint(1, 5))]
+        title = prose(rng, 4)
+        body = f"<h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in parts)
+        body = f"<{article} class={story}>{body}</{article}>"
+        links = "".join(f"<li><a href=/{k}>{prose(rng, 2)}</a>" for k in range(rng.randint(3, 6)))
+        page = f"<div class={menu}><ul>{links}</ul></div><div class={advert}>{prose(rng, 7)}</div>{body}<div class={notice}>{prose(rng, 9)}</div>"
+        out.append((f"<html><head><title>{title}</title></head><body>{'<div class=x><div>' * wrap}{page}{'</div></div>' * wrap}</body></html>", "\n".join([title, *parts])))
+    return out
+
+
+def test_roles_follow_from_the_texts_of_all_pages(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    hosts = [(("ka", "kb", "kc", "kd"), "div", 0), (("ka", "kb", "kc", "kd"), "section", 2), (("nav", "ad", "entry side", "footer"), "div", 1), (("a", "b", "sidebar", "d"), "div", 0), (("a", "b", "c", "d"), "article", 1)]
+    for h, (names, article, wrap) in enumerate(hosts):
+        for html, text in site(rng, [f"'{x}'" for x in names], article, wrap, 30):
+            want[len(rows)] = text
+            rows.append((len(rows), f"http://host{h}.a/{len(rows)}", html))
+    assert extracted(spark, rows) == want
+    # By names alone, without the host's wrapper, most of them are wrong.
+    alone = [wrappers.content([(x, n, slot) for x, n, slot in zip(texts, linked, wrappers.slots(wrappers.Node(""), keys), strict=True)], {}) for keys, texts, linked in (wrappers.stream(html) for _, _, html in rows)]
+    assert sum(a == want[i] for i, a in enumerate(alone)) <= 60
+    body = [(i, "http://b.c/x", f"<html><body class='page sidebar'><h1>Head {i}</h1><p>{prose(rng, 30)} {i}</p></body></html>") for i in range(5)]
+    assert all(t.startswith(f"Head {i}\n") for i, t in extracted(spark, body).items())
+
+
+def test_markup_that_is_not_closed():
+    text = lambda html: "|".join(wrappers.stream(html)[1])
+    assert text("a <svg width='1'/> b <iframe/> c") == "a b c"
+    assert text("<p>a<iframe src=x>b<p>c") == "ab|c" and text("<p>a<script>b<p>c") == "a"
+    assert text("<datalist><option>x<option>y</datalist><p>z") == "x|y|z" and text("x<select><option>a<option>b</select>y") == "xy"
+    assert text("buy <span class='ad'>now or never") == "buy" and text("a&am<b>p;b</b> &amp;amp;") == "a&amp;b &amp;"
+    keys, texts, linked = wrappers.stream("<ul><li><a href=x>One</a><li>Two <a>three</a></ul>")
+    assert texts == ["One", "Two three"] and linked == [3, 5]
+
+
+def test_long_rows_of_siblings(spark):
+    import time
+
+    began = time.time()
+    html = [f"<html><body><article><h1>T</h1>{''.join(f'<p class=c{chr(97 + (k * step) % 23)}{chr(97 + k % 19)}>t{k}</p>' for k in range(4000))}</article></body></html>" for step in (1, 7)]
+    got = extracted(spark, [(i, "http://l.o/x", h) for i, h in enumerate(html)])
+    assert all(got[i].split("\n") == ["T", *(f"t{k}" for k in range(4000))] for i in (0, 1)) and time.time() - began < 60
+    assert wrappers._matches(list("abcbdab"), list("bdcaba")) and len(wrappers._matches(list("abcbdab"), list("bdcaba"))) == 4
+
+
 def test_folding_and_aligning():
     a = wrappers.infer([page(1), page(2, extra="<ul><li>x</ul>"), page(3)])
     found = {}
