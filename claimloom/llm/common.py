@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables that cut lineage: written to the shared folder, read again, dropped when consumed."""
 
@@ -45,8 +50,13 @@ class Scratch:
     def keep(self, df: DataFrame, tag: str = "t") -> DataFrame:
         """Write df once and return a reader over the files (zstd Parquet)."""
         self.count += 1
-        path = f"{self.root}/{self.count:03d}-{tag}"
-        df.write.option("compression", "zstd").parquet(path)
+        path, conf = f"{self.root}/{self.count:03d}-{tag}", self.spark.conf
+        before = conf.get(_CLEANUP)
+        conf.set(_CLEANUP, "true")  # the table stands for its plan from here on: the shuffles behind it can go
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -123,8 +133,6 @@ class WordHashes(dict):
     LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         if len(self) >= self.LIMIT:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
@@ -132,3 +140,18 @@ class WordHashes(dict):
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def batch_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all words of a column of texts (A-Z lower-cased, null: none), and where each text's begin and end.
+
+    Arrow splits and numbers the words; only the different ones of the batch are hashed one by one.
+    """
+    held = pc.fill_null(texts.view(pa.string()) if pa.types.is_binary(texts.type) else texts.cast(pa.string()), "")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(held))
+    flat = parts.flatten()
+    solid = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty part
+    ends = np.append(0, np.cumsum(np.asarray(solid), dtype=np.int64))[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+    words = flat.filter(solid).view(pa.binary()).dictionary_encode()
+    of = np.fromiter(map(xxhash.xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    return (of[words.indices.to_numpy()] if len(of) else of), ends

@@ -18,8 +18,12 @@ tile gives the links that join its groups, fewer than it has members.
 Which shingles are frequent only affects speed; the list is bounded by FREQUENT. Nothing else
 reaches the driver. Of the texts only those in clusters move, once for each block they meet.
 
+No step gathers a key or cluster in one place: counts are made before rows meet, and joins by key are
+between written tables, so that a hot one can be split.
+
 Defined cases: texts without words are empty sets, linked with nothing, their own component; a text
-of fewer than WORDS words is one shingle; rows of one doc_id are one node; a null doc_id gets its
+of fewer than WORDS words is one shingle; very long texts are whole sets, in bands of their size;
+empty tables give empty results; rows of one doc_id are one node; a null doc_id gets its
 class's component if its set occurs under an id, else null; extra columns are ignored (join) or
 kept (filter).
 """
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, WordHashes, arrow_map, bytes_of, mix64
+from .common import Scratch, arrow_map, batch_hashes, free_name, mix64
 from .components import components
 
 WORDS, THRESHOLD = 4, 85
@@ -50,9 +54,8 @@ BITS = 8
 SET_SCHEMA = "doc_id long, n long, set_hash binary, prefix array<long>"
 
 
-def shingles(text: bytes, words: int, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct 64-bit shingle hashes of a text, A-Z lower-cased."""
-    h = hashes.of(text.lower().split())
+def shingles(h: np.ndarray, words: int) -> np.ndarray:
+    """The sorted distinct 64-bit shingle hashes of a text, from its words' hashes."""
     if not len(h):
         return h
     n = max(1, len(h) - words + 1)
@@ -62,6 +65,13 @@ def shingles(text: bytes, words: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(mix64(out))
 
 
+def sets_of(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The shingle set of each text of a column."""
+    hashes, ends = batch_hashes(texts)
+    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield shingles(hashes[lo:hi], words)
+
+
 def need(n: int, m: int, threshold: int) -> int:
     """The least intersection with which sets of these sizes link."""
     return -(-threshold * (n + m) // (100 + threshold))
@@ -107,7 +117,7 @@ def _count_repeated(words: int):
     """Shingles that several texts of a batch share, with their number there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             found, count = np.unique(np.concatenate(held), return_counts=True)
@@ -115,8 +125,8 @@ def _count_repeated(words: int):
             return pa.RecordBatch.from_arrays([pa.array(found[keep].view(np.int64)), pa.array(count[keep])], ["shingle", "n"])
 
         for batch in batches:
-            for text in bytes_of(batch.column("text")):
-                held.append(shingles(text or b"", words, hashes))
+            for s in sets_of(batch.column("text"), words):
+                held.append(s)
                 size += len(held[-1])
                 if size > 1_500_000:
                     yield flush()
@@ -129,12 +139,10 @@ def _count_repeated(words: int):
 
 def _sets(words: int, threshold: int, shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         frequent, rank = shipped.value
         for batch in batches:
             rows = []
-            for text in bytes_of(batch.column("text")):
-                s = shingles(text or b"", words, hashes)
+            for s in sets_of(batch.column("text"), words):
                 n = len(s)
                 if not n:
                     rows.append((0, b"", None))
@@ -157,7 +165,6 @@ def _tiles(words: int, threshold: int):
     """Links (a, b) of each tile; rows come sorted by tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         now, ids, sets, left = None, [], [], []
 
         def done() -> pa.RecordBatch:
@@ -166,13 +173,13 @@ def _tiles(words: int, threshold: int):
 
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "nid", "left")), strict=True)
-            for (cluster, i, j, nid, side), text in zip(keys, bytes_of(batch.column("text")), strict=True):
+            for (cluster, i, j, nid, side), found in zip(keys, sets_of(batch.column("text"), words), strict=True):
                 if (cluster, i, j) != now:
                     if len(ids) > 1:
                         yield done()
-                    now, ids, sets, left = (cluster, i, j), [], [], []  # a tile has 2 * BLOCK rows at most
+                    now, ids, sets, left = (cluster, i, j), [], [], []  # a tile has some 4 * BLOCK rows at most
                 ids.append(nid)
-                sets.append(shingles(text or b"", words, hashes))
+                sets.append(found)
                 left.append(side)
         yield done()
 
@@ -189,7 +196,16 @@ class Join:
 
     def sets(self) -> DataFrame:
         counts = arrow_map(self.texts.select("text"), _count_repeated(self.words), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        rows = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()  # FREQUENT rows at most
+        # The most frequent: so many steps of the number of occurrences as leave FREQUENT shingles at most.
+        counts = self.scratch.keep(counts.withColumn("step", F.floor(16 * F.log2("n")).cast("int")), "counts")
+        least, room = None, FREQUENT
+        for step in counts.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():  # 16 a doubling
+            room -= step.n
+            if room < 0:
+                break
+            least = step.step
+        rows = counts.filter(F.lit(False) if least is None else F.col("step") >= least).orderBy(F.desc("n"), "shingle").select("shingle").toPandas()
+        self.scratch.drop(counts)
         found = rows["shingle"].to_numpy(np.int64).view(np.uint64)
         rank = np.arange(len(found), 0, -1)  # the most frequent comes last
         order = np.argsort(found)
@@ -213,8 +229,8 @@ class Join:
         """
         t, scratch = self.threshold, self.scratch
         index = firsts.select("nid", "n", F.explode("prefix").alias("key"))
-        tiles = index.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("members > 1")
-        tiles = scratch.keep(tiles, "tiles")
+        members = scratch.keep(index.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "keys")
+        tiles = scratch.keep(index.join(members, "key"), "tiles")
         held = tiles.filter(F.col("members") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("nid", "n"))).alias("xs"))
         pairs = F.expr(
             f"flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, size(xs)), y -> 100 * least(x.n, y.n) >= {t} * greatest(x.n, y.n)),"
@@ -223,13 +239,13 @@ class Join:
         shared = held.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared"), F.min("p.n").alias("n"))
         edges = shared.filter(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * t / 100))).select("a", "b")
         band = F.floor(F.log(F.col("n")) / math.log(100 / t)).cast("int")
-        first = F.first("nid").over(Window.partitionBy("key", "band").orderBy("nid"))
-        by_key = Window.partitionBy("key").orderBy("band", "nid")
-        large = tiles.filter(F.col("members") > SMALL).withColumn("band", band).withColumn("pivot", first)
-        large = large.withColumns({"before": F.lag("pivot").over(by_key), "below": F.lag("band").over(by_key)})
-        other = F.when(F.col("nid") != F.col("pivot"), F.col("pivot")).when(F.col("below") == F.col("band") - 1, F.col("before"))
-        drawn = large.select(F.col("nid").alias("a"), other.alias("b")).filter("b is not null and a <> b")
+        large = tiles.filter(F.col("members") > SMALL).withColumn("band", band)
+        pivots = scratch.keep(large.groupBy("key", "band").agg(F.min("nid").alias("pivot")), "pivots")
+        drawn = large.join(pivots, ["key", "band"]).select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
+        below = pivots.select("key", (F.col("band") + 1).alias("band"), F.col("pivot").alias("b"))
+        drawn = drawn.unionByName(pivots.join(below, ["key", "band"]).select(F.col("pivot").alias("a"), "b")).filter("a <> b")
         found = components(edges.unionByName(drawn), scratch)
+        scratch.drop(members, tiles, pivots)
         return scratch.keep(found.select(F.col("node").alias("nid"), F.col("component").alias("cluster")).join(firsts.select("nid", "n"), "nid"), "clusters")
 
     def run(self) -> DataFrame:
@@ -238,10 +254,17 @@ class Join:
         sets = self.sets()
         classes = scratch.keep(sets.filter("n > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("nid")), "classes")
         firsts = sets.filter("n > 0").join(classes.withColumn("doc_id", F.col("nid")), ["set_hash", "doc_id"]).dropDuplicates(["set_hash"])
+        firsts = scratch.keep(firsts.select("nid", "n", "prefix"), "firsts")
         clusters = self.clusters(firsts)
-        # Blocks by size; tiles of blocks of one cluster whose sizes can link.
-        place = F.row_number().over(Window.partitionBy("cluster").orderBy("n", "nid")) - 1
-        members = scratch.keep(clusters.withColumn("block", F.floor(place / BLOCK).cast("int")), "members")
+        scratch.drop(firsts)
+        # Blocks by size: a size with very many sets is dealt over several. Only counts of sizes are put in order.
+        sizes = clusters.groupBy("cluster", "n").agg(F.count(F.lit(1)).alias("count"))
+        before = F.sum("count").over(Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+        sizes = scratch.keep(sizes.withColumn("before", F.coalesce(before, F.lit(0))), "sizes")
+        part = F.pmod(F.xxhash64("nid"), F.ceil(F.col("count") / BLOCK))
+        block = (F.shiftleft(F.floor(F.col("before") / BLOCK), 24) + part).alias("block")
+        members = scratch.keep(clusters.join(sizes, ["cluster", "n"]).select("nid", "n", "cluster", block), "members")
+        # Tiles: blocks of one cluster whose sizes can link.
         ranges = members.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
         upper = ranges.select("cluster", F.col("block").alias("j"), F.col("low").alias("low_j"))
         tiles = ranges.select("cluster", F.col("block").alias("i"), "high").join(upper, "cluster").filter((F.col("i") <= F.col("j")) & (100 * F.col("high") >= t * F.col("low_j"))).select("cluster", "i", "j")
@@ -250,8 +273,9 @@ class Join:
         links = arrow_map(held.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "n", "nid"), _tiles(self.words, t), "a long, b long")
         final = components(links, scratch)
         named = classes.join(final.withColumnRenamed("node", "nid"), "nid", "left").select("set_hash", F.coalesce("component", "nid").alias("component_id"))
-        out = sets.select("doc_id", "n", "set_hash").join(named, "set_hash", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        named = scratch.keep(named, "named")
+        full = sets.filter("n > 0").select("doc_id", F.col("n").alias("n_shingles"), "set_hash").join(named, "set_hash", "left").drop("set_hash")
+        return full.unionByName(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def join(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -261,12 +285,13 @@ def join(documents: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) -
 def _keep_one_row(documents: DataFrame, words: int, threshold: int) -> DataFrame:
     """keep_one for repeated and null ids: the join is over numbers given to the rows."""
     scratch = Scratch(documents.sparkSession, "groups")
-    rows = scratch.keep(documents.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    groups = join(rows.select(F.col("__row").alias("doc_id"), "text"), words, threshold).select(F.col("doc_id").alias("__row"), "component_id")
-    named = groups.join(rows.select("__row", F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h")), "__row")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "__row")).alias("x")
-    kept = scratch.keep(named.groupBy("component_id").agg(first).select(F.col("x.__row").alias("__row")), "kept")
-    return rows.join(kept, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in documents.columns))
+    row = free_name(documents, "row")
+    rows = scratch.keep(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = join(rows.select(F.col(row).alias("doc_id"), "text"), words, threshold).select(F.col("doc_id").alias("nth"), "component_id")
+    named = groups.join(rows.select(F.col(row).alias("nth"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h")), "nth")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "nth")).alias("x")
+    kept = scratch.keep(named.groupBy("component_id").agg(first).select(F.col("x.nth").alias(row)), "kept")
+    return rows.join(kept, row, "left_semi").select(*(F.col(f"`{c}`") for c in documents.columns))
 
 
 def keep_one(documents: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
@@ -277,5 +302,7 @@ def keep_one(documents: DataFrame, words: int = 5, threshold: int = 80) -> DataF
     counts = documents.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     if counts.filter("id is null or n > 1").limit(1).count():
         return _keep_one_row(documents, words, threshold)
-    found = Scratch(documents.sparkSession, "groups").keep(join(documents, words, threshold).filter("component_id != doc_id").select("doc_id").distinct(), "drop")
-    return documents.join(found.withColumnRenamed("doc_id", "__gone"), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = free_name(documents, "gone")
+    found = join(documents, words, threshold).filter("component_id != doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    found = Scratch(documents.sparkSession, "groups").keep(found, "drop")
+    return documents.join(found, F.col("doc_id").cast("long") == F.col(gone), "left_anti")

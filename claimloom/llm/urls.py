@@ -11,7 +11,8 @@ All tokens of a labelled url are items. Those short of support among the bad, of
 hold, are left out first; those that are only on bad urls are rules by themselves and make every
 longer one redundant. What is left of a url is mined by FP-growth if no url keeps more than
 MAX_TOKENS, as its itemsets double with every token; else patterns grow token by token over projected
-urls, which counts the same sets. Antecedents have up to MAX_ANTECEDENT tokens, as in the query's SQL.
+urls, which counts the same sets. Antecedents have up to MAX_ANTECEDENT tokens, by definition, as in the
+query's SQL: sets of tokens that go together would else double with every token.
 
 All rules that no shorter one makes redundant form the model: up to MAX_RULES fit in an expression
 and need no join or shuffle; more are an index table, each under the token that the fewest rules
@@ -20,7 +21,9 @@ all of their tokens.
 
 Defined cases: a null url or one without "://" has an empty host and path and no tokens, so it is
 allowed; null labels count as not bad; several labels of an id count as bad if one is; without
-labelled urls there are no mined rules; repeated rows repeat; extra columns are ignored.
+labelled urls there are no mined rules; of rules that match, the most confident counts, then the
+most frequent, then the first by its tokens; very long urls give all their tokens; an empty table
+gives an empty result; repeated rows repeat; extra columns are ignored.
 """
 
 from __future__ import annotations

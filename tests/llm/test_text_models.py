@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from claimloom.llm import jaccard, katz, toxicity, wrappers
-from claimloom.llm.common import Scratch
+from claimloom.llm.common import Scratch, WordHashes, batch_hashes
 from claimloom.llm.components import components
 
 from .helpers import AWKWARD, documents, lower, words
@@ -68,6 +68,18 @@ def test_one_row_of_a_group_stays_whatever_its_ids(spark):
     assert len([r for r in kept if r.doc_id is None and r.text]) == 1 and len(kept) == 6
 
 
+def test_words_are_hashed_as_one_by_one():
+    import pyarrow as pa
+
+    texts = [t for _, t in AWKWARD] + [" a  B\tc\x0b\x0c", "\u00a0x\u2003y É", "\x1c\x1d a"]
+    for column in (pa.array(texts, pa.string()), pa.array([t.encode() if t is not None else None for t in texts], pa.binary()), pa.array(["q"] + texts)[1:]):
+        hashes, ends = batch_hashes(column)
+        assert len(ends) == len(texts) + 1
+        for t, lo, hi in zip(texts, ends, ends[1:], strict=False):
+            assert hashes[lo:hi].tolist() == WordHashes().of([w.encode() for w in words(lower(t))]).tolist()
+    assert [x.tolist() for x in batch_hashes(pa.array([], pa.string()))] == [[], [0]]
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(50):
