@@ -1,88 +1,89 @@
-"""Language-model scores: Katz backoff over bigrams, with Good-Turing discounts.
+"""Language-model scores: Katz backoff over trigrams, with Good-Turing discounts.
 
-P(w | h) = d(c) c(h, w) / c(h)   for pairs seen in the training texts, once or more (CUTOFF),
-           alpha(h) P(w)         else,
-with d from the counts of counts up to K, alpha(h) the mass left by h's seen pairs over the mass of
-the words not seen after h, so that every history's probabilities sum to 1 exactly, and P(w) the
-add-one-half unigram, which has a share for unknown words and ends the recursion.
+P(w | h) = d(c) c(h, w) / c(h)     for n-grams seen in the training texts,
+           alpha(h) P(w | h')      else, h' being h without its first word,
+with d of each order from its counts of counts up to K and 1 above, and alpha(h) the mass that h's
+seen n-grams leave over the mass of the words not seen after h, so that every history's
+probabilities sum to 1 exactly. A history after which only frequent words were seen leaves nothing:
+it gets one more, unseen, occurrence. P(w) is the add-one-half unigram, which has a share for unknown
+words and ends the recursion. Each token is looked up at its highest order and backs off from there;
+a text's first token has a history of one word, its start.
 
 Texts are packed into blocks: distinct word hashes, and the texts as places among them. A block asks
 for the counts of its distinct pairs once, by bucket of the second word; the bucket adds up c(h, w)
 and c(w) over all blocks and answers in the order asked. Sums per history go by bucket of the
-history, in the same way. So neither words nor pairs are held in one place: tables of requests and
-answers are spread by hash, and a block needs memory for its own pairs only. A word that makes up
-more than HOT of a sample's tokens has its pairs spread by both words, and its count is summed
-apart. Blocks and answers are written to the shared folder, so that lost executors cost no more
-than their tasks.
+history, in the same way. Then blocks ask for their triples by bucket of the history, with P(w | v)
+of those seen; but a pair that stands in one block only is the history of triples of that block
+only, and these are settled in it without asking. The tables of counts are spread by hash and
+written to the shared folder, so that lost executors cost no more than their tasks; a block needs
+memory for its own n-grams only, and a bucket for about BUCKET_TOKENS.
+
+A word or pair that would fill more than HOT of a bucket is spread over several: the sums of such
+histories, HOT_MOST at most, are added up apart and sent to all. Lower-order probabilities are kept
+in 32 bits where triples use them, in all places alike. Messages are one for each block and bucket,
+their number the product of both; both hold a fixed number of tokens.
 
 Defined cases: null, empty and wordless texts are one end token; null ids are trained on (fold 0);
 without training texts every token has P = 1 (the unknown share is all there is); repeated rows are
-texts of their own; extra columns are ignored.
+texts of their own; very long texts are blocks of their own; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, arrow_map, bytes_of, crc32_mod, mix64
+from .common import Scratch, WordHashes, arrow_map, batch_hashes, bytes_of, crc32_mod, give_back, mix64
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-CUTOFF, K = 1, 7
-#: Discount of counts above K: nearly none, but a history whose pairs are all frequent keeps some mass to back off with.
-FREQUENT = 0.999
-#: Tokens of a block: its arrays take some 100 bytes a token while it is scored.
-BLOCK_TOKENS = 1_500_000
-HOT, SAMPLE = 0.005, 20_000
+#: Counts above K are not discounted.
+K = 7
+#: Tokens of a block, whose arrays take some 200 bytes a token while it is scored; and of a bucket.
+BLOCK_TOKENS, BUCKET_TOKENS = 1_000_000, 2_000_000
+HOT, HOT_MOST, SAMPLE = 0.25, 20_000, 20_000
 #: No word holds a line end: these stand for a text's end and for what is before its first word.
 END, START = b"\n", b"\n\n"
 MESSAGE = "kind int, bucket long, block long, a binary, b binary, c binary, d binary, e binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), *((x, pa.binary()) for x in "abcde")])
-TEXTS, PAIRS, COUNTS, HISTORIES, SUMS, MASSES, TOTALS = range(7)
+TEXTS, PAIRS, COUNTS, HISTORIES, SUMS, MASSES, TOTALS, KNOWN, TRIPLES, FOUND, SPREAD = range(11)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Sums of probabilities in whole numbers, so that any order of adding gives the same.
+_UNIT = float(1 << 52)
 
 
 def pack(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
 
 def unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), kind)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def _planes(x: np.ndarray) -> bytes:
+def _planes(x: np.ndarray, width: int = 4) -> bytes:
     """Small non-negative integers, byte plane by byte plane."""
-    return zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-
-
-def _from_planes(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return pack(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
 
 
-def _wide(x: np.ndarray) -> bytes:
-    """Non-negative integers of 63 bits, byte plane by byte plane."""
-    return zlib.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+def _from_planes(x: bytes, width: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(unpack(x, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
-def _from_wide(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+def _bytes(x: np.ndarray, low: int, high: int) -> bytes:
+    """Some of the 8 bytes of hashes."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, low:high]).tobytes()
 
 
-def _seven(x: np.ndarray) -> bytes:
-    """The high 56 bits of hashes: a history's name."""
-    return np.ascontiguousarray((x >> np.uint64(8)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
-
-
-def _from_seven(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 7, 8), np.uint8)
-    out[:, :7] = np.frombuffer(x, np.uint8).reshape(-1, 7)
+def _from_bytes(x: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(x) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(x, np.uint8).reshape(-1, n)
     return out.view("<u8").ravel()
 
 
@@ -91,70 +92,121 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
+def _starts(runs: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, runs[1:] != runs[:-1])) if len(runs) else np.zeros(0, np.int64)
+
+
+def _grouped(tables):
+    """For applyInArrow: the group's messages by block; memory goes back when the group is done."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        del table
+        rows.sort(key=lambda m: m["block"])
+        out = tables(rows)
+        rows.clear()
+        give_back()
+        return out
+
+    return run
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """TEXTS: a = word hashes, b = texts as places in a, c = lengths, d = ids and which are null, e = held out."""
-    hashes, nth = WordHashes(), 0
-    base = TaskContext.get().partitionId() << 32
-    end = hashes.of([END])
-    held: list[tuple] = []
+    nth, base = 0, TaskContext.get().partitionId() << 32
+    end = WordHashes().of([END])
+    ids: list[tuple[int, bool]] = []
+    held: list[bool] = []
+    texts: list[np.ndarray] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        words, places, count = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True, return_counts=True)
+        words, places, count = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        ids = np.array([[h[0] or 0, h[0] is None] for h in held], np.int64)
-        lengths, out = np.array([len(h[2]) for h in held], np.int64), np.array([h[1] for h in held], np.uint8)
-        return _rows([(TEXTS, 0, base + nth, words[order].tobytes(), _planes(rank[places]), pack(lengths), pack(ids), pack(out))])
+        lengths = np.array([len(x) for x in texts], np.int64)
+        return _rows([(TEXTS, 0, base + nth, words[order].tobytes(), _planes(rank[places]), pack(lengths), pack(np.array(ids, np.int64)), pack(np.array(held, np.uint8)))])
 
     for batch in batches:
-        for i, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), bytes_of(batch.column("text")), strict=True):
-            words = hashes.of((text or b"").lower().split())
-            held.append((i, out, np.append(words, end)))
-            size += len(words) + 1
+        hashes, ends = batch_hashes(batch.column("text"))
+        for i, out, lo, hi in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            ids.append((i or 0, i is None))
+            held.append(out)
+            texts.append(np.append(hashes[lo:hi], end))
+            size += hi - lo + 1
             if size >= BLOCK_TOKENS:
                 yield flush()
-                held, size, nth = [], 0, nth + 1
-    if held:
+                ids, held, texts, size, nth = [], [], [], 0, nth + 1
+    if ids:
         yield flush()
 
 
 class Block:
-    """A block's words, texts and distinct pairs, and how the pairs are dealt to buckets."""
-
-    def __init__(self, a: bytes, b: bytes, c: bytes, e: bytes, buckets: int, hot: np.ndarray):
-        self.words, self.tokens, self.lengths = np.frombuffer(a, np.uint64), _from_planes(b), unpack(c, np.int64)
-        held = unpack(e, np.uint8).astype(bool)
-        n = len(self.words)
-        self.before = np.empty_like(self.tokens)
-        self.before[1:] = self.tokens[:-1]
-        self.before[np.append(0, np.cumsum(self.lengths)[:-1])] = n  # START
-        code = self.tokens * (n + 1) + self.before
-        self.codes = np.unique(code)
-        self.code = code
-        self.second, self.first = self.codes // (n + 1), self.codes % (n + 1)
+    """A block's words and texts, and its distinct pairs and triples."""
+
+    def __init__(self, m: dict):
+        self.words, self.tokens, self.lengths = np.frombuffer(m["a"], np.uint64), _from_planes(m["b"]), unpack(m["c"], np.int64)
+        held = unpack(m["e"], np.uint8).astype(bool)
+        self.n = n = len(self.words)
+        self.starts = np.append(0, np.cumsum(self.lengths)[:-1])
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.starts] = n  # START
+        codes, self.pair = np.unique(self.tokens * (n + 1) + before, return_inverse=True)
+        #: Of each distinct pair the second word and the first; pairs are in that order.
+        self.second, self.first = codes // (n + 1), codes % (n + 1)
         self.trained = np.repeat(~held, self.lengths)
-        self.train_texts = int((~held).sum())
         self.names = np.append(self.words, WordHashes().of([START]))
-        at = self.words % np.uint64(buckets)
-        bucket = at[self.second]
+
+    def pair_counts(self) -> np.ndarray:
+        return np.bincount(self.pair[self.trained], minlength=len(self.second))
+
+    def deal_pairs(self, buckets: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs by bucket, in order, and where each bucket's begin."""
+        bucket = (self.words % np.uint64(buckets))[self.second]
         spread = np.isin(self.words, hot)[self.second]
         if spread.any():
             bucket[spread] = mix64(self.words[self.second[spread]] ^ (self.names[self.first[spread]] >> np.uint64(8))) % np.uint64(buckets)
-        self.bucket = bucket.astype(np.int64)
-        #: Pairs by bucket, second word, first word; and where each bucket's begin.
-        self.order = np.argsort(self.bucket, kind="stable")
-        self.cuts = np.searchsorted(self.bucket[self.order], np.arange(buckets + 1))
-        history = (self.names >> np.uint64(8)) % np.uint64(buckets)
-        self.by_history = np.argsort(history, kind="stable")
-        self.history_cuts = np.searchsorted(history[self.by_history], np.arange(buckets + 1))
-
-    def pair_counts(self) -> np.ndarray:
-        found, count = np.unique(self.code[self.trained], return_counts=True)
-        out = np.zeros(len(self.codes), np.int64)
-        out[np.searchsorted(self.codes, found)] = count
-        return out
+        return _dealt(bucket, buckets)
+
+    def histories(self) -> np.ndarray:
+        """A 64-bit name of each distinct pair as a history."""
+        return pair_name(self.names[self.first] >> np.uint64(8), self.words[self.second])
+
+    def triples(self) -> None:
+        """Distinct triples: the history's pair, the word; each token's triple (the tokens but each text's first); counts."""
+        inner = np.ones(len(self.tokens), bool)
+        inner[self.starts] = False
+        self.inner = np.flatnonzero(inner)
+        codes, self.triple = np.unique(self.pair[self.inner - 1] * self.n + self.tokens[self.inner], return_inverse=True)
+        self.history, self.word = codes // self.n, codes % self.n
+        self.triple_counts = np.bincount(self.triple[self.trained[self.inner]], minlength=len(codes))
+        #: The pair of each triple's last two words.
+        self.lower = np.empty(len(codes), np.int64)
+        self.lower[self.triple] = self.pair[self.inner]
+
+    def deal_triples(self, asked: np.ndarray, names: np.ndarray, buckets: int, hot: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The triples asked for, by bucket, in order."""
+        name = names[self.history[asked]]
+        bucket = name % np.uint64(buckets)
+        if hot:
+            known = np.fromiter(hot, np.uint64, len(hot))
+            for h in np.intersect1d(names, known).tolist():
+                at = name == np.uint64(h)
+                bucket[at] = (bucket[at] + mix64(self.words[self.word[asked[at]]]) % np.uint64(hot[h])) % np.uint64(buckets)
+        return _dealt(bucket, buckets)
+
+
+def pair_name(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix64(first * _GOLD + second)
+
+
+def _dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    bucket = bucket.astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 def _ask_pairs(buckets: int, hot: np.ndarray):
@@ -163,14 +215,14 @@ def _ask_pairs(buckets: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for m in batch.to_pylist():
-                x = Block(m["a"], m["b"], m["c"], m["e"], buckets, hot)
+                x = Block(m)
                 count, rows = x.pair_counts(), []
+                order, cuts = x.deal_pairs(buckets, hot)
                 for k in range(buckets):
-                    p = x.order[x.cuts[k] : x.cuts[k + 1]]
+                    p = order[cuts[k] : cuts[k + 1]]
                     if len(p):
-                        starts = np.flatnonzero(np.append(True, np.diff(x.second[p]) != 0))
-                        runs = np.diff(np.append(starts, len(p)))
-                        rows.append((PAIRS, k, m["block"], x.words[x.second[p[starts]]].tobytes(), _planes(runs), _seven(x.names[x.first[p]]), _planes(np.minimum(count[p], 2**32 - 1)), None))
+                        starts = _starts(x.second[p])
+                        rows.append((PAIRS, k, m["block"], x.words[x.second[p[starts]]].tobytes(), _planes(np.diff(np.append(starts, len(p)))), _bytes(x.names[x.first[p]], 1, 8), _planes(count[p]), None))
                     if len(rows) >= 256:
                         yield _rows(rows)
                         rows = []
@@ -180,7 +232,7 @@ def _ask_pairs(buckets: int, hot: np.ndarray):
 
 
 def _totals(hot: np.ndarray):
-    """Per block: training counts of the hot words, of tokens and of texts."""
+    """Training counts of the hot words, of tokens and of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(hot) + 2, np.int64)
@@ -198,18 +250,22 @@ def _totals(hot: np.ndarray):
     return run
 
 
-def _add_pairs(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
-    """Answers (COUNTS: a = of pairs, b = of second words), SUMS by history, and TOTALS (d: counts of counts, words)."""
+def counts_of_counts(total: np.ndarray) -> np.ndarray:
+    """How many have each count, from 0 to K + 1."""
+    return np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2]
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+
+def _add_pairs(buckets: int, hot: np.ndarray, hot_counts: np.ndarray, often: int):
+    """Answers (COUNTS: a = of pairs, doubled, and 1 more if other blocks have the pair too; b = of second words), SUMS by history,
+    and TOTALS (d: counts of counts, words; a, b: names of pairs that occur often, and how often)."""
+
+    def tables(rows: list[dict]) -> pa.Table:
         bucket = rows[0]["bucket"]
-        rows.sort(key=lambda m: m["block"])
         words = [np.frombuffer(m["a"], np.uint64) for m in rows]
         runs = [_from_planes(m["b"]) for m in rows]
         known, word = np.unique(np.concatenate(words), return_inverse=True)
         second = np.repeat(word, np.concatenate(runs))
-        first = np.concatenate([_from_seven(m["c"]) for m in rows])
+        first = np.concatenate([_from_bytes(m["c"], 7) for m in rows])
         count = np.concatenate([_from_planes(m["d"]) for m in rows])
         order = np.lexsort((first, second))
         s, f = second[order], first[order]
@@ -217,6 +273,7 @@ def _add_pairs(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
         total = np.bincount(group, count, int(new.sum())).astype(np.int64)
+        shared = np.bincount(group) > 1
         heads = order[new]
         del s, f, new, order
         of_word = np.bincount(second[heads], total, len(known)).astype(np.int64)
@@ -224,14 +281,15 @@ def _add_pairs(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
         if is_hot.any():
             at = dict(zip(hot.tolist(), hot_counts.tolist(), strict=True))
             of_word[is_hot] = [at[w] for w in known[is_hot].tolist()]
-        out, at_word, at_pair = [], 0, 0
+        out, at_word, at_pair, answer = [], 0, 0, 2 * total + shared
         for m, w, r in zip(rows, words, runs, strict=True):
             n, p = len(w), int(r.sum())
-            out.append((COUNTS, bucket, m["block"], _planes(total[group[at_pair : at_pair + p]]), _planes(of_word[word[at_word : at_word + n]]), None, None, None))
+            out.append((COUNTS, bucket, m["block"], _planes(answer[group[at_pair : at_pair + p]], 8), _planes(of_word[word[at_word : at_word + n]], 8), None, None, None))
             at_word, at_pair = at_word + n, at_pair + p
-        counts = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[: K + 2]
-        del rows, words, runs, word, group, count
-        seen = np.flatnonzero(total >= CUTOFF)
+        del words, runs, word, group, count
+        frequent = heads[total >= often]
+        names, times = pair_name(first[frequent], known[second[frequent]]), total[total >= often]
+        seen = np.flatnonzero(total)
         name, class_ = first[heads[seen]], np.minimum(total[seen], K + 1)
         key, at = np.unique(name * np.uint64(K + 2) + class_.astype(np.uint64), return_inverse=True) if len(seen) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         # name * (K + 2) + class stays below 2 ** 60: names have 56 bits.
@@ -239,41 +297,40 @@ def _add_pairs(buckets: int, hot: np.ndarray, hot_counts: np.ndarray):
         sums = np.bincount(at, total[seen], len(key)).astype(np.int64)
         del first, second, heads, seen, at
         name, class_ = key // np.uint64(K + 2), (key % np.uint64(K + 2)).astype(np.uint8)
-        to = (name % np.uint64(buckets)).astype(np.int64)
-        for k in np.unique(to).tolist():
-            p = np.flatnonzero(to == k)
-            out.append((SUMS, k, -1, _seven(name[p] << np.uint64(8)), pack(class_[p]), _wide(sums[p]), _wide(mass[p]), None))
-        out.append((TOTALS, -1, -1, None, None, None, np.append(counts, ((of_word > 0) & ~is_hot).sum()).astype(np.int64).tobytes(), None))
+        order, cuts = _dealt(name % np.uint64(buckets), buckets)
+        for k in range(buckets):
+            p = order[cuts[k] : cuts[k + 1]]
+            if len(p):
+                out.append((SUMS, k, -1, _bytes(name[p], 0, 7), pack(class_[p]), _planes(sums[p], 8), _planes(mass[p], 8), None))
+        out.append((TOTALS, -1, -1, names.tobytes(), times.tobytes(), None, np.append(counts_of_counts(total), ((of_word > 0) & ~is_hot).sum()).astype(np.int64).tobytes(), None))
         return pa.Table.from_batches([_rows(out)])
 
-    return run
+    return _grouped(tables)
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
-    """d(0) to d(K + 1) by Good and Turing from the counts of counts; d is 0 below CUTOFF and FREQUENT above K."""
-    d = np.full(K + 2, FREQUENT)
+    """d(0) to d(K + 1) by Good and Turing from the counts of counts; 1 above K."""
+    d = np.ones(K + 2)
     n = np.maximum(counts.astype(float), 0)
     common = (K + 1) * n[K + 1] / n[1] if n[1] else 0.0
     for r in range(1, K + 1):
         turing = (r + 1) * n[r + 1] / (r * n[r]) if n[r] else 0.0
         d[r] = (turing - common) / (1 - common) if common < 1 else 0.0
-        if not 0.05 < d[r] < 1:  # too few pairs for the estimate
+        if not 0.05 < d[r] < 1:  # too few n-grams for the estimate
             d[r] = (r - 0.5) / r
-    d[:CUTOFF] = 0
+    d[0] = 0
     return d
 
 
-def _ask_histories(buckets: int, hot: np.ndarray):
+def _ask_histories(buckets: int):
     """HISTORIES: a = names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, a in zip(batch.column("block").to_pylist(), bytes_of(batch.column("a")), strict=True):
                 names = np.append(np.frombuffer(a, np.uint64), WordHashes().of([START]))
-                to = (names >> np.uint64(8)) % np.uint64(buckets)
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-                yield _rows([(HISTORIES, k, block, _seven(names[order[cuts[k] : cuts[k + 1]]]), None, None, None, None) for k in range(buckets) if cuts[k] < cuts[k + 1]])
+                order, cuts = _dealt((names >> np.uint64(8)) % np.uint64(buckets), buckets)
+                yield _rows([(HISTORIES, k, block, _bytes(names[order[cuts[k] : cuts[k + 1]]], 1, 8), None, None, None, None) for k in range(buckets) if cuts[k] < cuts[k + 1]])
 
     return run
 
@@ -281,104 +338,268 @@ def _ask_histories(buckets: int, hot: np.ndarray):
 def _add_histories(d: np.ndarray):
     """MASSES: a = discounted counts of a history's seen pairs, b = twice the words' counts plus 1 each."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+    def tables(rows: list[dict]) -> pa.Table:
         sums = [m for m in rows if m["kind"] == SUMS]
-        name = np.concatenate([np.zeros(0, np.uint64), *(_from_seven(m["a"]) for m in sums)])
+        name = np.concatenate([np.zeros(0, np.uint64), *(_from_bytes(m["a"], 7) for m in sums)])
         class_ = np.concatenate([np.zeros(0, np.uint8), *(unpack(m["b"], np.uint8) for m in sums)])
-        kept = np.concatenate([np.zeros(0, np.int64), *(_from_wide(m["c"]) for m in sums)]) * d[class_]
-        mass = np.concatenate([np.zeros(0), *(_from_wide(m["d"]) for m in sums)])
+        count = np.concatenate([np.zeros(0, np.int64), *(_from_planes(m["c"], 8) for m in sums)])
+        mass = np.concatenate([np.zeros(0, np.int64), *(_from_planes(m["d"], 8) for m in sums)])
         known, at = np.unique(name, return_inverse=True)
-        kept, mass = np.append(np.bincount(at, kept, len(known)), 0), np.append(np.bincount(at, mass, len(known)), 0)
+        kept = _kept(at, class_, count, len(known), d)
+        kept, mass = np.append(kept, 0), np.append(np.bincount(at, mass, len(known)), 0)
         out = []
         for m in rows:
             if m["kind"] == HISTORIES:
-                asked = _from_seven(m["a"])
+                asked = _from_bytes(m["a"], 7)
                 place = np.searchsorted(known, asked)
                 place[(place == len(known)) | (np.append(known, 0)[place] != asked)] = len(known)
                 out.append((MASSES, m["bucket"], m["block"], pack(kept[place]), pack(mass[place]), None, None, None))
         return pa.Table.from_batches([_rows(out)])
 
-    return run
+    return _grouped(tables)
 
 
-class Levels:
-    """The recursion over orders: the pair's own estimate, or the backed-off lower order's."""
+def _by_class(at: np.ndarray, class_: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """(n, K + 2): of each of n histories, the occurrences of what was seen after it, by how often each was seen."""
+    return np.bincount(at * (K + 2) + class_, count, n * (K + 2)).reshape(n, K + 2)
 
-    def __init__(self, n: int, v: int, texts: int, d: np.ndarray):
-        self.n, self.v, self.texts, self.d = n, v, texts, d
-        self.whole = n + 0.5 * (v + 1)
 
-    def unigram(self, count: np.ndarray) -> np.ndarray:
-        return (count + 0.5) / self.whole
+def _kept(at: np.ndarray, class_: np.ndarray, count: np.ndarray, n: int, d: np.ndarray) -> np.ndarray:
+    return _by_class(at, class_, count, n) @ d
+
+
+class Level:
+    """What histories of one order give: their occurrences, one more where nothing is left, and alpha."""
 
-    def backoff(self, history: np.ndarray, kept: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    def __init__(self, total: np.ndarray, kept: np.ndarray, rest: np.ndarray, d: np.ndarray):
+        """kept: discounted occurrences of what was seen after it; rest: 1 less the lower order's mass of that."""
+        self.d, self.total = d, total + ((total > 0) & (kept == total))
         with np.errstate(divide="ignore", invalid="ignore"):
-            alpha = (1 - kept / history) / (1 - mass / 2 / self.whole)
-        return np.where(history > 0, alpha, 1.0)
+            alpha = (1 - kept / self.total) / rest
+        self.alpha = np.where(total > 0, alpha, 1.0)
 
-    def bigram(self, pair: np.ndarray, history: np.ndarray, alpha: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    def p(self, count: np.ndarray, history: np.ndarray, lower: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore", invalid="ignore"):
-            own = self.d[np.minimum(pair, K + 1)] * pair / history
-        return np.where(pair >= CUTOFF, own, alpha * lower)
+            own = self.d[np.minimum(count, K + 1)] * count / self.total[history]
+        return np.where(count > 0, own, self.alpha[history] * lower)
 
 
-def _score(buckets: int, hot: np.ndarray, levels: Levels):
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+class Unigram:
+    def __init__(self, n: int, v: int, texts: int):
+        self.n, self.texts, self.whole = n, texts, n + 0.5 * (v + 1)
+
+    def p(self, count: np.ndarray) -> np.ndarray:
+        return (count + 0.5) / self.whole
+
+
+_KNOWN = "block long, a binary, b binary, c binary, d binary, e binary, pairs binary, words binary, alphas binary, totals binary"
+
+
+def _know(buckets: int, hot: np.ndarray, unigram: Unigram, d: np.ndarray):
+    """A block with the counts of its pairs (as answered) and words, and what its words give as histories."""
+
+    def tables(rows: list[dict]) -> pa.Table:
         m = next(r for r in rows if r["kind"] == TEXTS)
-        x = Block(m["a"], m["b"], m["c"], m["e"], buckets, hot)
-        pair, word = np.zeros(len(x.codes), np.int64), np.zeros(len(x.words), np.int64)
-        kept, mass = np.zeros(len(x.names)), np.zeros(len(x.names))
+        x = Block(m)
+        order, cuts = x.deal_pairs(buckets, hot)
+        to, at = _dealt((x.names >> np.uint64(8)) % np.uint64(buckets), buckets)
+        pair, word = np.zeros(len(x.second), np.int64), np.zeros(x.n, np.int64)
+        kept, mass = np.zeros(x.n + 1), np.zeros(x.n + 1)
         for r in rows:
             k = r["bucket"]
             if r["kind"] == COUNTS:
-                p = x.order[x.cuts[k] : x.cuts[k + 1]]
-                pair[p] = _from_planes(r["a"])
-                word[x.second[p[np.append(True, np.diff(x.second[p]) != 0)]]] = _from_planes(r["b"])
+                p = order[cuts[k] : cuts[k + 1]]
+                pair[p] = _from_planes(r["a"], 8)
+                word[x.second[p[_starts(x.second[p])]]] = _from_planes(r["b"], 8)
             elif r["kind"] == MASSES:
-                p = x.by_history[x.history_cuts[k] : x.history_cuts[k + 1]]
+                p = to[at[k] : at[k + 1]]
                 kept[p], mass[p] = unpack(r["a"], np.float64), unpack(r["b"], np.float64)
-        history = np.append(word, levels.texts)
-        lower = levels.unigram(word)
-        p = levels.bigram(pair, history[x.first], levels.backoff(history, kept, mass)[x.first], lower[x.second])
-        at = np.searchsorted(x.codes, x.code)
-        starts = np.append(0, np.cumsum(x.lengths)[:-1])
-        total = lambda values: np.add.reduceat(values, starts)
+        level = Level(np.append(word, unigram.texts), kept, 1 - mass / 2 / unigram.whole, d)
+        columns = [m["block"], *(m[c] for c in "abcde"), _planes(pair, 8), _planes(word, 8), pack(level.alpha), _planes(level.total, 8)]
+        return pa.table([pa.array([v], pa.int64() if k == 0 else pa.binary()) for k, v in enumerate(columns)], names=[c.split()[0] for c in _KNOWN.split(", ")])
+
+    return _grouped(tables)
+
+
+class Known(Block):
+    """A block that knows its pairs: counts, which of them other blocks have too, and P(w | v) in 32 bits."""
+
+    def __init__(self, m: dict, unigram: Unigram, d: np.ndarray):
+        super().__init__(m)
+        answer, self.word_counts = _from_planes(m["pairs"], 8), _from_planes(m["words"], 8)
+        self.pair_total, self.shared = answer >> 1, (answer & 1).astype(bool)
+        level = Level(np.zeros(0), np.zeros(0), np.zeros(0), d)
+        level.alpha, level.total = unpack(m["alphas"], np.float64), _from_planes(m["totals"], 8)
+        self.base = unigram.p(self.word_counts)
+        self.p2 = level.p(self.pair_total, self.first, self.base[self.second])
+        self.p2_short = self.p2.astype(np.float32)
+        self.triples()
+        self.asked = np.flatnonzero(self.shared[self.history])
+
+    def own(self) -> np.ndarray:
+        """The triples that no other block can have."""
+        return np.flatnonzero(~self.shared[self.history])
+
+
+def _ask_triples(buckets: int, hot: dict[int, int], unigram: Unigram, d: np.ndarray):
+    """TRIPLES: a = histories, b = triples of each, c = 32 bits of the words, d = counts, e = P(w | v) of those with a count.
+
+    TOTALS: d = counts of counts of the triples that the block settles by itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m in batch.to_pylist():
+                x = Known(m, unigram, d)
+                names, rows = x.histories(), []
+                order, cuts = x.deal_triples(x.asked, names, buckets, hot)
+                for k in range(buckets):
+                    p = x.asked[order[cuts[k] : cuts[k + 1]]]
+                    if len(p):
+                        starts, count = _starts(x.history[p]), x.triple_counts[p]
+                        short = x.p2_short[x.lower[p[count > 0]]]
+                        rows.append((TRIPLES, k, m["block"], _bytes(names[x.history[p[starts]]], 1, 8), _planes(np.diff(np.append(starts, len(p)))), _bytes(x.words[x.word[p]], 0, 4), _planes(count), short.tobytes()))
+                    if len(rows) >= 256:
+                        yield _rows(rows)
+                        rows = []
+                rows.append((TOTALS, m["block"] % buckets, -1, None, None, None, counts_of_counts(x.triple_counts[x.own()]).astype(np.int64).tobytes(), None))
+                yield _rows(rows)
+
+    return run
+
+
+def _add_triples(hot: dict[int, int]):
+    """FOUND: a = counts of the triples, b = of each history the occurrences after it by class, c = 1 less P(w | v) of what was seen.
+
+    SPREAD: the same of hot histories, as far as this bucket has them: a = names, b = occurrences by class, c = the sum of P(w | v).
+    TOTALS: d = counts of counts.
+    """
+    known_hot = np.sort(np.fromiter(hot, np.uint64, len(hot)) >> np.uint64(8))
+
+    def tables(rows: list[dict]) -> pa.Table:
+        counts = np.zeros(K + 2, np.int64)
+        for m in rows:
+            if m["kind"] == TOTALS:
+                counts += np.frombuffer(m["d"], np.int64)
+        rows = [m for m in rows if m["kind"] == TRIPLES]
+        out: list[tuple] = []
+        if rows:
+            bucket = rows[0]["bucket"]
+            runs = [_from_planes(m["b"]) for m in rows]
+            sizes = [len(r) for r in runs]
+            names, place = np.unique(np.concatenate([_from_bytes(m["a"], 7) for m in rows]), return_inverse=True)
+            history = np.repeat(place, np.concatenate(runs))
+            word = np.concatenate([np.frombuffer(m["c"], "<u4") for m in rows])
+            count = np.concatenate([_from_planes(m["d"]) for m in rows])
+            short = np.zeros(len(count), np.float32)
+            short[count > 0] = np.concatenate([np.frombuffer(m["e"], np.float32) for m in rows])
+            codes, group = np.unique((history.astype(np.uint64) << np.uint64(32)) | word, return_inverse=True)
+            total = np.bincount(group, count, len(codes)).astype(np.int64)
+            lower = np.zeros(len(codes), np.float32)
+            lower[group[count > 0]] = short[count > 0]  # the same from every block
+            del word, count, short, history
+            seen = np.flatnonzero(total)
+            of = (codes[seen] >> np.uint64(32)).astype(np.int64)
+            by_class = _by_class(of, np.minimum(total[seen], K + 1), total[seen], len(names)).astype(np.int64)
+            mass = np.bincount(of, np.round(lower[seen].astype(np.float64) * _UNIT), len(names))
+            counts += counts_of_counts(total)
+            rest = (1 - mass / _UNIT).astype(np.float32)
+            at, at_history = 0, 0
+            for m, r, n in zip(rows, runs, sizes, strict=True):
+                mine = place[at_history : at_history + n]
+                k = int(r.sum())
+                out.append((FOUND, bucket, m["block"], _planes(total[group[at : at + k]], 8), _planes(by_class[mine].T.ravel(), 8), rest[mine].tobytes(), None, None))
+                at, at_history = at + k, at_history + n
+            if len(known_hot):
+                p = np.flatnonzero(np.isin(names, known_hot))
+                if len(p):
+                    out.append((SPREAD, -1, -1, names[p].tobytes(), by_class[p].tobytes(), mass[p].astype(np.int64).tobytes(), None, None))
+        out.append((TOTALS, -1, -1, None, None, None, counts.tobytes(), None))
+        return pa.Table.from_batches([_rows(out)])
+
+    return _grouped(tables)
+
+
+def _explode_spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for m in batch.to_pylist():
+            names = np.frombuffer(m["a"], np.uint64).astype(np.int64)
+            values = np.hstack([np.frombuffer(m["b"], np.int64).reshape(-1, K + 2), np.frombuffer(m["c"], np.int64)[:, None]])
+            nth = np.tile(np.arange(K + 3, dtype=np.int32), len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, K + 3)), pa.array(nth), pa.array(values.ravel())], ["name", "k", "n"])
+
+
+def _score(buckets: int, hot: dict[int, int], spread: dict[int, list[int]], unigram: Unigram, d2: np.ndarray, d3: np.ndarray):
+    def tables(rows: list[dict]) -> pa.Table:
+        m = next(r for r in rows if r["pairs"] is not None)
+        x = Known(m, unigram, d2)
+        names = x.histories()
+        order, cuts = x.deal_triples(x.asked, names, buckets, hot)
+        n = len(x.second)
+        count, kept, rest = x.triple_counts.copy(), np.zeros(n), np.ones(n)
+        for r in rows:
+            if r["pairs"] is None:
+                k = r["bucket"]
+                p = x.asked[order[cuts[k] : cuts[k + 1]]]
+                count[p] = _from_planes(r["a"], 8)
+                h = x.history[p[_starts(x.history[p])]]
+                kept[h] = _from_planes(r["b"], 8).reshape(K + 2, -1).T @ d3
+                rest[h] = np.frombuffer(r["c"], np.float32)
+        own = x.own()
+        seen = own[count[own] > 0]
+        at = x.history[seen]
+        kept += _kept(at, np.minimum(count[seen], K + 1), count[seen], n, d3)
+        short = x.p2_short.astype(np.float64)
+        rest -= np.bincount(at, np.round(short[x.lower[seen]] * _UNIT), n) / _UNIT
+        if spread:
+            known = np.sort(np.fromiter(spread, np.uint64, len(spread)))
+            found = np.isin(names >> np.uint64(8), known) & x.shared
+            for h in np.flatnonzero(found).tolist():
+                sums = spread[int(names[h] >> np.uint64(8))]
+                kept[h], rest[h] = np.array(sums[:-1], float) @ d3, 1 - sums[-1] / _UNIT
+        # A history's occurrences: those of its pair, as an end is no history.
+        level = Level(x.pair_total, kept, rest, d3)
+        p3 = level.p(count, x.history, short[x.lower])
+        own_log = np.log10(x.p2)[x.pair]
+        own_log[x.inner] = np.log10(p3)[x.triple]
+        total = lambda values: np.add.reduceat(values, x.starts)
         ids = unpack(m["d"], np.int64).reshape(-1, 2)
         columns = [
             pa.array(ids[:, 0], pa.int64(), mask=ids[:, 1].astype(bool)),
             pa.array(unpack(m["e"], np.uint8).astype(bool)),
             pa.array(x.lengths),
-            pa.array(total((word > 0)[x.tokens].astype(np.int64))),
-            pa.array(np.full(len(x.lengths), levels.n, np.int64)),
-            pa.array(total(np.log10(lower)[x.tokens])),
-            pa.array(total(np.log10(p)[at])),
+            pa.array(total((x.word_counts > 0)[x.tokens].astype(np.int64))),
+            pa.array(np.full(len(x.lengths), unigram.n, np.int64)),
+            pa.array(total(np.log10(x.base)[x.tokens])),
+            pa.array(total(own_log)),
         ]
         return pa.table(columns, names=[c.split()[0] for c in SCHEMA.split(", ")])
 
+    return _grouped(tables)
+
+
+def _frequent(share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for text in bytes_of(batch.column("text")):
+                found.update((text or b"").lower().split())
+                found[END] += 1
+        total = found.total()
+        words = [w for w, c in found.items() if c >= share / 4 * total]
+        rest = total - sum(found[w] for w in words)
+        yield pa.RecordBatch.from_arrays([pa.array([*words, None], pa.binary()), pa.array([*(found[w] for w in words), rest], pa.int64())], ["word", "n"])
+
     return run
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = Counter()
-    for batch in batches:
-        for text in bytes_of(batch.column("text")):
-            found.update((text or b"").lower().split())
-            found[END] += 1
-    total = found.total()
-    words = [w for w, c in found.items() if c >= HOT / 4 * total]
-    rest = total - sum(found[w] for w in words)
-    yield pa.RecordBatch.from_arrays([pa.array([*words, None], pa.binary()), pa.array([*(found[w] for w in words), rest], pa.int64())], ["word", "n"])
-
-
-def hot_words(texts: DataFrame, n_texts: int) -> np.ndarray:
-    """Hashes of words over HOT of a sample's tokens: at most 1 / HOT, whatever the corpus."""
-    share = min(1.0, SAMPLE / max(n_texts, 1))
-    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = arrow_map(sample.select("text"), _frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+def hot_words(texts: DataFrame, n_texts: int, share: float) -> np.ndarray:
+    """Hashes of words over a share of a sample's tokens: at most 1 / share."""
+    part = min(1.0, SAMPLE / max(n_texts, 1))
+    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000)
+    rows = arrow_map(sample.select("text"), _frequent(share), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     total = sum(r.n for r in rows)
-    return np.sort(WordHashes().of([bytes(r.word) for r in rows if r.word is not None and r.n >= HOT * total]))
+    return np.sort(WordHashes().of([bytes(r.word) for r in rows if r.word is not None and r.n >= share * total]))
 
 
 def score(documents: DataFrame) -> DataFrame:
@@ -387,20 +608,37 @@ def score(documents: DataFrame) -> DataFrame:
     held = (crc32_mod(F.col("doc_id"), 5) == 1).alias("held_out")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held, F.col("text").cast("binary").alias("text"))
     blocks = scratch.keep(arrow_map(texts, _blocks, MESSAGE), "blocks")
-    n_blocks = blocks.count()
-    buckets = max(4, n_blocks)
-    hot = hot_words(texts, texts.count())
-    requests = arrow_map(blocks, _ask_pairs(buckets, hot), MESSAGE)
-    # Hot words' counts, tokens and texts: a few hundred sums, taken from the blocks before the pairs meet.
+    buckets = max(4, -(-blocks.count() * BLOCK_TOKENS // BUCKET_TOKENS))
+    share = max(HOT / buckets, 1 / HOT_MOST)
+    hot = hot_words(texts, texts.count(), share)
+    # Hot words' counts, tokens and texts: sums taken from the blocks before the pairs meet.
     totals = np.zeros(len(hot) + 2, np.int64)
     for r in arrow_map(blocks, _totals(hot), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         totals[r.k] = r.n
-    answers = scratch.keep(requests.groupBy("bucket").applyInArrow(_add_pairs(buckets, hot, totals[:-2]), MESSAGE), "answers")
-    stats = [np.frombuffer(r.d, np.int64) for r in answers.filter(F.col("kind") == TOTALS).select("d").collect()]
-    stat = np.sum(stats, 0) if stats else np.zeros(K + 3, np.int64)
-    d = discounts(stat[:-1])
-    levels = Levels(int(totals[-2]), int(stat[-1] + (totals[:-2] > 0).sum()), int(totals[-1]), d)
-    asked = arrow_map(blocks.select("block", "a"), _ask_histories(buckets, hot), MESSAGE)
-    histories = asked.unionByName(answers.filter(F.col("kind") == SUMS)).groupBy("bucket").applyInArrow(_add_histories(d), MESSAGE)
+    often = max(2, int(share * totals[-2]))
+    requests = arrow_map(blocks, _ask_pairs(buckets, hot), MESSAGE)
+    answers = scratch.keep(requests.groupBy("bucket").applyInArrow(_add_pairs(buckets, hot, totals[:-2], often), MESSAGE), "pairs")
+    stats = answers.filter(F.col("kind") == TOTALS).select("a", "b", "d").collect()
+    stat = np.sum([np.frombuffer(r.d, np.int64) for r in stats], 0) if stats else np.zeros(K + 3, np.int64)
+    d2 = discounts(stat[:-1])
+    unigram = Unigram(int(totals[-2]), int(stat[-1] + (totals[:-2] > 0).sum()), int(totals[-1]))
+    asked = arrow_map(blocks.select("block", "a"), _ask_histories(buckets), MESSAGE)
+    histories = asked.unionByName(answers.filter(F.col("kind") == SUMS)).groupBy("bucket").applyInArrow(_add_histories(d2), MESSAGE)
     replies = answers.filter(F.col("kind") == COUNTS).unionByName(histories)
-    return blocks.unionByName(replies).groupBy("block").applyInArrow(_score(buckets, hot, levels), SCHEMA)
+    known = scratch.keep(blocks.unionByName(replies).groupBy("block").applyInArrow(_know(buckets, hot, unigram, d2), _KNOWN), "known")
+    scratch.drop(blocks, answers)
+    # Pairs that occur often, HOT_MOST at most, and over how many buckets each is spread.
+    pairs = {int(n): int(c) for r in stats for n, c in zip(np.frombuffer(r.a, np.uint64), np.frombuffer(r.b, np.int64), strict=True)}
+    pairs = {n: min(buckets, 1 + c // often) for n, c in pairs.items()}
+    triples = arrow_map(known, _ask_triples(buckets, pairs, unigram, d2), MESSAGE)
+    found = scratch.keep(triples.groupBy("bucket").applyInArrow(_add_triples(pairs), MESSAGE), "triples")
+    stats = found.filter(F.col("kind") == TOTALS).select("d").collect()
+    d3 = discounts(np.sum([np.frombuffer(r.d, np.int64) for r in stats], 0) if stats else np.zeros(K + 2, np.int64))
+    spread: dict[int, list[int]] = {}
+    sums = arrow_map(found.filter(F.col("kind") == SPREAD).select("a", "b", "c"), _explode_spread, "name long, k int, n long")
+    for r in sums.groupBy("name", "k").agg(F.sum("n").alias("n")).collect():
+        spread.setdefault(r.name, [0] * (K + 3))[r.k] = r.n
+    empty = [F.lit(None).cast("binary").alias(c) for c in ("pairs", "words", "alphas", "totals")]
+    own = known.select("block", F.lit(None).cast("long").alias("bucket"), "a", "b", "c", "d", "e", "pairs", "words", "alphas", "totals")
+    replies = found.filter(F.col("kind") == FOUND).select("block", "bucket", "a", "b", "c", "d", "e", *empty)
+    return own.unionByName(replies).groupBy("block").applyInArrow(_score(buckets, pairs, spread, unigram, d2, d3), SCHEMA)

@@ -10,7 +10,7 @@ from claimloom.llm import jaccard, katz, toxicity, wrappers
 from claimloom.llm.common import Scratch, WordHashes, batch_hashes
 from claimloom.llm.components import components
 
-from .helpers import AWKWARD, documents, lower, words
+from .helpers import AWKWARD, LONG, documents, lower, words
 
 
 def brute_components(rows, k, t):
@@ -94,57 +94,98 @@ def test_components_of_a_path_and_a_star(spark):
     assert {r.node: r.component for r in got} == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}, 199: 199, 200: 199}
 
 
+def good_turing(counts):
+    """Katz's discounts of counts 1 to 7, in plain Python."""
+    n = collections.Counter(counts)
+    common = 8 * n[8] / n[1] if n[1] else 0
+    out = {}
+    for r in range(1, 8):
+        d = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else 0
+        out[r] = d if 0.05 < d < 1 else (r - 0.5) / r
+    return lambda r: out.get(r, 1.0)
+
+
+class BruteKatz:
+    """The recursion from its definition, with dictionaries."""
+
+    def __init__(self, texts):
+        self.words = collections.Counter(w for t in texts for w in t)
+        self.n = sum(self.words.values())
+        padded = [["<s>", *t] for t in texts]
+        self.seen = {k: collections.Counter(tuple(t[i - k + 1 : i + 1]) for t in padded for i in range(k - 1, len(t))) for k in (2, 3)}
+        self.discount = {k: good_turing(self.seen[k].values()) for k in (2, 3)}
+        self.after = collections.defaultdict(dict)
+        for k in (2, 3):
+            for gram, c in self.seen[k].items():
+                self.after[gram[:-1]][gram[-1]] = c
+        self.memo = {}
+
+    def p(self, w, h=()):
+        if not h:
+            return (self.words[w] + 0.5) / (self.n + 0.5 * (len(self.words) + 1))
+        after = self.after.get(h)
+        if not after:
+            return self.p(w, h[1:])
+        d = self.discount[len(h) + 1]
+        total = sum(after.values())
+        total += all(c > 7 for c in after.values())
+        if w in after:
+            return d(after[w]) * after[w] / total
+        if h not in self.memo:
+            self.memo[h] = (1 - sum(d(c) * c for c in after.values()) / total) / (1 - sum(self.p(x, h[1:]) for x in after))
+        return self.memo[h] * self.p(w, h[1:])
+
+
 def brute_katz(rows):
     docs = [[lower(w) for w in words(t)] + ["\n"] for _, t in rows]
     held = [zlib.crc32(str(i).encode()) % 5 == 1 if i is not None else False for i, _ in rows]
-    train = [d for d, h in zip(docs, held, strict=True) if not h]
-    uni = collections.Counter(w for d in train for w in d)
-    n, v = sum(uni.values()), len(uni)
-    pairs = collections.Counter(p for d in train for p in zip(["start"] + d, d))
-    counts = np.bincount(np.minimum(list(pairs.values()) or [0], katz.K + 2), minlength=katz.K + 3)[: katz.K + 2]
-    disc, total, kept, mass = katz.discounts(counts), collections.Counter(), collections.Counter(), collections.Counter()
-    p1 = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
-    for (h, w), c in pairs.items():
-        total[h] += c
-        if c >= katz.CUTOFF:
-            kept[h] += disc[min(c, katz.K + 1)] * c
-            mass[h] += p1(w)
-
-    def p(h, w):
-        c = pairs[h, w]
-        if c >= katz.CUTOFF:
-            return disc[min(c, katz.K + 1)] * c / total[h]
-        return p1(w) * ((1 - kept[h] / total[h]) / (1 - mass[h]) if total[h] else 1)
-
-    out = [(h, len(d), sum(uni[w] > 0 for w in d), n, sum(math.log10(p1(w)) for w in d), sum(math.log10(p(a, w)) for a, w in zip(["start"] + d, d))) for d, h in zip(docs, held, strict=True)]
-    sums = [sum(p(h, w) for w in uni) + p(h, "unseen word") for h in list(total)[:20]]
+    model = BruteKatz([d for d, h in zip(docs, held, strict=True) if not h])
+    out = []
+    for d, h in zip(docs, held, strict=True):
+        padded = ["<s>", *d]
+        full = sum(math.log10(model.p(padded[i], tuple(padded[max(0, i - 2) : i]))) for i in range(1, len(padded)))
+        out.append((h, len(d), sum(model.words[w] > 0 for w in d), model.n, sum(math.log10(model.p(w)) for w in d), full))
+    sums = [sum(model.p(w, h) for w in model.words) + model.p("unseen word", h) for h in list(model.after)[:40]]
     return out, sums
 
 
-@pytest.mark.parametrize("tokens", [1_500_000, 60])
-def test_katz_equals_brute_force(spark, tokens):
+@pytest.mark.parametrize(("tokens", "most"), [(1_500_000, 20_000), (60, 20_000), (60, 12)])
+def test_katz_equals_brute_force(spark, tokens, most, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 2 * tokens)
+    monkeypatch.setattr(katz, "HOT_MOST", most)
     rng = random.Random(9)
-    vocabulary = ["the"] * 30 + [f"w{i}" for i in range(40)]
-    rows = [r for r in AWKWARD if r[0] != 6] + [(100 + i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 30)))) for i in range(150)]
+    vocabulary = ["the"] * 30 + ["of"] * 9 + [f"w{i}" for i in range(40)]
+    rows = [r for r in AWKWARD if r[0] != 6] + [(6, LONG[:3000])] + [(100 + i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 30)))) for i in range(150)]
+    rows += [(1000 + i, "the same words again and again") for i in range(40)] + rows[20:40]
     want, sums = brute_katz(rows)
     assert sums == pytest.approx([1.0] * len(sums))
-    old = katz.BLOCK_TOKENS
-    katz.BLOCK_TOKENS = tokens
-    try:
-        got = katz.score(documents(spark, rows, ["score", "kind"]).coalesce(1)).collect()
-    finally:
-        katz.BLOCK_TOKENS = old
-    flat = lambda x: sorted((a, b, c, d, round(e, 6), round(f, 6)) for a, b, c, d, e, f in x)
-    assert flat(tuple(r)[1:] for r in got) == flat(want)
+    got = katz.score(documents(spark, rows, ["score", "kind"]).coalesce(1)).collect()
+    flat = lambda x: sorted((a, b, c, d, round(e, 6), f) for a, b, c, d, e, f in x)
+    got, want = flat(tuple(r)[1:] for r in got), flat(want)
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    assert sorted(x[5] for x in got) == pytest.approx(sorted(x[5] for x in want), abs=1e-4)
 
 
-def test_pairs_seen_once_are_discounted_and_not_backed_off(spark):
+def test_grams_seen_once_are_discounted_and_not_backed_off(spark):
     ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1]
     got = katz.score(documents(spark, [(i, f"a{i} b{i}") for i in ids])).collect()
-    # Of each pair one: d(1) is the 0.5 of too few pairs, over the counts of the texts' start, of a and of b.
+    # Of each one: d(1) is the 0.5 of too few n-grams, over the counts of the texts' start, of (start, a) and of (a, b).
     assert [r.score for r in got] == pytest.approx([math.log10(0.5**3 / len(ids))] * len(ids))
 
 
+def test_texts_that_occur_twice_score_apart(spark):
+    rng = random.Random(31)
+    vocabulary = ["the"] * 60 + ["of"] * 30 + [f"w{i}" for i in range(200)]
+    ids = [i for i in range(1, 1500) if zlib.crc32(str(i).encode()) % 5 != 1]
+    texts = [" ".join(rng.choices(vocabulary, k=60)) for _ in ids]
+    rows = [(i, texts[k // 2] if k < 200 else texts[k]) for k, i in enumerate(ids)]
+    score = {r.doc_id: r.score for r in katz.score(documents(spark, rows)).collect()}
+    alone = {r.doc_id: r.score for r in katz.score(documents(spark, [(i, texts[k]) for k, i in enumerate(ids)])).collect()}
+    # A text that the corpus has twice scores well above itself in a corpus that has it once.
+    assert all(score[ids[2 * k]] - alone[ids[k]] > 10 for k in range(100))
+
+
 def test_katz_of_no_texts(spark):
     assert katz.score(documents(spark, [])).count() == 0
 
