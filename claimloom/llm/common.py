@@ -47,24 +47,24 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame, tag: str = "t") -> DataFrame:
-        """Write df once and return a reader over the files (zstd Parquet)."""
+    def keep(self, df: DataFrame, tag: str = "t", by: str | None = None) -> DataFrame:
+        """Write df once (in a folder for each value of a column, if one is named) and return a reader over the files (zstd Parquet)."""
         self.count += 1
         path, conf = f"{self.root}/{self.count:03d}-{tag}", self.spark.conf
         before = conf.get(_CLEANUP)
         conf.set(_CLEANUP, "true")  # the table stands for its plan from here on: the shuffles behind it can go
         try:
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", "zstd").parquet(path, partitionBy=by)
         finally:
             conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete the files of tables that nothing reads any more."""
+    def drop(self, *frames: DataFrame, part: str = "") -> None:
+        """Delete the files of tables, or a part of them (column=value), that nothing reads any more."""
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{df._scratch_path}/{part}".rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

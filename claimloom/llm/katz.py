@@ -19,8 +19,8 @@ written to the shared folder, so that lost executors cost no more than their tas
 memory for its own n-grams only, and a bucket for about BUCKET_TOKENS.
 
 A word or pair that would fill more than HOT of a bucket is spread over several: the sums of such
-histories, HOT_MOST at most, are added up apart and sent to all. Lower-order probabilities are kept
-in 32 bits where triples use them, in all places alike. Messages are one for each block and bucket,
+histories, HOT_MOST at most, are added up apart and sent to all. Lower-order probabilities and
+the alphas of words are kept in 32 bits, in all places alike. Messages are one for each block and bucket,
 their number the product of both; both hold a fixed number of tokens.
 
 Defined cases: null, empty and wordless texts are one end token; null ids are trained on (fold 0);
@@ -59,17 +59,17 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = float(1 << 52)
 
 
-def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+def pack(x: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(x).tobytes())
 
 
 def unpack(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
-def _planes(x: np.ndarray, width: int = 4) -> bytes:
+def _planes(x: np.ndarray, width: int = 4, level: int = 1) -> bytes:
     """Small non-negative integers, byte plane by byte plane."""
-    return pack(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return pack(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T, level)
 
 
 def _from_planes(x: bytes, width: int = 4) -> np.ndarray:
@@ -92,6 +92,11 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
+def words_of(words: list[bytes]) -> np.ndarray:
+    """Hashes of words as they are used here, of 56 bits."""
+    return WordHashes().of(words) >> np.uint64(8)
+
+
 def _starts(runs: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin."""
     return np.flatnonzero(np.append(True, runs[1:] != runs[:-1])) if len(runs) else np.zeros(0, np.int64)
@@ -115,7 +120,7 @@ def _grouped(tables):
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """TEXTS: a = word hashes, b = texts as places in a, c = lengths, d = ids and which are null, e = held out."""
     nth, base = 0, TaskContext.get().partitionId() << 32
-    end = WordHashes().of([END])
+    end = words_of([END])
     ids: list[tuple[int, bool]] = []
     held: list[bool] = []
     texts: list[np.ndarray] = []
@@ -127,10 +132,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         lengths = np.array([len(x) for x in texts], np.int64)
-        return _rows([(TEXTS, 0, base + nth, words[order].tobytes(), _planes(rank[places]), pack(lengths), pack(np.array(ids, np.int64)), pack(np.array(held, np.uint8)))])
+        return _rows([(TEXTS, 0, base + nth, _bytes(words[order], 0, 7), _planes(rank[places], level=3), pack(lengths), pack(np.array(ids, np.int64)), pack(np.array(held, np.uint8)))])
 
     for batch in batches:
         hashes, ends = batch_hashes(batch.column("text"))
+        hashes = hashes >> np.uint64(8)
         for i, out, lo, hi in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             ids.append((i or 0, i is None))
             held.append(out)
@@ -147,7 +153,7 @@ class Block:
     """A block's words and texts, and its distinct pairs and triples."""
 
     def __init__(self, m: dict):
-        self.words, self.tokens, self.lengths = np.frombuffer(m["a"], np.uint64), _from_planes(m["b"]), unpack(m["c"], np.int64)
+        self.words, self.tokens, self.lengths = _from_bytes(m["a"], 7), _from_planes(m["b"]), unpack(m["c"], np.int64)
         held = unpack(m["e"], np.uint8).astype(bool)
         self.n = n = len(self.words)
         self.starts = np.append(0, np.cumsum(self.lengths)[:-1])
@@ -158,7 +164,7 @@ class Block:
         #: Of each distinct pair the second word and the first; pairs are in that order.
         self.second, self.first = codes // (n + 1), codes % (n + 1)
         self.trained = np.repeat(~held, self.lengths)
-        self.names = np.append(self.words, WordHashes().of([START]))
+        self.names = np.append(self.words, words_of([START]))
 
     def pair_counts(self) -> np.ndarray:
         return np.bincount(self.pair[self.trained], minlength=len(self.second))
@@ -168,12 +174,12 @@ class Block:
         bucket = (self.words % np.uint64(buckets))[self.second]
         spread = np.isin(self.words, hot)[self.second]
         if spread.any():
-            bucket[spread] = mix64(self.words[self.second[spread]] ^ (self.names[self.first[spread]] >> np.uint64(8))) % np.uint64(buckets)
+            bucket[spread] = pair_name(self.names[self.first[spread]], self.words[self.second[spread]]) % np.uint64(buckets)
         return _dealt(bucket, buckets)
 
     def histories(self) -> np.ndarray:
         """A 64-bit name of each distinct pair as a history."""
-        return pair_name(self.names[self.first] >> np.uint64(8), self.words[self.second])
+        return pair_name(self.names[self.first], self.words[self.second])
 
     def triples(self) -> None:
         """Distinct triples: the history's pair, the word; each token's triple (the tokens but each text's first); counts."""
@@ -222,7 +228,7 @@ def _ask_pairs(buckets: int, hot: np.ndarray):
                     p = order[cuts[k] : cuts[k + 1]]
                     if len(p):
                         starts = _starts(x.second[p])
-                        rows.append((PAIRS, k, m["block"], x.words[x.second[p[starts]]].tobytes(), _planes(np.diff(np.append(starts, len(p)))), _bytes(x.names[x.first[p]], 1, 8), _planes(count[p]), None))
+                        rows.append((PAIRS, k, m["block"], _bytes(x.words[x.second[p[starts]]], 0, 7), _planes(np.diff(np.append(starts, len(p)))), _bytes(x.names[x.first[p]], 0, 7), _planes(count[p]), None))
                     if len(rows) >= 256:
                         yield _rows(rows)
                         rows = []
@@ -238,7 +244,7 @@ def _totals(hot: np.ndarray):
         total = np.zeros(len(hot) + 2, np.int64)
         for batch in batches:
             for m in batch.to_pylist():
-                words, tokens, lengths = np.frombuffer(m["a"], np.uint64), _from_planes(m["b"]), unpack(m["c"], np.int64)
+                words, tokens, lengths = _from_bytes(m["a"], 7), _from_planes(m["b"]), unpack(m["c"], np.int64)
                 trained = ~unpack(m["e"], np.uint8).astype(bool)
                 tokens = tokens[np.repeat(trained, lengths)]
                 of_word = np.bincount(tokens, minlength=len(words))
@@ -261,7 +267,7 @@ def _add_pairs(buckets: int, hot: np.ndarray, hot_counts: np.ndarray, often: int
 
     def tables(rows: list[dict]) -> pa.Table:
         bucket = rows[0]["bucket"]
-        words = [np.frombuffer(m["a"], np.uint64) for m in rows]
+        words = [_from_bytes(m["a"], 7) for m in rows]
         runs = [_from_planes(m["b"]) for m in rows]
         known, word = np.unique(np.concatenate(words), return_inverse=True)
         second = np.repeat(word, np.concatenate(runs))
@@ -328,9 +334,9 @@ def _ask_histories(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, a in zip(batch.column("block").to_pylist(), bytes_of(batch.column("a")), strict=True):
-                names = np.append(np.frombuffer(a, np.uint64), WordHashes().of([START]))
-                order, cuts = _dealt((names >> np.uint64(8)) % np.uint64(buckets), buckets)
-                yield _rows([(HISTORIES, k, block, _bytes(names[order[cuts[k] : cuts[k + 1]]], 1, 8), None, None, None, None) for k in range(buckets) if cuts[k] < cuts[k + 1]])
+                names = np.append(_from_bytes(a, 7), words_of([START]))
+                order, cuts = _dealt(names % np.uint64(buckets), buckets)
+                yield _rows([(HISTORIES, k, block, _bytes(names[order[cuts[k] : cuts[k + 1]]], 0, 7), None, None, None, None) for k in range(buckets) if cuts[k] < cuts[k + 1]])
 
     return run
 
@@ -402,7 +408,7 @@ def _know(buckets: int, hot: np.ndarray, unigram: Unigram, d: np.ndarray):
         m = next(r for r in rows if r["kind"] == TEXTS)
         x = Block(m)
         order, cuts = x.deal_pairs(buckets, hot)
-        to, at = _dealt((x.names >> np.uint64(8)) % np.uint64(buckets), buckets)
+        to, at = _dealt(x.names % np.uint64(buckets), buckets)
         pair, word = np.zeros(len(x.second), np.int64), np.zeros(x.n, np.int64)
         kept, mass = np.zeros(x.n + 1), np.zeros(x.n + 1)
         for r in rows:
@@ -415,7 +421,7 @@ def _know(buckets: int, hot: np.ndarray, unigram: Unigram, d: np.ndarray):
                 p = to[at[k] : at[k + 1]]
                 kept[p], mass[p] = unpack(r["a"], np.float64), unpack(r["b"], np.float64)
         level = Level(np.append(word, unigram.texts), kept, 1 - mass / 2 / unigram.whole, d)
-        columns = [m["block"], *(m[c] for c in "abcde"), _planes(pair, 8), _planes(word, 8), pack(level.alpha), _planes(level.total, 8)]
+        columns = [m["block"], *(m[c] for c in "abcde"), _planes(pair, 8), _planes(word, 8), pack(level.alpha.astype(np.float32)), _planes(level.total, 8)]
         return pa.table([pa.array([v], pa.int64() if k == 0 else pa.binary()) for k, v in enumerate(columns)], names=[c.split()[0] for c in _KNOWN.split(", ")])
 
     return _grouped(tables)
@@ -429,7 +435,7 @@ class Known(Block):
         answer, self.word_counts = _from_planes(m["pairs"], 8), _from_planes(m["words"], 8)
         self.pair_total, self.shared = answer >> 1, (answer & 1).astype(bool)
         level = Level(np.zeros(0), np.zeros(0), np.zeros(0), d)
-        level.alpha, level.total = unpack(m["alphas"], np.float64), _from_planes(m["totals"], 8)
+        level.alpha, level.total = unpack(m["alphas"], np.float32).astype(np.float64), _from_planes(m["totals"], 8)
         self.base = unigram.p(self.word_counts)
         self.p2 = level.p(self.pair_total, self.first, self.base[self.second])
         self.p2_short = self.p2.astype(np.float32)
@@ -599,7 +605,7 @@ def hot_words(texts: DataFrame, n_texts: int, share: float) -> np.ndarray:
     sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000)
     rows = arrow_map(sample.select("text"), _frequent(share), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     total = sum(r.n for r in rows)
-    return np.sort(WordHashes().of([bytes(r.word) for r in rows if r.word is not None and r.n >= share * total]))
+    return np.sort(words_of([bytes(r.word) for r in rows if r.word is not None and r.n >= share * total]))
 
 
 def score(documents: DataFrame) -> DataFrame:
@@ -617,16 +623,18 @@ def score(documents: DataFrame) -> DataFrame:
         totals[r.k] = r.n
     often = max(2, int(share * totals[-2]))
     requests = arrow_map(blocks, _ask_pairs(buckets, hot), MESSAGE)
-    answers = scratch.keep(requests.groupBy("bucket").applyInArrow(_add_pairs(buckets, hot, totals[:-2], often), MESSAGE), "pairs")
+    answers = scratch.keep(requests.groupBy("bucket").applyInArrow(_add_pairs(buckets, hot, totals[:-2], often), MESSAGE), "pairs", by="kind")
     stats = answers.filter(F.col("kind") == TOTALS).select("a", "b", "d").collect()
     stat = np.sum([np.frombuffer(r.d, np.int64) for r in stats], 0) if stats else np.zeros(K + 3, np.int64)
     d2 = discounts(stat[:-1])
     unigram = Unigram(int(totals[-2]), int(stat[-1] + (totals[:-2] > 0).sum()), int(totals[-1]))
     asked = arrow_map(blocks.select("block", "a"), _ask_histories(buckets), MESSAGE)
-    histories = asked.unionByName(answers.filter(F.col("kind") == SUMS)).groupBy("bucket").applyInArrow(_add_histories(d2), MESSAGE)
-    replies = answers.filter(F.col("kind") == COUNTS).unionByName(histories)
+    masses = asked.unionByName(answers.filter(F.col("kind") == SUMS)).groupBy("bucket").applyInArrow(_add_histories(d2), MESSAGE)
+    masses = scratch.keep(masses, "masses")
+    scratch.drop(answers, part=f"kind={SUMS}")
+    replies = answers.filter(F.col("kind") == COUNTS).unionByName(masses)
     known = scratch.keep(blocks.unionByName(replies).groupBy("block").applyInArrow(_know(buckets, hot, unigram, d2), _KNOWN), "known")
-    scratch.drop(blocks, answers)
+    scratch.drop(blocks, answers, masses)
     # Pairs that occur often, HOT_MOST at most, and over how many buckets each is spread.
     pairs = {int(n): int(c) for r in stats for n, c in zip(np.frombuffer(r.a, np.uint64), np.frombuffer(r.b, np.int64), strict=True)}
     pairs = {n: min(buckets, 1 + c // often) for n, c in pairs.items()}
