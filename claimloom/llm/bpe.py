@@ -41,7 +41,7 @@ def byte_alphabet() -> list[str]:
 class BpeModel:
     """Encodes texts to ids and ids to text. Words once encoded are remembered, within a bound."""
 
-    REMEMBERED = 150_000
+    REMEMBERED = 300_000
 
     def __init__(self, definition: bytes):
         spec = json.loads(definition)

@@ -67,7 +67,7 @@ def features_of(word: bytes, ending: int = 1) -> list[bytes]:
 class Scores(dict):
     """word -> score, remembered within a bound."""
 
-    LIMIT = 150_000
+    LIMIT = 300_000
 
     def __init__(self, lexicon: dict[bytes, float]):
         super().__init__()
