@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom import oracles
 from claimloom.functions import text as fx
-from claimloom.operators import dq, graph, lint_text, mirror, rules, segment, validate, vectors
+from claimloom.operators import dq, graph, lint_text, mirror, report, rules, segment, validate, vectors
 from claimloom.plans import star
 from claimloom.plans.conversations import conversation_documents
 from claimloom.plans.registry import SCHEMA_VERSION, Registry
+from claimloom.sources import shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,10 +128,10 @@ def _(r: Registry) -> DataFrame:
     return r.claims.select("claim_id", *(F.unix_timestamp(fx.moment(F.col(c))).alias(k) for c, k in (("valid_from", "f"), ("valid_to", "t"))))
 
 
-@on_table("exp_tokens", "documents", "SELECT doc_id, len(t)::BIGINT AS n, array_to_string(t[1:5], ' ') AS head FROM (SELECT doc_id, CASE WHEN len(x) > 0 THEN x ELSE ['__empty__'] END AS t FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS x FROM documents))")
+@on_table("exp_tokens", "documents", "SELECT doc_id, len(t)::BIGINT AS n, sha256(array_to_string(t, ' ')) AS whole FROM (SELECT doc_id, CASE WHEN len(x) > 0 THEN x ELSE ['__empty__'] END AS t FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS x FROM documents))")
 def _(d: DataFrame) -> DataFrame:
     t = d.select("doc_id", fx.tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 5), " ").alias("head"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), fx.text_hash(F.array_join("t", " ")).alias("whole"))
 
 
 # --- keys, grouping ---
@@ -218,27 +221,52 @@ def _(r: Registry) -> DataFrame:
 
 # --- mirror ---
 
-for _name, _columns in mirror.COLUMNS.items():
-    _source = "docs" if _name == "documents" else _name
+_VIEW_OF = {"documents": "docs", "claim_evidence": "evidence", "derived_edges": "derived"}
+#: Of each mirror table the names of the row's fields in the payload, and some of its texts.
+_PAYLOAD = {
+    "relations": ["label"], "document_types": ["default_claim_status"], "entities": ["label", "status"], "documents": ["title", "text", "path"], "claims": ["object_type", "asserted_by", "valid_to", "decision_by", "source_segment_id"],
+    "claim_evidence": ["excerpt", "captured_by", "source_segment_id"], "segments": ["text", "text_hash", "segmenter_version"], "derived_edges": ["valid_from", "valid_to", "predicate"],
+}
+_ABSENT = {("relations", "group_name"), ("document_types", "label")}
 
-    @on_registry(f"mir_{_name}", f"SELECT {', '.join(_columns)} FROM {_source}")
+
+def _mirror_sql(name: str) -> str:
+    typed = ", ".join("'' AS " + c if (name, c) in _ABSENT else f"{mirror.SOURCES.get(c, c)} AS {c}" if c == "ordinal" else f"coalesce({mirror.SOURCES.get(c, c)}::VARCHAR, '') AS {c}" for c in mirror.COLUMNS[name])
+    return f"SELECT {typed}, sha256(concat_ws('|', {', '.join(f'coalesce({c}, chr(126))' for c in _PAYLOAD[name])})) AS payload FROM {_VIEW_OF.get(name, name)}"
+
+
+for _name in mirror.COLUMNS:
+
+    @on_registry(f"mir_{_name}", _mirror_sql(_name))
     def _(r: Registry, name: str = _name) -> DataFrame:
-        return mirror.mirror_table(r.with_derived(_derived(r)), name).drop("payload_json")
+        texts = [F.coalesce(F.get_json_object("payload_json", f"$.{c}"), F.lit("~")) for c in _PAYLOAD[name]]
+        return mirror.mirror_table(r.with_derived(_derived(r)), name).select(*mirror.COLUMNS[name], fx.text_hash(F.concat_ws("|", *texts)).alias("payload"))
 
 
-@on_registry("mir_meta_counts", " UNION ALL ".join(f"SELECT '{n}' AS source_path, count(*)::BIGINT AS row_count, '{SCHEMA_VERSION}' AS schema_version FROM {'docs' if n == 'documents' else n}" for n in mirror.COLUMNS))
+_COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS source_path, count(*)::BIGINT AS row_count FROM {_VIEW_OF.get(n, n)}" for n in mirror.COLUMNS)
+
+
+@on_registry("mir_meta_counts", f"SELECT *, '{SCHEMA_VERSION}' AS schema_version FROM ({_COUNTS})")
 def _(r: Registry) -> DataFrame:
     return mirror.counts(r.with_derived(_derived(r)))
 
 
-@on_registry("val_mirror_freshness", "SELECT 'warning' AS level, 'mirror.stale' AS code, record, '' AS detail FROM (VALUES ('claims'), ('entities')) t(record)")
+@on_registry("val_mirror_freshness", f"SELECT 'warning' AS level, 'mirror.stale' AS code, source_path AS record, '' AS detail FROM ({_COUNTS}) WHERE row_count % 2 = 0 OR source_path = 'entities'")
 def _(r: Registry) -> DataFrame:
-    # A ledger in which one table's count is out of date and another's row is missing.
+    # A ledger in which the even counts are out of date and one table's row is missing.
     sources = mirror.counts(r.with_derived(_derived(r))).withColumn("source_hash", F.lit(None).cast("string"))
-    ledger = sources.filter("source_path <> 'entities'").withColumn("row_count", F.when(F.col("source_path") == "claims", F.col("row_count") + 1).otherwise(F.col("row_count")))
+    ledger = sources.filter("source_path <> 'entities'").withColumn("row_count", F.when(F.col("row_count") % 2 == 0, F.col("row_count") + 1).otherwise(F.col("row_count")))
     return validate.mirror_issues(ledger, sources)
 
 
+@on_registry("mir_sync", f"SELECT source_path, row_count, row_count AS rows_written, '{SCHEMA_VERSION}' AS schema_version FROM ({_COUNTS})")
+def _(r: Registry) -> DataFrame:
+    spark = r.claims.sparkSession
+    ledger = mirror.sync(r.with_derived(_derived(r)), shared.scratch_path(spark, "mirror"))
+    there = [spark.read.parquet(x.location).agg(F.count(F.lit(1)).alias("rows_written")).withColumn("source_path", F.lit(x.source_path)) for x in ledger.select("source_path", "location").collect()]
+    return ledger.join(reduce(DataFrame.unionByName, there), "source_path").select("source_path", "row_count", "rows_written", "schema_version")
+
+
 # --- segments ---
 
 
@@ -296,8 +324,15 @@ query(
     packs AS (SELECT document_id, sec, g, min(cs) AS a, max(ce) AS b FROM fold GROUP BY ALL),
     slid AS (SELECT document_id, sec, g, a + o * 1050 AS a, least(a + o * 1050 + 1200, b) AS b FROM (SELECT *, unnest(range(0, 1 + CASE WHEN b - a > 1200 THEN ceil((b - a - 1200)::DOUBLE / 1050)::BIGINT ELSE 0 END)) AS o FROM packs)),
     good AS (SELECT s.*, substr(c.text, (s.a + 1)::BIGINT, (s.b - s.a)::BIGINT) AS body FROM slid s JOIN cdocs c USING (document_id))
-    SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY a) AS ordinal, a::BIGINT AS start_char, b::BIGINT AS end_char, sha256(body) AS text_hash FROM good WHERE regexp_matches(body, '\S')""",
-)(_markdown(lambda d: segment.build(d).select("document_id", "ordinal", "start_char", "end_char", "text_hash")))
+    SELECT g.document_id, row_number() OVER (PARTITION BY g.document_id ORDER BY a) AS ordinal, a::BIGINT AS start_char, b::BIGINT AS end_char, sha256(body) AS text_hash,
+      array_to_string(list_sort(list_distinct(['conversation'] || list_transform(list_filter(string_split(p.path, ' / '), lambda x: x <> ''), lambda x: coalesce(nullif(trim(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'untitled')))), ',') AS tags
+    FROM good g JOIN secs p ON p.document_id = g.document_id AND p.start_char = g.sec WHERE regexp_matches(body, '\S')""",
+)(_markdown(lambda d: segment.build(d).select("document_id", "ordinal", "start_char", "end_char", "text_hash", F.array_join("tags", ",").alias("tags"))))
+
+
+@on_registry("seg_coverage", "SELECT CASE WHEN text IS NULL THEN 'missing' WHEN lower(regexp_extract(path, '\\.[^./]+$')) IN ('.md', '.markdown', '.txt', '.rst') THEN 'segmented' ELSE 'unsupported' END AS kind, count(*)::BIGINT AS n FROM docs GROUP BY 1")
+def _(r: Registry) -> DataFrame:
+    return segment.coverage(r.documents)
 
 
 @on_registry(
@@ -370,6 +405,11 @@ def _(r: Registry) -> DataFrame:
     return graph.reached(r, _walk(r))
 
 
+@on_registry("gr_reached_ids", _WALK + f" SELECT coalesce(k.kind, 'Unknown') AS kind, regexp_replace(w.node_id, '^[^:]*:', '') AS id FROM walked w LEFT JOIN ({_KINDS}) k USING (node_id)")
+def _(r: Registry) -> DataFrame:
+    return graph.reached_ids(r, _walk(r))
+
+
 @on_registry("gr_sample_paths", _WALK + " SELECT node_id, route FROM walked WHERE depth > 0 ORDER BY node_id LIMIT 6")
 def _(r: Registry) -> DataFrame:
     return graph.sample_paths(_walk(r))
@@ -398,10 +438,12 @@ def _(d: DataFrame) -> DataFrame:
     return vectors.sparse(d, "doc_id")
 
 
-@on_table("emb_hash", "documents", f", sp_ AS ({_SPARSE}) SELECT doc_id, 256::BIGINT AS dims, round(sqrt(sum(weight * weight) / sum(weight * weight)), 6) AS norm FROM sp_ GROUP BY doc_id")
+@on_table("emb_hash", "documents", f", sp_ AS ({_SPARSE}) SELECT d.doc_id, 256::BIGINT AS dims, round(coalesce(x.a, 0), 6) AS by_place, round(coalesce(x.b, 0), 6) AS absolute, coalesce(x.c, 0)::BIGINT AS places FROM documents d LEFT JOIN (SELECT doc_id, sum(weight * (place + 1)) / sqrt(sum(weight * weight)) AS a, sum(abs(weight)) / sqrt(sum(weight * weight)) AS b, count(*) AS c FROM sp_ GROUP BY doc_id) x USING (doc_id)")
 def _(d: DataFrame) -> DataFrame:
     e = vectors.embed(d, "doc_id")
-    return e.select("doc_id", F.size("embedding").cast("long").alias("dims"), F.round(F.sqrt(vectors.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
+    total = lambda f: F.round(F.aggregate(F.transform("embedding", f), F.lit(0.0), lambda s, x: s + x), 6)
+    places = F.size(F.filter("embedding", lambda x: x != 0)).cast("long")
+    return e.select("doc_id", F.size("embedding").cast("long").alias("dims"), total(lambda x, i: x * (i + 1)).alias("by_place"), total(lambda x: F.abs(x)).alias("absolute"), places.alias("places"))
 
 
 def _probe(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
@@ -445,8 +487,8 @@ def _(r: Registry) -> DataFrame:
 
 # --- validation ---
 
-for _code in validate.CHECKS:
-    QUERIES["val_" + _code.replace(".", "_")] = lambda spark, sf_dir, code=_code: validate.CHECKS[code](_shipped(star.registry(spark, sf_dir)))
+for _code in validate.CODES:
+    QUERIES["val_" + _code.replace(".", "_")] = lambda spark, sf_dir, code=_code: validate.issues(_shipped(star.registry(spark, sf_dir)), [code])
     ORACLES["val_" + _code.replace(".", "_")] = oracles.issue_sql(_code)
 
 
@@ -455,11 +497,26 @@ def _(r: Registry) -> DataFrame:
     return validate.issues(_shipped(r)).groupBy("level", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@on_registry("val_summary", oracles.SHIPPED + "SELECT (count(*) FILTER (level = 'error'))::BIGINT AS errors, (count(*) FILTER (level = 'warning'))::BIGINT AS warnings, 'failed' AS status FROM (" + " UNION ALL ".join(map(oracles.one_issue, oracles.ISSUES)) + ")")
+@on_registry("val_summary", oracles.SHIPPED + "SELECT (count(*) FILTER (level = 'error'))::BIGINT AS errors, (count(*) FILTER (level = 'warning'))::BIGINT AS warnings, CASE WHEN count(*) FILTER (level = 'error') > 0 THEN 'failed' WHEN count(*) > 0 THEN 'passed_with_warnings' ELSE 'passed' END AS status FROM (" + " UNION ALL ".join(map(oracles.one_issue, oracles.ISSUES)) + ")")
 def _(r: Registry) -> DataFrame:
     return validate.summary(validate.issues(_shipped(r)))
 
 
+_WARNED = [c for c in validate.CODES if oracles.ISSUES[c][0] == "warning"]
+
+
+@on_registry("val_summary_warnings", oracles.SHIPPED + "SELECT (count(*) FILTER (level = 'error'))::BIGINT AS errors, (count(*) FILTER (level = 'warning'))::BIGINT AS warnings, CASE WHEN count(*) FILTER (level = 'error') > 0 THEN 'failed' WHEN count(*) > 0 THEN 'passed_with_warnings' ELSE 'passed' END AS status FROM (" + " UNION ALL ".join(map(oracles.one_issue, _WARNED)) + ")")
+def _(r: Registry) -> DataFrame:
+    return validate.summary(validate.issues(_shipped(r), _WARNED))
+
+
+@on_registry("rep_status", oracles.SHIPPED + "SELECT count(*)::BIGINT AS findings, (count(*) FILTER (level = 'error') > 0)::INT AS exit_status FROM (" + " UNION ALL ".join(map(oracles.one_issue, oracles.ISSUES)) + ")")
+def _(r: Registry) -> DataFrame:
+    text, status = report.rendered(validate.issues(_shipped(r)), "star", as_json=True, shown=5)
+    total = json.loads(text)["summary"]
+    return r.claims.sparkSession.createDataFrame([(total["errors"] + total["warnings"], status)], "findings long, exit_status int")
+
+
 # --- text scans ---
 
 
@@ -475,3 +532,6 @@ def _(d: DataFrame) -> DataFrame:
     doc = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     made = d.select(doc.alias("doc"), F.concat(F.lit("- Owner Role: "), "role", F.lit("\n- turn: "), F.col("turn").cast("string")).alias("text"))
     return lint_text.metadata(made, "doc")
+
+
+from claimloom import catalog_files  # noqa: E402, F401  the queries over files register themselves

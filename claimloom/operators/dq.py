@@ -47,3 +47,8 @@ def dangling(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) ->
     """Rows whose reference is given but names no parent."""
     named = rows.filter(~missing(F.col(key)))
     return named.join(parents.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")
+
+
+def key_counts(rows: DataFrame, key: str) -> DataFrame:
+    """key, n: rows of each key, and of none (null), counted map-side."""
+    return rows.groupBy(F.when(~missing(F.col(key)), F.col(key)).alias("key")).agg(F.count(F.lit(1)).alias("n"))

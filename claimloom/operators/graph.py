@@ -2,8 +2,8 @@
 
 Families are narrow selects put together by UNION ALL. Traversal is a loop of joins over the hops:
 the frontier meets the adjacency table, new nodes are those not yet visited, and of several parents
-at the least depth the smallest by name is kept, so paths do not depend on row order. Visited sets
-are cut from their lineage by checkpoint() after each hop.
+at the least depth the smallest by name is kept, so paths do not depend on row order. The adjacency is
+written once and read at every hop; visited sets are cut from their lineage by checkpoint() after each.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import match_form, present
 from claimloom.plans.registry import Registry
-from claimloom.sources.shared import ensure_checkpoint_dir
+from claimloom.sources.shared import ensure_checkpoint_dir, written
 
 # Families of nodes (table, key, type) and of edges.
 NODE_FAMILIES = {
@@ -134,13 +134,16 @@ def adjacency(registry: Registry) -> DataFrame:
     for rows, (k, a), (j, b) in pairs:
         part = rows.filter(present(F.col(a)) & present(F.col(b))).select(name(k, F.col(a)).alias("a"), name(j, F.col(b)).alias("b"))
         out = part if out is None else out.unionByName(part)
-    # One pass over the sources: each connection is turned to its two directions by a generator.
-    return out.distinct().select(F.inline(F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct()
+    # One pass over the sources and one shuffle: each connection once, in order of its ends, then turned to its two directions.
+    once = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return once.select(F.inline(both))
 
 
 def bfs(links: DataFrame, seed: DataFrame, max_hops: int = 3) -> DataFrame:
     """node_id, depth, path of every node within so many hops of a seed (entity_id)."""
     ensure_checkpoint_dir(links.sparkSession)
+    links = written(links, "links")
     found = seed.select(name("entity", F.col("entity_id")).alias("node_id"), F.lit(0).alias("depth")).withColumn("path", F.array("node_id"))
     front = found
     for depth in range(1, max_hops + 1):
@@ -157,9 +160,25 @@ def kinds(registry: Registry) -> DataFrame:
 
 
 def reached(registry: Registry, found: DataFrame) -> DataFrame:
-    """kind, n, ids: counts by kind of node, Unknown where there is no such node."""
-    named = found.join(kinds(registry), "node_id", "left")
-    return named.groupBy(F.coalesce("kind", F.lit("Unknown")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """kind, n: counts by kind of node, Unknown where there is no such node."""
+    return reached_ids(registry, found).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def reached_ids(registry: Registry, found: DataFrame) -> DataFrame:
+    """kind, id of every reached node. A pack shows them in this order; they are rows, as a kind may have any number."""
+    named = found.select("node_id").join(kinds(registry), "node_id", "left")
+    return named.select(F.coalesce("kind", F.lit("Unknown")).alias("kind"), F.regexp_replace("node_id", "^[^:]*:", "").alias("id"))
+
+
+def export(registry: Registry, folder: str, include_nonaccepted: bool = False) -> DataFrame:
+    """Write nodes and edges as JSON lines, a folder for each family, in order of their ids; returns the summary."""
+    for rows, kind, key, families in ((nodes(registry), "nodes", "node_id", NODE_FAMILIES), (edges(registry, include_nonaccepted), "edges", "edge_id", EDGE_FAMILIES)):
+        rows = written(rows, kind)
+        for family in families:
+            rows.filter(F.col("family") == family).drop("family").orderBy(key).write.mode("overwrite").json(f"{folder}/{kind}/{family}")
+    out = summary(registry, include_nonaccepted)
+    out.coalesce(1).orderBy("family").write.mode("overwrite").json(f"{folder}/summary")
+    return out
 
 
 def sample_paths(found: DataFrame, n: int = 6) -> DataFrame:

@@ -65,7 +65,7 @@ def open_repository(spark: SparkSession, root: str) -> Repository:
 
 def _parsed(repo: Repository, path: str) -> object:
     try:
-        return load_yaml(os.path.join(repo.root, path))
+        return load_yaml(repo.spark, os.path.join(repo.root, path))
     except ImportError:
         repo.found.append(("error", "yaml.missing_dependency", path, ""))
     except Exception as e:  # noqa: BLE001  what a broken file raises is the parser's affair

@@ -2,35 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.plans.registry import SCHEMA_VERSION, Registry
+from claimloom.sources import shared
 
-# Typed columns of each mirror table; the rest of a row is in payload_json.
+# The mirror's tables, and of each its typed columns; a column that is named otherwise in the registry has that name beside it.
 COLUMNS = {
+    "relations": ["relation_key", "label", "group_name"],
+    "document_types": ["document_type_key", "label", "default_claim_status"],
     "entities": ["entity_id", "entity_type", "label", "status"],
-    "documents": ["document_id", "document_type", "path", "status", "title"],
-    "claims": ["claim_id", "subject_id", "predicate", "object_id", "status", "confidence", "source_document_id", "source_segment_id", "review_state"],
-    "evidence": ["evidence_id", "claim_id", "source_document_id", "source_segment_id", "support"],
-    "segments": ["segment_id", "document_id", "document_type", "ordinal", "status", "text_hash"],
-    "derived": ["edge_id", "source_claim_id", "rule_key", "subject_id", "predicate", "object_id", "status"],
-    "relations": ["key", "label"],
-    "document_types": ["key", "default_claim_status"],
+    "documents": ["document_id", "path", "document_type", "status"],
+    "claims": ["claim_id", "subject_id", "predicate", "object_id", "status", "review_state", "source_document_id"],
+    "claim_evidence": ["evidence_id", "claim_id", "source_document_id", "support"],
+    "segments": ["segment_id", "document_id", "document_type", "status", "ordinal"],
+    "derived_edges": ["edge_id", "source_claim_id", "rule_key", "subject_id", "predicate", "object_id", "status"],
 }
+SOURCES = {"relation_key": "key", "group_name": "group", "document_type_key": "key"}
+#: The registry's names of those tables that it calls otherwise.
+ATTRIBUTES = {"claim_evidence": "evidence", "derived_edges": "derived"}
+
+
+def rows_of(registry: Registry, name: str) -> DataFrame | None:
+    return getattr(registry, ATTRIBUTES.get(name, name))
 
 
 def mirror_table(registry: Registry, name: str) -> DataFrame:
-    """The typed columns and the whole row as JSON."""
-    rows = getattr(registry, name)
-    return rows.select(*COLUMNS[name], F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("payload_json"))
+    """The typed columns (absent ones empty, ordinal a number) and the whole row as JSON, by names in order."""
+    rows = rows_of(registry, name)
+
+    def column(c: str) -> Column:
+        source = SOURCES.get(c, c)
+        if c == "ordinal":
+            return F.coalesce(F.col(source).try_cast("bigint"), F.lit(0)).cast("bigint").alias(c)
+        return (F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")) if source in rows.columns else F.lit("")).alias(c)
+
+    payload = F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(rows.columns))), {"ignoreNullFields": "false"}).alias("payload_json")
+    return rows.select(*map(column, COLUMNS[name]), payload)
 
 
 def counts(registry: Registry) -> DataFrame:
     """source_path, row_count, schema_version of each table that there is."""
     out = None
     for name in COLUMNS:
-        rows = getattr(registry, name)
+        rows = rows_of(registry, name)
         if rows is not None:
             part = rows.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("source_path"), "row_count", F.lit(SCHEMA_VERSION).alias("schema_version"))
             out = part if out is None else out.unionByName(part)
@@ -53,9 +69,16 @@ def sync(registry: Registry, folder: str, ledger_hashes: dict[str, str] | None =
     spark = registry.claims.sparkSession
     run = f"{folder}/run-{uuid.uuid4().hex}"
     for name in COLUMNS:
-        if getattr(registry, name) is not None:
+        if rows_of(registry, name) is not None:
             mirror_table(registry, name).write.parquet(f"{run}/{name}")
     hashes = spark.createDataFrame([*(ledger_hashes or {}).items()] or [("", "")], "source_path string, source_hash string")
     ledger = counts(registry).join(hashes, "source_path", "left").withColumns({"synced_at": F.current_timestamp(), "location": F.concat(F.lit(f"{run}/"), "source_path")})
     ledger.write.mode("overwrite").parquet(f"{folder}/_ledger")
     return spark.read.parquet(f"{folder}/_ledger")
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The mirror's ledger; None where there is no mirror. What cannot be read as one raises."""
+    if not shared.exists(spark, folder):
+        return None
+    return spark.read.parquet(f"{folder}/_ledger").select("source_path", "source_hash", "row_count", "schema_version")

@@ -178,6 +178,13 @@ def build(documents: DataFrame, links: DataFrame | None = None, max_chars: int =
     return out.withColumn("heading_path", F.when(F.size("heading_path") > 0, F.col("heading_path")))
 
 
+def coverage(documents: DataFrame) -> DataFrame:
+    """kind, n: documents that are segmented, whose file is of no supported kind, and that have no text."""
+    supported = F.lower("path").rlike("[.](" + "|".join(s[1:] for s in TEXT_SUFFIXES) + ")$")
+    kind = F.when(F.col("text").isNull(), "missing").when(~F.coalesce(supported, F.lit(False)), "unsupported").otherwise("segmented")
+    return documents.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def links(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """segment_id, claim_ids, entity_ids: what claims say of their segments, and evidence of its claims."""
     ends = claims.select("claim_id", F.array("subject_id", "object_id").alias("ends"))

@@ -1,254 +1,213 @@
-"""Validation: every issue code is one DataFrame of findings; a report is their union.
+"""Validation: every issue code is a rule over the rows of one registry; a report is their union.
 
-A check that presupposes another one (bounds need a known document, say) works on the rows that
-passed it. Keys are taken first-wins before anything is compared.
+A registry's rows are read once for all of its codes: they meet each parent table that a code asks
+for in one join, which brings what all codes need of it, and the findings of a row come out of it as
+one list. A rule that presupposes another one (bounds need a known document, say) holds back on rows
+that did not pass it. Keys are taken first-wins before anything is compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimloom.functions.text import missing, moment, strip, text_hash, whole, windows_overlap
-from claimloom.operators.dq import dangling, duplicate_keys, first_by_key, issue, missing_fields, missing_keys
+from claimloom.functions.text import missing, moment, present, strip, text_hash, whole, windows_overlap
+from claimloom.operators.dq import first_by_key, issue, key_counts
 from claimloom.plans.registry import ACCEPTED_REQUIRED, REQUIRED, REVIEW_STATES, Registry
 
-Check = Callable[[Registry], DataFrame]
-CHECKS: dict[str, Check] = {}
 #: Registries with a key, and the key.
 KEYED = {"claims": "claim_id", "evidence": "evidence_id", "segments": "segment_id", "entities": "entity_id", "documents": "document_id"}
+ERROR, WARNING = "error", "warning"
 
 
-def check(code: str) -> Callable[[Check], Check]:
-    def add(f: Check) -> Check:
-        CHECKS[code] = f
-        return f
+@dataclass(frozen=True)
+class Rule:
+    """A code of a registry's rows: what it needs joined, and a list of details, one for each finding."""
 
-    return add
+    table: str
+    level: str
+    needs: tuple[str, ...]
+    details: Callable[[], Column]
 
 
-def _keyed(r: Registry, table: str) -> DataFrame:
-    rows = getattr(r, table)
-    order = ["ord"] if "ord" in rows.columns else sorted(c for c, t in rows.dtypes if not t.startswith(("map", "variant")))
-    return first_by_key(rows, KEYED[table], order)
-
-
-def _claims(r: Registry) -> DataFrame:
-    """Claims whose state is one of the five; other checks of a claim presuppose that."""
-    return _keyed(r, "claims").filter(F.col("status").isin(list(REVIEW_STATES)))
-
-
-def _with(rows: DataFrame, key: str, parent: DataFrame, parent_key: str, **columns: str) -> DataFrame:
-    """Rows joined with columns of what their key names."""
-    return rows.filter(~missing(F.col(key))).join(parent.select(F.col(parent_key).alias(key), *(F.col(v).alias(k) for k, v in columns.items())), key)
-
-
-for _table, _key in KEYED.items():
-
-    @check(f"{_table}.missing_key")
-    def _(r: Registry, table: str = _table, key: str = _key) -> DataFrame:
-        return issue(missing_keys(getattr(r, table), key).groupBy().agg(F.count(F.lit(1)).alias("n")).filter("n > 0"), "error", f"{table}.missing_key", F.lit(""), F.col("n"))
-
-    @check(f"{_table}.duplicate_key")
-    def _(r: Registry, table: str = _table, key: str = _key) -> DataFrame:
-        return issue(duplicate_keys(getattr(r, table), key), "error", f"{table}.duplicate_key", F.col(key), F.col("extra"))
-
-
-for _table in ("claims", "evidence", "segments"):
-
-    @check(f"{_table}.missing_field")
-    def _(r: Registry, table: str = _table) -> DataFrame:
-        return issue(missing_fields(_keyed(r, table), KEYED[table], REQUIRED[table]), "error", f"{table}.missing_field", F.col(KEYED[table]), F.col("field"))
-
-
-@check("document_types.invalid_default_claim_status")
-def _(r: Registry) -> DataFrame:
-    return issue(r.document_types.filter(~F.col("default_claim_status").eqNullSafe(F.lit("proposed"))), "error", "document_types.invalid_default_claim_status", F.col("key"), F.col("default_claim_status"))
-
-
-@check("documents.missing_type")
-def _(r: Registry) -> DataFrame:
-    return issue(_keyed(r, "documents").filter(missing(F.col("document_type"))), "error", "documents.missing_type", F.col("document_id"))
-
-
-@check("documents.unknown_type")
-def _(r: Registry) -> DataFrame:
-    return issue(dangling(_keyed(r, "documents"), "document_type", r.document_types, "key"), "error", "documents.unknown_type", F.col("document_id"), F.col("document_type"))
-
-
-@check("segments.unknown_document")
-def _(r: Registry) -> DataFrame:
-    rows = _keyed(r, "segments").withColumn("document_id", F.coalesce("document_id", F.lit("")))
-    return issue(rows.join(r.documents.select("document_id").distinct(), "document_id", "left_anti"), "error", "segments.unknown_document", F.col("segment_id"), F.col("document_id"))
-
-
-def _placed(r: Registry) -> DataFrame:
-    """Segments of known documents with the document's type and text."""
-    return _with(_keyed(r, "segments"), "document_id", _keyed(r, "documents"), "document_id", of_type="document_type", body="text")
-
-
-@check("segments.document_type_mismatch")
-def _(r: Registry) -> DataFrame:
-    rows = _placed(r).filter(~missing(F.col("document_type")) & ~missing(F.col("of_type")) & (F.col("document_type") != F.col("of_type")))
-    return issue(rows, "error", "segments.document_type_mismatch", F.col("segment_id"), F.col("of_type"))
-
+RULES: dict[str, Rule] = {}
+#: Codes that are no rule of single rows.
+OTHERS: dict[str, Callable[[Registry], DataFrame]] = {}
 
-@check("segments.invalid_numeric_field")
-def _(r: Registry) -> DataFrame:
-    bad = F.greatest(*(whole(F.col(c)).isNull().cast("int") for c in ("start_char", "end_char", "ordinal"))) == 1
-    return issue(_placed(r).filter(bad), "error", "segments.invalid_numeric_field", F.col("segment_id"))
 
+def _rule(code: str, bad: Callable[[], Column], detail: str | None = None, needs: tuple[str, ...] = (), level: str = ERROR) -> None:
+    """A rule that finds one thing in a row at most."""
+    found = lambda: F.when(bad(), F.array(F.lit("") if detail is None else F.coalesce(F.col(detail).cast("string"), F.lit(""))))
+    RULES[code] = Rule(code.split(".")[0], level, needs, found)
 
-@check("segments.invalid_offsets")
-def _(r: Registry) -> DataFrame:
-    return issue(_placed(r).filter(whole(F.col("start_char")) > whole(F.col("end_char"))), "error", "segments.invalid_offsets", F.col("segment_id"))
 
+def _fields(code: str, fields: list[str], where: Callable[[], Column] = lambda: F.lit(True)) -> None:
+    """A finding for each of the fields that is null or empty."""
+    marks = lambda: F.array_compact(F.array(*(F.when(missing(F.col(f)), F.lit(f)) for f in fields)))
+    RULES[code] = Rule(code.split(".")[0], ERROR, (), lambda: F.when(where(), marks()))
 
-@check("segments.text_hash_mismatch")
-def _(r: Registry) -> DataFrame:
-    return issue(_placed(r).filter(~text_hash(F.col("text")).eqNullSafe(F.col("text_hash"))), "error", "segments.text_hash_mismatch", F.col("segment_id"))
 
+def _keyed(r: Registry, table: str) -> DataFrame:
+    rows = getattr(r, table)
+    order = ["ord"] if "ord" in rows.columns else sorted(c for c, t in rows.dtypes if not t.startswith(("map", "variant")))
+    return first_by_key(rows, KEYED[table], order)
 
-@check("segments.out_of_bounds")
-def _(r: Registry) -> DataFrame:
-    return issue(_placed(r).filter(whole(F.col("end_char")) > F.length("body")), "error", "segments.out_of_bounds", F.col("segment_id"))
-
-
-@check("segments.text_mismatch")
-def _(r: Registry) -> DataFrame:
-    there = F.expr("substring(body, cast(start_char + 1 as int), cast(greatest(end_char - start_char, 0) as int))")
-    inside = whole(F.col("end_char")) <= F.length("body")
-    return issue(_placed(r).filter(inside & ~there.eqNullSafe(F.col("text"))), "error", "segments.text_mismatch", F.col("segment_id"))
-
-
-@check("claims.invalid_status")
-def _(r: Registry) -> DataFrame:
-    bad = ~F.coalesce(F.col("status").isin(list(REVIEW_STATES)), F.lit(False))
-    return issue(_keyed(r, "claims").filter(bad), "error", "claims.invalid_status", F.col("claim_id"), F.col("status"))
-
-
-@check("claims.invalid_review_state")
-def _(r: Registry) -> DataFrame:
-    due = F.create_map(*(F.lit(x) for pair in REVIEW_STATES.items() for x in pair))[F.col("status")]
-    return issue(_claims(r).filter(~due.eqNullSafe(F.col("review_state"))), "error", "claims.invalid_review_state", F.col("claim_id"), F.col("review_state"))
-
-
-for _code, _column, _parent, _parent_key in (
-    ("claims.unknown_relation", "predicate", "relations", "key"), ("claims.unknown_subject", "subject_id", "entities", "entity_id"),
-    ("claims.unknown_object", "object_id", "entities", "entity_id"), ("claims.unknown_document", "source_document_id", "documents", "document_id"),
-    ("claims.unknown_segment", "source_segment_id", "segments", "segment_id"),
-):
-
-    @check(_code)
-    def _(r: Registry, code: str = _code, column: str = _column, parent: str = _parent, parent_key: str = _parent_key) -> DataFrame:
-        return issue(dangling(_claims(r), column, getattr(r, parent), parent_key), "error", code, F.col("claim_id"), F.col(column))
-
-
-def _sources_differ(rows: DataFrame, r: Registry, code: str, key: str) -> DataFrame:
-    both = _with(rows, "source_segment_id", _keyed(r, "segments"), "segment_id", found="document_id")
-    return issue(both.filter(~F.col("found").eqNullSafe(F.col("source_document_id"))), "error", code, F.col(key), F.col("found"))
-
-
-@check("claims.segment_document_mismatch")
-def _(r: Registry) -> DataFrame:
-    return _sources_differ(_claims(r), r, "claims.segment_document_mismatch", "claim_id")
-
-
-@check("claims.accepted_missing_review_metadata")
-def _(r: Registry) -> DataFrame:
-    rows = missing_fields(_claims(r).filter("status = 'accepted'"), "claim_id", ACCEPTED_REQUIRED)
-    return issue(rows, "error", "claims.accepted_missing_review_metadata", F.col("claim_id"), F.col("field"))
-
-
-@check("claims.invalid_decision_actor")
-def _(r: Registry) -> DataFrame:
-    rows = _claims(r).filter((F.col("status") == "accepted") & ~missing(F.col("decision_by")) & ~F.col("decision_by").startswith("human:"))
-    return issue(rows, "error", "claims.invalid_decision_actor", F.col("claim_id"), F.col("decision_by"))
-
-
-@check("claims.accepted_without_evidence")
-def _(r: Registry) -> DataFrame:
-    shown = _keyed(r, "evidence").filter(F.lower(strip(F.col("support"))) == "support").select("claim_id").distinct()
-    return issue(_claims(r).filter("status = 'accepted'").join(shown, "claim_id", "left_anti"), "error", "claims.accepted_without_evidence", F.col("claim_id"))
-
-
-@check("claims.disputed")
-def _(r: Registry) -> DataFrame:
-    return issue(_claims(r).filter("status = 'disputed'"), "warning", "claims.disputed", F.col("claim_id"))
-
-
-for _code, _column, _parent, _parent_key in (
-    ("evidence.unknown_claim", "claim_id", "claims", "claim_id"), ("evidence.unknown_document", "source_document_id", "documents", "document_id"), ("evidence.unknown_segment", "source_segment_id", "segments", "segment_id"),
-):
-
-    @check(_code)
-    def _(r: Registry, code: str = _code, column: str = _column, parent: str = _parent, parent_key: str = _parent_key) -> DataFrame:
-        return issue(dangling(_keyed(r, "evidence"), column, getattr(r, parent), parent_key), "error", code, F.col("evidence_id"), F.col(column))
 
+def _ids(r: Registry, table: str) -> DataFrame:
+    return getattr(r, table).select(KEYED[table]).distinct()
 
-@check("evidence.segment_document_mismatch")
-def _(r: Registry) -> DataFrame:
-    return _sources_differ(_keyed(r, "evidence"), r, "evidence.segment_document_mismatch", "evidence_id")
 
+#: What a need brings: the rows' reference, the parents by key, and their columns under new names; "known" marks that there is one.
+_PARENTS: dict[str, dict[str, tuple[str, Callable[[Registry], DataFrame], str, dict[str, str]]]] = {
+    "documents": {"type": ("document_type", lambda r: r.document_types.select("key").distinct(), "key", {})},
+    "segments": {"document": ("document_id", lambda r: _keyed(r, "documents"), "document_id", {"of_type": "document_type", "body": "text"})},
+    "claims": {
+        "relation": ("predicate", lambda r: r.relations.select("key").distinct(), "key", {}),
+        "subject": ("subject_id", lambda r: _ids(r, "entities"), "entity_id", {}),
+        "object": ("object_id", lambda r: _ids(r, "entities"), "entity_id", {}),
+        "document": ("source_document_id", lambda r: _ids(r, "documents"), "document_id", {}),
+        "segment": ("source_segment_id", lambda r: _keyed(r, "segments"), "segment_id", {"segment_document": "document_id"}),
+        "support": ("claim_id", lambda r: _keyed(r, "evidence").filter(F.lower(strip(F.col("support"))) == "support").select("claim_id").distinct(), "claim_id", {}),
+    },
+    "evidence": {
+        "claim": ("claim_id", lambda r: _ids(r, "claims"), "claim_id", {}),
+        "document": ("source_document_id", lambda r: _keyed(r, "documents").select("document_id", F.length("text").alias("size")), "document_id", {"body_size": "size"}),
+        "segment": ("source_segment_id", lambda r: _keyed(r, "segments"), "segment_id", {"segment_document": "document_id", "segment_start": "start_char", "segment_end": "end_char"}),
+    },
+    "derived": {
+        "claim": ("source_claim_id", lambda r: _keyed(r, "claims"), "claim_id", {"state": "status"}),
+        "relation": ("predicate", lambda r: r.relations.select("key").distinct(), "key", {}),
+        "rule": ("rule_key", lambda r: r.rules.select("key").distinct(), "key", {}),
+    },
+    "document_types": {},
+}
 
-def _spans(r: Registry) -> DataFrame:
-    """Evidence in known segments, with the segment's bounds."""
-    rows = _with(_keyed(r, "evidence"), "source_segment_id", _keyed(r, "segments"), "segment_id", seg_start="start_char", seg_end="end_char")
-    return rows.withColumns({"s": whole(F.col("start_char")), "e": whole(F.col("end_char"))})
 
+def _known(need: str) -> Column:
+    return F.col(f"known_{need}").isNotNull()
 
-def _valid() -> Column:
-    return F.coalesce(F.col("s") <= F.col("e"), F.lit(False))
 
+def _dangling(need: str, column: str) -> Callable[[], Column]:
+    return lambda: present(F.col(column)) & ~_known(need)
 
-@check("evidence.invalid_offsets")
-def _(r: Registry) -> DataFrame:
-    return issue(_spans(r).filter(~_valid()), "error", "evidence.invalid_offsets", F.col("evidence_id"))
 
+def _joined(r: Registry, table: str, needs: Iterable[str]) -> DataFrame:
+    """The registry's rows by key with what the needs bring."""
+    rows = _keyed(r, table) if table in KEYED else getattr(r, table)
+    if table in ("claims", "evidence"):
+        rows = rows.withColumn("odd_segment", _odd_segment(rows))
+    for need in sorted(set(needs)):
+        column, parents, key, brings = _PARENTS[table][need]
+        rows = rows.join(parents(r).select(F.col(key).alias(column), F.lit(True).alias(f"known_{need}"), *(F.col(v).alias(k) for k, v in brings.items())), column, "left")
+    return rows
 
-@check("evidence.out_of_segment_bounds")
-def _(r: Registry) -> DataFrame:
-    return issue(_spans(r).filter(_valid() & ((F.col("s") < F.col("seg_start")) | (F.col("e") > F.col("seg_end")))), "error", "evidence.out_of_segment_bounds", F.col("evidence_id"))
 
+def _odd_segment(rows: DataFrame) -> Column:
+    """Whether a segment's id is given as something other than a string, which the row's text tells where it is kept."""
+    if "raw" not in rows.columns:
+        return F.lit(False)
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("raw"), "$.source_segment_id", "variant"))
+    return F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False))
 
-@check("evidence.out_of_document_bounds")
-def _(r: Registry) -> DataFrame:
-    rows = _with(_spans(r), "source_document_id", _keyed(r, "documents"), "document_id", body="text")
-    return issue(rows.filter(_valid() & (F.col("e") > F.length("body"))), "error", "evidence.out_of_document_bounds", F.col("evidence_id"))
 
+_STATES = list(REVIEW_STATES)
 
-@check("derived.missing_field")
-def _(r: Registry) -> DataFrame:
-    return issue(missing_fields(r.derived, "edge_id", REQUIRED["derived"]), "error", "derived.missing_field", F.col("edge_id"), F.col("field"))
 
+def _ok() -> Column:
+    """Claims whose state is one of the five; other rules of a claim presuppose that."""
+    return F.coalesce(F.col("status").isin(_STATES), F.lit(False))
 
-@check("derived.unknown_source_claim")
-def _(r: Registry) -> DataFrame:
-    return issue(dangling(r.derived, "source_claim_id", r.claims, "claim_id"), "error", "derived.unknown_source_claim", F.col("edge_id"), F.col("source_claim_id"))
 
+def _accepted() -> Column:
+    return F.coalesce(F.col("status") == "accepted", F.lit(False))
 
-@check("derived.non_accepted_source_claim")
-def _(r: Registry) -> DataFrame:
-    rows = _with(r.derived, "source_claim_id", _keyed(r, "claims"), "claim_id", state="status")
-    return issue(rows.filter(~F.col("state").eqNullSafe(F.lit("accepted"))), "error", "derived.non_accepted_source_claim", F.col("edge_id"), F.col("state"))
 
+def _start() -> Column:
+    return whole(F.col("start_char"))
 
-@check("derived.unknown_predicate")
-def _(r: Registry) -> DataFrame:
-    return issue(dangling(r.derived, "predicate", r.relations, "key"), "error", "derived.unknown_predicate", F.col("edge_id"), F.col("predicate"))
 
+def _end() -> Column:
+    return whole(F.col("end_char"))
 
-@check("derived.unknown_rule")
-def _(r: Registry) -> DataFrame:
-    return issue(dangling(r.derived, "rule_key", r.rules, "key"), "error", "derived.unknown_rule", F.col("edge_id"), F.col("rule_key"))
 
+_rule("document_types.invalid_default_claim_status", lambda: ~F.col("default_claim_status").eqNullSafe(F.lit("proposed")), "default_claim_status")
+_rule("documents.missing_type", lambda: missing(F.col("document_type")))
+_rule("documents.unknown_type", _dangling("type", "document_type"), "document_type", ("type",))
 
-@check("claims.explicit_contradiction")
-def _(r: Registry) -> DataFrame:
-    return issue(_keyed(r, "claims").filter("status = 'accepted' and predicate = 'contradicts'"), "warning", "claims.explicit_contradiction", F.col("claim_id"))
+for _table in ("claims", "evidence", "segments"):
+    _fields(f"{_table}.missing_field", REQUIRED[_table])
+_rule("segments.unknown_document", lambda: ~_known("document"), "document_id", ("document",))
+_IN_DOCUMENT: dict[str, tuple[Callable[[], Column], str | None]] = {
+    "document_type_mismatch": (lambda: present(F.col("document_type")) & present(F.col("of_type")) & (F.col("document_type") != F.col("of_type")), "of_type"),
+    "invalid_numeric_field": (lambda: F.greatest(*(whole(F.col(c)).isNull().cast("int") for c in ("start_char", "end_char", "ordinal"))) == 1, None),
+    "invalid_offsets": (lambda: _start() > _end(), None),
+    "text_hash_mismatch": (lambda: ~text_hash(F.col("text")).eqNullSafe(F.col("text_hash")), None),
+    "out_of_bounds": (lambda: _end() > F.length("body"), None),
+    "text_mismatch": (
+        lambda: (_end() <= F.length("body")) & ~F.substring("body", (_start() + 1).cast("int"), F.greatest(_end() - _start(), F.lit(0)).cast("int")).eqNullSafe(F.col("text")), None,
+    ),
+}
+for _name, (_bad, _detail) in _IN_DOCUMENT.items():
+    _rule(f"segments.{_name}", lambda bad=_bad: _known("document") & bad(), _detail, ("document",))
+
+_rule("claims.invalid_status", lambda: ~_ok(), "status")
+_rule("claims.invalid_review_state", lambda: _ok() & ~F.create_map(*(F.lit(x) for pair in REVIEW_STATES.items() for x in pair))[F.col("status")].eqNullSafe(F.col("review_state")), "review_state")
+for _code, _need, _column in (("relation", "relation", "predicate"), ("subject", "subject", "subject_id"), ("object", "object", "object_id"), ("document", "document", "source_document_id")):
+    _rule(f"claims.unknown_{_code}", lambda bad=_dangling(_need, _column): _ok() & bad(), _column, (_need,))
+for _table, _where in (("claims", _ok), ("evidence", lambda: F.lit(True))):
+    _rule(f"{_table}.invalid_segment_id", lambda where=_where: where() & F.col("odd_segment"), "source_segment_id")
+    _rule(f"{_table}.unknown_segment", lambda where=_where: where() & ~F.col("odd_segment") & _dangling("segment", "source_segment_id")(), "source_segment_id", ("segment",))
+    _rule(
+        f"{_table}.segment_document_mismatch", lambda where=_where: where() & ~F.col("odd_segment") & _known("segment") & present(F.col("source_document_id")) & ~F.col("segment_document").eqNullSafe(F.col("source_document_id")),
+        "segment_document", ("segment",),
+    )
+_fields("claims.accepted_missing_review_metadata", ACCEPTED_REQUIRED, _accepted)
+_rule("claims.invalid_decision_actor", lambda: _accepted() & present(F.col("decision_by")) & ~F.col("decision_by").startswith("human:"), "decision_by")
+_rule("claims.accepted_without_evidence", lambda: _accepted() & ~_known("support"), None, ("support",))
+_rule("claims.disputed", lambda: F.coalesce(F.col("status") == "disputed", F.lit(False)), level=WARNING)
+_rule("claims.explicit_contradiction", lambda: _accepted() & (F.col("predicate") == "contradicts"), level=WARNING)
+
+for _need, _column in (("claim", "claim_id"), ("document", "source_document_id")):
+    _rule(f"evidence.unknown_{_need}", _dangling(_need, _column), _column, (_need,))
+_SPAN = lambda: F.coalesce(_start() <= _end(), F.lit(False))
+_rule("evidence.invalid_offsets", lambda: _known("segment") & ~_SPAN(), None, ("segment",))
+_rule("evidence.out_of_segment_bounds", lambda: _known("segment") & _SPAN() & ((_start() < F.col("segment_start")) | (_end() > F.col("segment_end"))), None, ("segment",))
+_rule("evidence.out_of_document_bounds", lambda: _known("segment") & _SPAN() & _known("document") & (_end() > F.col("body_size")), None, ("segment", "document"))
+
+_fields("derived.missing_field", REQUIRED["derived"])
+_rule("derived.unknown_source_claim", _dangling("claim", "source_claim_id"), "source_claim_id", ("claim",))
+_rule("derived.non_accepted_source_claim", lambda: _known("claim") & ~F.col("state").eqNullSafe(F.lit("accepted")), "state", ("claim",))
+_rule("derived.unknown_predicate", _dangling("relation", "predicate"), "predicate", ("relation",))
+_rule("derived.unknown_rule", _dangling("rule", "rule_key"), "rule_key", ("rule",))
+_KEY_OF = {**KEYED, "derived": "edge_id", "document_types": "key"}
+
+
+def _listed(code: str, rule: Rule) -> Column:
+    """The rule's findings in a row: level, code, detail."""
+    details = F.coalesce(rule.details(), F.array().cast("array<string>"))
+    return F.transform(details, lambda d: F.struct(F.lit(rule.level).alias("level"), F.lit(code).alias("code"), d.alias("detail")))
+
+
+def findings(r: Registry, table: str, codes: Iterable[str]) -> DataFrame:
+    """level, code, record, detail of these codes' rules over a registry's rows, in one pass."""
+    rules = {c: RULES[c] for c in codes}
+    rows = _joined(r, table, [n for rule in rules.values() for n in rule.needs])
+    lists = [_listed(code, rule) for code, rule in rules.items()]
+    found = rows.select(F.coalesce(F.col(_KEY_OF[table]).cast("string"), F.lit("")).alias("record"), F.explode(F.concat(*lists)).alias("f"))
+    return found.select("f.level", "f.code", "record", "f.detail")
+
+
+def _keys(r: Registry, table: str, codes: Iterable[str]) -> DataFrame:
+    """Missing and duplicate keys of a registry, from one count of its keys."""
+    counts, key = key_counts(getattr(r, table), KEYED[table]), F.col("key")
+    kind = F.when(key.isNull(), f"{table}.missing_key").when(F.col("n") > 1, f"{table}.duplicate_key")
+    found = counts.select(kind.alias("code"), F.coalesce(key, F.lit("")).alias("record"), (F.col("n") - key.isNotNull().cast("int")).cast("string").alias("detail"))
+    return found.filter(F.col("code").isin(list(codes))).select(F.lit(ERROR).alias("level"), "code", "record", "detail")
 
 
 def exclusive_conflicts(r: Registry) -> DataFrame:
@@ -271,18 +230,19 @@ def exclusive_conflicts(r: Registry) -> DataFrame:
     return pairs.filter(~F.col("object_id").eqNullSafe(F.col("other_object")) & windows_overlap(F.col("f"), F.col("t"), F.col("f2"), F.col("t2"))).select("claim_id", "other")
 
 
-@check("claims.exclusive_object_conflict")
-def _(r: Registry) -> DataFrame:
-    return issue(exclusive_conflicts(r), "warning", "claims.exclusive_object_conflict", F.col("claim_id"), F.col("other"))
+OTHERS["claims.exclusive_object_conflict"] = lambda r: issue(exclusive_conflicts(r), WARNING, "claims.exclusive_object_conflict", F.col("claim_id"), F.col("other"))
+_KEY_CODES = {f"{t}.{c}": t for t in KEYED for c in ("missing_key", "duplicate_key")}
+#: Every code that is looked for.
+CODES = [*_KEY_CODES, *RULES, *OTHERS]
 
 
 def issues(r: Registry, codes: Iterable[str] | None = None) -> DataFrame:
-    """All findings of the checks named, or of all that the registry has the tables for."""
-    named = list(codes) if codes is not None else [c for c in CHECKS if r.derived is not None or not c.startswith("derived.")]
-    out = CHECKS[named[0]](r)
-    for code in named[1:]:
-        out = out.unionByName(CHECKS[code](r))
-    return out
+    """All findings of the codes named, or of all that the registry has the tables for."""
+    named = list(codes) if codes is not None else [c for c in CODES if r.derived is not None or not c.startswith("derived.")]
+    parts = [_keys(r, t, mine) for t in KEYED if (mine := [c for c in named if _KEY_CODES.get(c) == t])]
+    parts += [findings(r, t, mine) for t in _PARENTS if (mine := [c for c in named if c in RULES and RULES[c].table == t])]
+    parts += [OTHERS[c](r) for c in named if c in OTHERS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -6,25 +6,30 @@ digest read as 16 (place, sign) pairs. The sparse form holds the places that are
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from claimloom.functions.text import decode_list, tokens
 
 DIMENSIONS, TOP_K, PAIRS = 256, 8, 16
 # Metadata that an index keeps of a segment.
-METADATA = ["document_id", "document_type", "status", "ordinal", "heading_path", "claim_ids", "entity_ids"]
+METADATA = ["segment_id", "document_id", "document_type", "status", "entity_ids", "claim_ids", "tags"]
 
 
 def sparse(rows: DataFrame, key: str, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
     """key, place, weight of the places whose signs do not cancel out (not normalised)."""
     words = rows.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
-    digest = F.sha2(F.col("token").cast("binary"), 256)
-    byte = lambda i: F.conv(F.substring(F.col("digest"), 2 * i + 1, 2), 16, 10).cast("int")
-    pairs = F.array(*(F.struct((byte(2 * i) % dimensions).alias("place"), F.when(byte(2 * i + 1) % 2 == 0, 1).otherwise(-1).alias("sign")) for i in range(PAIRS)))
-    spread = words.withColumn("digest", digest).select(key, "n", F.explode(pairs).alias("p"))
+    # Seven bytes of the digest at a time become one number; a byte is a shift of it.
+    part = lambda k: F.conv(F.substring(F.col("digest"), 14 * k + 1, 14), 16, 10).cast("long")
+    parts = words.withColumn("digest", F.sha2(F.col("token").cast("binary"), 256)).select(key, "n", *(part(k).alias(f"part{k}") for k in range(5)))
+    width = lambda k: 7 if k < 4 else 4  # noqa: E731  of 32 bytes the last part has four
+    byte = lambda i: F.shiftright(F.col(f"part{i // 7}"), 8 * (width(i // 7) - 1 - i % 7)).bitwiseAND(F.lit(255))
+    pairs = F.array(*(F.struct((byte(2 * i) % dimensions).cast("int").alias("place"), F.when(byte(2 * i + 1) % 2 == 0, 1).otherwise(-1).alias("sign")) for i in range(PAIRS)))
+    spread = parts.select(key, "n", F.explode(pairs).alias("p"))
     return spread.groupBy(key, F.col("p.place").cast("long").alias("place")).agg(F.sum(F.col("n") * F.col("p.sign")).alias("weight")).filter("weight <> 0")
 
 
@@ -36,6 +41,43 @@ def embed(rows: DataFrame, key: str, text: str = "text", dimensions: int = DIMEN
     return rows.select(key).join(places, key, "left").withColumn("m", empty).select(key, dense.alias("embedding"))
 
 
+def remote_provider(config: dict, send: Callable[[str, dict, dict], dict] | None = None) -> Callable[[DataFrame, str], DataFrame]:
+    """Vectors from a service: config names its url, model and the environment variable of its key; texts go in batches.
+
+    send(url, headers, body) returns the answer, {"data": [{"embedding": [...]}, ...]} in order of body["input"].
+    """
+    import os
+
+    name = config.get("api_env", "EMBEDDING_API_KEY")
+    token = os.environ.get(name)
+    if send is None and not token:
+        raise ValueError(f"the environment variable {name} is not set")
+    url, model, size, call = config["url"], config["model"], int(config.get("batch_size", 64)), send or _post
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                answer = call(url, {"Authorization": f"Bearer {token}"}, {"model": model, "input": [t or "" for t in part.column("text").to_pylist()]})
+                found = [x["embedding"] for x in answer["data"]]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.float64()))], [batch.schema.names[0], "embedding"])
+
+    def embedded(rows: DataFrame, key: str) -> DataFrame:
+        slim = rows.select(key, "text")
+        return slim.mapInArrow(run, StructType([slim.schema[key], StructField("embedding", ArrayType(DoubleType()))]))
+
+    return embedded
+
+
+def _post(url: str, headers: dict, body: dict) -> dict:
+    import json
+    import urllib.request
+
+    request = urllib.request.Request(url, json.dumps(body).encode(), {**headers, "Content-Type": "application/json"})
+    with urllib.request.urlopen(request, timeout=60) as answer:
+        return json.load(answer)
+
+
 def hash_provider(dimensions: int = DIMENSIONS) -> Callable[[DataFrame, str], DataFrame]:
     return lambda rows, key: embed(rows, key, dimensions=dimensions)
 
@@ -47,6 +89,8 @@ def provider(config: dict) -> Callable[[DataFrame, str], DataFrame]:
         return kind
     if kind == "hash":
         return hash_provider(int(config.get("dimensions", DIMENSIONS)))
+    if kind == "remote":
+        return remote_provider(config)
     raise ValueError(f"no embedding provider {kind!r} here")
 
 
@@ -59,19 +103,30 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.coalesce(dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)), F.lit(0.0))
 
 
-def top_k(index: DataFrame, query: list[float], key: str, k: int = TOP_K, where: dict[str, str] | None = None) -> DataFrame:
+def distance(a: Column, b: Column, space: str = "cosine") -> Column:
+    """cosine: 1 - cos; l2: the squared Euclidean distance; ip: 1 - the inner product."""
+    if space == "cosine":
+        return cosine_distance(a, b)
+    if space == "ip":
+        return 1 - dot(a, b)
+    if space == "l2":
+        return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    raise ValueError(f"no distance {space!r}")
+
+
+def top_k(index: DataFrame, query: list[float], key: str, k: int = TOP_K, where: dict[str, str] | None = None, space: str = "cosine") -> DataFrame:
     """The k nearest rows with their distance, ties by key; filters are applied before."""
     rows = index
     for column, value in (where or {}).items():
         rows = rows.filter(F.col(column) == value)
     vector = F.array(*(F.lit(float(x)) for x in query))
-    return rows.withColumn("distance", cosine_distance(F.col("embedding"), vector)).orderBy("distance", key).limit(k or TOP_K)
+    return rows.withColumn("distance", distance(F.col("embedding"), vector, space)).orderBy("distance", key).limit(k or TOP_K)
 
 
 def index_rows(segments: DataFrame, statuses: list[str] | None = None) -> DataFrame:
     """What an index holds: text and metadata of segments in the given states, of all without states."""
     rows = segments.filter(F.col("status").isin(statuses)) if statuses else segments
-    return rows.select("segment_id", "text", *(c for c in METADATA if c in rows.columns))
+    return rows.select("segment_id", "text", *(c for c in METADATA if c in rows.columns and c != "segment_id"))
 
 
 def sync_plan(segments: DataFrame, indexed: DataFrame, statuses: list[str] | None = None) -> DataFrame:
@@ -86,4 +141,4 @@ def stale(indexed: DataFrame, current: DataFrame) -> DataFrame:
 
 def decoded(results: DataFrame) -> DataFrame:
     """Results with list-valued metadata read back from the text it is kept as."""
-    return results.withColumns({c: decode_list(F.col(c)) for c in ("heading_path", "claim_ids", "entity_ids") if dict(results.dtypes).get(c) == "string"})
+    return results.withColumns({c: decode_list(F.col(c)) for c in ("heading_path", "claim_ids", "entity_ids", "tags") if dict(results.dtypes).get(c) == "string"})

@@ -60,16 +60,18 @@ ISSUES |= {
     "claims.unknown_subject": ("error", _dangling("okclaims", "claim_id", "subject_id", "entities", "entity_id")),
     "claims.unknown_object": ("error", _dangling("okclaims", "claim_id", "object_id", "entities", "entity_id")),
     "claims.unknown_document": ("error", _dangling("okclaims", "claim_id", "source_document_id", "docs", "document_id")),
+    "claims.invalid_segment_id": ("error", "SELECT claim_id AS record, source_segment_id AS detail FROM okclaims WHERE typeof(source_segment_id) <> 'VARCHAR'"),
     "claims.unknown_segment": ("error", _dangling("okclaims", "claim_id", "source_segment_id", "segments", "segment_id")),
-    "claims.segment_document_mismatch": ("error", "SELECT claim_id AS record, s.document_id AS detail FROM okclaims c JOIN ksegments s ON s.segment_id = c.source_segment_id WHERE s.document_id IS DISTINCT FROM c.source_document_id"),
+    "claims.segment_document_mismatch": ("error", "SELECT claim_id AS record, s.document_id AS detail FROM okclaims c JOIN ksegments s ON s.segment_id = c.source_segment_id WHERE s.document_id IS DISTINCT FROM c.source_document_id AND c.source_document_id <> ''"),
     "claims.accepted_missing_review_metadata": ("error", _fields("okclaims", "claim_id", ACCEPTED_REQUIRED, "status = 'accepted'")),
     "claims.invalid_decision_actor": ("error", "SELECT claim_id AS record, decision_by AS detail FROM okclaims WHERE status = 'accepted' AND decision_by <> '' AND decision_by NOT LIKE 'human:%'"),
     "claims.accepted_without_evidence": ("error", "SELECT claim_id AS record, '' AS detail FROM okclaims WHERE status = 'accepted' AND claim_id NOT IN (SELECT claim_id FROM kevidence WHERE lower(trim(support)) = 'support' AND claim_id IS NOT NULL)"),
     "claims.disputed": ("warning", "SELECT claim_id AS record, '' AS detail FROM okclaims WHERE status = 'disputed'"),
     "evidence.unknown_claim": ("error", _dangling("kevidence", "evidence_id", "claim_id", "claims", "claim_id")),
     "evidence.unknown_document": ("error", _dangling("kevidence", "evidence_id", "source_document_id", "docs", "document_id")),
+    "evidence.invalid_segment_id": ("error", "SELECT evidence_id AS record, source_segment_id AS detail FROM kevidence WHERE typeof(source_segment_id) <> 'VARCHAR'"),
     "evidence.unknown_segment": ("error", _dangling("kevidence", "evidence_id", "source_segment_id", "segments", "segment_id")),
-    "evidence.segment_document_mismatch": ("error", "SELECT evidence_id AS record, s.document_id AS detail FROM kevidence e JOIN ksegments s ON s.segment_id = e.source_segment_id WHERE s.document_id IS DISTINCT FROM e.source_document_id"),
+    "evidence.segment_document_mismatch": ("error", "SELECT evidence_id AS record, s.document_id AS detail FROM kevidence e JOIN ksegments s ON s.segment_id = e.source_segment_id WHERE s.document_id IS DISTINCT FROM e.source_document_id AND e.source_document_id <> ''"),
     "evidence.invalid_offsets": ("error", "SELECT evidence_id AS record, '' AS detail FROM spans WHERE NOT coalesce(start_char <= end_char, false)"),
     "evidence.out_of_segment_bounds": ("error", "SELECT evidence_id AS record, '' AS detail FROM spans WHERE start_char <= end_char AND (start_char < seg_start OR end_char > seg_end)"),
     "evidence.out_of_document_bounds": ("error", "SELECT evidence_id AS record, '' AS detail FROM spans x JOIN docs d ON d.document_id = x.source_document_id WHERE start_char <= end_char AND end_char > length(d.text)"),

@@ -1,14 +1,13 @@
 """Reading and writing a registry as files: JSON lines, YAML manifests, text documents.
 
 Row files are read by Spark with declared schemas; manifests and settings are small and are read on
-the driver. A line that is no JSON object is kept apart as a finding, the others stay (a file is not
+the driver, through Spark's file systems, so that a registry may lie in any store. A line that is no JSON object is kept apart as a finding, the others stay (a file is not
 void for one bad line). A null id counts as absent.
 """
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from claimloom.operators.dq import issue
 from claimloom.operators.segment import MAX_CHARS, OVERLAP, VERSION
 from claimloom.operators.vectors import DIMENSIONS, METADATA, TOP_K
 from claimloom.plans.registry import Registry
+from claimloom.sources import shared
 
 SCHEMAS = {
     "entities": "entity_id string, entity_type string, label string, aliases array<string>, status string",
@@ -34,11 +34,16 @@ MANIFESTS = {
     "document_types": "key string, default_claim_status string",
     "rules": "key string, source_predicate string, derive_predicate string, subject_from string, object_from string, materialize boolean",
 }
+#: Where the parts of a registry lie under its root.
+PATHS = {
+    "relations": "intelligence/manifests/relations.yaml", "document_types": "intelligence/manifests/document_types.yaml", "rules": "intelligence/rules/inference.yaml", "shapes": "intelligence/shapes/core.shapes.yaml",
+    "context": "intelligence/context/context.jsonld", "settings": "intelligence/retrieval/collection.yaml", "index": "vector/index", "mirror": "warehouse/mirror",
+}
 #: Settings of the retrieval part; a file's values replace these, maps key by key.
 SETTINGS = {
-    "collection": {"name": "segments", "space": "cosine", "include_statuses": []},
+    "collection": {"name": "segments"},
     "embedding": {"provider": "hash", "dimensions": DIMENSIONS},
-    "index": {"batch_size": 64, "top_k_default": TOP_K},
+    "index": {"distance": "cosine", "batch_size": 64, "top_k_default": TOP_K, "segment_source": "warehouse/jsonl/segments.jsonl", "include_statuses": ["active"]},
     "metadata_fields": METADATA,
     "segmenter": {"version": VERSION, "max_chars": MAX_CHARS, "overlap_chars": OVERLAP},
 }
@@ -52,45 +57,70 @@ def merged(base: dict, over: dict) -> dict:
     return out
 
 
-def settings(path: str | None) -> dict:
-    return merged(SETTINGS, load_yaml(path) if path and os.path.exists(path) else {})
+def settings(spark: SparkSession, root: str | None, required: bool = False) -> dict:
+    """The settings under a root, laid on the defaults. ValueError if they are no mapping; FileNotFoundError without a file that is required."""
+    path = f"{root}/{PATHS['settings']}"
+    if root is None or not shared.exists(spark, path):
+        if required:
+            raise FileNotFoundError(path)
+        return merged(SETTINGS, {})
+    found = load_yaml(spark, path)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} is no mapping")
+    return merged(SETTINGS, found)
 
 
-def load_yaml(path: str) -> dict:
+def load_yaml(spark: SparkSession, path: str):
     import yaml
 
-    with open(path, encoding="utf-8-sig") as f:
-        return yaml.safe_load(f) or {}
+    return yaml.safe_load(shared.read_text(spark, path)) or {}
+
+
+def load_json(spark: SparkSession, path: str) -> tuple[object, list[tuple[str, str, str, str]]]:
+    """(value, findings) of a small JSON file."""
+    try:
+        return json.loads(shared.read_text(spark, path)), []
+    except ValueError as e:
+        return None, [("error", "json.parse_failed", path, str(e)[:200])]
+
 
+def rows(spark: SparkSession, path: str, schema: str, required: bool = True, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, findings) of a JSON-lines file; without the file no rows, and a finding if it is required.
 
-def rows(spark: SparkSession, path: str, schema: str, required: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(rows, findings) of a JSON-lines file; without the file no rows, and a finding if it is required."""
-    name = os.path.basename(path)
-    if not os.path.exists(path):
+    strict: a missing file and a line that is no object raise, the latter when the rows are read.
+    """
+    name = path.rstrip("/").rpartition("/")[2]
+    if not shared.exists(spark, path):
+        if strict:
+            raise FileNotFoundError(path)
         empty = spark.createDataFrame([], schema + ", raw string, ord long")
         lost = spark.createDataFrame([(name,)] if required else [], "file string")
         return empty, issue(lost, "error", "jsonl.missing", F.col("file"))
     lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"), F.monotonically_increasing_id().alias("ord")).filter(F.trim("value") != "")
     parsed = lines.withColumn("v", F.try_parse_json("value")).withColumn("ok", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
+    if strict:
+        parsed = parsed.withColumn("ok", F.when(F.col("ok"), True).otherwise(F.raise_error(F.concat(F.lit(f"{name}: no JSON object: "), F.substring("value", 1, 80))).cast("boolean")))
     good = parsed.filter("ok").select(F.from_json("value", schema).alias("r"), F.col("value").alias("raw"), "ord").select("r.*", "raw", "ord")
     return good, issue(parsed.filter(~F.col("ok")), "error", "jsonl.parse_failed", F.lit(name), F.substring("value", 1, 80))
 
 
-def manifest(spark: SparkSession, path: str, section: str, schema: str, key: str = "key") -> tuple[DataFrame, list[tuple[str, str]]]:
+def manifest(spark: SparkSession, path: str, section: str, schema: str, key: str = "key", required: bool = True) -> tuple[DataFrame, list[tuple[str, str]]]:
     """(rows, findings) of a list in a YAML manifest, by key: first of equal keys, none without one."""
     names = [c.split()[0] for c in schema.split(", ")]
     found: list[tuple[str, str]] = []
     kept: dict[str, tuple] = {}
-    if not os.path.exists(path):
-        return spark.createDataFrame([], schema), [("yaml.missing", path)]
+    if not shared.exists(spark, path):
+        return spark.createDataFrame([], schema), [("yaml.missing", path)] if required else []
     try:
-        data = load_yaml(path)
+        data = load_yaml(spark, path)
     except Exception as e:  # noqa: BLE001  what a broken file raises is the parser's affair
         return spark.createDataFrame([], schema), [("yaml.parse_failed", str(e)[:200])]
     if not isinstance(data, dict):
         found.append(("yaml.invalid_root", path))
         data = {}
-    items = data.get(section) or []
+    if isinstance(data, dict) and data and section not in data:
+        found.append(("yaml.missing_section", section))
+    items = data.get(section, [] if section not in data else None)
     if not isinstance(items, list):
         found.append(("yaml.invalid_section", section))
         items = []
@@ -110,29 +140,62 @@ def manifest(spark: SparkSession, path: str, section: str, schema: str, key: str
 def texts(spark: SparkSession, root: str, documents: DataFrame) -> DataFrame:
     """The documents with their whole text: \\n line ends, no byte order mark; null where there is no file."""
     files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    path = F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), "^file:/*", "/"), f"^{os.path.abspath(root)}/", "")
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/")
+    # A file's path without its scheme and authority, then without the root.
+    path = F.regexp_replace(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), "^[a-z0-9]+:(//[^/]*)?/*", "/")
+    path = F.when(path.startswith(full + "/"), F.substring(path, F.lit(len(full) + 2), F.length(path))).otherwise(path)
     clean = F.regexp_replace(F.regexp_replace("text", "^﻿", ""), "\r\n?", "\n")
     return documents.join(files.select(path.alias("path"), clean.alias("text")), "path", "left")
 
 
-def load(spark: SparkSession, root: str) -> Registry:
-    """The registry in a folder: warehouse/jsonl/*.jsonl, intelligence/*.yaml, rules/inference.yaml."""
+def within(documents: DataFrame, folder: str) -> DataFrame:
+    """The documents whose path lies in the folder (given from the root, as paths are)."""
+    return documents.filter(F.col("path").startswith(folder.strip("/") + "/"))
+
+
+def file_issues(documents: DataFrame) -> DataFrame:
+    """Documents that name a file which is not there; documents as texts() gives them."""
+    lost = documents.filter(F.col("path").isNotNull() & (F.col("path") != "") & F.col("text").isNull())
+    return issue(lost, "warning", "documents.missing_path", F.col("document_id"), F.col("path"))
+
+
+def read(spark: SparkSession, root: str, strict: bool = False) -> tuple[Registry, DataFrame]:
+    """The registry in a folder, and the findings of reading it: level, code, record, detail."""
     at = lambda n: f"{root}/warehouse/jsonl/{n}.jsonl"
-    table = {n: rows(spark, at(n), s, n not in ("segments", "derived_edges"))[0] for n, s in SCHEMAS.items()}
-    part = {n: manifest(spark, f"{root}/{p}", section, MANIFESTS[n])[0] for n, p, section in (("relations", "intelligence/relations.yaml", "relations"), ("document_types", "intelligence/document_types.yaml", "document_types"), ("rules", "rules/inference.yaml", "rules"))}
-    return Registry(
-        entities=table["entities"], documents=texts(spark, root, table["documents"]), claims=table["claims"], evidence=table["claim_evidence"], segments=table["segments"], derived=table["derived_edges"], **part
+    table, found = {}, []
+    for n, schema in SCHEMAS.items():
+        table[n], lost = rows(spark, at(n), schema, n not in ("segments", "derived_edges"), strict and n not in ("segments", "derived_edges"))
+        found.append(lost)
+    part, small = {}, []
+    for n, section in (("relations", "relations"), ("document_types", "document_types"), ("rules", "rules")):
+        part[n], codes = manifest(spark, f"{root}/{PATHS[n]}", section, MANIFESTS[n], required=n != "rules")
+        small += [("error", code, PATHS[n], detail) for code, detail in codes]
+    documents = texts(spark, root, table["documents"])
+    registry = Registry(
+        entities=table["entities"], documents=documents, claims=table["claims"], evidence=table["claim_evidence"], segments=table["segments"], derived=table["derived_edges"], **part
     )
+    out = file_issues(documents)
+    for lost in [*found, spark.createDataFrame(small, FINDING)]:
+        out = out.unionByName(lost)
+    return registry, out
+
+
+FINDING = "level string, code string, record string, detail string"
+
+
+def load(spark: SparkSession, root: str) -> Registry:
+    """The registry in a folder: warehouse/jsonl/*.jsonl and the files of PATHS."""
+    return read(spark, root)[0]
 
 
-def write_rows(df: DataFrame, path: str, order: Iterable[str] = ()) -> None:
-    """Overwrite a folder of JSON lines, in order of the columns named."""
+def write_rows(df: DataFrame, path: str, order: Iterable[str] = (), sort_keys: bool = False) -> None:
+    """Overwrite a folder of JSON lines, in order of the columns named; sort_keys: each line's keys in order."""
     df = df.orderBy(*order) if list(order) else df
+    df = df.select(*(F.col(f"`{c}`") for c in sorted(df.columns))) if sort_keys else df
     df.write.mode("overwrite").json(path)
 
 
-def write_json(payload: object, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(payload, f, indent=2, sort_keys=True, ensure_ascii=False)
-        f.write("\n")
+def write_json(spark: SparkSession, payload: object, path: str) -> None:
+    """Overwrite a small file with indented JSON, keys in order."""
+    shared.write_text(spark, path, json.dumps(payload, indent=2, sort_keys=True, ensure_ascii=False) + "\n")

@@ -1,21 +1,78 @@
-"""The folder that cuts lineage: what the cluster names in spark.checkpoint.dir."""
+"""Files by Spark's own file systems, so that any store that Spark reads will do; and the folder that cuts lineage."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set, as in tests."""
+    """The session's checkpoint folder: what the cluster names in spark.checkpoint.dir; in local mode one of our own if none is set."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="claimloom-")
             atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder: made once, read as often as it is used."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _file(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file(spark, path)
+    return bool(fs.exists(at))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _file(spark, path)
+    fs.delete(at, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text, without byte order mark."""
+    fs, at = _file(spark, path)
+    stream = fs.open(at)
+    try:
+        data = spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)
+    finally:
+        stream.close()
+    return bytes(data).decode("utf-8-sig", "replace")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Overwrite a small file, with the folders above it."""
+    fs, at = _file(spark, path)
+    stream = fs.create(at, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def display_path(root: str, path: str) -> str:
+    """The path as seen from the root; the whole path where it is not under it."""
+    root = root.rstrip("/")
+    return path[len(root) + 1 :] if path.startswith(root + "/") else path

@@ -9,7 +9,7 @@ import pytest
 from claimloom import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["der_edges", "prj_edges", "gr_bfs", "gr_uplift", "seg_build", "seg_sections", "seg_links", "emb_hash_sparse", "ret_topk", "ret_index_sync", "val_issues", "val_claims_exclusive_object_conflict", "mir_meta_counts", "lint_md_refs"]
+SOME = ["der_edges", "prj_edges", "gr_bfs", "gr_uplift", "seg_build", "seg_sections", "seg_links", "emb_hash_sparse", "ret_topk", "ret_index_sync", "idx_meta", "src_read_findings", "mir_claims", "snk_rows_sorted", "emb_hash", "val_issues", "val_claims_exclusive_object_conflict", "mir_meta_counts", "lint_md_refs"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as fx
-from claimloom.operators import dq, graph, lint, mirror, rules, segment, validate, vectors
-from claimloom.sources import bundle
+from claimloom.operators import dq, graph, index, lint, mirror, report, rules, segment, validate, vectors
+from claimloom.sources import bundle, shared
 
 DOC = "# Search service\n\nSearch needs the index.\n\nThe index may need storage.\n"
 
@@ -34,11 +34,11 @@ def root(tmp_path):
     put("documents", [{"document_id": "d1", "path": "docs/one.md", "document_type": "note", "status": "active", "title": "One"}])
     put("claims", [claim("c1", "svc.search", "depends_on", "svc.index"), claim("c2", "svc.index", "depends_on", "svc.storage", "proposed", "needs_review")])
     put("claim_evidence", [evidence("e1", "c1"), evidence("e2", "c2")])
-    (tmp_path / "intelligence").mkdir()
-    (tmp_path / "rules").mkdir()
-    (tmp_path / "intelligence" / "relations.yaml").write_text("relations:\n- {key: depends_on, label: depends on}\n- {key: dependency_of}\n- {key: depends_on}\n- {label: no key}\n")
-    (tmp_path / "intelligence" / "document_types.yaml").write_text("document_types:\n- {key: note, default_claim_status: proposed}\n")
-    (tmp_path / "rules" / "inference.yaml").write_text("rules:\n- {key: back, source_predicate: depends_on, derive_predicate: dependency_of, subject_from: object, object_from: subject}\n")
+    (tmp_path / "intelligence" / "manifests").mkdir(parents=True)
+    (tmp_path / "intelligence" / "rules").mkdir()
+    (tmp_path / "intelligence" / "manifests" / "relations.yaml").write_text("relations:\n- {key: depends_on, label: depends on}\n- {key: dependency_of}\n- {key: depends_on}\n- {label: no key}\n")
+    (tmp_path / "intelligence" / "manifests" / "document_types.yaml").write_text("document_types:\n- {key: note, default_claim_status: proposed}\n")
+    (tmp_path / "intelligence" / "rules" / "inference.yaml").write_text("rules:\n- {key: back, source_predicate: depends_on, derive_predicate: dependency_of, subject_from: object, object_from: subject}\n")
     return str(tmp_path)
 
 
@@ -101,8 +101,98 @@ def test_bad_lines_are_kept_apart(spark, tmp_path):
     assert rows.count() == 0 and found.first().code == "jsonl.missing"
 
 
+def test_strict_rows_raise(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        bundle.rows(spark, str(tmp_path / "none.jsonl"), bundle.SCHEMAS["claims"], strict=True)
+    path = tmp_path / "claims.jsonl"
+    path.write_text('{"claim_id": "a"}\n[1]\n')
+    with pytest.raises(Exception, match="no JSON object"):
+        bundle.rows(spark, str(path), bundle.SCHEMAS["claims"], strict=True)[0].collect()
+
+
+def test_ids_of_other_types_are_found(spark, registry, tmp_path):
+    path = tmp_path / "claims.jsonl"
+    path.write_text("".join(json.dumps(claim(f"c{k}", "svc.search", "depends_on", "svc.index", source_segment_id=x)) + "\n" for k, x in enumerate([5, ["s"], {}, None, "", "seg:d1:001", "seg:none"])))
+    read = bundle.Registry(**{**registry.__dict__, "claims": bundle.rows(spark, str(path), bundle.SCHEMAS["claims"])[0]})
+    codes = ["claims.invalid_segment_id", "claims.unknown_segment", "claims.segment_document_mismatch"]
+    assert sorted((r.code, r.record) for r in validate.issues(read, codes).collect()) == [("claims.invalid_segment_id", "c0"), ("claims.invalid_segment_id", "c1"), ("claims.invalid_segment_id", "c2"), ("claims.unknown_segment", "c6")]
+
+
+def test_a_folder_is_checked_whole(spark, root, tmp_path):
+    found = report.check(spark, root)[1]
+    assert {r.code for r in found.collect()} >= {"mirror.missing", "optional.output_missing", "retrieval.config_missing", "yaml.duplicate_key", "yaml.missing_key"}
+    text, status = report.rendered(found, root)
+    assert status == 1 and text.startswith(f"Root: {root}\nStatus: failed\nErrors: ") and "- [yaml.missing_key] intelligence/manifests/relations.yaml (relations)" in text
+    as_json = json.loads(report.rendered(found, root, as_json=True)[0])
+    assert as_json["summary"]["status"] == "failed" and {x["code"] for x in as_json["warnings"]} >= {"mirror.missing", "optional.output_missing"}
+    assert report.rendered(found.filter("level = 'warning'"), root)[1] == 0
+    # An index file that is no JSON, then one of other segments; a mirror without ledger, with a broken one, with a good one.
+    put = lambda path, text: shared.write_text(spark, f"{root}/{path}", text)
+    put("warehouse/jsonl/segments.jsonl", json.dumps({"segment_id": "s"}) + "\n")
+    segments = bundle.load(spark, root).segments
+    assert [c for _, c, _, _ in report.index_issues(spark, root, segments, strict=True)] == ["retrieval.index_missing"]
+    put("vector/index/index_meta.json", "{")
+    assert [c for _, c, _, _ in report.index_issues(spark, root, segments)] == ["json.parse_failed"]
+    put("vector/index/index_meta.json", json.dumps({"segment_source_hash": "old"}))
+    assert report.index_issues(spark, root, segments)[0][:2] == ("warning", "retrieval.index_stale")
+    put("vector/index/index_meta.json", json.dumps({"segment_source_hash": index.source_hash(segments)}))
+    assert report.index_issues(spark, root, segments) == []
+    sources = spark.createDataFrame([("claims", "h", 2, "v")], "source_path string, source_hash string, row_count long, schema_version string")
+    codes = lambda: [r.code for r in report.mirror_issues(spark, root, sources).collect()]
+    put("warehouse/mirror/x", "")
+    assert codes() == ["mirror.meta_missing"]
+    put("warehouse/mirror/_ledger/part-0.parquet", "no table")
+    assert codes() == ["mirror.open_failed"]
+    sources.write.mode("overwrite").parquet(f"{root}/warehouse/mirror/_ledger")
+    assert codes() == []
+    put(bundle.PATHS["settings"], "index: {distance: l2}\n")
+    assert bundle.settings(spark, root)["index"] == {**bundle.SETTINGS["index"], "distance": "l2"} and [c for _, c, _, _ in report.optional_issues(spark, root)] == ["optional.output_missing"] * 2
+    put(bundle.PATHS["settings"], "- 1\n")
+    with pytest.raises(ValueError):
+        bundle.settings(spark, root)
+    with pytest.raises(FileNotFoundError):
+        bundle.settings(spark, str(tmp_path / "nowhere"), required=True)
+    assert shared.display_path("/a/b/", "/a/b/c/d") == "c/d" and shared.display_path("/a/b", "/a/bc") == "/a/bc"
+    bundle.write_json(spark, {"b": 1, "a": "é"}, f"{root}/x/y.json")
+    assert shared.read_text(spark, f"{root}/x/y.json") == '{\n  "a": "é",\n  "b": 1\n}\n'
+
+
+def test_an_index_is_kept_up_to_date(spark, tmp_path):
+    schema = "segment_id string, document_id string, document_type string, status string, text string, claim_ids array<string>, ordinal long"
+    of = lambda rows: spark.createDataFrame([(i, "d", "note", s, t, c, 1) for i, s, t, c in rows], schema)
+    folder = str(tmp_path / "index")
+    with pytest.raises(FileNotFoundError):
+        index.retrieve(spark, folder, "x", bundle.SETTINGS)
+    did = index.sync(of([("a", "active", "red fox", ["c1", "c2"]), ("b", "active", "blue sea", None), ("c", "draft", "red sea", None)]), folder, bundle.SETTINGS)
+    assert (did["upserted"], did["embedded"], did["deleted"]) == (2, 2, 0)
+    did = index.sync(of([("a", "active", "red fox", ["c3"]), ("c", "active", "red sea", None), ("c", "active", "red sea", None)]), folder, bundle.SETTINGS)
+    assert (did["upserted"], did["embedded"], did["deleted"]) == (2, 1, 1)
+    near = index.retrieve(spark, folder, "the red fox", bundle.SETTINGS).collect()
+    assert [r.segment_id for r in near] == ["a", "c"] and near[0].claim_ids == ["c3"] and near[0].distance < near[1].distance
+    assert index.retrieve(spark, folder, "red", bundle.SETTINGS, k=1, document_type="none").count() == 0
+    did = index.sync(of([("z", "active", "new", None)]), folder, bundle.SETTINGS, reset=True)
+    assert (did["upserted"], did["embedded"], did["deleted"]) == (1, 1, 0) and index.meta_of(spark, folder)["segment_count"] == 1
+
+
+def test_a_remote_provider_asks_in_batches(spark, monkeypatch):
+    def send(url, headers, body):
+        assert url == "http://e/v1" and headers["Authorization"] == "Bearer key" and body["model"] == "m" and len(body["input"]) <= 2
+        return {"data": [{"embedding": [float(len(t)), 1.0]} for t in body["input"]]}
+
+    monkeypatch.delenv("SOME_KEY", raising=False)
+    config = {"provider": "remote", "url": "http://e/v1", "model": "m", "api_env": "SOME_KEY", "batch_size": 2}
+    with pytest.raises(ValueError, match="SOME_KEY"):
+        vectors.provider(config)
+    monkeypatch.setenv("SOME_KEY", "key")
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(5)] + [(9, None)], "id long, text string")
+    got = vectors.remote_provider(config, send)(rows, "id").collect()
+    assert {r.id: r.embedding for r in got} == {**{i: [float(i), 1.0] for i in range(5)}, 9: [0.0, 1.0]}
+    with pytest.raises(ValueError, match="no embedding provider"):
+        vectors.provider({"provider": "other"})
+
+
 def test_manifest_findings(spark, root):
-    rows, found = bundle.manifest(spark, f"{root}/intelligence/relations.yaml", "relations", bundle.MANIFESTS["relations"])
+    rows, found = bundle.manifest(spark, f"{root}/intelligence/manifests/relations.yaml", "relations", bundle.MANIFESTS["relations"])
     assert [r.key for r in rows.collect()] == ["depends_on", "dependency_of"]
     assert found == [("yaml.duplicate_key", "depends_on"), ("yaml.missing_key", "relations")]
 
