@@ -474,8 +474,14 @@ def _ask_triples(buckets: int, hot: dict[int, int], unigram: Unigram, d: np.ndar
     return run
 
 
+def _backs_off(count: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Of each history, whose triples begin at starts, whether one of them was never seen."""
+    return np.logical_or.reduceat(count == 0, starts)
+
+
 def _add_triples(hot: dict[int, int]):
-    """FOUND: a = counts of the triples, b = of each history the occurrences after it by class, c = 1 less P(w | v) of what was seen.
+    """FOUND: a = counts of the triples; of each history after which one of them was never seen, b = the occurrences by class, c = 1 less
+    P(w | v) of what was seen; d = bits of histories after which only frequent words were seen.
 
     SPREAD: the same of hot histories, as far as this bucket has them: a = names, b = occurrences by class, c = the sum of P(w | v).
     TOTALS: d = counts of counts.
@@ -510,11 +516,14 @@ def _add_triples(hot: dict[int, int]):
             mass = np.bincount(of, np.round(lower[seen].astype(np.float64) * _UNIT), len(names))
             counts += counts_of_counts(total)
             rest = (1 - mass / _UNIT).astype(np.float32)
+            frequent = (by_class[:, K + 1] > 0) & (by_class[:, : K + 1].sum(1) == 0)
             at, at_history = 0, 0
             for m, r, n in zip(rows, runs, sizes, strict=True):
                 mine = place[at_history : at_history + n]
                 k = int(r.sum())
-                out.append((FOUND, bucket, m["block"], _planes(total[group[at : at + k]], 8), _planes(by_class[mine].T.ravel(), 8), rest[mine].tobytes(), None, None))
+                answer = total[group[at : at + k]]
+                backs_off = mine[_backs_off(answer, np.append(0, np.cumsum(r)[:-1]))]
+                out.append((FOUND, bucket, m["block"], _planes(answer, 8), _planes(by_class[backs_off].T.ravel(), 8), rest[backs_off].tobytes(), np.packbits(frequent[mine]).tobytes(), None))
                 at, at_history = at + k, at_history + n
             if len(known_hot):
                 p = np.flatnonzero(np.isin(names, known_hot))
@@ -548,7 +557,12 @@ def _score(buckets: int, hot: dict[int, int], spread: dict[int, list[int]], unig
                 k = r["bucket"]
                 p = x.asked[order[cuts[k] : cuts[k + 1]]]
                 count[p] = _from_planes(r["a"], 8)
-                h = x.history[p[_starts(x.history[p])]]
+                starts = _starts(x.history[p])
+                h = x.history[p[starts]]
+                frequent = np.unpackbits(np.frombuffer(r["d"], np.uint8), count=len(h)).astype(bool)
+                # Where nothing backs off, all that counts of what is kept is whether it is everything.
+                kept[h] = np.where(frequent, x.pair_total[h], -1)
+                h = h[_backs_off(count[p], starts)]
                 kept[h] = _from_planes(r["b"], 8).reshape(K + 2, -1).T @ d3
                 rest[h] = np.frombuffer(r["c"], np.float32)
         own = x.own()
