@@ -7,7 +7,9 @@ under their own ranks. Words are independent and a merge can only make pairs of
 (checked when a model is loaded), so this equals merging word by word.
 
 Defined cases: null and empty texts have no tokens; special tokens written in a text become their
-own ids, as in the library; repeated rows repeat; extra input columns are ignored by the digest.
+own ids, as in the library; very long texts are encoded whole, as many words at a time as fit; an
+empty table gives an empty result; repeated rows repeat; extra input columns are ignored by the
+digest, kept by encode and decode.
 """
 
 from __future__ import annotations
@@ -38,6 +40,17 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(spare)) for b in range(256)]
 
 
+def _check(spec: dict) -> None:
+    """ValueError unless the definition asks for what is done here: NFC, blanks for white space, lower case; words cut out, as bytes; no decoder."""
+    steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    cuts = [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    split = spec["pre_tokenizer"]["pretokenizers"][0] if cuts else {}
+    plain = not any(spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")) and bool(spec["model"].get("end_of_word_suffix"))
+    added = all(not x["normalized"] and not x["single_word"] and not x["lstrip"] and not x["rstrip"] for x in spec["added_tokens"])
+    if steps != ["NFC", "Replace", "Lowercase"] or cuts != ["Split", "ByteLevel"] or (split.get("behavior"), split.get("invert")) != ("Removed", True) or spec["decoder"] or not plain or not added:
+        raise ValueError("the tokenizer's definition has steps that are not supported here")
+
+
 class BpeModel:
     """Encodes texts to ids and ids to text. Words once encoded are remembered, within a bound."""
 
@@ -46,6 +59,7 @@ class BpeModel:
     def __init__(self, definition: bytes):
         spec = json.loads(definition)
         model = spec["model"]
+        _check(spec)
         self.end = model["end_of_word_suffix"]
         self.vocab = {k: v for k, v in model["vocab"].items()} | {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = [""] * (max(self.vocab.values()) + 1)

@@ -60,6 +60,21 @@ def test_media_digest(spark):
     assert media.media_digest(documents(spark, [])).count() == 0
 
 
+def test_the_hash_is_of_low_frequencies():
+    import math
+
+    rng = np.random.default_rng(5)
+    for height in (1, 7, 32, 45, 200):
+        x = rng.integers(0, 256, (height, 64)).astype(np.uint8)
+        rows = [x[i * height // 32 : (i + 1) * height // 32].mean(0) if height >= 32 else x[i * height // 32].astype(float) for i in range(32)]
+        grid = [[float(np.mean(r[2 * j : 2 * j + 2])) for j in range(32)] for r in rows]
+        low = [[sum(grid[a][b] * math.cos(math.pi / 32 * (a + 0.5) * u) * math.cos(math.pi / 32 * (b + 0.5) * v) for a in range(32) for b in range(32)) for v in range(8)] for u in range(8)]
+        flat = [round(f, 6) for r in low for f in r]
+        middle = sorted(flat[1:])[31]
+        bits = "".join("01"[k > 0 and f > middle] for k, f in enumerate(flat))
+        assert media.cosine_hash(x) == f"{int(bits, 2):016x}"
+
+
 def test_tokens_equal_the_library(spark):
     from tokenizers import Tokenizer
 
@@ -73,10 +88,21 @@ def test_tokens_equal_the_library(spark):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.token_digest(documents(spark, []), path).count() == 0 and bpe.encode(documents(spark, [], ["decoded"]), path).columns[-1] == "ids"
     coded = bpe.decode(bpe.encode(documents(spark, AWKWARD[-1:]), path), path).first()
     assert coded.decoded == library.decode(list(coded.ids), skip_special_tokens=False)
 
 
+def test_other_definitions_are_refused():
+    import json
+
+    with open(tokenizer_path(), "rb") as f:
+        spec = json.load(f)
+    for part, value in (("normalizer", None), ("decoder", {"type": "ByteLevel"}), ("pre_tokenizer", {"type": "Sequence", "pretokenizers": [{"type": "ByteLevel"}]})):
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.BpeModel(json.dumps({**spec, part: value}).encode())
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="abcAÉéΣσς ß'sdmrel\u0301\u00a0\n0129٣½中文한😀-_.,!<|", max_size=50))
 def test_any_text_encodes_as_in_the_library(text):

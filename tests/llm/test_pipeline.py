@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from claimloom.llm import jaccard, mixing, quality, toxicity
 
-from .helpers import documents
+from .helpers import LONG, documents
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -47,3 +47,25 @@ def test_stages_take_effect(spark, tmp_path):
     final = corpus_pipeline.run(spark, sf)
     assert ids(final) == ids(mixed) and final.filter("n_tokens = 0 or size(ids) <> n_tokens").count() == 0
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_cases_of_the_stages(spark, tmp_path):
+    names = ["gone", "row", "failed", "pattern", "quality", "__id", "__copy", "times", "cluster", "set_hash"]
+    fine = ". ".join(f"Word{i} is number {i} of a long plain tale" for i in range(12))
+    rows = [(1, None, None), (2, "", "a"), (3, LONG, "a"), (4, fine, "a"), (5, fine, "b"), (5, fine, "b"), (None, fine + " end", None), (None, None, "a"), (6, fine.replace("tale", "story"), "a")]
+    marks = spark.createDataFrame([(4, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    for case, part in (("some", rows), ("none", [])):
+        sf = str(tmp_path / case)
+        documents(spark, part, names).write.parquet(f"{sf}/documents.parquet")
+        marks.write.parquet(f"{sf}/labels.parquet")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns, name
+            out.write.parquet(f"{sf}/{name}")
+            docs = spark.read.parquet(f"{sf}/{name}")
+            if name == "ngram_jaccard_join" and part:
+                assert sorted((r.doc_id, r.text) for r in docs.collect()) == [(3, LONG), (4, fine), (6, fine.replace("tale", "story"))]
+            assert {tuple(r) for r in docs.select(*names).distinct().collect()} <= {("clash",) * len(names)}
+        final = corpus_pipeline.STAGES[4][1](spark, docs, sf)
+        assert (final.count() > 0) == bool(part) and final.columns == ["doc_id", "source", "n_tokens", "ids"]

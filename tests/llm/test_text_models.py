@@ -229,6 +229,62 @@ def test_every_segment_counts():
     assert model.p_value([5.0] * 3000, 10_000_000) <= 1 and model.p_value([50.0] * 3000, 1000) == 1e-300
 
 
+def test_scores_equal_brute_force(spark):
+    rng = random.Random(41)
+    clean, toxic = [f"n{chr(97 + i % 26)}{i}" for i in range(120)], ["vilest", "scummy", "rotten"]
+    rows, labels = [], []
+    for i in range(400):
+        ws = rng.choices(clean, k=rng.randint(8, 30))
+        if i % 5 == 0 or i % 37 == 1:
+            ws[rng.randrange(len(ws))] = rng.choice(toxic) + rng.choice(["", "!", ","])
+        rows.append((i, " ".join(ws).capitalize() + " " + "".join(rng.choices("abcdefgh", k=9))))
+        labels.append((i, 1, int(i % 5 == 0)))
+    df, marks = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(df, marks)
+    # The lexicon from its definition: Dirichlet log-odds and their standard error over the texts of folds 0 and 1.
+    plain = lambda t: [w.strip(".,;:!?\"'()[]{}*#$%&|<>-_/\\") for w in t.lower().split()]
+    features = lambda w, ending: {w, *(w[:k] + " " for k in (4, 5, 6) if len(w) > 4 and len(w) >= k + ending)}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    sample = {r.doc_id for r in toxicity._labelled(df, marks).collect()}  # less what shares a sketch with an earlier one
+    assert len(sample) > 290 and {fold(i) for i in sample} == {0, 1, 3}
+    seen = [collections.Counter(), collections.Counter()]
+    for i, t in rows:
+        if fold(i) in (0, 1) and i in sample:
+            seen[i % 5 == 0].update({f for w in set(plain(t)) for f in features(w, 2)})
+    frequent = {f for f in seen[0] | seen[1] if seen[0][f] + seen[1][f] >= 4}
+    n = [sum(s[f] for f in frequent) for s in seen]
+    lexicon = {}
+    for f in frequent:
+        y = [s[f] + 5 * k / sum(n) for s, k in zip(seen, n, strict=True)]
+        odds = math.log(y[1] / (n[1] + 5 - y[1])) - math.log(y[0] / (n[0] + 5 - y[0]))
+        error = math.sqrt(1 / y[0] + 1 / y[1])
+        if odds > 3.5 * error and odds - 1.64 * error >= 1:
+            lexicon[f.encode()] = min(8.0, odds - 1.64 * error)
+    assert model.lexicon == pytest.approx(lexicon) and len(lexicon) >= 3
+    value = lambda w: max((lexicon[f.encode()] for f in features(w, 1) if f.encode() in lexicon), default=-0.3)
+    held = [(i, [value(w) for w in plain(t)]) for i, t in rows if fold(i) == 3 and i in sample]
+    good = [x for i, x in held if i % 5]
+    assert model.share == pytest.approx((len(held) - len(good) + 1) / (len(held) + 10))
+    # The scale solves the extreme-value equation over the words of clean texts held back, if it lies within its bounds.
+    words_ = [round(v, 1) for x in good for v in x]
+    assert max(words_) > 0
+    if 0.3 < model.scale < 2:
+        assert sum(math.exp(model.scale * v) for v in words_) / len(words_) == pytest.approx(1, abs=1e-6)
+    tops = [model.scale * max((sum(x[a:b]) for a, b in brute_segments(np.array(x))), default=0.0) - math.log(max(len(x), 1)) for x in good]
+    assert model.log_k == pytest.approx(sum(tops) / len(tops) - 0.5772, abs=1e-5)
+    for r in toxicity.score(df, marks, model).collect():
+        x = [value(w) for w in plain(rows[r.doc_id][1])]
+        sums = sorted((sum(x[a:b]) for a, b in brute_segments(np.array(x))), reverse=True)
+        best = 1.0 if sums else None
+        for k in range(1, len(sums) + 1):
+            t = sum(model.scale * v - model.log_k - math.log(len(x)) for v in sums[:k])
+            if k > 1 and t <= k:
+                break
+            best = min(best, 1 - math.exp(-math.exp(-t)) if k == 1 else 2**k * math.exp(-t) * t ** (k - 1) / (math.factorial(k) * math.factorial(k - 1)))
+        factor = -math.e * best * math.log(best) if best is not None and best < 1 / math.e else 1.0
+        assert r.score == pytest.approx(model.share / (model.share + (1 - model.share) * factor), rel=1e-6)
+
+
 def test_toxicity_is_learned_and_held_out(spark):
     rng = random.Random(11)
     clean = [f"n{i}" for i in range(600)]
