@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.catalog import _EDGES, _NODES, STATUSES, _derived, on_registry, query
-from claimloom.operators import graph, index, report, validate, vectors
+from claimloom.operators import graph, index, lint, report, validate, vectors
 from claimloom.plans.registry import Registry
 from claimloom.sources import bundle, shared
 
@@ -161,6 +161,111 @@ def _(spark: SparkSession, root: str) -> DataFrame:
     return report.check(spark, root)[1].filter(F.col("code").isin(named)).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- a repository, made of nations and regions ---
+
+
+def _repository(spark: SparkSession, sf_dir: str) -> str:
+    """A repository with something to find for nearly every code of the linter."""
+    root = shared.scratch_path(spark, "repository")
+    nations = [r.n_nationkey for r in spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey").collect()]  # 25 rows
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").collect()  # 5 rows
+    put = lambda path, text: shared.write_text(spark, f"{root}/{path}", text if isinstance(text, str) else json.dumps(text))
+    head = "- Status: Active\n- Source of Truth: Yes\n\n"
+    put("docs/README.md", head + "".join(f"See `docs/n{k}.md`.\n" for k in nations))
+    for k in nations:
+        if k % 3 == 0:
+            put(f"docs/n{k}.md", "x\n")
+    put("docs/CURRENT_STATE.md", "run-0\n\n## Current Truth\nnothing\n")
+    put("docs/ARCHITECTURE.md", "- Status: Active\n- Source of Truth: maybe\n")
+    put("docs/IMPACT_SUMMARY.md", head + "## Changed\n")
+    for r in regions:
+        put(f"docs/archive/r{r.r_regionkey}.md", "Status: Archived\n" + "Source of Truth: No\n" * (r.r_regionkey % 2 == 0))
+    put("pyproject.toml", "[project.scripts]\n" + "".join(f'run-{r.r_regionkey} = "pkg.cli:main"\n' for r in regions))
+    put("pkg/cli.py", "from pkg.legacy_io import read\n\ndef main():\n    pass\n")
+    put("pkg/legacy_io.py", "def read(): ...\n")
+    put("shapes/d0.yaml", "x: 1\n")
+    put("intelligence/glossary.yaml", {"terms": [{"term": r.r_name, "status": "deprecated" if r.r_regionkey % 2 else "active"} for r in regions]})
+    links = {0: "pkg.cli:main", 1: "pkg.cli:gone", 2: "nocolon", 3: "pkg.none:x"}
+    actions = [{"key": f"a{k}", "status": "implemented", **({"capability": f"c{k}"} if k < 5 else {}), "touches_datasets": [f"d{k}"], **({"implementation": links[k]} if k in links else {})} for k in nations if k < 6]
+    put("intelligence/manifests/actions.yaml", {"actions": [*actions, {"key": "a0"}, {"status": "none"}, "odd"]})
+    put("intelligence/registry/capabilities.yaml", {"capabilities": [{"key": f"c{k}", "status": "active", **({"implementation": "pkg.cli:main"} if k != 1 else {})} for k in range(3)]})
+    put("intelligence/manifests/datasets.yaml", {"datasets": [{"dataset_key": f"d{k}", "canonical_shape": f"shapes/d{k}.yaml", "used_by_actions": [f"a{k}", "zz"]} for k in range(4)]})
+    put("intelligence/manifests/entities.yaml", {"entities": [{"key": "e0", "canonical_terms": [regions[0].r_name, "nothing"], "used_by_actions": ["a0", "nope"]}]})
+    put("intelligence/handlers/h.yaml", {"emitted_by": ["a0", "ghost"], "chain": [{"action": "a0"}, {"action": "void"}, {"reason": "x"}, 5]})
+    put("intelligence/handlers/broken.yaml", "a: [")
+    put("changed.txt", "pkg\\cli.py\nintelligence/manifests/actions.yaml\n\n")
+    return root
+
+
+_A, _C, _D, _E, _H, _S = ("intelligence/manifests/actions.yaml", "intelligence/registry/capabilities.yaml", "intelligence/manifests/datasets.yaml", "intelligence/manifests/entities.yaml", "intelligence/handlers/h.yaml", "docs/CURRENT_STATE.md")
+_LINT = f"""SELECT 'error' AS level, 'docs.broken_reference' AS code, 'docs/README.md' AS record, 'docs/n' || n_nationkey || '.md' AS detail FROM nation WHERE n_nationkey % 3 <> 0
+UNION ALL SELECT 'error', 'docs.archive_banner_missing', 'docs/archive/r' || r_regionkey || '.md', '' FROM region WHERE r_regionkey % 2 = 1
+UNION ALL SELECT 'warning', 'docs.current_state_missing_console_script', '{_S}', string_agg('run-' || r_regionkey, ', ' ORDER BY r_regionkey) FROM region WHERE r_regionkey > 0
+UNION ALL SELECT 'error', 'glossary.deprecated_unmapped', 'intelligence/glossary.yaml', r_name FROM region WHERE r_regionkey % 2 = 1
+UNION ALL SELECT 'error', 'actions.capability_unknown', '{_A}', 'a' || n_nationkey || ' -> c' || n_nationkey FROM nation WHERE n_nationkey IN (3, 4)
+UNION ALL SELECT 'error', 'actions.dataset_unknown', '{_A}', 'a' || n_nationkey || ' -> d' || n_nationkey FROM nation WHERE n_nationkey IN (4, 5)
+UNION ALL SELECT 'error', 'datasets.canonical_shape_missing', '{_D}', 'd' || r_regionkey FROM region WHERE r_regionkey BETWEEN 1 AND 3
+UNION ALL SELECT 'error', 'datasets.unknown_action', '{_D}', 'd' || r_regionkey || ' -> zz' FROM region WHERE r_regionkey < 4
+UNION ALL SELECT * FROM (VALUES ('error', 'docs.missing_metadata', '{_S}', 'status, source_of_truth'), ('error', 'docs.invalid_source_of_truth', 'docs/ARCHITECTURE.md', ''),
+  ('error', 'docs.impact_summary_incomplete', 'docs/IMPACT_SUMMARY.md', 'checked not changed, remaining drift, validator summary'), ('warning', 'docs.optional_missing', 'docs/LAYERS.md', ''),
+  ('warning', 'docs.optional_missing', 'docs/SKILLS_INTEGRATION.md', ''), ('warning', 'docs.optional_missing', 'docs/ROADMAP.md', ''), ('warning', 'docs.legacy_runtime_dependency_missing', '{_S}', 'pkg/legacy_io.py'),
+  ('error', 'actions.missing_capability', '{_A}', 'a5'), ('error', 'impl.symbol_missing', '{_A}', 'pkg.cli:gone'), ('error', 'impl.invalid_format', '{_A}', 'nocolon'), ('error', 'impl.unresolved', '{_A}', 'pkg.none:x'),
+  ('error', 'impl.missing', '{_C}', ''), ('error', 'entities.unknown_term', '{_E}', 'e0 -> nothing'), ('error', 'entities.unknown_action', '{_E}', 'e0 -> nope'), ('error', 'handlers.unknown_emitter', '{_H}', ' -> ghost'),
+  ('error', 'handlers.unknown_action', '{_H}', ' -> void'), ('error', 'handlers.missing_action', '{_H}', ''), ('error', 'handlers.invalid_step', '{_H}', ''), ('error', 'yaml.duplicate_key', '{_A}', 'a0'),
+  ('error', 'yaml.missing_key', '{_A}', 'actions'), ('error', 'yaml.invalid_item', '{_A}', 'odd'), ('error', 'yaml.parse_failed', 'intelligence/handlers/broken.yaml', '*'),
+  ('warning', 'drift.current_state_missing', '', ''), ('warning', 'drift.capability_sync_missing', '', '')) t(level, code, record, detail)"""
+
+
+def on_repository(name: str, sql: str):
+    def add(f):
+        query(name)(lambda spark, sf_dir: f(spark, _repository(spark, sf_dir)))
+        from claimloom.catalog import ORACLES
+
+        ORACLES[name] = sql
+        return f
+
+    return add
+
+
+@on_repository("lint_repository", _LINT)
+def _(spark: SparkSession, root: str) -> DataFrame:
+    found = lint.lint(spark, root, f"{root}/changed.txt")
+    return found.withColumn("detail", F.when(F.col("code") == "yaml.parse_failed", "*").otherwise(F.col("detail")))
+
+
+@on_repository(
+    "lint_drift",
+    "SELECT * FROM (VALUES ('code', 'drift.docs_sync_missing'), ('empty', 'drift.changed_files_empty'), ('handlers', 'drift.handler_sync_missing'), ('none', 'drift.changed_files_missing'), ('gone', 'drift.changed_files_not_found'), ('entry', 'drift.docs_sync_missing'), ('entry', 'drift.current_state_missing')) t(list, code)",
+)
+def _(spark: SparkSession, root: str) -> DataFrame:
+    repo = lint.open_repository(spark, root)
+    lists = {"code": "pkg/x.py\n", "empty": "\n\n", "handlers": "intelligence/handlers/h.yaml\n", "docs": "docs/README.md\npkg/x.py\n", "entry": "scripts/run.py\n", "gone": None, "none": None}
+    out = None
+    for name, text in lists.items():
+        if text is not None:
+            shared.write_text(spark, f"{root}/lists/{name}.txt", text)
+        found = lint.drift_issues(repo, None if name == "none" else f"{root}/lists/{name}.txt").select(F.lit(name).alias("list"), "code")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@on_repository("lint_empty", "SELECT * FROM (VALUES ('folder', 'docs.missing'), ('folder', 'intelligence.missing'), ('folder', 'drift.changed_files_missing'), ('file', 'repo.invalid'), ('nothing', 'repo.missing')) t(root, code)")
+def _(spark: SparkSession, root: str) -> DataFrame:
+    shared.write_text(spark, f"{root}/other/x.txt", "x")
+    out = None
+    for name, at in (("folder", "other"), ("file", "pyproject.toml"), ("nothing", "nowhere")):
+        found = lint.lint(spark, f"{root}/{at}").select(F.lit(name).alias("root"), "code")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@on_repository("lint_scripts", "SELECT 'run-' || r_regionkey AS name, 'pkg.cli:main' AS target, 'pkg/cli.py' AS file FROM region")
+def _(spark: SparkSession, root: str) -> DataFrame:
+    files = lint.open_repository(spark, root).files
+    scripts = lint.console_scripts(files).withColumn("module", F.split("target", ":")[0])
+    return scripts.join(lint.modules(files), "module").select("name", "target", "file")
+
+
 # --- an index ---
 
 QUERY = "the index of index and search"

@@ -6,7 +6,6 @@ of findings (level, code, record, detail), as in validation.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from claimloom.functions.text import truth_form
 from claimloom.operators.dq import dangling, issue
 from claimloom.operators.lint_text import metadata, references, section
+from claimloom.sources import shared
 from claimloom.sources.bundle import load_yaml
 
 # Expected documents, required metadata and sections, hints, entry points.
@@ -43,29 +43,26 @@ class Repository:
         return self.spark.createDataFrame(rows, schema)
 
     def exists(self, path: str) -> bool:
-        return os.path.exists(os.path.join(self.root, path))
+        return shared.exists(self.spark, f"{self.root}/{path}")
 
 
 def open_repository(spark: SparkSession, root: str) -> Repository:
-    root = os.path.abspath(root)
-    name = F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "^file:/*", "/"), f"^{root}/", "")
-    files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(name.alias("path"), F.col("value").alias("text"))
+    root = root.rstrip("/")
+    files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(shared.under(spark, root, F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
     repo = Repository(spark, root, files)
     for kind, (path, part, key) in MANIFEST_FILES.items():
         repo.manifests[kind] = _keyed(repo, path, part, key) if repo.exists(path) else None
-    for folder, _, names in os.walk(os.path.join(root, "intelligence", "handlers")):
-        for n in sorted(names):
-            if n.endswith(".yaml"):
-                path = os.path.relpath(os.path.join(folder, n), root)
-                data = _parsed(repo, path)
-                if isinstance(data, dict):
-                    repo.handlers.append((path, data))
+    handlers = files.filter(F.col("path").startswith("intelligence/handlers/") & F.col("path").endswith(".yaml")).select("path").orderBy("path").collect()
+    for r in handlers:
+        data = _parsed(repo, r.path)
+        if isinstance(data, dict):
+            repo.handlers.append((r.path, data))
     return repo
 
 
 def _parsed(repo: Repository, path: str) -> object:
     try:
-        return load_yaml(repo.spark, os.path.join(repo.root, path))
+        return load_yaml(repo.spark, f"{repo.root}/{path}")
     except ImportError:
         repo.found.append(("error", "yaml.missing_dependency", path, ""))
     except Exception as e:  # noqa: BLE001  what a broken file raises is the parser's affair
@@ -236,7 +233,7 @@ def drift_issues(repo: Repository, changed: str | None) -> DataFrame:
     one = lambda code, where="": issue(repo.table([(where,)], "p string"), "warning", code, F.col("p"))
     if changed is None:
         return one("drift.changed_files_missing")
-    if not os.path.exists(changed):
+    if not shared.exists(repo.spark, changed):
         return one("drift.changed_files_not_found", changed)
     rows = repo.spark.read.text(changed).select(F.translate(F.trim("value"), "\\", "/").alias("p")).filter("p <> ''")
     docs = F.col("p").rlike("^(docs|intelligence)/")
@@ -256,8 +253,8 @@ def drift_issues(repo: Repository, changed: str | None) -> DataFrame:
 
 def lint(spark: SparkSession, root: str, changed: str | None = None) -> DataFrame:
     """All findings on a repository."""
-    if not os.path.isdir(root):
-        code = "repo.invalid" if os.path.exists(root) else "repo.missing"
+    if not shared.is_folder(spark, root):
+        code = "repo.invalid" if shared.exists(spark, root) else "repo.missing"
         return spark.createDataFrame([("error", code, root, "")], "level string, code string, record string, detail string")
     repo = open_repository(spark, root)
     return docs_issues(repo).unionByName(contract_issues(repo)).unionByName(drift_issues(repo, changed))

@@ -140,11 +140,7 @@ def manifest(spark: SparkSession, path: str, section: str, schema: str, key: str
 def texts(spark: SparkSession, root: str, documents: DataFrame) -> DataFrame:
     """The documents with their whole text: \\n line ends, no byte order mark; null where there is no file."""
     files = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/")
-    # A file's path without its scheme and authority, then without the root.
-    path = F.regexp_replace(F.url_decode(F.regexp_replace("file", r"\+", "%2B")), "^[a-z0-9]+:(//[^/]*)?/*", "/")
-    path = F.when(path.startswith(full + "/"), F.substring(path, F.lit(len(full) + 2), F.length(path))).otherwise(path)
+    path = shared.under(spark, root, F.col("file"))
     clean = F.regexp_replace(F.regexp_replace("text", "^﻿", ""), "\r\n?", "\n")
     return documents.join(files.select(path.alias("path"), clean.alias("text")), "path", "left")
 

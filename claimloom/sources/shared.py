@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -46,6 +47,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(at))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, at = _file(spark, path)
+    return bool(fs.exists(at) and fs.getFileStatus(at).isDirectory())
+
+
+def under(spark: SparkSession, root: str, file: Column) -> Column:
+    """A file's path as Spark gives it, seen from the root; without scheme and authority where it is not under it."""
+    fs, at = _file(spark, root)
+    full = fs.makeQualified(at).toUri().getPath().rstrip("/")
+    path = F.regexp_replace(F.url_decode(F.regexp_replace(file, r"\+", "%2B")), "^[a-z0-9]+:(//[^/]*)?/*", "/")
+    return F.when(path.startswith(full + "/"), F.substring(path, F.lit(len(full) + 2), F.length(path))).otherwise(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, at = _file(spark, path)
     fs.delete(at, True)
