@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, arrow_map, batch_hashes, free_name, mix64
+from .common import WORD, Scratch, arrow_map, batch_hashes, free_name, mix64
 from .components import components
 
 WORDS, THRESHOLD = 4, 85
@@ -306,3 +306,20 @@ def keep_one(documents: DataFrame, words: int = 5, threshold: int = 80) -> DataF
     found = join(documents, words, threshold).filter("component_id != doc_id").select(F.col("doc_id").alias(gone)).distinct()
     found = Scratch(documents.sparkSession, "groups").keep(found, "drop")
     return documents.join(found, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+
+
+def oracle_sql(words: int = WORDS, threshold: int = THRESHOLD) -> str:
+    """The same in DuckDB, for small tables: shared shingles counted outright between different sets, components by closure."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{WORD}') AS ws FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {words} THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - {words - 2}), lambda i: array_to_string(ws[i:i + {words - 1}], ' ')) END)) AS s FROM w),
+named AS (SELECT doc_id, len(s)::BIGINT AS n, s, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY s) ELSE doc_id END AS rep FROM sets),
+one AS (SELECT doc_id, n, unnest(s) AS x FROM named WHERE doc_id = rep AND n > 0),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n, b.n AS m, count(*) AS i FROM one a JOIN one b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= {threshold} * greatest(a.n, b.n) GROUP BY ALL),
+links AS (SELECT a, b FROM both_ WHERE 100 * i >= {threshold} * (n + m - i)),
+near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS x, a AS y FROM near UNION SELECT r.x, e.b FROM reach r JOIN near e ON e.a = r.y),
+least_ AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT doc_id, n AS n_shingles, coalesce(c, rep) AS component_id FROM named LEFT JOIN least_ ON x = rep"""

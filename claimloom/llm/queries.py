@@ -60,4 +60,4 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filters, op2_jaccard_join, op3_html_extraction, op4_toxicity, op5_bpe, op6_mixing, op7_quality_rules, op8_media, op9_lm_scoring, op10_warc_fixity)
 }
-ORACLES: dict[str, str] = {"op1_url_filters": urls.oracle_sql(), "op6_mixing": mixing.oracle_sql(), "op10_warc_fixity": warc.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_url_filters": urls.oracle_sql(), "op2_jaccard_join": jaccard.oracle_sql(), "op6_mixing": mixing.oracle_sql(), "op10_warc_fixity": warc.oracle_sql()}
