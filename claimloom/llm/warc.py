@@ -27,6 +27,8 @@ from pyspark.sql.window import Window
 from .common import Scratch
 
 PER_VOLUME, CROWD = 1024, 4
+#: Crowded ranges, of a few bytes each, that are broadcast.
+BROADCAST = 100_000
 #: Bits of an offset within a range, and within a wider one.
 RANGE, WIDER = 16, 20
 #: Fixed by the WARC format.
@@ -98,10 +100,14 @@ def lay_out(records: DataFrame) -> DataFrame:
     """
     size = F.octet_length("record").cast("long")
     span = F.floor(F.col("page_id") / PER_VOLUME)
-    parts = records.groupBy(span.alias("of")).agg(F.ceil(F.count(F.lit(1)) / (CROWD * PER_VOLUME)).alias("parts"))
+    crowded = records.groupBy(span.alias("of")).agg(F.ceil(F.count(F.lit(1)) / (CROWD * PER_VOLUME)).alias("parts")).filter("parts > 1")
+    crowded = Scratch(records.sparkSession, "crowded").keep(crowded, "ranges")
     hashed = records.select("page_id", "record", size.alias("size"), F.sha2(F.col("record").cast("binary"), 256).alias("digest"), span.alias("span"))
-    dealt = hashed.join(parts, hashed.span.eqNullSafe(parts.of))
-    part = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % F.col("parts")
+    if n := crowded.count():  # else no record moves for it
+        dealt = hashed.join(F.broadcast(crowded) if n <= BROADCAST else crowded, hashed.span.eqNullSafe(crowded.of), "left")
+    else:
+        dealt = hashed.withColumn("parts", F.lit(None).cast("long"))
+    part = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % F.coalesce("parts", F.lit(1))
     dealt = dealt.withColumn("volume", F.concat_ws("-", F.coalesce(F.col("span").cast("string"), F.lit("none")), part.cast("string")))
     before = F.sum("size").over(Window.partitionBy("volume").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1))
     return dealt.select("volume", F.coalesce(before, F.lit(0)).cast("long").alias("offset"), "page_id", "record")
