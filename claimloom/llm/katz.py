@@ -33,6 +33,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,7 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 K = 7
 #: Tokens of a block, whose arrays take some 200 bytes a token while it is scored; and of a bucket.
 BLOCK_TOKENS, BUCKET_TOKENS = 1_000_000, 2_000_000
+PARTS = 2
 HOT, HOT_MOST, SAMPLE = 0.25, 20_000, 20_000
 #: No word holds a line end: these stand for a text's end and for what is before its first word.
 END, START = b"\n", b"\n\n"
@@ -647,7 +649,11 @@ def score(documents: DataFrame) -> DataFrame:
     masses = scratch.keep(masses, "masses")
     scratch.drop(answers, part=f"kind={SUMS}")
     replies = answers.filter(F.col("kind") == COUNTS).unionByName(masses)
-    known = scratch.keep(blocks.unionByName(replies).groupBy("block").applyInArrow(_know(buckets, hot, unigram, d2), _KNOWN), "known")
+    # Blocks move with their texts, so a part of them at a time.
+    meet = blocks.unionByName(replies).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(PARTS)))
+    know = _know(buckets, hot, unigram, d2)
+    parts = [scratch.keep(meet.filter(F.col("part") == k).drop("part").groupBy("block").applyInArrow(know, _KNOWN), "known") for k in range(PARTS)]
+    known = reduce(DataFrame.unionByName, parts)
     scratch.drop(blocks, answers, masses)
     # Pairs that occur often, HOT_MOST at most, and over how many buckets each is spread.
     pairs = {int(n): int(c) for r in stats for n, c in zip(np.frombuffer(r.a, np.uint64), np.frombuffer(r.b, np.int64), strict=True)}
