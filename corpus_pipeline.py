@@ -2,6 +2,11 @@
 
 toxicity (reject), quality rules (reject), n-gram Jaccard join (one document of each group stays),
 mixing sources to target weights (documents repeat or go), BPE encoding (token ids).
+
+Defined cases: null, empty and wordless texts fail the quality rules; very long texts are judged,
+compared, mixed and encoded whole; null ids are kept, and rows of one id are told apart by their
+texts; of equal rows one stays; a null source is a source of its own; empty tables give empty tables;
+other columns, whatever their names, go through all stages but the last.
 """
 
 from __future__ import annotations
