@@ -48,7 +48,7 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 #: Counts above K are not discounted.
 K = 7
 #: Tokens of a block, whose arrays take some 200 bytes a token while it is scored; and of a bucket.
-BLOCK_TOKENS, BUCKET_TOKENS = 1_000_000, 2_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 800_000, 1_500_000
 PARTS = 2
 HOT, HOT_MOST, SAMPLE = 0.25, 20_000, 20_000
 #: No word holds a line end: these stand for a text's end and for what is before its first word.
