@@ -33,7 +33,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -61,12 +61,23 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = float(1 << 52)
 
 
+@cache
+def _packer(level: int) -> zstandard.ZstdCompressor:
+    """One a process: messages are many, and a new one costs more than most of them."""
+    return zstandard.ZstdCompressor(level=level)
+
+
+@cache
+def _unpacker() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def pack(x: np.ndarray, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(x).tobytes())
+    return _packer(level).compress(np.ascontiguousarray(x).tobytes())
 
 
 def unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    return np.frombuffer(_unpacker().decompress(x), kind)
 
 
 def _planes(x: np.ndarray, width: int = 4, level: int = 1) -> bytes:
