@@ -63,7 +63,7 @@ _UNIT = float(1 << 52)
 
 @cache
 def _packer(level: int) -> zstandard.ZstdCompressor:
-    """One a process: messages are many, and a new one costs more than most of them."""
+    """One a process, used for all its messages."""
     return zstandard.ZstdCompressor(level=level)
 
 
