@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, katz, media, mixing, quality, toxicity, urls, warc, wrappers
+from . import bpe, centroids, filter_audit, jaccard, katz, media, mixing, quality, secret_scan, toxicity, urls, warc, wrappers
 from .common import table
 
 
@@ -57,7 +57,26 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fixity(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_jaccard_join, op3_html_extraction, op4_toxicity, op5_bpe, op6_mixing, op7_quality_rules, op8_media, op9_lm_scoring, op10_warc_fixity)
-}
-ORACLES: dict[str, str] = {"op1_url_filters": urls.oracle_sql(), "op2_jaccard_join": jaccard.oracle_sql(), "op6_mixing": mixing.oracle_sql(), "op10_warc_fixity": warc.oracle_sql()}
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_jaccard_join, op3_html_extraction, op4_toxicity, op5_bpe, op6_mixing, op7_quality_rules, op8_media, op9_lm_scoring, op10_warc_fixity,
+        op11_filter_audit, op12_secret_scan, op13_centroids,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op1_url_filters": urls.oracle_sql(), "op2_jaccard_join": jaccard.oracle_sql(), "op6_mixing": mixing.oracle_sql(), "op10_warc_fixity": warc.oracle_sql(),
+    "op11_filter_audit": filter_audit.oracle_sql(), "op12_secret_scan": secret_scan.oracle_sql(), "op13_centroids": centroids.oracle_sql(),
+}
