@@ -11,8 +11,9 @@ and travel without their text, spread by their own hash. So a text of which a th
 copies moves once a block. combineByKey adds up, for each part, the 2 ** 5 masks of failed filters
 (rows, good, toxic); all 120 orders are read from these sums.
 
-Texts move once, in partitions as many as the session's shuffle partitions or the table's own, if
-those are more; sorting spills. What is held: a block's distinct texts (BLOCK bytes), a chain, the sums of the parts.
+Texts are measured first and then move once, into partitions of SORTED bytes at most (if hashes are
+even and the session does not ask for more of them), in which sorting could spill. What is held: a block's distinct
+texts (BLOCK bytes), a chain, the sums of the parts.
 
 Defined cases: a null text is the empty one; a null doc_id is no smaller id and fails E never, and
 has no labels; rows that share a doc_id and a text all pass or all fail E; a document that several labels rows name is
@@ -38,6 +39,8 @@ FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 #: Bytes of distinct texts, about, after which a reader hands on what it holds.
 BLOCK = 32 << 20
+#: Bytes of texts in a partition that sorts them, at most about.
+SORTED = 64 << 20
 SCHEMA = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 _CAPITALS, _SIGNS = bytes(range(65, 91)), b"#$%&*|"
 
@@ -119,8 +122,9 @@ def masks(documents: DataFrame, fingerprint: Callable[[bytes], int] = xxhash.xxh
     """doc_id, part, mask, n: how many rows of a doc_id in a part fail just these filters (it may take several rows to say so)."""
     spark = documents.sparkSession
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SORTED))
     rows = documents.select(F.col("doc_id").cast("long"), text, F.coalesce(F.col("source").cast("string"), F.lit(""))).rdd
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
     sorted_ = rows.mapPartitions(lambda part: routed(part, fingerprint, block)).repartitionAndSortWithinPartitions(n, lambda key: key[0])
     return spark.createDataFrame(sorted_.mapPartitions(chained), "doc_id long, part string, mask int, n long", verifySchema=False)
 
