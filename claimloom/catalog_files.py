@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.catalog import _EDGES, _NODES, STATUSES, _derived, on_registry, query
-from claimloom.operators import graph, index, lint, report, validate, vectors
+from claimloom.operators import ann, graph, index, lint, report, validate, vectors
 from claimloom.plans.registry import Registry
 from claimloom.sources import bundle, shared
 
@@ -325,6 +325,58 @@ def _(r: Registry) -> DataFrame:
     return _asked(r, document_type="memo", k=5)
 
 
+_EDITED = """, edited AS (SELECT segment_id, CASE WHEN ordinal % 5 = 3 THEN text || ' more' ELSE text END AS text, CASE WHEN ordinal % 7 = 4 THEN 'changed' ELSE document_type END AS document_type, ordinal % 11 = 6 AS gone FROM segments WHERE status IN ('active')),
+edits AS (SELECT count(*) FILTER (gone) AS gone, count(*) FILTER (NOT gone AND ordinal % 5 = 3) AS texts, count(*) FILTER (NOT gone AND ordinal % 5 <> 3 AND ordinal % 7 = 4) AS metadata, count(*) FILTER (NOT gone) AS remain FROM edited JOIN segments USING (segment_id))"""
+
+
+def _edited(r: Registry) -> tuple[str, dict]:
+    """An index of all segments, brought up to date with some that have other texts or types, and some that are gone."""
+    spark = r.claims.sparkSession
+    folder = shared.scratch_path(spark, "index")
+    settings = bundle.merged(bundle.SETTINGS, {"index": {"include_statuses": STATUSES}})
+    index.sync(r.segments, folder, settings)
+    text = F.when(F.col("ordinal") % 5 == 3, F.concat("text", F.lit(" more"))).otherwise(F.col("text"))
+    kind = F.when(F.col("ordinal") % 7 == 4, F.lit("changed")).otherwise(F.col("document_type"))
+    return folder, index.sync(r.segments.withColumns({"text": text, "document_type": kind}).filter("ordinal % 11 <> 6"), folder, settings)
+
+
+@on_registry("idx_delta", _EDITED + " SELECT segment_id, sha256(text) AS text_hash, document_type FROM edited WHERE NOT gone")
+def _(r: Registry) -> DataFrame:
+    return index.table(r.claims.sparkSession, _edited(r)[0]).select("segment_id", "text_hash", "document_type")
+
+
+@on_registry("idx_delta_written", _EDITED + " SELECT (gone + texts + metadata)::BIGINT AS written, texts::BIGINT AS embedded, gone::BIGINT AS deleted, remain::BIGINT AS segment_count FROM edits")
+def _(r: Registry) -> DataFrame:
+    did = _edited(r)[1]
+    return r.claims.sparkSession.createDataFrame([tuple(did[c] for c in ("written", "embedded", "deleted", "segment_count"))], "written long, embedded long, deleted long, segment_count long")
+
+
+_ASKED = "SELECT vec_id AS query, embedding::DOUBLE[] AS probe FROM embeddings WHERE vec_id % 20 = 0"
+
+
+def _neighbours(spark: SparkSession, sf_dir: str, probes: int | None) -> tuple[DataFrame, DataFrame]:
+    """(queries, neighbours) of every vector whose id is divisible by 20, through an index of all; probes 0: through all of its lists."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    folder = shared.scratch_path(spark, "ann")
+    meta = ann.build(rows, "vec_id", folder)
+    queries = rows.filter("vec_id % 20 = 0").select("vec_id", "embedding")
+    return queries, ann.Index(spark, folder).search(queries, "vec_id", probes=meta["lists"] if probes == 0 else probes)
+
+
+@query("ret_ann_exact")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir, 0)[1].select("query", F.col("key").alias("vec_id"), F.col("rank").cast("long").alias("rank"), (F.round("distance", 6) + 0.0).alias("distance"))
+
+
+@query("ret_ann_recall")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many queries there are, and whether an index that looks into some of its lists finds 9 of 10 of their true neighbours."""
+    queries, found = _neighbours(spark, sf_dir, None)
+    exact = ann.exact(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries, "vec_id")
+    hit = exact.join(found.select("query", "key", F.lit(1).alias("hit")), ["query", "key"], "left").agg(F.count_distinct("query").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("reached"))
+    return hit
+
+
 for _space, _sql in (("l2", "list_distance(embedding::DOUBLE[], q) ** 2"), ("ip", "1 - list_inner_product(embedding::DOUBLE[], q)")):
 
     @query(f"ret_space_{_space}")
@@ -336,3 +388,7 @@ for _space, _sql in (("l2", "list_distance(embedding::DOUBLE[], q) ** 2"), ("ip"
     from claimloom.catalog import ORACLES
 
     ORACLES[f"ret_space_{_space}"] = f"SELECT vec_id, round(d, 6) + 0.0 AS distance FROM (SELECT vec_id, {_sql} AS d FROM embeddings, (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)) ORDER BY d, vec_id LIMIT 8"
+
+_COSINE = "coalesce(list_inner_product(e.embedding::DOUBLE[], q.probe) / nullif(sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_inner_product(q.probe, q.probe)), 0), 0)"
+ORACLES["ret_ann_exact"] = f"SELECT query, vec_id, rank, round(d, 6) + 0.0 AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rank FROM (SELECT q.query, e.vec_id, 1 - {_COSINE} AS d FROM embeddings e, ({_ASKED}) q)) WHERE rank <= 8"
+ORACLES["ret_ann_recall"] = f"SELECT count(*)::BIGINT AS queries, true AS reached FROM ({_ASKED})"
