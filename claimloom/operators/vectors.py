@@ -1,13 +1,16 @@
 """Hash embeddings, index maintenance and top-k retrieval by cosine distance.
 
-The hash embedding is made of JVM expressions: distinct tokens of a text, the 32 bytes of each one's
-digest read as 16 (place, sign) pairs. The sparse form holds the places that are not 0.
+The hash embedding is a function of one text, so one pass over Arrow batches makes it and no row moves:
+the 32 bytes of each token's digest are read as 16 (place, sign) pairs; a token is digested once a batch.
+The sparse form holds the places that are not 0.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,29 +19,76 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from claimloom.functions.text import decode_list, tokens
 
 DIMENSIONS, TOP_K, PAIRS = 256, 8, 16
+#: Rows whose places are added up at once.
+BATCH = 500
 # Metadata that an index keeps of a segment.
 METADATA = ["segment_id", "document_id", "document_type", "status", "entity_ids", "claim_ids", "tags"]
 
 
+class _Places(dict):
+    """token -> the places and signs that its digest names, remembered for the tokens of a task up to a bound."""
+
+    LIMIT = 100_000
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, token: str) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        digest = np.frombuffer(hashlib.sha256(token.encode()).digest(), np.uint8).reshape(PAIRS, 2)
+        self[token] = found = digest[:, 0].astype(np.int64) % self.dimensions, np.where(digest[:, 1] % 2 == 0, 1, -1)
+        return found
+
+
+def _weights(lists: pa.ListArray, places: _Places) -> np.ndarray:
+    """Row by place: the signs of all tokens of a row added up."""
+    out = np.zeros((len(lists), places.dimensions), np.int64)
+    words = lists.flatten().dictionary_encode()
+    if len(words):
+        at, sign = (np.array(x) for x in zip(*(places[t] for t in words.dictionary.to_pylist()), strict=True))
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        of = words.indices.to_numpy()
+        for k in range(PAIRS):  # one pair of every token at a time, so that no table is PAIRS times the tokens
+            np.add.at(out, (row, at[of, k]), sign[of, k])
+    return out
+
+
+def _tokenised(rows: DataFrame, key: str, text: str) -> DataFrame:
+    return rows.select(key, tokens(F.col(text)).alias("tokens"))
+
+
 def sparse(rows: DataFrame, key: str, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """key, place, weight of the places whose signs do not cancel out (not normalised)."""
-    words = rows.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
-    # Seven bytes of the digest at a time become one number; a byte is a shift of it.
-    part = lambda k: F.conv(F.substring(F.col("digest"), 14 * k + 1, 14), 16, 10).cast("long")
-    parts = words.withColumn("digest", F.sha2(F.col("token").cast("binary"), 256)).select(key, "n", *(part(k).alias(f"part{k}") for k in range(5)))
-    width = lambda k: 7 if k < 4 else 4  # noqa: E731  of 32 bytes the last part has four
-    byte = lambda i: F.shiftright(F.col(f"part{i // 7}"), 8 * (width(i // 7) - 1 - i % 7)).bitwiseAND(F.lit(255))
-    pairs = F.array(*(F.struct((byte(2 * i) % dimensions).cast("int").alias("place"), F.when(byte(2 * i + 1) % 2 == 0, 1).otherwise(-1).alias("sign")) for i in range(PAIRS)))
-    spread = parts.select(key, "n", F.explode(pairs).alias("p"))
-    return spread.groupBy(key, F.col("p.place").cast("long").alias("place")).agg(F.sum(F.col("n") * F.col("p.sign")).alias("weight")).filter("weight <> 0")
+    """key, place, weight of the places whose signs do not cancel out (not normalised), for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _Places(dimensions)
+        for batch in batches:
+            for part in (batch.slice(k, BATCH) for k in range(0, batch.num_rows, BATCH)):
+                found = _weights(part.column("tokens"), places)
+                row, place = np.nonzero(found)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(place), pa.array(found[row, place])], [key, "place", "weight"])
+
+    slim = _tokenised(rows, key, text)
+    return slim.mapInArrow(run, StructType([slim.schema[key], *StructType.fromDDL("place long, weight long")]))
 
 
 def embed(rows: DataFrame, key: str, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """key, embedding: array of double of unit length; all zeros if every place cancels out."""
-    places = sparse(rows, key, text, dimensions).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", F.col("weight").cast("double")))).alias("m"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0)) / F.coalesce("norm", F.lit(1.0)))
-    empty = F.coalesce("m", F.expr("cast(map() as map<bigint,double>)"))
-    return rows.select(key).join(places, key, "left").withColumn("m", empty).select(key, dense.alias("embedding"))
+    """key, embedding of each row: array of double of unit length; all zeros if every place cancels out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _Places(dimensions)
+        for batch in batches:
+            for part in (batch.slice(k, BATCH) for k in range(0, batch.num_rows, BATCH)):
+                found = _weights(part.column("tokens"), places)
+                norm = np.sqrt((found * found).sum(1))
+                dense = found / np.where(norm > 0, norm, 1)[:, None]
+                offsets = pa.array(np.arange(len(found) + 1) * dimensions, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(dense.ravel()))], [key, "embedding"])
+
+    slim = _tokenised(rows, key, text)
+    return slim.mapInArrow(run, StructType([slim.schema[key], StructField("embedding", ArrayType(DoubleType()))]))
 
 
 def remote_provider(config: dict, send: Callable[[str, dict, dict], dict] | None = None) -> Callable[[DataFrame, str], DataFrame]:
