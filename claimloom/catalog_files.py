@@ -6,11 +6,12 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimloom.catalog import _EDGES, _NODES, STATUSES, _derived, on_registry, query
-from claimloom.operators import ann, graph, index, lint, report, validate, vectors
+from claimloom.operators import ann, dq, graph, index, lint, mirror, report, validate, vectors
 from claimloom.plans.registry import Registry
-from claimloom.sources import bundle, shared
+from claimloom.sources import bundle, fingerprint, shared
 
 # --- rows ---
 
@@ -54,12 +55,42 @@ def _(r: Registry) -> DataFrame:
     spark = r.claims.sparkSession
     path = shared.scratch_path(spark, "edges")
     bundle.write_rows(_derived(r).select("status", "rule_key", "edge_id", "predicate", "source_claim_id"), path, ["edge_id"], sort_keys=True)
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
-    # Files are in order of their names, lines in order within them.
-    from pyspark.sql.window import Window
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    # Files are in order of their names, lines in order within them: a line's number is that in its file after those of the files before.
+    before = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))  # a row a file
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("start", "at"))
+    return lines.withColumn("nth", nth).join(before, "file").select((F.col("before") + F.col("nth")).alias("nth"), F.get_json_object("value", "$.edge_id").alias("edge_id"), F.array_join(F.json_object_keys("value"), ",").alias("keys"))
 
-    nth = F.row_number().over(Window.orderBy("file", "at")).cast("long")
-    return lines.select(nth.alias("nth"), F.get_json_object("value", "$.edge_id").alias("edge_id"), F.array_join(F.json_object_keys("value"), ",").alias("keys"))
+
+@on_registry("src_order_files", "SELECT claim_id, CASE WHEN ord % 3 = 0 THEN 'first' WHEN ord % 3 = 1 THEN 'second' ELSE 'third' END AS label FROM claims")
+def _(r: Registry) -> DataFrame:
+    """Claims given in up to three files of one registry, the last the largest: the first file's row counts."""
+    spark = r.claims.sparkSession
+    path = shared.scratch_path(spark, "claims") + ".jsonl"
+    for name, label, rows in (("a", "first", r.claims.filter("ord % 3 = 0")), ("b", "second", r.claims.filter("ord % 3 < 2")), ("c", "third", r.claims)):
+        rows.select(F.to_json(F.struct("claim_id", F.lit(label).alias("status"), F.repeat(F.lit("x"), len(label) * 20).alias("more"))).alias("value")).write.text(f"{path}/{name}")
+    rows = bundle.rows(spark, path, bundle.SCHEMAS["claims"])[0]
+    return dq.first_by_key(rows, "claim_id", ["ord"]).select("claim_id", F.col("status").alias("label"))
+
+
+@on_registry("mir_stale_content", "SELECT 'mirror.stale' AS code, 'claims' AS record FROM claims WHERE ord % 97 = 0 LIMIT 1")
+def _(r: Registry) -> DataFrame:
+    """A mirror of files of which one then gets other content, of as many rows: its fingerprint tells."""
+    spark = r.claims.sparkSession
+    root = shared.scratch_path(spark, "registry")
+    at = lambda n: f"{root}/{bundle.SOURCES[n]}"
+    texts = {"claims": r.claims.drop("ord"), "entities": r.entities, "documents": r.documents.select("document_id", "path"), "claim_evidence": r.evidence.filter("false").drop("ord")}
+    for name, rows in texts.items():
+        rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(at(name))
+    for name, section in (("relations", "relations"), ("document_types", "document_types")):
+        shared.write_text(spark, at(name), json.dumps({section: []}))
+    report.sync_mirror(spark, root)
+    shared.remove(spark, at("claims"))
+    changed = r.claims.withColumn("asserted_by", F.when(F.col("ord") % 97 == 0, "agent:other").otherwise(F.col("asserted_by"))).drop("ord")
+    changed.select(F.to_json(F.struct(*changed.columns)).alias("value")).write.text(at("claims"))
+    sources = mirror.state(bundle.load(spark, root), fingerprint.of_sources(spark, root, bundle.SOURCES))
+    return report.mirror_issues(spark, root, sources).select("code", "record")
 
 
 _PARTS = f"SELECT 'nodes' AS part, family, node_id AS id FROM ({_NODES}) UNION ALL SELECT 'edges', family, edge_id FROM ({_EDGES})"

@@ -20,6 +20,8 @@ COLUMNS = {
     "derived_edges": ["edge_id", "source_claim_id", "rule_key", "subject_id", "predicate", "object_id", "status"],
 }
 SOURCES = {"relation_key": "key", "group_name": "group", "document_type_key": "key"}
+#: Columns that readers of files add: where a row stood, and its text.
+READ = ("ord", "raw")
 #: The registry's names of those tables that it calls otherwise.
 ATTRIBUTES = {"claim_evidence": "evidence", "derived_edges": "derived"}
 
@@ -38,7 +40,7 @@ def mirror_table(registry: Registry, name: str) -> DataFrame:
             return F.coalesce(F.col(source).try_cast("bigint"), F.lit(0)).cast("bigint").alias(c)
         return (F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")) if source in rows.columns else F.lit("")).alias(c)
 
-    payload = F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(rows.columns))), {"ignoreNullFields": "false"}).alias("payload_json")
+    payload = F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(rows.columns) if c not in READ)), {"ignoreNullFields": "false"}).alias("payload_json")
     return rows.select(*map(column, COLUMNS[name]), payload)
 
 
@@ -53,26 +55,36 @@ def counts(registry: Registry) -> DataFrame:
     return out
 
 
-def file_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """source_path, source_hash of files, hashed where they are read."""
-    return spark.read.format("binaryFile").load(paths).select(F.col("path").alias("source_path"), F.sha2("content", 256).alias("source_hash"))
+def state(registry: Registry, hashes: DataFrame | None = None) -> DataFrame:
+    """What a ledger holds of each table: counts() with source_hash, of its files (fingerprint.of_sources) or else of its rows in any order."""
+    if hashes is not None:
+        return counts(registry).join(hashes, "source_path", "left")
+    out = None
+    for name in COLUMNS:
+        if rows_of(registry, name) is not None:
+            # One look at the rows for count and hash; hashes of rows are added up, so that equal rows count as often as they are there.
+            row = F.xxhash64("payload_json").cast("decimal(38,0)")
+            part = mirror_table(registry, name).agg(F.count(F.lit(1)).alias("row_count"), F.sum(row).alias("h"))
+            part = part.select(F.lit(name).alias("source_path"), "row_count", F.lit(SCHEMA_VERSION).alias("schema_version"), F.concat_ws(":", "row_count", F.coalesce("h", F.lit(0)).cast("string")).alias("source_hash"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
-def sync(registry: Registry, folder: str, ledger_hashes: dict[str, str] | None = None) -> DataFrame:
-    """Write every table and then the ledger; returns the ledger.
+def sync(registry: Registry, folder: str, hashes: DataFrame | None = None) -> DataFrame:
+    """Write every table and then the ledger; returns the ledger. hashes: as state() takes them.
 
     Each run writes to a folder of its own and the ledger comes last, so a reader that goes by the
-    ledger never sees tables of two runs.
+    ledger never sees tables of two runs. The sources' state is taken before their rows are read.
     """
     import uuid
 
     spark = registry.claims.sparkSession
     run = f"{folder}/run-{uuid.uuid4().hex}"
+    found = shared.written(state(registry, hashes), "mirror-state")
     for name in COLUMNS:
         if rows_of(registry, name) is not None:
             mirror_table(registry, name).write.parquet(f"{run}/{name}")
-    hashes = spark.createDataFrame([*(ledger_hashes or {}).items()] or [("", "")], "source_path string, source_hash string")
-    ledger = counts(registry).join(hashes, "source_path", "left").withColumns({"synced_at": F.current_timestamp(), "location": F.concat(F.lit(f"{run}/"), "source_path")})
+    ledger = found.withColumns({"synced_at": F.current_timestamp(), "location": F.concat(F.lit(f"{run}/"), "source_path")})
     ledger.write.mode("overwrite").parquet(f"{folder}/_ledger")
     return spark.read.parquet(f"{folder}/_ledger")
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from claimloom.operators import index, mirror, validate
 from claimloom.plans.registry import SCHEMA_VERSION, Registry
-from claimloom.sources import bundle, shared
+from claimloom.sources import bundle, fingerprint, shared
 
 
 def optional_issues(spark: SparkSession, root: str) -> list[tuple[str, str, str, str]]:
@@ -53,11 +52,16 @@ def mirror_issues(spark: SparkSession, root: str, sources: DataFrame, strict: bo
     return validate.mirror_issues(ledger, sources, strict)
 
 
+def sync_mirror(spark: SparkSession, root: str) -> DataFrame:
+    """Mirror the registry in a folder, with its files' fingerprints in the ledger; returns the ledger."""
+    return mirror.sync(bundle.load(spark, root), f"{root}/{bundle.PATHS['mirror']}", fingerprint.of_sources(spark, root, bundle.SOURCES))
+
+
 def check(spark: SparkSession, root: str, strict: bool = False) -> tuple[Registry, DataFrame]:
     """The registry in a folder and every finding: of its files, rows, index and mirror."""
     registry, found = bundle.read(spark, root)
     small = [*optional_issues(spark, root), *index_issues(spark, root, registry.segments, strict)]
-    sources = mirror.counts(registry).withColumn("source_hash", F.lit(None).cast("string"))
+    sources = mirror.state(registry, fingerprint.of_sources(spark, root, bundle.SOURCES))
     for part in (validate.issues(registry), spark.createDataFrame(small, bundle.FINDING), mirror_issues(spark, root, sources, strict)):
         found = found.unionByName(part)
     return registry, found
@@ -81,4 +85,4 @@ def rendered(found: DataFrame, root: str, as_json: bool = False, shown: int = 10
     return text + "\n", int(total.errors > 0)
 
 
-__all__ = ["SCHEMA_VERSION", "check", "index_issues", "mirror_issues", "optional_issues", "rendered"]
+__all__ = ["SCHEMA_VERSION", "check", "index_issues", "mirror_issues", "optional_issues", "rendered", "sync_mirror"]

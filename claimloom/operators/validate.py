@@ -14,9 +14,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from claimloom.functions.text import missing, moment, present, strip, text_hash, whole, windows_overlap
+from claimloom.functions.text import missing, moment, present, strip, text_hash, whole
+from claimloom.operators import overlap
 from claimloom.operators.dq import first_by_key, issue, key_counts
 from claimloom.plans.registry import ACCEPTED_REQUIRED, REQUIRED, REVIEW_STATES, Registry
 
@@ -213,21 +213,13 @@ def _keys(r: Registry, table: str, codes: Iterable[str]) -> DataFrame:
 def exclusive_conflicts(r: Registry) -> DataFrame:
     """claim_id, other: accepted claims of one subject and exclusive relation whose objects differ while both hold.
 
-    The equi-join on (subject, predicate) carries the intervals; a sweep first drops claims that
-    overlap no earlier or later one of their group, so a group of many claims in sequence does not
-    meet itself pair by pair.
+    Time bounds that are absent, or no moments, are open.
     """
     single = r.relations.filter("exclusive_object").select(F.col("key").alias("predicate"))
     rows = _keyed(r, "claims").filter("status = 'accepted'").join(single, "predicate", "left_semi")
-    rows = rows.select("claim_id", "subject_id", "predicate", "object_id", moment(F.col("valid_from")).alias("f"), moment(F.col("valid_to")).alias("t"))
     low, high = F.lit("0001-01-01 00:00:00").cast("timestamp"), F.lit("9999-12-31 23:59:59").cast("timestamp")
-    rows = rows.withColumns({"f": F.coalesce("f", low), "t": F.coalesce("t", high)})
-    group = Window.partitionBy("subject_id", "predicate").orderBy("f", "claim_id")
-    back, ahead = F.max("t").over(group.rowsBetween(Window.unboundedPreceding, -1)), F.lead("f").over(group)
-    busy = rows.withColumns({"back": back, "ahead": ahead}).filter("f > t or back >= f or ahead <= t").drop("back", "ahead")
-    a, b = busy, busy.select("subject_id", "predicate", F.col("claim_id").alias("other"), F.col("object_id").alias("other_object"), F.col("f").alias("f2"), F.col("t").alias("t2"))
-    pairs = a.join(b, ["subject_id", "predicate"]).filter(F.col("claim_id") < F.col("other"))
-    return pairs.filter(~F.col("object_id").eqNullSafe(F.col("other_object")) & windows_overlap(F.col("f"), F.col("t"), F.col("f2"), F.col("t2"))).select("claim_id", "other")
+    rows = rows.select("claim_id", "subject_id", "predicate", "object_id", F.coalesce(moment(F.col("valid_from")), low).alias("f"), F.coalesce(moment(F.col("valid_to")), high).alias("t"))
+    return overlap.pairs(rows.filter("subject_id IS NOT NULL AND predicate IS NOT NULL"), ["subject_id", "predicate"], "claim_id", "object_id").select(F.col("first").alias("claim_id"), F.col("second").alias("other"))
 
 
 OTHERS["claims.exclusive_object_conflict"] = lambda r: issue(exclusive_conflicts(r), WARNING, "claims.exclusive_object_conflict", F.col("claim_id"), F.col("other"))

@@ -39,6 +39,8 @@ PATHS = {
     "relations": "intelligence/manifests/relations.yaml", "document_types": "intelligence/manifests/document_types.yaml", "rules": "intelligence/rules/inference.yaml", "shapes": "intelligence/shapes/core.shapes.yaml",
     "context": "intelligence/context/context.jsonld", "settings": "intelligence/retrieval/collection.yaml", "index": "vector/index", "mirror": "warehouse/mirror",
 }
+#: The file of each table that a mirror has, by the mirror's names.
+SOURCES = {n: f"warehouse/jsonl/{n}.jsonl" for n in SCHEMAS} | {n: PATHS[n] for n in ("relations", "document_types")}
 #: Settings of the retrieval part; a file's values replace these, maps key by key.
 SETTINGS = {
     "collection": {"name": "segments"},
@@ -84,8 +86,13 @@ def load_json(spark: SparkSession, path: str) -> tuple[object, list[tuple[str, s
         return None, [("error", "json.parse_failed", path, str(e)[:200])]
 
 
+ORDER = "struct<file: string, start: bigint, line: bigint>"
+
+
 def rows(spark: SparkSession, path: str, schema: str, required: bool = True, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, findings) of a JSON-lines file; without the file no rows, and a finding if it is required.
+    """(rows, findings) of a JSON-lines file, or of a folder of them; without it no rows, and a finding if it is required.
+
+    ord, of type ORDER, sorts the rows as they stand in the file, or in the files by name.
 
     strict: a missing file and a line that is no object raise, the latter when the rows are read.
     """
@@ -93,10 +100,12 @@ def rows(spark: SparkSession, path: str, schema: str, required: bool = True, str
     if not shared.exists(spark, path):
         if strict:
             raise FileNotFoundError(path)
-        empty = spark.createDataFrame([], schema + ", raw string, ord long")
+        empty = spark.createDataFrame([], schema + f", raw string, ord {ORDER}")
         lost = spark.createDataFrame([(name,)] if required else [], "file string")
         return empty, issue(lost, "error", "jsonl.missing", F.col("file"))
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"), F.monotonically_increasing_id().alias("ord")).filter(F.trim("value") != "")
+    # Spark packs cuts of files into partitions by size: a line's place is its file, the cut's beginning, and its number in the partition, which rises within a cut.
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"), place.alias("ord")).filter(F.trim("value") != "")
     parsed = lines.withColumn("v", F.try_parse_json("value")).withColumn("ok", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
     if strict:
         parsed = parsed.withColumn("ok", F.when(F.col("ok"), True).otherwise(F.raise_error(F.concat(F.lit(f"{name}: no JSON object: "), F.substring("value", 1, 80))).cast("boolean")))
