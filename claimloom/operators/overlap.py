@@ -27,10 +27,10 @@ def pairs(rows: DataFrame, group: Sequence[str], key: str, item: str, size: int
     A row that ends before it begins overlaps those that span both its ends. Keys are unique.
     """
     group = list(group)
-    low, high, some, n = F.min(item), F.max(item), F.count(item), F.count(F.lit(1))
-    mixed = (low != high) | ((some > 0) & (some < n))
-    live = rows.groupBy(*group).agg(mixed.alias("mixed"), (n > size).alias("hot")).filter("mixed").drop("mixed")
     slim = rows.select(*group, F.col(key).alias("key"), F.col(item).alias("item"), F.unix_micros("f").alias("f"), F.unix_micros("t").alias("t"))
+    low, high, some, n = F.min("item"), F.max("item"), F.count("item"), F.count(F.lit(1))
+    mixed = (low != high) | ((some > 0) & (some < n))
+    live = slim.groupBy(*group).agg(mixed.alias("mixed"), (n > size).alias("hot")).filter("mixed").drop("mixed")
     live = shared.written(slim.join(live, group), "overlap")
     cuts = live.filter("hot").groupBy(*group).agg(F.percentile_approx("f", [k / buckets for k in range(1, buckets)], 40 * buckets).alias("cuts"))
     bucket = lambda x: F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col(x))), F.lit(0))

@@ -10,12 +10,12 @@ from claimloom.operators import overlap
 
 
 def table(spark, rows):
-    rows = spark.createDataFrame(rows, "g string, h string, id string, item string, f long, t long")
+    rows = spark.createDataFrame(rows, "g string, h string, id string, what string, f long, t long")
     return rows.withColumns({"f": F.timestamp_seconds("f"), "t": F.timestamp_seconds("t")})
 
 
 def found(spark, rows, **options):
-    got = [tuple(r) for r in overlap.pairs(table(spark, rows), ["g", "h"], "id", "item", **options).collect()]
+    got = [tuple(r) for r in overlap.pairs(table(spark, rows), ["g", "h"], "id", "what", **options).collect()]
     assert len(got) == len(set(got))
     return set(got)
 
@@ -42,12 +42,12 @@ def test_pairs_equal_brute_force(spark, options):
 
 def test_a_hot_group_of_one_item_is_no_burden(spark):
     began = time.time()
-    rows = spark.range(100_000).select(F.lit("g").alias("g"), F.lit("h").alias("h"), F.concat(F.lit("k"), "id").alias("id"), F.lit("p").alias("item"), F.lit(0).alias("f"), F.lit(10**9).alias("t"))
+    rows = spark.range(100_000).select(F.lit("g").alias("g"), F.lit("h").alias("h"), F.concat(F.lit("k"), "id").alias("id"), F.lit("p").alias("what"), F.lit(0).alias("f"), F.lit(10**9).alias("t"))
     rows = rows.withColumns({"f": F.timestamp_seconds("f"), "t": F.timestamp_seconds("t")})
-    assert overlap.pairs(rows, ["g", "h"], "id", "item").count() == 0
+    assert overlap.pairs(rows, ["g", "h"], "id", "what").count() == 0
     # One claim of another item meets them all; those that it does not meet cost nothing.
     one = table(spark, [("g", "h", "other", "q", 5, 6)])
-    assert overlap.pairs(rows.unionByName(one), ["g", "h"], "id", "item").count() == 100_000
+    assert overlap.pairs(rows.unionByName(one), ["g", "h"], "id", "what").count() == 100_000
     late = rows.withColumns({"f": F.timestamp_seconds(F.lit(100) + F.substring("id", 2, 9).cast("long"))})
-    assert overlap.pairs(late.unionByName(one), ["g", "h"], "id", "item").count() == 0
+    assert overlap.pairs(late.unionByName(one), ["g", "h"], "id", "what").count() == 0
     assert time.time() - began < 60
