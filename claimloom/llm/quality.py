@@ -7,8 +7,9 @@ abstains, and the share of good documents. It is run from several starts, of whi
 counts. A rule that turns out to vote against its kind no less than for it says nothing. A document is kept if its posterior
 probability of being good reaches one half and it passes the base rules.
 
-Texts are analysed once: facts and vote patterns are written to a table, the patterns counted, and
-the verdicts looked up by pattern. No shuffle moves text.
+To report verdicts, texts are analysed once: facts and vote patterns are written to a table, the
+patterns counted, and the verdicts looked up by pattern. To filter, they are analysed twice, which costs less than
+a second copy of them. No shuffle moves text.
 
 Defined cases: a null text has no words and fails the base rules; equal texts, repeated rows too,
 get equal verdicts; very long texts are analysed whole; an empty table gives an empty result; extra
@@ -25,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import Scratch, WordHashes, arrow_map, bytes_of, free_name, mix64
+from .common import Scratch, WordHashes, arrow_map, bytes_of, mix64
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, quality double"
 WINDOW = 8
@@ -201,11 +201,21 @@ def judge(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
     return _with_quality(profiles, "pattern", "quality").select("doc_id", *COUNTS, "base_failed", kept, "quality")
 
 
+def _kept(batches: Iterator[pa.RecordBatch], quality: dict[int, float], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows of each batch that are good: analysed again, so that nothing but pattern counts is kept of the first look."""
+    hashes = WordHashes()
+    for batch in batches:
+        facts = (Facts(t or b"", hashes) for t in bytes_of(batch.column("text")))
+        good = pa.array([not f.base_failed and quality[pattern_of(f)] >= threshold for f in facts], pa.bool_())
+        yield batch.filter(good)
+
+
 def keep_good(documents: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents kept, whole and with all their columns."""
-    failed, pattern, quality = (free_name(documents, n) for n in ("failed", "pattern", "quality"))
-    schema = StructType([*documents.schema, StructField(failed, BooleanType()), StructField(pattern, LongType())])
-    names = documents.columns
-    profiles = Scratch(documents.sparkSession, "quality").keep(arrow_map(documents, lambda bs: _analyse(bs, names, (), failed, pattern), schema), "profiles")
-    kept = _with_quality(profiles, pattern, quality).filter(~F.col(failed) & (F.col(quality) >= threshold))
-    return kept.select(*(F.col(f"`{c}`") for c in names))
+    """The documents kept, whole and with all their columns.
+
+    Texts are looked at twice, for the counts of patterns and to judge them by the model, and written by neither.
+    """
+    slim = documents.select(F.col("text").cast("binary").alias("text"))
+    profiles = arrow_map(slim, lambda bs: _analyse(bs, [], (), "base_failed", "pattern"), "base_failed boolean, pattern long")
+    quality = posteriors(profiles, "pattern")
+    return arrow_map(documents, lambda bs: _kept(bs, quality, threshold), documents.schema)
