@@ -153,7 +153,7 @@ def _(spark: SparkSession, root: str) -> DataFrame:
 
 @on_folder("src_within", "SELECT 'doc.' || n_nationkey AS document_id FROM nation WHERE n_regionkey = 2")
 def _(spark: SparkSession, root: str) -> DataFrame:
-    return bundle.within(bundle.load(spark, root).documents, "docs/2/").select("document_id")
+    return bundle.within(bundle.load(spark, root).documents, "docs/1/../2/", root).select("document_id")
 
 
 @on_folder("src_manifest", "SELECT r_name AS key, lower(r_name) AS label FROM region")

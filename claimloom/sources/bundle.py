@@ -8,6 +8,7 @@ void for one bad line). A null id counts as absent.
 from __future__ import annotations
 
 import json
+import posixpath
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -154,9 +155,17 @@ def texts(spark: SparkSession, root: str, documents: DataFrame) -> DataFrame:
     return documents.join(files.select(path.alias("path"), clean.alias("text")), "path", "left")
 
 
-def within(documents: DataFrame, folder: str) -> DataFrame:
-    """The documents whose path lies in the folder (given from the root, as paths are)."""
-    return documents.filter(F.col("path").startswith(folder.strip("/") + "/"))
+def within(documents: DataFrame, folder: str, root: str | None = None) -> DataFrame:
+    """The documents whose path lies in the folder (given from the root, as paths are; the root itself keeps all).
+
+    A folder outside the root is a ValueError, and one that is not there, if a root is given to look, a FileNotFoundError.
+    """
+    at = posixpath.normpath(folder.lstrip("/") or ".")
+    if at == ".." or at.startswith("../"):
+        raise ValueError(f"{folder} is not under the root")
+    if root is not None and not shared.is_folder(documents.sparkSession, f"{root}/{at}"):
+        raise FileNotFoundError(f"{root}/{at}")
+    return documents if at == "." else documents.filter(F.col("path").startswith(at + "/"))
 
 
 def file_issues(documents: DataFrame) -> DataFrame:

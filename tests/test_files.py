@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from claimloom.operators import dq
 from claimloom.sources import bundle, fingerprint
 
@@ -61,3 +63,16 @@ def test_the_first_row_of_a_key_is_that_of_the_first_file(spark, tmp_path):
     finally:
         spark.conf.set(key, before)
     assert got == {f"c{i}": "second" if i % 2 else "first" for i in range(3000)}
+
+
+def test_folders_are_resolved_and_must_be_there(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "docs/a/x.md"), ("d2", "docs/b/y.md"), ("d3", "docsy/z.md")], "document_id string, path string")
+    (tmp_path / "docs").mkdir()
+    got = lambda *a: [r.document_id for r in bundle.within(docs, *a).orderBy("document_id").collect()]
+    assert got("docs") == got("/docs/./", str(tmp_path)) == got("docsy/../docs") == ["d1", "d2"]
+    assert got("") == got(".") == ["d1", "d2", "d3"]
+    for outside in ("..", "docs/../../x", "../docs"):
+        with pytest.raises(ValueError):
+            bundle.within(docs, outside)
+    with pytest.raises(FileNotFoundError):
+        bundle.within(docs, "gone", str(tmp_path))
