@@ -2,7 +2,7 @@
 
 P(w | h) = d(c) c(h, w) / c(h)     for n-grams seen in the training texts,
            alpha(h) P(w | h')      else, h' being h without its first word,
-with d of each order from its counts of counts up to K and 1 above, and alpha(h) the mass that h's
+with d of each order up to K from its counts of counts, smoothed by a power law, and 1 above, and alpha(h) the mass that h's
 seen n-grams leave over the mass of the words not seen after h, so that every history's
 probabilities sum to 1 exactly. A history after which only frequent words were seen leaves nothing:
 it gets one more, unseen, occurrence. P(w) is the add-one-half unigram, which has a share for unknown
@@ -20,10 +20,8 @@ memory for its own n-grams only, and a bucket for about BUCKET_TOKENS.
 
 A word or pair that would fill more than HOT of a bucket is spread over several: the sums of such
 histories, HOT_MOST at most, are added up apart and sent to all. Lower-order probabilities and
-the alphas of words are kept in 32 bits, in all places alike. The last words of triples are kept as 32 bits of
-their hash: two words after one history that agree in these count as one, which changes scores; one such pair is expected among
-100,000 continuations of a history. An estimate of a discount outside (0.05, 1), as thin counts of
-counts give, is replaced by (r - 0.5) / r. Messages are one for each block and bucket,
+the alphas of words are kept in 32 bits, in all places alike. Words are told apart by 56 bits of their hash everywhere;
+a message of triples lists its distinct words once. Messages are one for each block and bucket,
 their number the product of both; both hold a fixed number of tokens.
 
 Defined cases: null, empty and wordless texts are one end token; null ids are trained on (fold 0);
@@ -103,6 +101,18 @@ def _from_bytes(x: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _listed(words: np.ndarray, places: np.ndarray) -> bytes:
+    """words[places], each distinct word once."""
+    used, at = np.unique(places, return_inverse=True)
+    return len(used).to_bytes(4, "little") + _bytes(words[used], 0, 7) + _planes(at)
+
+
+def _from_listed(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words, and the places of all in them."""
+    end = 4 + 7 * int.from_bytes(x[:4], "little")
+    return _from_bytes(x[4:end], 7), _from_planes(x[end:])
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [()] * 8
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
@@ -330,18 +340,29 @@ def _add_pairs(buckets: int, hot: np.ndarray, hot_counts: np.ndarray, often: int
     return _grouped(tables)
 
 
+def slope(counts: np.ndarray) -> float:
+    """b of the likeliest n(r) ~ r ** b over r = 1 to K + 1, each n(r) being half a n-gram more than counted."""
+    x, n = np.log(np.arange(1, K + 2)), counts[1 : K + 2] + 0.5
+    mean, low, high = n @ x / n.sum(), -64.0, 64.0
+    for _ in range(60):  # the mean of log r rises with b
+        b = (low + high) / 2
+        w = np.exp(b * x - max(b * x[-1], 0.0))
+        low, high = (b, high) if w @ x < mean * w.sum() else (low, b)
+    return (low + high) / 2
+
+
 def discounts(counts: np.ndarray) -> np.ndarray:
-    """d(0) to d(K + 1) by Good and Turing from the counts of counts; 1 above K."""
-    d = np.ones(K + 2)
-    n = np.maximum(counts.astype(float), 0)
-    common = (K + 1) * n[K + 1] / n[1] if n[1] else 0.0
-    for r in range(1, K + 1):
-        turing = (r + 1) * n[r + 1] / (r * n[r]) if n[r] else 0.0
-        d[r] = (turing - common) / (1 - common) if common < 1 else 0.0
-        if not 0.05 < d[r] < 1:  # too few n-grams for the estimate
-            d[r] = (r - 0.5) / r
-    d[0] = 0
-    return d
+    """d(0) to d(K + 1) by Good and Turing, Katz's form, from smoothed counts of counts; 1 above K.
+
+    With n(r) = a r ** b, r * / r = ((r + 1) / r) ** (b + 1), and (K + 1) n(K + 1) / n(1) = (K + 1) ** (b + 1): d
+    rises with r and stays between 0 and 1 for every b.
+    """
+    r, c = np.arange(1, K + 1), slope(counts) + 1
+    if abs(c) < 1e-6:  # the limit
+        d = 1 - np.log((r + 1) / r) / np.log(K + 1)
+    else:
+        d = (((r + 1) / r) ** c - (K + 1.0) ** c) / (1 - (K + 1.0) ** c)
+    return np.concatenate([[0.0], d, [1.0]])
 
 
 def _ask_histories(buckets: int):
@@ -464,7 +485,7 @@ class Known(Block):
 
 
 def _ask_triples(buckets: int, hot: dict[int, int], unigram: Unigram, d: np.ndarray):
-    """TRIPLES: a = histories, b = triples of each, c = 32 bits of the words, d = counts, e = P(w | v) of those with a count.
+    """TRIPLES: a = histories, b = triples of each, c = words, d = counts, e = P(w | v) of those with a count.
 
     TOTALS: d = counts of counts of the triples that the block settles by itself.
     """
@@ -480,7 +501,7 @@ def _ask_triples(buckets: int, hot: dict[int, int], unigram: Unigram, d: np.ndar
                     if len(p):
                         starts, count = _starts(x.history[p]), x.triple_counts[p]
                         short = x.p2_short[x.lower[p[count > 0]]]
-                        rows.append((TRIPLES, k, m["block"], _bytes(names[x.history[p[starts]]], 1, 8), _planes(np.diff(np.append(starts, len(p)))), _bytes(x.words[x.word[p]], 0, 4), _planes(count), short.tobytes()))
+                        rows.append((TRIPLES, k, m["block"], _bytes(names[x.history[p[starts]]], 1, 8), _planes(np.diff(np.append(starts, len(p)))), _listed(x.words, x.word[p]), _planes(count), short.tobytes()))
                     if len(rows) >= 256:
                         yield _rows(rows)
                         rows = []
@@ -517,17 +538,21 @@ def _add_triples(hot: dict[int, int]):
             sizes = [len(r) for r in runs]
             names, place = np.unique(np.concatenate([_from_bytes(m["a"], 7) for m in rows]), return_inverse=True)
             history = np.repeat(place, np.concatenate(runs))
-            word = np.concatenate([np.frombuffer(m["c"], "<u4") for m in rows])
+            lists, places = zip(*(_from_listed(m["c"]) for m in rows), strict=True)
+            known, at = np.unique(np.concatenate(lists), return_inverse=True)
+            ends = np.cumsum([len(x) for x in lists])[:-1]
+            word = np.concatenate([of[p] for of, p in zip(np.split(at, ends), places, strict=True)])
+            del lists, places, at
             count = np.concatenate([_from_planes(m["d"]) for m in rows])
             short = np.zeros(len(count), np.float32)
             short[count > 0] = np.concatenate([np.frombuffer(m["e"], np.float32) for m in rows])
-            codes, group = np.unique((history.astype(np.uint64) << np.uint64(32)) | word, return_inverse=True)
+            codes, group = np.unique(history * len(known) + word, return_inverse=True)
             total = np.bincount(group, count, len(codes)).astype(np.int64)
             lower = np.zeros(len(codes), np.float32)
             lower[group[count > 0]] = short[count > 0]  # the same from every block
             del word, count, short, history
             seen = np.flatnonzero(total)
-            of = (codes[seen] >> np.uint64(32)).astype(np.int64)
+            of = codes[seen] // len(known)
             by_class = _by_class(of, np.minimum(total[seen], K + 1), total[seen], len(names)).astype(np.int64)
             mass = np.bincount(of, np.round(lower[seen].astype(np.float64) * _UNIT), len(names))
             counts += counts_of_counts(total)

@@ -95,16 +95,34 @@ def test_components_of_a_path_and_a_star(spark):
 
 
 def good_turing(counts):
-    """Katz's discounts of counts 1 to 7, in plain Python."""
+    """Katz's discounts of counts 1 to 7, in plain Python, from the likeliest power law of the counts of counts 1 to 8."""
     n = collections.Counter(counts)
-    common = 8 * n[8] / n[1] if n[1] else 0
-    out = {}
-    for r in range(1, 8):
-        d = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else 0
-        out[r] = d if 0.05 < d < 1 else (r - 0.5) / r
+    n = {r: n[r] + 0.5 for r in range(1, 9)}
+
+    def gain(b):
+        whole = sum(r**b for r in n)
+        return sum(n[r] * (math.log(r) - sum(q**b * math.log(q) for q in n) / whole) for r in n)
+
+    low, high = -64, 64
+    for _ in range(80):
+        b = (low + high) / 2
+        low, high = (b, high) if gain(b) > 0 else (low, b)
+    smooth = {r: r**b for r in n}
+    common = 8 * smooth[8] / smooth[1]
+    out = {r: ((r + 1) * smooth[r + 1] / (r * smooth[r]) - common) / (1 - common) for r in range(1, 8)}
     return lambda r: out.get(r, 1.0)
 
 
+@pytest.mark.parametrize("counts", [[0] * 9, [0, 5] + [0] * 7, [0] * 8 + [40], [9, 800, 90, 200, 3, 70, 0, 12, 11], [0, 10**12, 10**11, 10**10, 10**9, 10**8, 10**7, 10**6, 10**5]])
+def test_discounts_rise_and_stay_inside(counts):
+    d = katz.discounts(np.array(counts))
+    assert d[0] == 0 and d[8] == 1 and (np.diff(d) > 0).all()
+    # As good_turing() has them, which sees the n-grams themselves.
+    if sum(counts) < 10_000:
+        plain = good_turing([r for r, n in enumerate(counts) for _ in range(n)])
+        assert d[1:8] == pytest.approx([plain(r) for r in range(1, 8)], rel=1e-9)
+
+
 class BruteKatz:
     """The recursion from its definition, with dictionaries."""
 
@@ -170,8 +188,24 @@ def test_katz_equals_brute_force(spark, tokens, most, monkeypatch):
 def test_grams_seen_once_are_discounted_and_not_backed_off(spark):
     ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 != 1]
     got = katz.score(documents(spark, [(i, f"a{i} b{i}") for i in ids])).collect()
-    # Of each one: d(1) is the 0.5 of too few n-grams, over the counts of the texts' start, of (start, a) and of (a, b).
-    assert [r.score for r in got] == pytest.approx([math.log10(0.5**3 / len(ids))] * len(ids))
+    n = len(ids)
+    # Pairs: (start, a), (a, b), (b, end), each once; triples: (start, a, b), (a, b, end), each once.
+    d2, d3 = good_turing([1] * 3 * n)(1), good_turing([1] * 2 * n)(1)
+    assert 0 < d3 < 1 and [r.score for r in got] == pytest.approx([math.log10(d2 / n * d3 * d3)] * n)
+
+
+@pytest.mark.parametrize("tokens", [1_500_000, 40])
+def test_words_whose_hashes_agree_in_32_bits_are_two_words(spark, tokens, monkeypatch):
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 4 * tokens)
+    twins = katz.words_of([b"q252365", b"q127769"])
+    assert twins[0] != twins[1] and twins[0] & np.uint64(2**32 - 1) == twins[1] & np.uint64(2**32 - 1)
+    rng = random.Random(2)
+    rows = [(i, f"see the {w} " + " ".join(f"w{rng.randrange(30)}" for _ in range(8))) for i, w in enumerate(["q252365", "q127769", "other"] * 40)]
+    want, sums = brute_katz(rows)
+    assert sums == pytest.approx([1.0] * len(sums))
+    got = katz.score(documents(spark, rows).coalesce(1)).orderBy("doc_id").collect()
+    assert [r.score for r in got] == pytest.approx([x[5] for x in want], abs=1e-4)
 
 
 def test_texts_that_occur_twice_score_apart(spark):
