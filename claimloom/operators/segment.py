@@ -1,8 +1,8 @@
 """Cutting documents into stable, offset-addressed segments, and linking segments to claims.
 
-Offsets are code points from 0, ends exclusive. Lines, headings, sections, paragraphs and windows
-are DataFrame operations; packing paragraphs greedily up to a size is an ordered fold over one
-document's spans and runs as an Arrow map.
+Offsets are code points from 0, ends exclusive. All is done in a document's own row, without a
+shuffle: headings, sections and windows by DataFrame functions; lines, paragraphs (whose offsets are
+running sums) and packing paragraphs greedily up to a size as Arrow maps.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from claimloom.functions.text import slug, text_hash
 
@@ -29,66 +30,133 @@ def text_documents(documents: DataFrame) -> DataFrame:
     return documents.filter(F.lower(F.regexp_extract("path", r"\.[^./]+$", 0)).isin(TEXT_SUFFIXES))
 
 
+_MARKS = "array<struct<start_char:bigint,level:bigint,title:string>>"
+_HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
+
+
+def _cut(text: str = "text") -> Column:
+    return F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1)
+
+
+def _within(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of items of rows that end at ends[1:]: each one's row, and its number in it."""
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    return row, np.arange(len(row)) - ends[row]
+
+
+def _starts(sizes: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The sum of the sizes before each item in its row."""
+    before = np.append(0, np.cumsum(sizes))
+    return before[:-1] - before[ends[row]]
+
+
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    ends = column.offsets.to_numpy()
+    return column.flatten(), ends - ends[0]
+
+
 def lines(documents: DataFrame, key: str = "document_id") -> DataFrame:
-    """key, line (from 1), start_char, line_text; line ends are \\n, \\r\\n counts as one."""
-    cut = F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n", -1)
-    rows = documents.select(key, F.posexplode(cut).alias("pos", "line_text"))
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line_text") + 1).over(before), F.lit(0))
-    last = F.lead("pos").over(Window.partitionBy(key).orderBy("pos"))
-    # What follows the last line end is a line only if there is something.
-    placed = rows.select(key, (F.col("pos") + 1).cast("long").alias("line"), start.cast("long").alias("start_char"), "line_text", last.alias("next"))
-    return placed.filter(F.col("next").isNotNull() | (F.col("line_text") != "")).drop("next")
+    """key, line (from 1), start_char, line_text; line ends are \\n, \\r\\n counts as one. A null text has none; rows of one key are cut apart."""
+    slim = documents.filter(F.col("text").isNotNull()).select(key, F.regexp_replace("text", "\r\n?", "\n").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = _lists(pc.split_pattern(batch.column(1), "\n"))
+            row, nth = _within(ends)
+            sizes = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+            start = _starts(sizes + 1, ends, row)
+            # What follows the last line end is a line only if there is something.
+            keep = np.flatnonzero((np.arange(len(row)) + 1 < ends[row + 1]) | (sizes > 0))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[keep])), pa.array(nth[keep] + 1), pa.array(start[keep]), flat.take(pa.array(keep))], [key, "line", "start_char", "line_text"])
+
+    return slim.mapInArrow(run, slim.select(key).schema.add("line", "long").add("start_char", "long").add("line_text", "string"))
+
+
+def _fold(items: Column, size, fits, level, title) -> Column:
+    """The marks among a text's lines, in one walk over them that adds up their sizes."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_MARKS).alias("marks"))
+
+    def step(state: Column, x: Column) -> Column:
+        mark = F.struct(state.at.alias("start_char"), level(x).cast("long").alias("level"), title(x).alias("title"))
+        marks = F.when(fits(x), F.concat(state.marks, F.array(mark))).otherwise(state.marks)
+        return F.struct((state.at + size(x) + 1).cast("long").alias("at"), marks.cast(_MARKS).alias("marks"))
+
+    return F.aggregate(items, zero, step, lambda state: state.marks)
+
+
+def heading_marks() -> Column:
+    """Array of (start_char, level, title) of a text's lines such as "## Title"."""
+    return _fold(_cut(), F.length, lambda x: x.rlike(_HEADING), lambda x: F.length(F.regexp_extract(x, _HEADING, 1)), lambda x: F.regexp_extract(x, _HEADING, 2))
+
+
+def underlined_marks() -> Column:
+    """Array of (start_char, level, title) of a text's lines underlined by one repeated character, long enough."""
+    pairs = F.arrays_zip(_cut().alias("title"), F.slice(_cut(), 2, F.size(_cut())).alias("under"))
+    first = lambda x: F.substring(x.under, 1, 1)
+    level = lambda x: F.instr(F.lit(UNDERLINES), first(x))
+
+    def fits(x: Column) -> Column:
+        same = x.under == F.repeat(first(x), F.length(x.under))
+        return (F.trim(x.title) != "") & (x.under != "") & same & (level(x) > 0) & (F.length(x.under) >= F.length(F.trim(x.title)))
+
+    return _fold(pairs, lambda x: F.length(x.title), fits, level, lambda x: F.trim(x.title))
 
 
 def headings(documents: DataFrame, key: str = "document_id") -> DataFrame:
     """key, start_char, level, title of lines such as "## Title"."""
-    mark = F.regexp_extract("line_text", r"^(#{1,6})\s+(.*\S)\s*$", 1)
-    found = lines(documents, key).withColumn("mark", mark).filter("mark <> ''")
-    return found.select(key, "start_char", F.length("mark").cast("long").alias("level"), F.regexp_extract("line_text", r"^(#{1,6})\s+(.*\S)\s*$", 2).alias("title"))
+    return documents.select(key, F.inline(heading_marks()))
 
 
 def underlined_headings(documents: DataFrame, key: str = "document_id") -> DataFrame:
     """key, start_char, level, title of lines underlined by one repeated character, long enough."""
-    after = (F.lead("line_text").over(Window.partitionBy(key).orderBy("line")))
-    found = lines(documents, key).withColumn("under", after).withColumn("title", F.trim("line_text"))
-    level = F.instr(F.lit(UNDERLINES), F.substring("under", 1, 1))
-    same = F.col("under") == F.repeat(F.substring("under", 1, 1), F.length("under"))
-    fits = (F.col("title") != "") & (F.col("under") != "") & same & (level > 0) & (F.length("under") >= F.length("title"))
-    return found.filter(fits).select(key, "start_char", level.cast("long").alias("level"), "title")
+    return documents.select(key, F.inline(underlined_marks()))
+
 
+def with_sections(documents: DataFrame, marks: Column) -> DataFrame:
+    """The rows with sections: array of (start_char, end_char, heading_path)."""
+    marked = documents.withColumn("hs", F.coalesce(marks, F.array().cast(_MARKS)))
+    # hs and paths stay columns of their own: they are named more than once below, so the optimizer does not repeat their walks.
+    still = "concat(filter(state.open, o -> o.level < h.level), array(h))"
+    paths = F.expr(
+        f"aggregate(hs, named_struct('open', cast(array() as {_MARKS}), 'paths', array(cast(array() as array<string>))),"
+        f" (state, h) -> named_struct('open', {still}, 'paths', concat(state.paths, array(transform({still}, o -> o.title)))), state -> state.paths)"
+    )
+    cut = F.expr(
+        "transform(paths, (p, i) -> named_struct('start_char', if(i = 0, 0L, get(hs, i - 1).start_char),"
+        " 'end_char', if(i < size(hs), get(hs, i).start_char, cast(length(text) as bigint)), 'heading_path', p))"
+    )
+    solid = "s -> s.end_char > s.start_char and (s.start_char > 0 or size(hs) = 0 or size(s.heading_path) > 0 or substring(text, 1, cast(s.end_char as int)) rlike '\\\\S')"
+    return marked.withColumn("paths", paths).withColumn("sections", cut).withColumn("sections", F.expr(f"filter(sections, {solid})")).drop("hs", "paths")
 
-def sections(documents: DataFrame, marks: DataFrame | None = None, key: str = "document_id") -> DataFrame:
+
+def sections(documents: DataFrame, key: str = "document_id") -> DataFrame:
     """key, start_char, end_char, heading_path: from each heading to the next, and what is before the first.
 
     A heading's path holds the nearest earlier heading of each lower level: headings still open.
     """
-    marks = headings(documents, key) if marks is None else marks
-    sized = documents.select(key, F.length("text").cast("long").alias("size"), "text")
-    listed = marks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_char", "level", "title"))).alias("hs"))
-    joined = sized.join(listed, key, "left").withColumn("hs", F.coalesce("hs", F.expr("cast(array() as array<struct<start_char:bigint,level:bigint,title:string>>)")))
-    path = F.expr(
-        "aggregate(slice(hs, 1, i), cast(array() as array<struct<start_char:bigint,level:bigint,title:string>>),"
-        " (open, h) -> concat(filter(open, o -> o.level < h.level), array(h)), open -> transform(open, o -> o.title))"
-    )
-    bounds = joined.select(key, "size", "text", "hs", F.explode(F.sequence(F.lit(0), F.size("hs"))).alias("i"))
-    start = F.when(F.col("i") == 0, F.lit(0).cast("long")).otherwise(F.expr("hs[greatest(i, 1) - 1].start_char"))
-    end = F.when(F.col("i") < F.size("hs"), F.expr("get(hs, i).start_char")).otherwise(F.col("size"))
-    placed = bounds.select(key, start.alias("start_char"), end.alias("end_char"), F.when(F.col("i") > 0, path).otherwise(F.array().cast("array<string>")).alias("heading_path"), "text", "i", F.size("hs").alias("n"))
-    body = F.expr("substring(text, cast(start_char + 1 as int), cast(end_char - start_char as int))")
-    kept = placed.filter((F.col("i") > 0) | (F.col("n") == 0) | body.rlike(r"\S"))
-    return kept.filter("end_char > start_char").drop("text", "i", "n")
+    return with_sections(documents.select(key, "text"), heading_marks()).select(key, F.inline("sections"))
 
 
 def paragraphs(documents: DataFrame, key: str = "document_id") -> DataFrame:
     """key, start_char, end_char of the parts between blank lines that hold anything."""
-    parts, gaps = F.split("text", r"\n\s*\n", -1), F.regexp_extract_all("text", F.lit(r"\n\s*\n"), F.lit(0))
-    pieces = documents.select(key, F.posexplode(F.arrays_zip(parts.alias("part"), gaps.alias("gap"))).alias("pos", "x"))
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    size, gap = F.length("x.part"), F.coalesce(F.length("x.gap"), F.lit(0))
-    start = F.coalesce(F.sum(size + gap).over(before), F.lit(0)).cast("long")
-    placed = pieces.select(key, start.alias("start_char"), size.alias("size"), F.col("x.part").alias("part"))
-    return placed.filter(F.col("part").rlike(r"\S")).select(key, "start_char", (F.col("start_char") + F.col("size")).cast("long").alias("end_char"))
+    gap = r"\n\s*\n"
+    sized = documents.filter(F.col("text").isNotNull()).select(
+        key,
+        F.transform(F.split("text", gap, -1), lambda x: F.when(x.rlike(r"\S"), F.length(x)).otherwise(-1 - F.length(x))).alias("parts"),
+        F.transform(F.concat(F.regexp_extract_all("text", F.lit(gap), F.lit(0)), F.array(F.lit(""))), F.length).alias("gaps"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (parts, ends), (gaps, _) = _lists(batch.column(1)), _lists(batch.column(2))
+            parts, gaps = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (parts, gaps))
+            row, _ = _within(ends)
+            sizes = np.where(parts < 0, -1 - parts, parts)
+            start = _starts(sizes + gaps, ends, row)
+            keep = np.flatnonzero(parts >= 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[keep])), pa.array(start[keep]), pa.array((start + sizes)[keep])], [key, "start_char", "end_char"])
+
+    return sized.mapInArrow(run, sized.select(key).schema.add("start_char", "long").add("end_char", "long"))
 
 
 def windows(documents: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, key: str = "document_id") -> DataFrame:
@@ -146,13 +214,12 @@ def build(documents: DataFrame, links: DataFrame | None = None, max_chars: int =
 
     links (segment_id, claim_ids, entity_ids) are added if given; empty lists are null.
     """
-    marks = headings(documents)
+    marks = heading_marks()
     if "path" in documents.columns:
-        rst = F.lower("path").endswith(".rst")
-        plain = F.lower("path").endswith(".txt")
-        marks = headings(documents.filter(~rst & ~plain)).unionByName(underlined_headings(documents.filter(rst)))
-    cut = sections(documents, marks).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("start_char", "end_char", "heading_path"))).alias("sections"))
-    placed = documents.select("document_id", "document_type", "status", "text").join(cut, "document_id")
+        rst, plain = F.lower("path").endswith(".rst"), F.lower("path").endswith(".txt")
+        marks = F.when(rst, underlined_marks()).when(~plain, marks)
+    placed = with_sections(documents.select("document_id", "document_type", "status", "text", *(c for c in ["path"] if c in documents.columns)), marks)
+    placed = placed.filter(F.size("sections") > 0).select("document_id", "document_type", "status", "text", "sections")
     spans = "document_id string, document_type string, status string, ordinal long, start_char long, end_char long, text string, heading_path array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -297,3 +297,32 @@ def test_lint(spark, tmp_path):
     ]
     assert sum(c == "docs.optional_missing" for c, _ in found) == 5
     assert lint.lint(spark, str(tmp_path / "nowhere")).first().code == "repo.missing"
+
+
+def test_segmentation_stays_in_the_row(spark):
+    """Nulls, empty texts and repeated ids are cut row by row, without a shuffle."""
+    text = "intro\r\n# A\nx\n\n \n## B 😀\ny\n\n\n# C\n"
+    rows = [("d", text), ("d", "\n# Z\n"), ("n", None), ("e", ""), (None, "# only"), ("w", "a\n\nb\n")]
+    d = spark.createDataFrame(rows, "document_id string, text string")
+    plain = text.replace("\r\n", "\n")
+    got = sorted((r.document_id or "", r.line, r.start_char, r.line_text) for r in segment.lines(d).collect())
+    want = []
+    for key, body in rows:
+        at = 0
+        cut = (body or "").replace("\r\n", "\n").split("\n")
+        for n, line in enumerate(cut):
+            if n + 1 < len(cut) or line:
+                want.append((key or "", n + 1, at, line))
+            at += len(line) + 1
+    assert got == sorted(want)
+    heads = [(r.document_id, r.level, r.title, r.start_char) for r in segment.headings(d).collect()]
+    assert heads == [("d", 1, "A", 6), ("d", 2, "B 😀", 15), ("d", 1, "C", plain.index("# C")), ("d", 1, "Z", 1), (None, 1, "only", 0)]
+    parts = [(r.document_id, r.start_char, r.end_char) for r in segment.paragraphs(d).collect() if r.document_id == "w"]
+    assert parts == [("w", 0, 1), ("w", 3, 5)]
+    paths = [r.heading_path for r in segment.sections(d.limit(1)).orderBy("start_char").collect()]
+    assert paths == [[], ["A"], ["A", "B 😀"], ["C"]]
+    full = d.selectExpr("document_id", "'note' document_type", "'accepted' status", "text", "'a.md' path")
+    assert sorted(r.text for r in segment.build(full).collect() if r.document_id == "d" and r.text.strip() == "# Z") == ["# Z\n"]
+    for df in (segment.lines(d), segment.headings(d), segment.underlined_headings(d), segment.sections(d), segment.paragraphs(d), segment.build(full)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert segment.build(full.limit(0)).count() == 0
