@@ -3,12 +3,14 @@
 Two documents link when 100 * intersection >= THRESHOLD * union of their sets of WORDS-word
 shingles. Equal sets are one class from the start. Of the other sets each puts into an index the
 shingles of its prefix: in one order of all shingles, the frequent ones last, so many that linked
-sets must have SHARED of them in common (all, if they are fewer). Sets that do, or that stand in a
-large tile (the sets of one prefix shingle) in the same or neighbouring size bands, are drawn into
-one cluster; so all links lie inside clusters.
-
-A cluster's sets are laid out by size and cut into blocks; a tile is a pair of blocks whose sizes
-are compatible, so a cluster of any size is spread over as many tasks. Inside a tile, bitmap
+sets must have SHARED of them in common (all, if they are fewer). Sets that do are drawn into one
+cluster. The sets of a prefix shingle that more than SMALL have are not paired: those are drawn
+together whose parities, one bit an element at least, differ in no more bits than linked sets can
+in elements. So all links lie inside clusters, and a shingle shared by chance makes none.
+
+The sets of such a shingle, and later those of a cluster, are laid out by size and cut into blocks; a
+tile is a pair of blocks whose sizes are compatible, so any number of sets is spread over as many
+tasks. Only parities move for a shingle's tiles, texts for a cluster's. There, bitmap
 signatures (BITS bits per element, each set by hashed shingles) bound a pair's overlap from above by
 (|A| + |B| - popcount(a xor b)) / 2; what passes is settled by intersecting the sorted shingle
 arrays of the whole texts. Pairs that the tile's links have joined already are passed over, so a
@@ -30,7 +32,6 @@ kept (filter).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,7 @@ SHARED, SMALL = 3, 16
 BUCKETS = 1 << 20
 #: Of sets that differ in d elements, bitmaps of this many bits an element show some 0.94 d.
 BITS = 8
-SET_SCHEMA = "doc_id long, n long, set_hash binary, prefix array<long>"
+SET_SCHEMA = "doc_id long, n long, set_hash binary, prefix array<long>, parity binary"
 
 
 def shingles(h: np.ndarray, words: int) -> np.ndarray:
@@ -88,31 +89,68 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def links_in(ids: list[int], sets: list[np.ndarray], left: list[bool], threshold: int) -> list[tuple[int, int]]:
-    """Links that join the groups of one tile: between left and other sets, or among all if all are left."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    signatures = bitmaps(sets)
+def parity(s: np.ndarray) -> bytes:
+    """Whether an odd number of a set's elements fall on each of a power of two of bits, one an element at least."""
+    width = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def at_width(parities: list[np.ndarray], words: int) -> np.ndarray:
+    """A row per parity, folded to so many words of 64 bits; those that are shorter stay empty."""
+    out = np.zeros((len(parities), words), np.uint64)
+    for row, p in zip(out, parities, strict=True):
+        if len(p) >= words:
+            row[:] = np.bitwise_xor.reduce(p.reshape(-1, words), 0)
+    return out
+
+
+def _joining(ids: list[int], sizes: np.ndarray, left: list[bool], threshold: int, differing, settled) -> list[tuple[int, int]]:
+    """Pairs that join the groups of one tile, between left and other sets, or among all if all are left: those that
+    differ in so few bits (differing) that they can link, and pass the check (settled)."""
     own = np.array(left)
     one = own.all()
-    group = np.arange(len(sets))
+    group = np.arange(len(ids))
     out = []
-    for i in range(len(sets)) if one else np.flatnonzero(own).tolist():
-        others = np.arange(i + 1, len(sets)) if one else np.flatnonzero(~own)
+    for i in range(len(ids)) if one else np.flatnonzero(own).tolist():
+        others = np.arange(i + 1, len(ids)) if one else np.flatnonzero(~own)
         n, m = sizes[i], sizes[others]
         others = others[(100 * np.minimum(n, m) >= threshold * np.maximum(n, m)) & (group[others] != group[i])]
         if not len(others):
             continue
-        shown = np.bitwise_count(signatures[others] ^ signatures[i]).sum(1, dtype=np.int64)
         m = sizes[others]
         least = -(-threshold * (n + m) // (100 + threshold))
-        passed = (n + m - shown) // 2 >= least
+        passed = (n + m - differing(i, others)) // 2 >= least
         for j, k in zip(others[passed].tolist(), least[passed].tolist(), strict=True):
-            if group[j] != group[i] and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= k:
+            if group[j] != group[i] and settled(i, j, k):
                 out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
                 group[group == group[j]] = group[i]
     return out
 
 
+def links_in(ids: list[int], sets: list[np.ndarray], left: list[bool], threshold: int) -> list[tuple[int, int]]:
+    """Links that join the groups of one tile."""
+    signatures = bitmaps(sets)
+    differing = lambda i, others: np.bitwise_count(signatures[others] ^ signatures[i]).sum(1, dtype=np.int64)
+    settled = lambda i, j, k: len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= k
+    return _joining(ids, np.fromiter(map(len, sets), np.int64, len(sets)), left, threshold, differing, settled)
+
+
+def near_in(ids: list[int], rows: list[tuple[int, bytes]], left: list[bool], threshold: int) -> list[tuple[int, int]]:
+    """The same of sets given by size and parity: no link is missing, but not all pairs are links."""
+    parities = [np.frombuffer(p, np.uint64) for _, p in rows]
+    words = np.fromiter(map(len, parities), np.int64, len(rows))
+    at: dict[int, np.ndarray] = {}
+
+    def differing(i: int, others: np.ndarray) -> np.ndarray:
+        width = int(min(words[i], words[others].min()))
+        if width not in at:
+            at[width] = at_width(parities, width)
+        return np.bitwise_count(at[width][others] ^ at[width][i]).sum(1, dtype=np.int64)
+
+    return _joining(ids, np.array([n for n, _ in rows], np.int64), left, threshold, differing, lambda i, j, k: True)
+
+
 def _count_repeated(words: int):
     """Shingles that several texts of a batch share, with their number there."""
 
@@ -145,7 +183,7 @@ def _sets(words: int, threshold: int, shipped):
             for s in sets_of(batch.column("text"), words):
                 n = len(s)
                 if not n:
-                    rows.append((0, b"", None))
+                    rows.append((0, b"", None, None))
                     continue
                 prefix = n - -(-threshold * n // 100) + SHARED
                 if len(frequent):
@@ -154,26 +192,26 @@ def _sets(words: int, threshold: int, shipped):
                     first = s[np.argsort(late, kind="stable")[:prefix]]
                 else:
                     first = s[:prefix]
-                rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), first.view(np.int64)))
-            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n", "set_hash", "prefix"])
+                rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), first.view(np.int64), parity(s)))
+            kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n", "set_hash", "prefix", "parity"])
 
     return run
 
 
-def _tiles(words: int, threshold: int):
-    """Links (a, b) of each tile; rows come sorted by tile."""
+def _tiles(given, found_in, threshold: int):
+    """Pairs (a, b) that found_in gives of each tile's sets, which given reads from a batch; rows come sorted by tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets, left = None, [], [], []
 
         def done() -> pa.RecordBatch:
-            found = links_in(ids, sets, left, threshold) if len(ids) > 1 else []
+            found = found_in(ids, sets, left, threshold) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j", "nid", "left")), strict=True)
-            for (cluster, i, j, nid, side), found in zip(keys, sets_of(batch.column("text"), words), strict=True):
+            for (cluster, i, j, nid, side), found in zip(keys, given(batch), strict=True):
                 if (cluster, i, j) != now:
                     if len(ids) > 1:
                         yield done()
@@ -221,11 +259,10 @@ class Join:
         return near.select(F.col("doc_id").alias("nid"), "text")
 
     def clusters(self, firsts: DataFrame) -> DataFrame:
-        """nid, n, cluster of every set that may link: SHARED prefix shingles or a large tile in common.
+        """nid, n, cluster of every set that may link: SHARED prefix shingles in common, or one of a large tile and near parities.
 
         Small tiles (up to SMALL sets) give their pairs, and a pair counts its shared shingles; sets that
-        share fewer by chance are not drawn together. In larger tiles each set is drawn to its band's
-        first, and a band's first to that of the band below.
+        share fewer by chance are not drawn together.
         """
         t, scratch = self.threshold, self.scratch
         index = firsts.select("nid", "n", F.explode("prefix").alias("key"))
@@ -238,39 +275,41 @@ class Join:
         )
         shared = held.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("shared"), F.min("p.n").alias("n"))
         edges = shared.filter(F.col("shared") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * t / 100))).select("a", "b")
-        band = F.floor(F.log(F.col("n")) / math.log(100 / t)).cast("int")
-        large = tiles.filter(F.col("members") > SMALL).withColumn("band", band)
-        pivots = scratch.keep(large.groupBy("key", "band").agg(F.min("nid").alias("pivot")), "pivots")
-        drawn = large.join(pivots, ["key", "band"]).select(F.col("nid").alias("a"), F.col("pivot").alias("b"))
-        below = pivots.select("key", (F.col("band") + 1).alias("band"), F.col("pivot").alias("b"))
-        drawn = drawn.unionByName(pivots.join(below, ["key", "band"]).select(F.col("pivot").alias("a"), "b")).filter("a <> b")
-        found = components(edges.unionByName(drawn), scratch)
-        scratch.drop(members, tiles, pivots)
+        large = scratch.keep(self.in_blocks(tiles.filter(F.col("members") > SMALL).select("nid", "n", F.col("key").alias("cluster"))), "large")
+        near = self.tiled(large, firsts.select("nid", "parity"), lambda batch: zip(batch.column("n").to_pylist(), batch.column("parity").to_pylist(), strict=True), near_in)
+        found = components(edges.unionByName(near), scratch)
+        scratch.drop(members, tiles, large)
         return scratch.keep(found.select(F.col("node").alias("nid"), F.col("component").alias("cluster")).join(firsts.select("nid", "n"), "nid"), "clusters")
 
-    def run(self) -> DataFrame:
-        """doc_id, n_shingles, component_id for every row."""
-        t, scratch = self.threshold, self.scratch
-        sets = self.sets()
-        classes = scratch.keep(sets.filter("n > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("nid")), "classes")
-        firsts = sets.filter("n > 0").join(classes.withColumn("doc_id", F.col("nid")), ["set_hash", "doc_id"]).dropDuplicates(["set_hash"])
-        firsts = scratch.keep(firsts.select("nid", "n", "prefix"), "firsts")
-        clusters = self.clusters(firsts)
-        scratch.drop(firsts)
-        # Blocks by size: a size with very many sets is dealt over several. Only counts of sizes are put in order.
-        sizes = clusters.groupBy("cluster", "n").agg(F.count(F.lit(1)).alias("count"))
+    def in_blocks(self, rows: DataFrame) -> DataFrame:
+        """rows (nid, n, cluster) with the block of each, by size: one with very many sets is dealt over several. Only counts of sizes are put in order."""
+        sizes = rows.groupBy("cluster", "n").agg(F.count(F.lit(1)).alias("count"))
         before = F.sum("count").over(Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
-        sizes = scratch.keep(sizes.withColumn("before", F.coalesce(before, F.lit(0))), "sizes")
+        sizes = self.scratch.keep(sizes.withColumn("before", F.coalesce(before, F.lit(0))), "sizes")
         part = F.pmod(F.xxhash64("nid"), F.ceil(F.col("count") / BLOCK))
         block = (F.shiftleft(F.floor(F.col("before") / BLOCK), 24) + part).alias("block")
-        members = scratch.keep(clusters.join(sizes, ["cluster", "n"]).select("nid", "n", "cluster", block), "members")
-        # Tiles: blocks of one cluster whose sizes can link.
+        return rows.join(sizes, ["cluster", "n"]).select("nid", "n", "cluster", block)
+
+    def tiled(self, members: DataFrame, held: DataFrame, given, found_in) -> DataFrame:
+        """a, b: what found_in gives of the tiles, which are the pairs of blocks of one cluster whose sizes can link; held: what to move of a set (nid)."""
         ranges = members.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
         upper = ranges.select("cluster", F.col("block").alias("j"), F.col("low").alias("low_j"))
-        tiles = ranges.select("cluster", F.col("block").alias("i"), "high").join(upper, "cluster").filter((F.col("i") <= F.col("j")) & (100 * F.col("high") >= t * F.col("low_j"))).select("cluster", "i", "j")
+        tiles = ranges.select("cluster", F.col("block").alias("i"), "high").join(upper, "cluster").filter((F.col("i") <= F.col("j")) & (100 * F.col("high") >= self.threshold * F.col("low_j"))).select("cluster", "i", "j")
         sides = tiles.select("cluster", "i", "j", F.col("i").alias("block"), F.lit(True).alias("left")).unionByName(tiles.filter("i <> j").select("cluster", "i", "j", F.col("j").alias("block"), F.lit(False).alias("left")))
-        held = members.join(sides, ["cluster", "block"]).join(self.texts_of(members), "nid").select("cluster", "i", "j", "n", "nid", "left", "text")
-        links = arrow_map(held.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "n", "nid"), _tiles(self.words, t), "a long, b long")
+        rows = members.join(sides, ["cluster", "block"]).drop("block").join(held, "nid")
+        return arrow_map(rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "n", "nid"), _tiles(given, found_in, self.threshold), "a long, b long")
+
+    def run(self) -> DataFrame:
+        """doc_id, n_shingles, component_id for every row."""
+        words, scratch = self.words, self.scratch
+        sets = self.sets()
+        classes = scratch.keep(sets.filter("n > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("nid")), "classes")
+        firsts = sets.filter("n > 0").join(classes.withColumn("doc_id", F.col("nid")), ["set_hash", "doc_id"]).dropDuplicates(["set_hash", "doc_id"])
+        firsts = scratch.keep(firsts.select("nid", "n", "prefix", "parity"), "firsts")
+        clusters = self.clusters(firsts)
+        scratch.drop(firsts)
+        members = scratch.keep(self.in_blocks(clusters), "members")
+        links = self.tiled(members, self.texts_of(members), lambda batch: sets_of(batch.column("text"), words), links_in)
         final = components(links, scratch)
         named = classes.join(final.withColumnRenamed("node", "nid"), "nid", "left").select("set_hash", F.coalesce("component", "nid").alias("component_id"))
         named = scratch.keep(named, "named")
