@@ -10,8 +10,8 @@ the vectors of those rows alone. With all lists probed the result is that of an
 Equal vectors are one row of the index, under their least key, and their keys a table beside it, the first `most`
 of them, which is all that a search for up to so many neighbours can ask for: copies do not crowd out candidates.
 
-A few queries travel with the code to the files; many are dealt to the lists, in blocks of both, so
-that a task's memory does not hang on the size of a list.
+A few queries travel with the code to the files; many are dealt to blocks of lists, once a block however
+many of its lists they look into, in parts, so that a task's memory does not hang on the number or size of lists.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from claimloom.sources import shared
 META = "ann_meta.json"
 #: Lists at most, and vectors for each that k-means sees at most. A search that asks for more neighbours than MOST scans exactly.
 LISTS, SAMPLE_PER_LIST, MOST = 16_384, 64, 100
-#: Up to so many queries travel with the code. Codes and queries of a list that meet in one task.
-FEW, BLOCK, QUERY_BLOCK = 1000, 20_000, 2_000
+#: Up to so many queries travel with the code. Codes of a block of lists and queries that meet in one task, and distances that it holds at once.
+FEW, BLOCK, QUERY_BLOCK, CELLS = 1000, 20_000, 2_000, 1 << 20
 #: Parts into which the copies of a vector are dealt before the first of them are taken.
 SALTS = 256
 #: Vectors that are searched for exactly after a build, to learn how many lists a search has to look into for a recall.
@@ -188,76 +188,108 @@ class Index:
         return [float((ranks < p).mean()) for p in range(1, len(self.centroids) + 1)]
 
     def _screen(self, k: int):
-        """Of a list's codes and queries, what may be among the k nearest: (place of the query, place of the row, low, high)."""
+        """Of rows and the queries that look into their lists (looks: query by list), what may be among the k nearest: (place of the query, place of the row, low, high)."""
         centroids = self.centroids
 
-        def screen(x: np.ndarray, number: int, codes: list[bytes], scales: np.ndarray, losses: np.ndarray) -> tuple[np.ndarray, ...]:
-            code = np.frombuffer(b"".join(codes), np.int8).reshape(len(codes), -1).astype(np.float64)
-            d = np.sqrt(squared(x - centroids[number], code * scales.astype(np.float64)[:, None]))
-            # The subtraction in squared() loses digits of close points; the slack is far above that.
-            slack = _SLACK * (1 + np.sqrt((x * x).sum(1))[:, None])
-            low, high = d - losses - slack, d + losses + slack
-            bound = np.partition(high, k - 1, 1)[:, k - 1 : k] if high.shape[1] > k else np.full((len(x), 1), np.inf)
-            q, r = np.nonzero(low <= bound)
-            return q, r, low[q, r], high[q, r]
+        def screen(x: np.ndarray, looks: np.ndarray, rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
+            of = rows.column("list").to_numpy()
+            scales, losses = (rows.column(c).to_numpy().astype(np.float64) for c in ("scale", "loss"))
+            code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.int8).reshape(len(of), -1)
+            near = centroids[of] + code * scales[:, None]
+            step, found = max(1, CELLS // max(1, len(of))), []
+            for at in range(0, len(x), step):
+                part = x[at : at + step]
+                d = np.sqrt(squared(part, near))
+                # The subtraction in squared() loses digits of close points; the slack is far above that.
+                slack = _SLACK * (1 + np.sqrt((part * part).sum(1))[:, None])
+                low, high = d - losses - slack, d + losses + slack
+                seen = looks[at : at + step][:, of]
+                high[~seen] = np.inf
+                bound = np.partition(high, k - 1, 1)[:, k - 1 : k] if high.shape[1] > k else np.full((len(part), 1), np.inf)
+                q, r = np.nonzero((low <= bound) & seen)
+                found.append((q + at, r, low[q, r], high[q, r]))
+            return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
         return screen
 
+    def _looks(self):
+        """Of laid queries, whether each looks into each list."""
+        centroids = self.centroids
+
+        def looks(x: np.ndarray, probes: int) -> np.ndarray:
+            out = np.ones((len(x), len(centroids)), bool)
+            if probes < len(centroids):
+                for at in range(0, len(x), 512):
+                    out[at : at + 512] = False
+                    np.put_along_axis(out[at : at + 512], np.argsort(squared(x[at : at + 512], centroids), 1, kind="stable")[:, : max(1, probes)], True, 1)
+            return out
+
+        return looks
+
     def _few(self, asked: list, k: int, probes: int) -> DataFrame:
         """query, rep, list, low, high, the queries being with the code."""
         names = [r.query for r in asked]
         x = laid(np.array([r.embedding for r in asked], dtype=np.float64).reshape(len(asked), self.dimensions), self.space, self.longest, query=True)
-        wanted = self.nearest_lists(x, probes) if len(asked) else np.empty((0, 0), int)
+        looks = self._looks()(x, probes) if len(asked) else np.zeros((0, len(self.centroids)), bool)
         screen, kind = self._screen(k), self.lists.schema["rep"].dataType
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                of = batch.column("list").to_numpy()
-                for number in np.unique(of).tolist():
-                    at, mine = np.flatnonzero(of == number), np.flatnonzero((wanted == number).any(1))
-                    part = batch.take(pa.array(at))
-                    if not len(mine):
-                        continue
-                    q, r, low, high = screen(x[mine], number, part.column("code").to_pylist(), part.column("scale").to_numpy(), part.column("loss").to_numpy())
-                    yield pa.RecordBatch.from_arrays([pa.array(mine[q], pa.int32()), part.column("rep").take(pa.array(r)), pa.array([number] * len(q), pa.int32()), pa.array(low), pa.array(high)], ["nth", "rep", "list", "low", "high"])
+                if not len(x) or not batch.num_rows:
+                    continue
+                q, r, low, high = screen(x, looks, batch)
+                rows = pa.array(r)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), batch.column("rep").take(rows), batch.column("list").take(rows), pa.array(low), pa.array(high)], ["nth", "rep", "list", "low", "high"])
 
         schema = StructType([*StructType.fromDDL("nth int"), StructField("rep", kind), *StructType.fromDDL("list int, low double, high double")])
         numbers = self.spark.createDataFrame(list(enumerate(names)), StructType([*StructType.fromDDL("nth int"), StructField("query", kind)]))
-        found = self.of_lists(np.unique(wanted).tolist()).select("rep", "list", "code", "scale", "loss").mapInArrow(run, schema)
+        found = self.of_lists(np.flatnonzero(looks.any(0)).tolist()).select("rep", "list", "code", "scale", "loss").mapInArrow(run, schema)
         return found.join(F.broadcast(numbers), "nth").drop("nth")  # FEW rows at most
 
     def _many(self, asked: DataFrame, k: int, probes: int) -> DataFrame:
-        """The same for any number of queries: they are dealt to the blocks of their lists."""
+        """The same for any number of queries: a query goes once to each block of lists that has one of its lists."""
         space, longest, kind = self.space, self.longest, self.lists.schema["rep"].dataType
-        centroids, screen = self.centroids, self._screen(k)
+        screen, looks = self._screen(k), self._looks()
+        # Lists one after another make a block, up to BLOCK rows; a longer list makes several. (list, its first block, how many): a row a list.
+        places, last, held = [], 0, 0
+        for r in sorted(self.lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()):
+            if held and held + r.n > BLOCK:
+                last, held = last + 1, 0
+            parts = -(-r.n // BLOCK)
+            places.append((r.list, last, parts))
+            last, held = (last + parts, 0) if parts > 1 else (last, held + r.n)
+        blocks = np.zeros((len(self.centroids), last + 1), bool)
+        for number, first, n in places:
+            blocks[number, first : first + n] = True
+        parts = max(1, -(-asked.count() // QUERY_BLOCK))
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step = max(1, CELLS // max(blocks.shape) // 16)
             for batch in batches:
-                x = laid(_matrix(batch.column("embedding")), space, longest, query=True)
-                order = np.argsort(squared(x, centroids), 1, kind="stable")[:, : max(1, probes)]
-                rows = np.repeat(np.arange(len(x)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(rows)), pa.array(order.ravel(), pa.int32()), pa.array([x[r].tobytes() for r in rows], pa.binary())], ["query", "list", "x"])
-
-        probing = asked.mapInArrow(dealt, StructType([StructField("query", kind), *StructType.fromDDL("list int, x binary")]))
-        count = lambda df, size: {r.list: -(-r.n // size) for r in df.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # noqa: E731  a row a list
-        blocks, parts = count(self.lists, BLOCK), count(probing, QUERY_BLOCK)
-        sizes = self.spark.createDataFrame([(number, blocks[number], n) for number, n in parts.items() if number in blocks], "list int, blocks int, parts int")
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    x = laid(_matrix(part.column("embedding")), space, longest, query=True)
+                    rows, block = np.nonzero(looks(x, probes) @ blocks)
+                    yield pa.RecordBatch.from_arrays([part.column("query").take(pa.array(rows)), pa.array(block, pa.int32()), pa.array([x[r].tobytes() for r in rows], pa.binary())], ["query", "block", "x"])
+
+        probing = asked.mapInArrow(dealt, StructType([StructField("query", kind), *StructType.fromDDL("block int, x binary")]))
+        right = probing.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
+        sizes = self.spark.createDataFrame(places, "list int, first int, blocks int")
         left = self.lists.select("list", "rep", "code", "scale", "loss").join(F.broadcast(sizes), "list")  # LISTS rows at most
-        left = left.select("list", "rep", "code", "scale", "loss", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), each("parts").alias("part"))
-        right = probing.join(F.broadcast(sizes), "list").select("list", "query", "x", F.pmod(F.xxhash64("query"), "parts").cast("int").alias("part"), each("blocks").alias("block"))
+        block = (F.col("first") + F.pmod(F.xxhash64("rep"), "blocks")).cast("int").alias("block")
+        left = left.select("list", "rep", "code", "scale", "loss", block, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
         def meet(codes: pa.Table, asks: pa.Table) -> pa.Table:
             names = ["query", "rep", "list", "low", "high"]
             if not len(codes) or not len(asks):
                 return pa.Table.from_arrays([asks.column("query").slice(0, 0), codes.column("rep").slice(0, 0), pa.array([], pa.int32()), pa.array([], pa.float64()), pa.array([], pa.float64())], names)
             x = np.frombuffer(b"".join(asks.column("x").to_pylist()), np.float64).reshape(len(asks), -1)
-            number = codes.column("list")[0].as_py()
-            q, r, low, high = screen(x, number, codes.column("code").to_pylist(), codes.column("scale").to_numpy(), codes.column("loss").to_numpy())
-            return pa.Table.from_arrays([asks.column("query").take(pa.array(q)), codes.column("rep").take(pa.array(r)), pa.array([number] * len(q), pa.int32()), pa.array(low), pa.array(high)], names)
+            q, r, low, high = screen(x, looks(x, probes), codes)
+            rows = pa.array(r)
+            return pa.Table.from_arrays([asks.column("query").take(pa.array(q)), codes.column("rep").take(rows), codes.column("list").take(rows), pa.array(low), pa.array(high)], names)
 
         schema = StructType([StructField("query", kind), StructField("rep", kind), *StructType.fromDDL("list int, low double, high double")])
-        by = ["list", "block", "part"]
+        by = ["block", "part"]
         return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, schema)
 
     def _measured(self, found: DataFrame, asked: DataFrame, k: int) -> DataFrame:
